@@ -207,7 +207,7 @@ def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
                         outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
                            regParam=1.0 / (C * total_w), elasticNetParam=0.0, standardization=False,
-                           maxIter=max_iter, tol=1e-9, fitIntercept=True),
+                           maxIter=max_iter, tol=1e-6, fitIntercept=True),
     ]
     train = weighted.withColumn(label, F.col(label).cast("double"))
     pm = Pipeline(stages=stages).fit(train)

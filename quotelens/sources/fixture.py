@@ -3,6 +3,10 @@
 ``quotes`` is a quotation-line table derived from ``lineitem JOIN part``
 (definitions in FIXTURES.md section 1); ``requests`` is one pricing scenario per
 clean quote line (FIXTURES.md section 2).  Both read the whole tables.
+
+``line_seq`` stands in for file order, which a real quotation file carries
+(see ``readers.conform``); deriving it needs a row_number per order key, and
+the highest-price flag of the fixture is computed in the same window exchange.
 """
 
 from __future__ import annotations
@@ -18,8 +22,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.cleaning import mark_highest_price
-
     li = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     pa = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
@@ -30,11 +32,12 @@ def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = (F.col("l_orderkey") * 37 + F.col("l_suppkey") * 11) % 100
     k = F.col("l_partkey") + F.col("l_suppkey")
     cpu = F.col("p_retailprice")
-    seq_w = Window.partitionBy("l_orderkey").orderBy(
+    # partition by the quote_id alias so that the later (quote_id, product) window reuses the exchange
+    seq_w = Window.partitionBy("quote_id").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
-    base = j.select(
-        F.col("l_orderkey").alias("quote_id"),
+    base = j.withColumn("quote_id", F.col("l_orderkey")).select(
+        "quote_id",
         F.row_number().over(seq_w).cast("bigint").alias("line_seq"),
         F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("H")).alias("product"),
         F.when(F.col("p_partkey") % 53 != 0, F.col("p_size") / 2).alias("kw"),
@@ -78,10 +81,14 @@ def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("unit_price") - F.col("min_competitor_price")) / F.col("min_competitor_price") * 100)
         .alias("price_gap_min_competitor_pct"),
     )
-    flagged = mark_highest_price(d2.drop("_m", "_h", "_cpu"), out="is_highest_price")
-    flagged = flagged.withColumn("is_highest_price", F.col("is_highest_price").cast("int"))
-    dup = flagged.where(F.col("quote_id") % 101 == 0)
-    return conform(flagged.unionByName(dup)).select(*QUOTE_COLUMNS)
+    # Same exchange as line_seq (hash on l_orderkey covers (quote_id, product)): no extra shuffle.
+    top = F.max("unit_price").over(Window.partitionBy("quote_id", "product"))
+    flagged = d2.drop("_m", "_h", "_cpu").withColumn(
+        "is_highest_price", F.when(F.col("unit_price") == top, F.lit(1)).otherwise(F.lit(0)))
+    # exact duplicates of every line of quotes with quote_id % 101 = 0 (one pass, no union)
+    copies = F.when(F.col("quote_id") % 101 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    doubled = flagged.withColumn("_copy", F.explode(copies)).drop("_copy")
+    return conform(doubled).select(*QUOTE_COLUMNS)
 
 
 def requests_from_clean(clean: DataFrame, min_margin: float = 0.20,
