@@ -38,7 +38,12 @@ def gmr_band_ord(g: Column | str) -> Column:
 
 
 def band_label(ord_: Column | str) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in BAND_LABELS]), col_(ord_) + 1)
+    """Label of a band ordinal; NULL stays NULL (a CASE chain, not an array lookup)."""
+    o = col_(ord_)
+    expr = F.when(o.isNull(), F.lit(None).cast("string"))
+    for i, lbl in enumerate(BAND_LABELS):
+        expr = expr.when(o == i, F.lit(lbl))
+    return expr
 
 
 def gmr_band(g: Column | str) -> Column:

@@ -88,9 +88,9 @@ def read_quotes_csv(spark: SparkSession, path: str) -> DataFrame:
                 typed.append(F.col(name))
             elif isinstance(dtype, (T.IntegerType, T.LongType)):
                 # pandas would read "3.0" into an int column as 3
-                typed.append(F.try_cast(F.try_cast(F.col(name), "double"), dtype).alias(name))
+                typed.append(F.col(name).try_cast("double").try_cast(dtype).alias(name))
             else:
-                typed.append(F.try_cast(F.col(name), dtype).alias(name))
+                typed.append(F.col(name).try_cast(dtype).alias(name))
     return conform(cleaned.select(*typed))
 
 
