@@ -28,7 +28,7 @@ from ..constants import (
     SPLIT_SEED,
     SPLIT_TEST_SIZE,
 )
-from ..plans.scorecard import sigmoid
+from ..plans.scorecard import MARGIN_VARYING, sigmoid
 from .keyed import exact_medians, with_key_stats
 
 
@@ -144,16 +144,28 @@ class FittedWinModel:
     def product_coef(self) -> dict[str, float]:
         return dict(zip(self.levels, self.coefficients[len(self.prep.features):]))
 
-    def probability(self, f: dict[str, Column]) -> Column:
-        """The fitted model compiled to a Column expression (unknown product -> 0)."""
+    def fixed_logit(self, f: dict[str, Column]) -> Column:
+        """Intercept + product term + terms of margin-independent features."""
         z = F.lit(self.intercept)
-        for name, b in self.numeric_coef().items():
-            z = z + F.lit(b) * self.prep.z(name, f[name])
         pc = self.product_coef()
         if pc:
             m = F.create_map(*[x for k, v in sorted(pc.items()) for x in (F.lit(k), F.lit(v))])
             z = z + F.coalesce(F.try_element_at(m, self.prep.product(f["product"])), F.lit(0.0))
-        return sigmoid(z)
+        for name, b in self.numeric_coef().items():
+            if name not in MARGIN_VARYING:
+                z = z + F.lit(b) * self.prep.z(name, f[name])
+        return z
+
+    def varying_logit(self, f: dict[str, Column], fixed: Column) -> Column:
+        z = fixed
+        for name, b in self.numeric_coef().items():
+            if name in MARGIN_VARYING:
+                z = z + F.lit(b) * self.prep.z(name, f[name])
+        return z
+
+    def probability(self, f: dict[str, Column]) -> Column:
+        """The fitted model compiled to a Column expression (unknown product -> 0)."""
+        return sigmoid(self.varying_logit(f, self.fixed_logit(f)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)

@@ -44,6 +44,7 @@ from ..constants import (
     TOP_SCENARIOS,
 )
 from ..functions.columns import (
+    array_mean,
     available_competitors,
     band_label,
     fmt_currency,
@@ -53,7 +54,7 @@ from ..functions.columns import (
     price_position_by_ratio,
     scenario_columns,
 )
-from ..plans.scorecard import WinScorer
+from ..plans.scorecard import WinScorer, sigmoid
 from .keyed import exact_medians, first_per_key
 
 REQUEST_KEYS = ["quote_id", "line_seq"]
@@ -223,26 +224,59 @@ def grid_size(max_margin: float = GRID_MAX_MARGIN, step: float = GRID_STEP) -> i
 
 def margin_grid(requests: DataFrame, scorer: WinScorer, max_margin: float = GRID_MAX_MARGIN,
                 step: float = GRID_STEP) -> Column:
-    """ARRAY<STRUCT> of the grid points of one request (row-local, no shuffle)."""
+    """ARRAY<STRUCT> of the grid points of one request (row-local, no shuffle).
+
+    Higher-order lambdas are evaluated per element, so everything that does not
+    depend on the margin (competitor summary, total cost, the scorer's fixed
+    part of the logit) is computed once per row and handed to the lambda as the
+    repeated array element: ``transform(array_repeat(struct(...), n), (s, i) -> ...)``.
+    Passing it as the element (not as a column) keeps the optimiser from
+    inlining it back into the lambda.
+    """
     n = grid_size(max_margin, step)
-
-    def point(i: Column) -> Column:
+    comps = available_competitors("competitor_a", "competitor_b", "competitor_c")
+    inv = {
+        "product": F.col("product"), "kw": F.col("kw"), "qty": F.col("qty"),
+        "energy_grant_amount": F.col("energy_grant_amount"),
+        "estimated_cost": F.col("cost_per_unit") * F.col("qty"),
+        "competitor_count_available": F.size(comps),
+        "avg_competitor_price": array_mean(comps),
+        "min_competitor_price": F.array_min(comps),
+    }
+    split = hasattr(scorer, "fixed_logit") and hasattr(scorer, "varying_logit")
+    fields = [v.alias(k) for k, v in inv.items()] + [
+        F.col("cost_per_unit").alias("_cpu"), F.col("minimum_margin").alias("_min_margin")]
+    if split:
+        fields.append(scorer.fixed_logit(inv).alias("_fixed"))
+    seed = F.struct(*fields)
+
+    def point(s: Column, i: Column) -> Column:
         g = i.cast("double") * F.lit(step)
-        sc = _scenario(requests, g)
-        p = scorer.probability(features_for(requests, g, sc))
-        gp = sc["gross_profit_amount"]
+        unit_price = F.try_divide(s["_cpu"], F.lit(1.0) - g)
+        subtotal = unit_price * s["qty"]
+        gp = subtotal - s["estimated_cost"]
+        avg_c, min_c = s["avg_competitor_price"], s["min_competitor_price"]
+        f = {k: s[k] for k in inv}
+        f.update({
+            "unit_price": unit_price,
+            "gross_margin_rate": g,
+            "grant_ratio_to_subtotal": F.when(subtotal != 0, s["energy_grant_amount"] / subtotal),
+            "price_gap_avg_competitor_pct": (unit_price - avg_c) / avg_c * 100,
+            "price_gap_min_competitor_pct": (unit_price - min_c) / min_c * 100,
+        })
+        p = sigmoid(scorer.varying_logit(f, s["_fixed"])) if split else scorer.probability(f)
         return F.struct(
             (p * gp).alias("expected_gross_profit"),
             (-i).alias("neg_index"),
             i.alias("grid_index"),
             g.alias("gross_margin_rate"),
-            sc["unit_price"].alias("unit_price"),
+            unit_price.alias("unit_price"),
             p.alias("win_probability"),
             gp.alias("gross_profit_if_won"),
-            (g >= F.col("minimum_margin")).alias("meets_minimum_margin"),
+            (g >= s["_min_margin"]).alias("meets_minimum_margin"),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
+    return F.transform(F.array_repeat(seed, n), point)
 
 
 GRID_FIELDS = ["grid_index", "gross_margin_rate", "unit_price", "win_probability",

@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 
 
 class WinScorer(Protocol):
+    """probability(f) is required; a scorer may also split its logit into a
+    margin-independent ``fixed_logit(f)`` and ``varying_logit(f, fixed)`` so the
+    margin grid evaluates the fixed part once per request."""
+
     def probability(self, f: dict[str, Column]) -> Column: ...
 
 
+MARGIN_VARYING = {"unit_price", "gross_margin_rate", "grant_ratio_to_subtotal",
+                  "price_gap_avg_competitor_pct", "price_gap_min_competitor_pct"}
+
+
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
@@ -34,11 +42,18 @@ class Scorecard:
         self.b0, self.b_gmr, self.b_gap = b0, b_gmr, b_gap
         self.gap_fill, self.b_kw, self.kw_fill = gap_fill, b_kw, kw_fill
 
-    def logit(self, f: dict[str, Column]) -> Column:
+    def fixed_logit(self, f: dict[str, Column]) -> Column:
+        """The part of the logit that does not depend on the margin."""
+        return F.lit(self.b_kw) * F.coalesce(f["kw"], F.lit(self.kw_fill))
+
+    def varying_logit(self, f: dict[str, Column], fixed: Column) -> Column:
         return (F.lit(self.b0)
                 - F.lit(-self.b_gmr) * f["gross_margin_rate"]
                 - F.lit(-self.b_gap) * F.coalesce(f["price_gap_min_competitor_pct"], F.lit(self.gap_fill))
-                + F.lit(self.b_kw) * F.coalesce(f["kw"], F.lit(self.kw_fill)))
+                + fixed)
+
+    def logit(self, f: dict[str, Column]) -> Column:
+        return self.varying_logit(f, self.fixed_logit(f))
 
     def probability(self, f: dict[str, Column]) -> Column:
         return sigmoid(self.logit(f))
