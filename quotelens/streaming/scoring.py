@@ -1,0 +1,59 @@
+"""Pricing requests that arrive as a stream.
+
+The recommendation, flag and benchmark operators are row-local (or a
+stream-static join), so the batch functions apply unchanged to a streaming
+DataFrame: no state store, no watermark.  The sink is a file sink with a
+checkpoint under the shared checkpoint folder (exactly-once on restart).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import pricing as P
+from ..plans.scorecard import DEFAULT_SCORECARD, WinScorer
+from ..session import scratch_path
+
+REQUEST_SCHEMA = (
+    "quote_id bigint, line_seq bigint, product string, kw double, qty int, cost_per_unit double, "
+    "gross_margin_rate double, energy_grant_amount double, competitor_a double, competitor_b double, "
+    "competitor_c double, minimum_margin double, minimum_win_probability double")
+
+
+def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
+    return (spark.readStream.schema(REQUEST_SCHEMA)
+            .option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(source_dir))
+
+
+def recommendations(requests: DataFrame, scorer: WinScorer = DEFAULT_SCORECARD,
+                    clean: DataFrame | None = None) -> DataFrame:
+    """Recommended margin per request; with ``clean`` also the historical benchmark
+    (a stream-static join on (product, band))."""
+    rec = P.recommend_margin(requests, scorer)
+    if clean is None:
+        return rec
+    bench = P.historical_benchmark(requests, clean).drop("product")
+    return rec.join(bench, P.REQUEST_KEYS, "left")
+
+
+def start_recommendations(spark: SparkSession, source_dir: str, sink_dir: str,
+                          scorer: WinScorer = DEFAULT_SCORECARD, name: str = "recommendations",
+                          available_now: bool = True) -> StreamingQuery:
+    """Continuously price request files landing in ``source_dir`` into parquet at ``sink_dir``."""
+    out = recommendations(request_stream(spark, source_dir), scorer)
+    writer = (out.writeStream.format("parquet").outputMode("append")
+              .option("path", sink_dir)
+              .option("checkpointLocation", scratch_path(spark, f"stream-{name}")))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
+def start_flags(spark: SparkSession, source_dir: str, sink_dir: str,
+                scorer: WinScorer = DEFAULT_SCORECARD, name: str = "flags") -> StreamingQuery:
+    out = P.risk_flags(request_stream(spark, source_dir), scorer)
+    return (out.writeStream.format("parquet").outputMode("append")
+            .option("path", sink_dir)
+            .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+            .trigger(availableNow=True).start())
