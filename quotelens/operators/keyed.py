@@ -104,3 +104,59 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str]) ->
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
     return exact_medians(df, keys, {alias: value})
+
+
+def _ranged_row_number(df: DataFrame, keys: list[str], order: list[str], out: str,
+                       buckets: int) -> DataFrame:
+    """Row number within ``keys`` by ``order`` for a few huge groups, spread over tasks.
+
+    Range partitioning on (keys, order) cuts one group into contiguous slices on
+    several tasks.  After a sort within each partition, a row's position is its
+    increasing id minus the id of its group's first row in that partition, plus
+    the rows of the group in earlier partitions.  The (partition, key) table has
+    at most #groups + #partitions rows and is broadcast.  The ranged rows are
+    checkpointed once (reliable, shared folder) so both passes agree.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # Partition ids and increasing ids are fixed by a reliable checkpoint, so the
+    # size pass and the numbering pass see the same assignment (also on retries).
+    ranged = (df.repartitionByRange(buckets, *keys, *order)
+              .sortWithinPartitions(*keys, *order)
+              .withColumn("_b", F.spark_partition_id())
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
+    sizes = ranged.groupBy("_b", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("_b", *keys, "_first",
+                        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (ranged.join(F.broadcast(offs), ["_b", *keys])
+            .withColumn(out, F.col("_mid") - F.col("_first") + F.col("_off") + 1)
+            .drop("_b", "_mid", "_first", "_off"))
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS,
+              max_hot_keys: int = MAX_HOT_KEYS) -> tuple[DataFrame, DataFrame]:
+    """(cold rows, hot rows): hot = keys with >= hot_rows rows (capped set, broadcast)."""
+    keys = list(keys)
+    hot = F.broadcast(hot_keys(key_counts(df, keys), keys, "_n", hot_rows, max_hot_keys))
+    tagged = df.join(hot, keys, "left")
+    return (tagged.where(F.col("_hot").isNull()).drop("_hot"),
+            tagged.where(F.col("_hot")).drop("_hot"))
+
+
+def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
+                      hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+                      buckets: int | None = None) -> DataFrame:
+    """row_number() over (partition by keys order by order), safe for hot keys.
+
+    Ordinary keys use the window; keys with >= hot_rows rows are numbered by
+    the range-partitioned method above, so no task holds a whole hot group.
+    ``order`` should be a total order within a key (as any row_number needs).
+    """
+    keys, order = list(keys), list(order)
+    cold, hot = split_hot(df, keys, hot_rows, max_hot_keys)
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return cold.withColumn(out, F.row_number().over(w).cast("bigint")).unionByName(
+        _ranged_row_number(hot, keys, order, out, n))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cleaning import mark_highest_price
+from ..operators.keyed import HOT_KEY_ROWS, _ranged_row_number, split_hot
 from .readers import QUOTE_COLUMNS, conform
 
 
@@ -21,29 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    pa = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    j = li.join(pa, li.l_partkey == pa.p_partkey, "inner")
-
+def _derive(base: DataFrame) -> DataFrame:
+    """FIXTURES.md section 1 columns from (quote_id, line_seq, lineitem and part fields)."""
     qint = F.col("l_quantity").cast("int")
     m = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 29 + qint) % 81 - 10
     h = (F.col("l_orderkey") * 37 + F.col("l_suppkey") * 11) % 100
     k = F.col("l_partkey") + F.col("l_suppkey")
-    cpu = F.col("p_retailprice")
-    # partition by the quote_id alias so that the later (quote_id, product) window reuses the exchange
-    seq_w = Window.partitionBy("quote_id").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-
-    base = j.withColumn("quote_id", F.col("l_orderkey")).select(
-        "quote_id",
-        F.row_number().over(seq_w).cast("bigint").alias("line_seq"),
+    b = base.select(
+        "quote_id", "line_seq",
         F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("H")).alias("product"),
         F.when(F.col("p_partkey") % 53 != 0, F.col("p_size") / 2).alias("kw"),
         F.when((F.col("l_orderkey") % 97 == 0) & (F.col("l_linenumber") == 1), F.lit(0))
         .otherwise(qint).alias("qty"),
-        m.alias("_m"), h.alias("_h"), k.alias("_k"), cpu.alias("_cpu"),
+        m.alias("_m"), h.alias("_h"), k.alias("_k"), F.col("p_retailprice").alias("_cpu"),
         "l_partkey", "l_suppkey", "p_size", "p_retailprice",
     )
     comp_a = F.when(F.col("_k") % 3 != 0, F.col("p_retailprice") * (
@@ -53,7 +45,7 @@ def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp_c = (F.when(F.col("_k") % 5 != 0, F.lit(None).cast("double"))
               .when(F.col("l_suppkey") % 4 == 0, F.lit(0.0))
               .otherwise(F.col("p_retailprice") * (1 + (F.col("l_partkey") % 81) / 100)))
-    d1 = base.select(
+    d1 = b.select(
         "quote_id", "line_seq", "product", "kw", "qty", "_m", "_h", "_cpu",
         (F.col("_m") / 100).alias("gross_margin_rate"),
         (F.col("_cpu") / (1 - F.col("_m") / 100)).alias("unit_price"),
@@ -61,17 +53,16 @@ def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("_cpu") * F.col("qty")).alias("estimated_cost"),
         comp_a.alias("competitor_a"), comp_b.alias("competitor_b"), comp_c.alias("competitor_c"),
     )
-    a, b, c = (F.nullif(F.col(x), F.lit(0.0)) for x in ("competitor_a", "competitor_b", "competitor_c"))
-    cnt = a.isNotNull().cast("int") + b.isNotNull().cast("int") + c.isNotNull().cast("int")
-    avg = (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)) + F.coalesce(c, F.lit(0.0))) / F.nullif(cnt, F.lit(0))
-    mn = F.least(a, b, c)
+    a, bb, c = (F.nullif(F.col(x), F.lit(0.0)) for x in ("competitor_a", "competitor_b", "competitor_c"))
+    cnt = a.isNotNull().cast("int") + bb.isNotNull().cast("int") + c.isNotNull().cast("int")
+    avg = (F.coalesce(a, F.lit(0.0)) + F.coalesce(bb, F.lit(0.0)) + F.coalesce(c, F.lit(0.0))) / F.nullif(cnt, F.lit(0))
     d2 = d1.select(
         "*",
         (F.col("energy_grant_amount") / F.nullif(F.col("unit_price") * F.col("qty"), F.lit(0.0)))
         .alias("grant_ratio_to_subtotal"),
         cnt.alias("competitor_count_available"),
         avg.alias("avg_competitor_price"),
-        mn.alias("min_competitor_price"),
+        F.least(a, bb, c).alias("min_competitor_price"),
         (F.col("unit_price") * F.col("qty") - F.col("_cpu") * F.col("qty")).alias("estimated_gross_profit"),
         F.when(F.col("_h") < 70 - F.col("_m"), F.lit(0)).otherwise(F.lit(1)).alias("convert_to_order"),
     ).select(
@@ -81,10 +72,37 @@ def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("unit_price") - F.col("min_competitor_price")) / F.col("min_competitor_price") * 100)
         .alias("price_gap_min_competitor_pct"),
     )
-    # Same exchange as line_seq (hash on l_orderkey covers (quote_id, product)): no extra shuffle.
+    return d2.drop("_m", "_h", "_cpu")
+
+
+SEQ_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+
+
+def quotes_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """The ``quotes`` view; ordinary quotes take one exchange on quote_id, hot ones are spread.
+
+    Ordinary quotes: the line_seq window, the highest-price window and (later)
+    the distinct share one exchange on quote_id.  Quotes with >= hot_rows lines
+    get a range-partitioned line number and a salted per-(quote, product)
+    maximum instead, so no task holds a whole hot quote.
+    """
+    li = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    pa = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    j = li.join(pa, li.l_partkey == pa.p_partkey, "inner").withColumn("quote_id", F.col("l_orderkey"))
+    cold, hot = split_hot(j, ["quote_id"], hot_rows)
+
+    seq_w = Window.partitionBy("quote_id").orderBy(*SEQ_ORDER)
+    cold_d = _derive(cold.withColumn("line_seq", F.row_number().over(seq_w).cast("bigint")))
     top = F.max("unit_price").over(Window.partitionBy("quote_id", "product"))
-    flagged = d2.drop("_m", "_h", "_cpu").withColumn(
-        "is_highest_price", F.when(F.col("unit_price") == top, F.lit(1)).otherwise(F.lit(0)))
+    cold_f = cold_d.withColumn("is_highest_price",
+                               F.when(F.col("unit_price") == top, F.lit(1)).otherwise(F.lit(0)))
+
+    hot_d = _derive(_ranged_row_number(hot, ["quote_id"], SEQ_ORDER, "line_seq",
+                                       int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    hot_f = mark_highest_price(hot_d, out="is_highest_price", hot_rows=1)
+
+    flagged = cold_f.unionByName(hot_f)
     # exact duplicates of every line of quotes with quote_id % 101 = 0 (one pass, no union)
     copies = F.when(F.col("quote_id") % 101 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     doubled = flagged.withColumn("_copy", F.explode(copies)).drop("_copy")

@@ -1,5 +1,7 @@
 """Streaming requests give the same recommendations as the batch operator."""
 
+import uuid
+
 from conftest import SF_SMALL
 
 from quotelens.operators import pricing as P
@@ -12,12 +14,12 @@ def test_stream_matches_batch(spark, tmp_path):
     src, sink, fsink = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "flags")
     req = requests_of(spark, SF_SMALL)
     req.repartition(4).write.parquet(src)
-    q = start_recommendations(spark, src, sink, name=f"rec-{tmp_path.name}")
+    q = start_recommendations(spark, src, sink, name=f"rec-{uuid.uuid4().hex}")
     q.awaitTermination(120)
     got = spark.read.parquet(sink)
     want = P.recommend_margin(req, DEFAULT_SCORECARD)
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
-    f = start_flags(spark, src, fsink, name=f"flags-{tmp_path.name}")
+    f = start_flags(spark, src, fsink, name=f"flags-{uuid.uuid4().hex}")
     f.awaitTermination(120)
     assert spark.read.parquet(fsink).count() == P.risk_flags(req, DEFAULT_SCORECARD).count()
