@@ -64,20 +64,28 @@ def requests_of(spark, sf):
 
 
 def stress_requests(requests: DataFrame) -> DataFrame:
-    """Requests plus out-of-bounds variants (FIXTURES.md section 2), with distinct ids."""
+    """Every request plus four out-of-bounds variants of it (FIXTURES.md section 2).
+
+    Variant v of request (q, s) gets line_seq -(10 s + v); one pass, no union.
+    """
     variants = [
-        ("gross_margin_rate", F.lit(0.95), 1),
-        ("qty", F.lit(0), 2),
-        ("cost_per_unit", F.lit(0.5), 3),
-        ("kw", F.lit(0.05), 4),
+        ("gross_margin_rate", F.lit(0.95)),
+        ("qty", F.lit(0)),
+        ("cost_per_unit", F.lit(0.5)),
+        ("kw", F.lit(0.05)),
     ]
-    out = requests
-    for col, value, v in variants:
-        bad = (requests.where(F.col("quote_id") % 13 == v)
-               .withColumn(col, value.cast(requests.schema[col].dataType))
-               .withColumn("line_seq", -(F.col("line_seq") * 10 + v)))
-        out = out.unionByName(bad)
-    return out
+    v = F.col("_v")
+    out = requests.withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(len(variants)))))
+    cols = []
+    for c in requests.columns:
+        e = F.col(c)
+        for i, (name, value) in enumerate(variants, start=1):
+            if c == name:
+                e = F.when(v == i, value.cast(requests.schema[c].dataType)).otherwise(e)
+        if c == "line_seq":
+            e = F.when(v == 0, e).otherwise(-(F.col("line_seq") * 10 + v))
+        cols.append(e.alias(c))
+    return out.select(*cols)
 
 
 LINE_KEYS = ["quote_id", "line_seq"]

@@ -114,16 +114,16 @@ stress AS (
   SELECT * FROM requests
   UNION ALL SELECT quote_id, -(line_seq * 10 + 1), product, kw, qty, cost_per_unit, {d(0.95)},
         energy_grant_amount, competitor_a, competitor_b, competitor_c, minimum_margin, minimum_win_probability
-     FROM requests WHERE quote_id % 13 = 1
+     FROM requests
   UNION ALL SELECT quote_id, -(line_seq * 10 + 2), product, kw, 0, cost_per_unit, gross_margin_rate,
         energy_grant_amount, competitor_a, competitor_b, competitor_c, minimum_margin, minimum_win_probability
-     FROM requests WHERE quote_id % 13 = 2
+     FROM requests
   UNION ALL SELECT quote_id, -(line_seq * 10 + 3), product, kw, qty, {d(0.5)}, gross_margin_rate,
         energy_grant_amount, competitor_a, competitor_b, competitor_c, minimum_margin, minimum_win_probability
-     FROM requests WHERE quote_id % 13 = 3
+     FROM requests
   UNION ALL SELECT quote_id, -(line_seq * 10 + 4), product, {d(0.05)}, qty, cost_per_unit, gross_margin_rate,
         energy_grant_amount, competitor_a, competitor_b, competitor_c, minimum_margin, minimum_win_probability
-     FROM requests WHERE quote_id % 13 = 4
+     FROM requests
 )"""
 
 MEDIANS = """,
