@@ -82,24 +82,81 @@ def with_key_stats(df: DataFrame, keys: Sequence[str], *aggs: Column,
     return out if keep_count else out.drop(count_col)
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+MEDIAN_BUCKETS = 64
+MEDIAN_IN_TASK_VALUES = 1_000_000   # distinct values a single task may hold for one group
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
+                  buckets: int = MEDIAN_BUCKETS,
+                  max_in_task: int | None = MEDIAN_IN_TASK_VALUES) -> DataFrame:
     """Exact interpolated medians per key (T7), NULLs skipped; one row per key.
 
-    ``values`` maps output alias -> input column.  All columns are stacked into
-    one (key, measure, value) stream and reduced to a value -> count histogram
-    with a partial aggregation (a hot key is combined map-side); the final
-    per-(key, measure) step holds one entry per distinct value, not per row.
-    One scan and two shuffles regardless of the number of measures.
+    ``values`` maps output alias -> input column.  When every group has at most
+    ``max_in_task`` distinct values (checked on the histogram), the final step is
+    ``percentile(value, 0.5, count)`` per group.  Otherwise no task holds a
+    whole group:
+
+    1. all measures are stacked and reduced to a (key, measure, value) -> count
+       histogram with a partial aggregation (a hot key is combined map-side);
+    2. each (key, measure) histogram is cut into <= ``buckets`` value ranges at
+       approximate quantiles (bounded sketch per group);
+    3. per-bucket totals give prefix offsets (<= buckets rows per group);
+    4. running counts inside each bucket locate the two middle ranks, and the
+       median interpolates between them as Spark's ``percentile`` does.
     """
     keys = list(keys)
+    g = keys + ["_m"]
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(alias).alias("_m"), F.col(src).cast("double").alias("_v"))
         for alias, src in values.items()])).alias("_s")).select(*keys, "_s._m", "_s._v")
-    hist = stacked.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_f"))
-    med = hist.groupBy(*keys, "_m").agg(
-        F.percentile(F.col("_v"), F.lit(0.5), F.col("_f")).alias("_med"))
-    return med.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_m") == alias, F.col("_med"))).alias(alias) for alias in values])
+    hist = stacked.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_f"))
+
+    def pivot(med: DataFrame) -> DataFrame:
+        return med.groupBy(*keys).agg(*[
+            F.max(F.when(F.col("_m") == alias, F.col("_med"))).alias(alias) for alias in values])
+
+    if max_in_task is not None:
+        # size check: the widest histogram of one group (a small aggregate)
+        widest = hist.groupBy(*g).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+        if widest <= max_in_task:
+            # bounded: one task may hold a group's value -> count map
+            return pivot(hist.groupBy(*g).agg(
+                F.percentile(F.col("_v"), F.lit(0.5), F.col("_f")).alias("_med")))
+    present = hist.where(F.col("_v").isNotNull())
+
+    probs = [i / buckets for i in range(1, buckets)]
+    stats = present.groupBy(*g).agg(
+        F.sum("_f").alias("_n"),
+        F.percentile_approx("_v", probs, 10000).alias("_bounds"))
+    pos = (F.col("_n") - 1) * 0.5
+    stats = stats.select(*g, "_n", "_bounds", pos.alias("_pos"),
+                         F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
+
+    with_b = (present.join(stats.select(*g, "_bounds"), g)
+              .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))))
+              .drop("_bounds"))
+    totals = with_b.groupBy(*g, "_bk").agg(F.sum("_f").alias("_t"))
+    earlier = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, "_bk", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*g, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (with_b.join(offsets, g + ["_bk"])
+              .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_f").over(inside), F.lit(0)))
+              .withColumn("_end", F.col("_start") + F.col("_f")))
+    cover = ranked.join(stats.select(*g, "_lo", "_hi"), g).where(
+        ((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_end")))
+        | ((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_end"))))
+    picked = cover.groupBy(*g).agg(
+        F.max(F.when((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_end")), F.col("_v")))
+        .alias("_vlo"),
+        F.max(F.when((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_end")), F.col("_v")))
+        .alias("_vhi"))
+    med = (stats.join(picked, g).select(
+        *g, F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
+            (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
+        .alias("_med")))
+    # every key seen (even with only NULLs) gets a row; groups without values stay NULL
+    every = hist.select(*g).distinct()
+    return pivot(every.join(med, g, "left"))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:

@@ -122,6 +122,18 @@ def test_edge_dups(spark):
 def test_edge_median(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None)], "k string, v double")
     assert exact_medians(df, ["k"], {"m": "v"}).first().m == 1.5
+    assert exact_medians(df, ["k"], {"m": "v"}, max_in_task=None).first().m == 1.5
+
+
+def test_distributed_median_matches_in_task_median(spark):
+    df = spark.range(0, 20000).select((F.col("id") % 3).alias("k"),
+                                      ((F.col("id") * 7919) % 4999 / 7.0).alias("v"),
+                                      F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 17).alias("w"))
+    df = df.unionByName(spark.createDataFrame([(9, None, None)], "k long, v double, w long"))
+    a = exact_medians(df, ["k"], {"mv": "v", "mw": "w"}).orderBy("k").collect()
+    b = exact_medians(df, ["k"], {"mv": "v", "mw": "w"}, buckets=5, max_in_task=None).orderBy("k").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+    assert a[-1].k == 9 and a[-1].mv is None
 
 
 def test_edge_empty_band(spark):
