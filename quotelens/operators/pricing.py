@@ -55,7 +55,7 @@ from ..functions.columns import (
     scenario_columns,
 )
 from ..plans.scorecard import WinScorer, sigmoid
-from .keyed import exact_medians, first_per_key
+from .keyed import exact_medians, first_per_key, lookup_join
 
 REQUEST_KEYS = ["quote_id", "line_seq"]
 SCENARIO_ERROR = "Gross margin rate must be below 95%."
@@ -180,12 +180,11 @@ def prefill_requests(requests: DataFrame, defaults: DataFrame) -> DataFrame:
 
     Competitors are used by default only when the product has a median for A;
     then a missing competitor becomes 0 (= unavailable).  ``defaults`` has one
-    row per product, so the join never multiplies rows; AQE broadcasts it when
-    its runtime size is small and falls back to a shuffle join otherwise.
+    row per product, so the join never multiplies rows; it is attached with
+    ``lookup_join`` (hot products salted, AQE broadcast when small).
     """
-    d = defaults
     use_comp = F.col("default_competitor_a").isNotNull()
-    out = requests.join(d, "product", "left")
+    out = lookup_join(requests, defaults, ["product"])
     cols = {
         "kw": F.coalesce(F.col("kw"), F.col("default_kw")),
         "qty": F.coalesce(F.col("qty"), F.lit(DEFAULT_QTY)),
@@ -388,12 +387,12 @@ def benchmark_table(clean: DataFrame) -> DataFrame:
 def historical_benchmark(requests: DataFrame, clean: DataFrame, keys: list[str] = REQUEST_KEYS) -> DataFrame:
     """Attach the benchmark of the request's (product, band).
 
-    The benchmark table has at most 8 rows per product; AQE broadcasts it at
-    runtime when small and keeps a shuffle join otherwise.
+    The benchmark table has at most 8 rows per product; it is attached with
+    ``lookup_join`` (hot (product, band) keys salted, AQE broadcast when small).
     """
     bench = benchmark_table(clean)
     r = requests.select(*keys, "product", gmr_band_ord("gross_margin_rate").alias("band_ord"))
-    out = r.join(bench, ["product", "band_ord"], "left")
+    out = lookup_join(r, bench, ["product", "band_ord"])
     return out.select(*keys, "product",
                       F.coalesce(band_label("band_ord"), F.lit("nan")).alias("band"),
                       F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),

@@ -21,7 +21,7 @@ from ..constants import (
 )
 from ..functions.columns import band_dimension, position_dimension, price_position_by_pct
 from .cleaning import quote_header, quote_product_header
-from .keyed import exact_medians
+from .keyed import exact_medians, lookup_join
 
 
 def _share(pred):
@@ -144,12 +144,12 @@ def loss_signals(clean: DataFrame, margin_floor: float = LOSS_MARGIN_FLOOR,
                  gap_threshold: float = 5.0) -> DataFrame:
     """A5: first-matching review signal for each lost line.
 
-    The per-product medians table has one row per product; AQE broadcasts it at
-    runtime when small, otherwise a shuffle join on product is used.
+    The per-product medians table has one row per product; it is attached with
+    ``lookup_join`` (hot products salted; AQE broadcasts it when small).
     """
     med = product_median_margin(clean)
     lost = clean.where(F.col("is_win") == 0)
-    j = lost.join(med, "product", "left")
+    j = lookup_join(lost, med, ["product"])
     gap = F.col("price_gap_min_competitor_pct")
     threshold = F.greatest(F.lit(margin_floor), F.col("median_margin"))
     signal = (F.when(gap.isNotNull() & (gap > gap_threshold), F.lit(SIG_ABOVE))

@@ -24,3 +24,13 @@ def test_row_number_within_hot_groups(spark):
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("bigint"))
     got = row_number_within(df, ["k"], ["o"], "rn", hot_rows=100, buckets=16)
     assert _rows(got) == _rows(want)
+
+
+def test_lookup_join_salted_equals_left_join(spark):
+    from quotelens.operators.keyed import lookup_join
+    big = spark.range(0, 3000).select((F.col("id") % 4).alias("k"), F.col("id").alias("x"))
+    big = big.unionByName(spark.createDataFrame([(None, -1)], "k long, x long"))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, s string")
+    want = big.join(small, "k", "left")
+    got = lookup_join(big, small, ["k"], hot_rows=10, salts=8)
+    assert _rows(got.select("k", "x", "s")) == _rows(want.select("k", "x", "s"))
