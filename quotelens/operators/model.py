@@ -53,9 +53,14 @@ def quote_weights(df: DataFrame, out: str = "quote_weight") -> DataFrame:
     return w.withColumn(out, F.lit(1.0) / F.col("_lines")).drop("_lines")
 
 
-def class_weights(df: DataFrame, label: str = "is_win") -> DataFrame:
-    """'balanced' class weights n / (2 * count(class)) from raw counts: a 2-row table."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+def class_weights(df: DataFrame, label: str = "is_win", weight_col: str | None = None) -> DataFrame:
+    """'balanced' class weights n / (2 * count(class)): a 2-row table.
+
+    Counts are raw by default; with ``weight_col`` they are sums of sample
+    weights (the other reading of 'balanced' with sample weights).
+    """
+    amount = F.count(F.lit(1)) if weight_col is None else F.sum(weight_col)
+    counts = df.groupBy(label).agg(amount.alias("n_class"))
     whole = Window.partitionBy()   # over the 2-row class table only
     return counts.select(label, "n_class", (F.sum("n_class").over(whole)
                          / (F.count(F.lit(1)).over(whole) * F.col("n_class"))).alias("class_weight"))
@@ -196,7 +201,8 @@ def _from_pipeline(pm: PipelineModel, prep: Preprocessing) -> FittedWinModel:
 
 
 def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
-                  max_iter: int = LOGREG_MAX_ITER, features: list[str] = NUMERIC_FEATURES) -> FittedWinModel:
+                  max_iter: int = LOGREG_MAX_ITER, features: list[str] = NUMERIC_FEATURES,
+                  weighted_class_counts: bool = False) -> FittedWinModel:
     """L2 logistic regression matching C * sum(w * loss) + 0.5 * |beta|^2.
 
     Spark minimises sum(w * loss) / sum(w) + regParam / 2 * |beta|^2, hence
@@ -205,7 +211,8 @@ def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
     """
     prep = learn_preprocessing(df, features)
     weighted = quote_weights(df)
-    cw = class_weights(df, label)
+    cw = class_weights(weighted if weighted_class_counts else df, label,
+                       "quote_weight" if weighted_class_counts else None)
     weighted = (weighted.join(F.broadcast(cw.select(label, "class_weight")), label, "left")
                 .withColumn("_w", F.col("quote_weight") * F.col("class_weight")))
     total_w = weighted.agg(F.sum("_w")).first()[0]

@@ -23,6 +23,23 @@ SCALE_CONF = {
 }
 
 
+# Runtime SQL settings for a large cluster (AQE sizes partitions from data).
+CLUSTER_SQL_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "8192",
+}
+
+
+def configure_for_scale(spark: SparkSession) -> None:
+    """Apply the AQE / partition sizing settings above (runtime-settable only)."""
+    for k, v in {**SCALE_CONF, **CLUSTER_SQL_CONF}.items():
+        spark.conf.set(k, v)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "quotelens") -> SparkSession:
     """A local session for tests and the bench (UI off, no extra ports)."""

@@ -186,3 +186,28 @@ def test_model_save_load_roundtrip(spark, tmp_path):
     assert again.levels == model.levels
     assert np.allclose(again.coefficients, model.coefficients)
     assert again.prep.medians == model.prep.medians
+
+
+def test_clean_table_is_persisted_and_reused(spark):
+    from quotelens.plans.catalog import inputs
+    a = inputs(spark, SF_SMALL)["clean"]
+    b = inputs(spark, SF_SMALL)["clean"]
+    assert a is b
+    assert a.storageLevel.useMemory and a.storageLevel.useDisk
+
+
+def test_all_null_feature_is_dropped(spark, clean):
+    data = clean.withColumn("kw", F.lit(None).cast("double"))
+    m = M.fit_win_model(data, max_iter=50)
+    assert "kw" not in m.prep.features
+    assert len(m.coefficients) == len(m.prep.features) + len(m.levels)
+
+
+def test_weighted_class_counts_option(clean):
+    raw = {r.is_win: r.class_weight for r in M.class_weights(clean).collect()}
+    w = M.quote_weights(clean)
+    wt = {r.is_win: r.class_weight for r in M.class_weights(w, weight_col="quote_weight").collect()}
+    n = clean.count()
+    n1 = clean.where("is_win = 1").count()
+    assert abs(raw[1] - n / (2 * n1)) < 1e-12
+    assert set(wt) == {0, 1} and all(v > 0 for v in wt.values())
