@@ -50,11 +50,9 @@ def derive_columns(df: DataFrame) -> DataFrame:
 
 def flag_multi_product(df: DataFrame, **kw) -> DataFrame:
     """A quote holds more than one distinct (non-null) product."""
-    out = with_key_stats(df, ["quote_id"], F.min("product").alias("_pmin"),
-                         F.max("product").alias("_pmax"), **kw)
-    return (out.withColumn("multi_product_quote",
-                           F.coalesce(F.col("_pmin") != F.col("_pmax"), F.lit(False)))
-            .drop("_pmin", "_pmax"))
+    out = with_key_stats(df, ["quote_id"], F.count_distinct("product").alias("_np"), **kw)
+    return (out.withColumn("multi_product_quote", F.coalesce(F.col("_np") > 1, F.lit(False)))
+            .drop("_np"))
 
 
 def clean_quotes(raw: DataFrame, with_multi_product: bool = False) -> DataFrame:

@@ -193,10 +193,16 @@ def _ranged_row_number(df: DataFrame, keys: list[str], order: list[str], out: st
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS,
-              max_hot_keys: int = MAX_HOT_KEYS) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot rows): hot = keys with >= hot_rows rows (capped set, broadcast)."""
+              max_hot_keys: int = MAX_HOT_KEYS,
+              count_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cold rows, hot rows): hot = keys with >= hot_rows rows (capped set, broadcast).
+
+    ``count_source`` may be a cheaper relation holding the key columns (e.g. the
+    scan before a join): detection may be approximate, the split stays exact.
+    """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(key_counts(df, keys), keys, "_n", hot_rows, max_hot_keys))
+    src = df if count_source is None else count_source
+    hot = F.broadcast(hot_keys(key_counts(src, keys), keys, "_n", hot_rows, max_hot_keys))
     tagged = df.join(hot, keys, "left")
     return (tagged.where(F.col("_hot").isNull()).drop("_hot"),
             tagged.where(F.col("_hot")).drop("_hot"))

@@ -90,7 +90,8 @@ def quotes_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_KEY_R
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     pa = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     j = li.join(pa, li.l_partkey == pa.p_partkey, "inner").withColumn("quote_id", F.col("l_orderkey"))
-    cold, hot = split_hot(j, ["quote_id"], hot_rows)
+    cold, hot = split_hot(j, ["quote_id"], hot_rows,
+                          count_source=li.select(F.col("l_orderkey").alias("quote_id")))
 
     seq_w = Window.partitionBy("quote_id").orderBy(*SEQ_ORDER)
     cold_d = _derive(cold.withColumn("line_seq", F.row_number().over(seq_w).cast("bigint")))
