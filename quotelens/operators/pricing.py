@@ -61,6 +61,25 @@ REQUEST_KEYS = ["quote_id", "line_seq"]
 SCENARIO_ERROR = "Gross margin rate must be below 95%."
 
 
+REQUEST_TYPES = [
+    ("quote_id", "bigint"), ("line_seq", "bigint"), ("product", "string"), ("kw", "double"),
+    ("qty", "int"), ("cost_per_unit", "double"), ("gross_margin_rate", "double"),
+    ("energy_grant_amount", "double"), ("competitor_a", "double"), ("competitor_b", "double"),
+    ("competitor_c", "double"), ("minimum_margin", "double"), ("minimum_win_probability", "double"),
+]
+
+
+def conform_requests(df: DataFrame) -> DataFrame:
+    """Typed request table: NaN -> NULL (T3); absent optional inputs -> NULL (prefill fills them)."""
+    cols = []
+    for name, typ in REQUEST_TYPES:
+        c = F.col(name).cast(typ) if name in df.columns else F.lit(None).cast(typ)
+        if typ == "double":
+            c = F.when(~F.isnan(c), c)
+        cols.append(c.alias(name))
+    return df.select(*cols)
+
+
 # ------------------------------------------------------------------ P1
 def with_available_competitors(df: DataFrame) -> DataFrame:
     """The list of usable competitor prices and its summary."""

@@ -22,9 +22,9 @@ REQUEST_SCHEMA = (
 
 
 def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
-    return (spark.readStream.schema(REQUEST_SCHEMA)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(source_dir))
+    return P.conform_requests(spark.readStream.schema(REQUEST_SCHEMA)
+                              .option("maxFilesPerTrigger", max_files_per_trigger)
+                              .parquet(source_dir))
 
 
 def recommendations(requests: DataFrame, scorer: WinScorer = DEFAULT_SCORECARD,

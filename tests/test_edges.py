@@ -242,3 +242,11 @@ def test_reject_strict_raises(spark):
     with pytest.raises(Exception):
         P.reject_bad_margin(req, strict=True).collect()
     assert P.reject_bad_margin(req).first().margin_ok is False
+
+
+def test_conform_requests_nan_and_missing(spark):
+    df = spark.createDataFrame([(1, 1, "H1", float("nan"), 2, 100.0, 0.3)],
+                               "quote_id long, line_seq long, product string, kw double, qty long, "
+                               "cost_per_unit double, gross_margin_rate double")
+    r = P.conform_requests(df).first()
+    assert r.kw is None and r.qty == 2 and r.minimum_margin is None and r.competitor_a is None
