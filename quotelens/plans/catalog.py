@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from ..operators import cleaning as C
 from ..operators import pricing as P
 from ..operators import reports as A
 from ..sources.fixture import quotes_from_tpch, requests_from_clean, sparse_requests
+from ..session import materialize
 from .scorecard import DEFAULT_SCORECARD
 
 _CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
@@ -40,14 +42,16 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (id(spark), sf_dir)
     if key not in _CACHE:
         raw = quotes_from_tpch(spark, sf_dir)
-        clean = C.clean_quotes(raw).persist(StorageLevel.MEMORY_AND_DISK)
+        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        clean = materialize(C.clean_quotes(raw), f"clean-{tag}")
         _CACHE[key] = {"raw": raw, "clean": clean, "requests": requests_from_clean(clean)}
     return _CACHE[key]
 
 
 def clear_cache() -> None:
     for v in _CACHE.values():
-        v["clean"].unpersist()
+        if v["clean"].storageLevel.useMemory or v["clean"].storageLevel.useDisk:
+            v["clean"].unpersist()
     _CACHE.clear()
 
 

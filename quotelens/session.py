@@ -81,3 +81,26 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df: DataFrame, name: str, mode: str | None = None) -> DataFrame:
+    """Make a reused intermediate table survive executor loss.
+
+    mode "table": write parquet under the shared checkpoint folder and read it
+    back (lineage cut, column pruning kept).  mode "persist": memory-and-disk
+    cache (recomputed from lineage if an executor is lost).  Default: "persist"
+    on a local master, "table" on a cluster.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    if mode is None:
+        mode = spark.conf.get("quotelens.materialize", None) or (
+            "persist" if spark.sparkContext.master.startswith("local") else "table")
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode == "table":
+        path = scratch_path(spark, f"tables/{name}")
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    raise ValueError(f"unknown materialize mode: {mode}")

@@ -211,3 +211,10 @@ def test_weighted_class_counts_option(clean):
     n1 = clean.where("is_win = 1").count()
     assert abs(raw[1] - n / (2 * n1)) < 1e-12
     assert set(wt) == {0, 1} and all(v > 0 for v in wt.values())
+
+
+def test_materialize_as_table_in_shared_folder(spark, clean):
+    from quotelens.session import ensure_checkpoint_dir, materialize
+    t = materialize(clean.select("quote_id", "line_seq", "gmr_band"), "test-clean-proj", mode="table")
+    assert t.count() == clean.count()
+    assert ensure_checkpoint_dir(spark) in t.inputFiles()[0]
