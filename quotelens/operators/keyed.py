@@ -194,15 +194,22 @@ def _ranged_row_number(df: DataFrame, keys: list[str], order: list[str], out: st
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS,
               max_hot_keys: int = MAX_HOT_KEYS,
-              count_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot rows): hot = keys with >= hot_rows rows (capped set, broadcast).
+              count_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(cold rows, hot rows or None): hot = keys with >= hot_rows rows.
 
+    The hot-key set is computed once and brought to the driver: it is capped
+    at ``max_hot_keys`` rows (a proven bound), so it can be broadcast.  With no
+    hot key the input is returned unchanged and no hot branch is planned.
     ``count_source`` may be a cheaper relation holding the key columns (e.g. the
     scan before a join): detection may be approximate, the split stays exact.
     """
     keys = list(keys)
     src = df if count_source is None else count_source
-    hot = F.broadcast(hot_keys(key_counts(src, keys), keys, "_n", hot_rows, max_hot_keys))
+    found = hot_keys(key_counts(src, keys), keys, "_n", hot_rows, max_hot_keys)
+    rows = found.collect()
+    if not rows:
+        return df, None
+    hot = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
     tagged = df.join(hot, keys, "left")
     return (tagged.where(F.col("_hot").isNull()).drop("_hot"),
             tagged.where(F.col("_hot")).drop("_hot"))
@@ -221,8 +228,10 @@ def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     cold, hot = split_hot(df, keys, hot_rows, max_hot_keys)
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     w = Window.partitionBy(*keys).orderBy(*order)
-    return cold.withColumn(out, F.row_number().over(w).cast("bigint")).unionByName(
-        _ranged_row_number(hot, keys, order, out, n))
+    numbered = cold.withColumn(out, F.row_number().over(w).cast("bigint"))
+    if hot is None:
+        return numbered
+    return numbered.unionByName(_ranged_row_number(hot, keys, order, out, n))
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], **kw) -> DataFrame:

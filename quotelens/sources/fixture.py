@@ -99,11 +99,11 @@ def quotes_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_KEY_R
     cold_f = cold_d.withColumn("is_highest_price",
                                F.when(F.col("unit_price") == top, F.lit(1)).otherwise(F.lit(0)))
 
-    hot_d = _derive(_ranged_row_number(hot, ["quote_id"], SEQ_ORDER, "line_seq",
-                                       int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    hot_f = mark_highest_price(hot_d, out="is_highest_price", hot_rows=1)
-
-    flagged = cold_f.unionByName(hot_f)
+    flagged = cold_f
+    if hot is not None:
+        hot_d = _derive(_ranged_row_number(hot, ["quote_id"], SEQ_ORDER, "line_seq",
+                                           int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+        flagged = cold_f.unionByName(mark_highest_price(hot_d, out="is_highest_price", hot_rows=1))
     # exact duplicates of every line of quotes with quote_id % 101 = 0 (one pass, no union)
     copies = F.when(F.col("quote_id") % 101 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     doubled = flagged.withColumn("_copy", F.explode(copies)).drop("_copy")
