@@ -268,33 +268,49 @@ def margin_grid(requests: DataFrame, scorer: WinScorer, max_margin: float = GRID
         fields.append(scorer.fixed_logit(inv).alias("_fixed"))
     seed = F.struct(*fields)
 
-    def point(s: Column, i: Column) -> Column:
+    # Interpreted lambdas have no common-subexpression elimination, so values
+    # used more than once are bound in one stage and read as fields in the next.
+    def base(s: Column, i: Column) -> Column:
         g = i.cast("double") * F.lit(step)
-        unit_price = F.try_divide(s["_cpu"], F.lit(1.0) - g)
-        subtotal = unit_price * s["qty"]
-        gp = subtotal - s["estimated_cost"]
+        return F.struct(s.alias("s"), i.alias("i"), g.alias("g"),
+                        F.try_divide(s["_cpu"], F.lit(1.0) - g).alias("up"))
+
+    def derived(e: Column) -> Column:
+        s, up = e["s"], e["up"]
+        return F.struct(e["s"].alias("s"), e["i"].alias("i"), e["g"].alias("g"), up.alias("up"),
+                        (up * s["qty"]).alias("sub"))
+
+    def scored(e: Column) -> Column:
+        s, up, sub, g = e["s"], e["up"], e["sub"], e["g"]
         avg_c, min_c = s["avg_competitor_price"], s["min_competitor_price"]
         f = {k: s[k] for k in inv}
         f.update({
-            "unit_price": unit_price,
+            "unit_price": up,
             "gross_margin_rate": g,
-            "grant_ratio_to_subtotal": F.when(subtotal != 0, s["energy_grant_amount"] / subtotal),
-            "price_gap_avg_competitor_pct": (unit_price - avg_c) / avg_c * 100,
-            "price_gap_min_competitor_pct": (unit_price - min_c) / min_c * 100,
+            "grant_ratio_to_subtotal": F.when(sub != 0, s["energy_grant_amount"] / sub),
+            "price_gap_avg_competitor_pct": (up - avg_c) / avg_c * 100,
+            "price_gap_min_competitor_pct": (up - min_c) / min_c * 100,
         })
         p = sigmoid(scorer.varying_logit(f, s["_fixed"])) if split else scorer.probability(f)
+        return F.struct(e["i"].alias("i"), g.alias("g"), up.alias("up"), p.alias("p"),
+                        (sub - s["estimated_cost"]).alias("gp"),
+                        (g >= s["_min_margin"]).alias("ok"))
+
+    def point(e: Column) -> Column:
+        p, gp = e["p"], e["gp"]
         return F.struct(
             (p * gp).alias("expected_gross_profit"),
-            (-i).alias("neg_index"),
-            i.alias("grid_index"),
-            g.alias("gross_margin_rate"),
-            unit_price.alias("unit_price"),
+            (-e["i"]).alias("neg_index"),
+            e["i"].alias("grid_index"),
+            e["g"].alias("gross_margin_rate"),
+            e["up"].alias("unit_price"),
             p.alias("win_probability"),
             gp.alias("gross_profit_if_won"),
-            (g >= s["_min_margin"]).alias("meets_minimum_margin"),
+            e["ok"].alias("meets_minimum_margin"),
         )
 
-    return F.transform(F.array_repeat(seed, n), point)
+    stage = F.transform(F.array_repeat(seed, n), base)
+    return F.transform(F.transform(F.transform(stage, derived), scored), point)
 
 
 GRID_FIELDS = ["grid_index", "gross_margin_rate", "unit_price", "win_probability",
