@@ -500,3 +500,41 @@ def price_references(requests: DataFrame, keys: list[str] = REQUEST_KEYS) -> Dat
     has_comp = F.size(available_competitors("competitor_a", "competitor_b", "competitor_c")) > 0
     r = requests.where(has_comp).select(*keys, F.explode(keep).alias("_r"))
     return r.select(*keys, "_r.ref_order", "_r.price_reference", "_r.price")
+
+
+# ------------------------------------------------------------------ the recommender page as one table
+def quote_review(requests: DataFrame, clean: DataFrame, scorer: WinScorer,
+                 keys: list[str] = REQUEST_KEYS, **grid_kw) -> DataFrame:
+    """Everything the recommender shows for a request, one row per request.
+
+    Proposed vs recommended (P7, P9, P11), price position (P14), review flags
+    (P15, titles in order) and the historical benchmark (P13).  All but the
+    benchmark are row-local; the benchmark is one lookup join.
+    """
+    gmr = F.col("gross_margin_rate")
+    sc = _scenario(requests, gmr)
+    p = scorer.probability(features_for(requests, gmr, sc))
+    best = best_feasible(margin_grid(requests, scorer, **grid_kw))
+    flags = risk_flag_array(gmr, p, F.col("minimum_margin"), F.col("minimum_win_probability"),
+                            sc["competitor_count_available"], sc["price_gap_min_competitor_pct"])
+    row = requests.select(
+        *keys, "product", gmr_band_ord(gmr).alias("band_ord"),
+        gmr.alias("proposed_margin"), sc["unit_price"].alias("proposed_unit_price"),
+        p.alias("proposed_win_probability"),
+        (p * sc["gross_profit_amount"]).alias("proposed_expected_gross_profit"),
+        best["gross_margin_rate"].alias("recommended_margin"),
+        best["unit_price"].alias("recommended_unit_price"),
+        best["win_probability"].alias("recommended_win_probability"),
+        best["expected_gross_profit"].alias("recommended_expected_gross_profit"),
+        price_position_by_ratio(sc["unit_price"], sc["min_competitor_price"]).alias("price_position"),
+        F.size(flags).alias("flag_count"),
+        F.concat_ws("; ", F.transform(flags, lambda f: f["title"])).alias("flag_titles"),
+    )
+    out = lookup_join(row, benchmark_table(clean), ["product", "band_ord"])
+    return out.select(
+        *keys, "product", F.coalesce(band_label("band_ord"), F.lit("nan")).alias("band"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("historical_n"),
+        "historical_win_rate", "proposed_margin", "proposed_unit_price", "proposed_win_probability",
+        "proposed_expected_gross_profit", "recommended_margin", "recommended_unit_price",
+        "recommended_win_probability", "recommended_expected_gross_profit", "price_position",
+        "flag_count", "flag_titles")

@@ -151,6 +151,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["classify_price_position"] = lambda s, f: P.classify_price_position(requests_of(s, f))
     Q["risk_flags"] = lambda s, f: P.risk_flags(requests_of(s, f), sc)
     Q["price_references"] = lambda s, f: P.price_references(requests_of(s, f))
+    Q["quote_review"] = lambda s, f: P.quote_review(requests_of(s, f), clean_of(s, f), sc)
 
     # --- historical reports
     Q["overview_kpis"] = lambda s, f: A.overview_kpis(clean_of(s, f))

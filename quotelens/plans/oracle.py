@@ -256,6 +256,43 @@ SELECT quote_id, line_seq, 1, '{FLAG_NONE[0]}', '{FLAG_NONE[1]}', '{FLAG_NONE[2]
 FROM ps WHERE NOT EXISTS (SELECT 1 FROM fl2 WHERE fl2.quote_id = ps.quote_id AND fl2.line_seq = ps.line_seq)""")
 
 
+def _quote_review_sql() -> str:
+    """Recommendation, position, flags (titles in order) and benchmark per request."""
+    flags = _flags_sql()
+    body = flags[flags.index("\nSELECT quote_id, line_seq, CAST(flag_order"):]
+    flag_ctes = flags[len("WITH "):flags.index(body)]
+    # reuse the flag CTE chain (it already prices the proposal as ps) and add the rest
+    return "WITH " + flag_ctes + f"""{scenario_ctes(GRID_SOURCE, GRID_G, 'gs')},
+allflags AS ({body}),
+ft AS (SELECT quote_id, line_seq, CAST(count(*) AS INTEGER) AS flag_count,
+              string_agg(title, '; ' ORDER BY flag_order) AS flag_titles
+       FROM allflags GROUP BY quote_id, line_seq),
+best AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY quote_id, line_seq ORDER BY p * gp DESC NULLS LAST, i ASC) AS rk
+    FROM gs WHERE g >= minimum_margin) WHERE rk = 1
+),
+fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product, band_ord, quote_id ORDER BY line_seq) AS rnb
+                      FROM clean WHERE product IS NOT NULL AND band_ord IS NOT NULL) WHERE rnb = 1),
+bt AS (SELECT product, band_ord, count(*) AS n, avg(is_win) AS wr FROM fb GROUP BY product, band_ord)
+SELECT ps.quote_id, ps.line_seq, ps.product,
+       coalesce({band_label_sql(band_ord_sql('ps.g'))}, 'nan') AS band,
+       CAST(coalesce(bt.n, 0) AS BIGINT) AS historical_n, round(bt.wr, 6) AS historical_win_rate,
+       round(ps.g, 6) AS proposed_margin, round(ps.up, 6) AS proposed_unit_price,
+       round(ps.p, 6) AS proposed_win_probability, round(ps.p * ps.gp, 6) AS proposed_expected_gross_profit,
+       round(b.g, 6) AS recommended_margin, round(b.up, 6) AS recommended_unit_price,
+       round(b.p, 6) AS recommended_win_probability, round(b.p * b.gp, 6) AS recommended_expected_gross_profit,
+       CASE WHEN ps.mn IS NULL THEN '{POS_UNAVAILABLE}'
+            WHEN (ps.up - ps.mn) / ps.mn < {d(-0.05)} THEN '{POS_BELOW}'
+            WHEN (ps.up - ps.mn) / ps.mn <= {d(0.05)} THEN '{POS_ALIGNED}'
+            ELSE '{POS_ABOVE}' END AS price_position,
+       ft.flag_count, ft.flag_titles
+FROM ps
+JOIN best b ON ps.quote_id = b.quote_id AND ps.line_seq = b.line_seq
+JOIN ft ON ps.quote_id = ft.quote_id AND ps.line_seq = ft.line_seq
+LEFT JOIN bt ON ps.product = bt.product AND {band_ord_sql('ps.g')} = bt.band_ord"""
+
+
 def _comparison_table_sql() -> str:
     rows = [
         (1, "Pricing", "Gross Margin Rate", pct0("proposed_margin"), pct0("recommended_margin"),
@@ -403,6 +440,7 @@ SELECT quote_id, line_seq, round(up, 6) AS unit_price, round(mn, 6) AS min_compe
             ELSE '{POS_ABOVE}' END AS price_position
 FROM ps""")
     Q["risk_flags"] = _flags_sql()
+    Q["quote_review"] = _quote_review_sql()
     Q["price_references"] = with_ctes(scenario_ctes("requests", "gross_margin_rate", "ps"), """
 SELECT quote_id, line_seq, ref_order, price_reference, round(price, 6) AS price FROM (
   SELECT quote_id, line_seq, 0 AS ref_order, 'Proposed unit price' AS price_reference, up AS price FROM ps WHERE n_c > 0
