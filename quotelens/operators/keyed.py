@@ -26,6 +26,19 @@ MAX_HOT_KEYS = 100_000       # cap on the broadcast hot-key table
 SALTS = 64                   # partitions a hot key is spread over
 
 
+def settings(spark, hot_rows: int | None = None, max_hot_keys: int | None = None,
+             salts: int | None = None) -> tuple[int, int, int]:
+    """Explicit arguments, else the session settings quotelens.hotKeyRows /
+    quotelens.maxHotKeys / quotelens.salts, else the module defaults."""
+    conf = spark.conf
+
+    def pick(given, key, default):
+        return int(given) if given is not None else int(conf.get(key, None) or default)
+    return (pick(hot_rows, "quotelens.hotKeyRows", HOT_KEY_ROWS),
+            pick(max_hot_keys, "quotelens.maxHotKeys", MAX_HOT_KEYS),
+            pick(salts, "quotelens.salts", SALTS))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Keep the first row of each key by ``order`` (T5: not an arbitrary row)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -33,8 +46,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
 
 def hot_keys(stats: DataFrame, keys: Sequence[str], count_col: str,
-             hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+             hot_rows: int | None = None, max_hot_keys: int | None = None) -> DataFrame:
     """Keys with at least ``hot_rows`` rows, at most ``max_hot_keys`` of them."""
+    hot_rows, max_hot_keys, _ = settings(stats.sparkSession, hot_rows, max_hot_keys)
     return (stats.where(F.col(count_col) >= hot_rows)
             .orderBy(F.desc(count_col), *keys)
             .limit(max_hot_keys)
@@ -43,8 +57,8 @@ def hot_keys(stats: DataFrame, keys: Sequence[str], count_col: str,
 
 
 def attach_key_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count_col: str,
-                     salt_cols: Sequence[str] | None = None, hot_rows: int = HOT_KEY_ROWS,
-                     max_hot_keys: int = MAX_HOT_KEYS, salts: int = SALTS,
+                     salt_cols: Sequence[str] | None = None, hot_rows: int | None = None,
+                     max_hot_keys: int | None = None, salts: int | None = None,
                      how: str = "left") -> DataFrame:
     """Join one-row-per-key ``stats`` back onto ``df``, salting hot keys.
 
@@ -53,6 +67,7 @@ def attach_key_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count
     retried task reproduces the same routing.
     """
     keys = list(keys)
+    hot_rows, max_hot_keys, salts = settings(df.sparkSession, hot_rows, max_hot_keys, salts)
     hot = F.broadcast(hot_keys(stats, keys, count_col, hot_rows, max_hot_keys))
     salt_src = [F.col(c) for c in (salt_cols or df.columns)]
     salted = (
@@ -192,8 +207,8 @@ def _ranged_row_number(df: DataFrame, keys: list[str], order: list[str], out: st
             .drop("_b", "_mid", "_first", "_off"))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS,
-              max_hot_keys: int = MAX_HOT_KEYS,
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None,
+              max_hot_keys: int | None = None,
               count_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(cold rows, hot rows or None): hot = keys with >= hot_rows rows.
 
@@ -216,7 +231,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS,
 
 
 def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
-                      hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+                      hot_rows: int | None = None, max_hot_keys: int | None = None,
                       buckets: int | None = None) -> DataFrame:
     """row_number() over (partition by keys order by order), safe for hot keys.
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import mark_highest_price
-from ..operators.keyed import HOT_KEY_ROWS, _ranged_row_number, split_hot
+from ..operators.keyed import _ranged_row_number, split_hot
 from .readers import QUOTE_COLUMNS, conform
 
 
@@ -78,7 +78,7 @@ def _derive(base: DataFrame) -> DataFrame:
 SEQ_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
-def quotes_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def quotes_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
     """The ``quotes`` view; ordinary quotes take one exchange on quote_id, hot ones are spread.
 
     Ordinary quotes: the line_seq window, the highest-price window and (later)

@@ -218,3 +218,9 @@ def test_materialize_as_table_in_shared_folder(spark, clean):
     t = materialize(clean.select("quote_id", "line_seq", "gmr_band"), "test-clean-proj", mode="table")
     assert t.count() == clean.count()
     assert ensure_checkpoint_dir(spark) in t.inputFiles()[0]
+
+
+def test_fitted_model_has_signal(spark):
+    import __spark_entry__ as E
+    m = E.queries()["model_metrics"](spark, SF_SMALL).first()
+    assert m.roc_auc > 0.5 and 0 <= m.accuracy <= 1

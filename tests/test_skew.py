@@ -34,3 +34,28 @@ def test_lookup_join_salted_equals_left_join(spark):
     want = big.join(small, "k", "left")
     got = lookup_join(big, small, ["k"], hot_rows=10, salts=8)
     assert _rows(got.select("k", "x", "s")) == _rows(want.select("k", "x", "s"))
+
+
+SKEW_QUERIES = ["scan_quotes", "dedupe_rows", "mark_highest_price", "flag_multi_product",
+                "quote_weights_all", "loss_signals", "prefill_requests", "historical_benchmark",
+                "quote_review", "win_rate_by_band", "sweet_spot_by_product", "product_defaults"]
+
+
+def test_queries_identical_when_every_key_is_hot(spark):
+    import __spark_entry__ as E
+    from quotelens.plans import catalog
+    Q = E.queries()
+    out = {}
+    for mode in ("default", "hot"):
+        catalog.clear_cache()
+        if mode == "hot":
+            spark.conf.set("quotelens.hotKeyRows", "3")
+            spark.conf.set("quotelens.salts", "4")
+        try:
+            out[mode] = {k: _rows(Q[k](spark, SF_SMALL)) for k in SKEW_QUERIES}
+        finally:
+            spark.conf.unset("quotelens.hotKeyRows")
+            spark.conf.unset("quotelens.salts")
+    catalog.clear_cache()
+    for k in SKEW_QUERIES:
+        assert out["default"][k] == out["hot"][k], k
