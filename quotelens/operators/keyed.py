@@ -249,14 +249,18 @@ def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return numbered.unionByName(_ranged_row_number(hot, keys, order, out, n))
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str],
+                count_source: DataFrame | None = None, **kw) -> DataFrame:
     """Left-join a one-row-per-key table onto a big table, salting hot keys of the big side.
 
-    The big side's rows per key are counted with a partial aggregation; keys
-    over the hot threshold are spread over salts (see ``attach_key_stats``).
-    When ``small`` is small at runtime, AQE still turns the join into a
-    broadcast hash join.
+    The big side's rows per key are counted with a partial aggregation (on
+    ``count_source`` when given: a cheaper relation with the same key
+    distribution, so an expensive big side is not computed twice); keys over
+    the hot threshold are spread over salts (see ``attach_key_stats``).  When
+    ``small`` is small at runtime, AQE still turns the join into a broadcast
+    hash join.
     """
     keys = list(keys)
-    stats = key_counts(big, keys, "_n").join(small, keys, "left")
+    src = big if count_source is None else count_source
+    stats = key_counts(src, keys, "_n").join(small, keys, "left")
     return attach_key_stats(big, stats, keys, "_n", **kw).drop("_n")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -317,15 +317,83 @@ GRID_FIELDS = ["grid_index", "gross_margin_rate", "unit_price", "win_probability
                "gross_profit_if_won", "expected_gross_profit", "meets_minimum_margin"]
 
 
+def _invariants() -> dict[str, Column]:
+    comps = available_competitors("competitor_a", "competitor_b", "competitor_c")
+    return {
+        "product": F.col("product"), "kw": F.col("kw"), "qty": F.col("qty"),
+        "energy_grant_amount": F.col("energy_grant_amount"),
+        "estimated_cost": F.col("cost_per_unit") * F.col("qty"),
+        "competitor_count_available": F.size(comps),
+        "avg_competitor_price": array_mean(comps),
+        "min_competitor_price": F.array_min(comps),
+    }
+
+
+def grid_points(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
+                carry: list[str] | None = None, max_margin: float = GRID_MAX_MARGIN,
+                step: float = GRID_STEP) -> DataFrame:
+    """Every grid point of every request as a row, computed in whole-stage codegen.
+
+    Margin-independent values (competitor summary, total cost, the scorer's
+    fixed logit) are computed once per request below the ``explode``; the
+    per-point arithmetic above it is a plain projection, so common
+    subexpressions (unit price, subtotal) are shared by codegen.  ``carry``
+    request columns ride along for later use.
+    """
+    n = grid_size(max_margin, step)
+    carry = [c for c in (carry or []) if c not in keys]
+    inv = _invariants()
+    split = hasattr(scorer, "fixed_logit") and hasattr(scorer, "varying_logit")
+    # a scorer without the fixed/varying split may read any request column
+    passthrough = [*keys, *carry] if split else list(dict.fromkeys([*keys, *carry, *requests.columns]))
+    base_cols = passthrough + [v.alias(f"_inv_{k}") for k, v in inv.items()] + [
+        F.col("cost_per_unit").alias("_cpu"), F.col("minimum_margin").alias("_min_margin")]
+    if split:
+        base_cols.append(scorer.fixed_logit(inv).alias("_fixed"))
+    # two selects: with the explode in the same select, the analyser would evaluate
+    # the invariants above the Generate, i.e. once per grid point
+    base = requests.select(*base_cols).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("grid_index"))
+    g = F.col("grid_index").cast("double") * F.lit(step)
+    up = F.try_divide(F.col("_cpu"), F.lit(1.0) - g)
+    sub = up * F.col("_inv_qty")
+    avg_c, min_c = F.col("_inv_avg_competitor_price"), F.col("_inv_min_competitor_price")
+    f = {k: F.col(f"_inv_{k}") for k in inv}
+    f.update({
+        "unit_price": up,
+        "gross_margin_rate": g,
+        "grant_ratio_to_subtotal": F.when(sub != 0, F.col("_inv_energy_grant_amount") / sub),
+        "price_gap_avg_competitor_pct": (up - avg_c) / avg_c * 100,
+        "price_gap_min_competitor_pct": (up - min_c) / min_c * 100,
+    })
+    p = sigmoid(scorer.varying_logit(f, F.col("_fixed"))) if split else scorer.probability(f)
+    gp = sub - F.col("_inv_estimated_cost")
+    return base.select(*keys, *carry, "grid_index", g.alias("gross_margin_rate"), up.alias("unit_price"),
+                       p.alias("win_probability"), gp.alias("gross_profit_if_won"),
+                       (p * gp).alias("expected_gross_profit"),
+                       (g >= F.col("_min_margin")).alias("meets_minimum_margin"))
+
+
+def _point_struct(prefix: str = "") -> Column:
+    c = lambda x: F.col(prefix + x)
+    return F.struct(c("expected_gross_profit").alias("expected_gross_profit"),
+                    (-c("grid_index")).alias("neg_index"),
+                    c("grid_index").alias("grid_index"),
+                    c("gross_margin_rate").alias("gross_margin_rate"),
+                    c("unit_price").alias("unit_price"),
+                    c("win_probability").alias("win_probability"),
+                    c("gross_profit_if_won").alias("gross_profit_if_won"),
+                    c("meets_minimum_margin").alias("meets_minimum_margin"))
+
+
 def margin_curve(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                  **grid_kw) -> DataFrame:
     """Every grid point of every request (71 rows per request by default)."""
-    g = requests.select(*keys, F.explode(margin_grid(requests, scorer, **grid_kw)).alias("_g"))
-    return g.select(*keys, *[F.col(f"_g.{f}").alias(f) for f in GRID_FIELDS])
+    return grid_points(requests, scorer, keys, **grid_kw).select(*keys, *GRID_FIELDS)
 
 
 def best_feasible(grid: Column) -> Column:
-    """Argmax of expected GP among feasible points; ties -> lowest margin.
+    """P9 (row-local form): argmax of expected GP among feasible points; ties -> lowest margin.
 
     Struct order is (expected GP, -index): the max picks the highest expected GP
     and, among equals, the lowest index; NULL expected GP sorts lowest.
@@ -333,11 +401,30 @@ def best_feasible(grid: Column) -> Column:
     return F.array_max(F.filter(grid, lambda x: x["meets_minimum_margin"]))
 
 
+def best_points(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
+                carry: list[str] | None = None, **grid_kw) -> DataFrame:
+    """Per request: ``keys``, ``carry`` columns and ``_b``, the best feasible grid point.
+
+    Batch: exploded points (codegen) and ``max(struct)`` per request; the
+    aggregation combines map-side to one row per request before any exchange,
+    and needs none when requests are already clustered by their id.  Request
+    ids (``keys``) must be unique.  Streaming: the stateless row-local form
+    (``transform`` over the grid inside the row), which needs no state store.
+    A request without a feasible point gets a NULL ``_b``.
+    """
+    carry = [c for c in (carry or []) if c not in keys]
+    if requests.isStreaming:
+        return requests.select(*keys, *carry, best_feasible(margin_grid(requests, scorer, **grid_kw)).alias("_b"))
+    pts = grid_points(requests, scorer, keys, carry, **grid_kw)
+    return pts.groupBy(*keys).agg(
+        F.max(F.when(F.col("meets_minimum_margin"), _point_struct())).alias("_b"),
+        *[F.first(c).alias(c) for c in carry])
+
+
 def recommend_margin(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                      **grid_kw) -> DataFrame:
-    """The recommended margin per request (row-local argmax)."""
-    best = best_feasible(margin_grid(requests, scorer, **grid_kw))
-    r = requests.select(*keys, "product", best.alias("_b"))
+    """The recommended margin per request."""
+    r = best_points(requests, scorer, keys, ["product"], **grid_kw)
     return r.select(*keys, "product",
                     F.col("_b.gross_margin_rate").alias("recommended_margin"),
                     F.col("_b.unit_price").alias("recommended_unit_price"),
@@ -350,32 +437,35 @@ def top_margin_scenarios(requests: DataFrame, scorer: WinScorer, k: int = TOP_SC
                          keys: list[str] = REQUEST_KEYS, **grid_kw) -> DataFrame:
     """P10: top-k grid points by expected GP (feasible or not), ties -> lower margin.
 
-    Sorted inside the row (71 elements), so no window shuffle is needed.
+    Batch: ``row_number() <= k`` per request, planned as a partial
+    WindowGroupLimit before any exchange (k rows per request leave a task).
+    Streaming: sorted inside the row.
     """
-    grid = margin_grid(requests, scorer, **grid_kw)
-    top = F.slice(F.sort_array(grid, asc=False), 1, k)
-    r = requests.select(*keys, F.posexplode(top).alias("_pos", "_g"))
-    return r.select(*keys, (F.col("_pos") + 1).alias("rank"),
-                    *[F.col(f"_g.{f}").alias(f) for f in GRID_FIELDS])
+    if requests.isStreaming:
+        top = F.slice(F.sort_array(margin_grid(requests, scorer, **grid_kw), asc=False), 1, k)
+        r = requests.select(*keys, F.posexplode(top).alias("_pos", "_g"))
+        return r.select(*keys, (F.col("_pos") + 1).alias("rank"),
+                        *[F.col(f"_g.{f}").alias(f) for f in GRID_FIELDS])
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("expected_gross_profit"), F.asc("grid_index"))
+    ranked = grid_points(requests, scorer, keys, **grid_kw).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= k).select(*keys, "rank", *GRID_FIELDS)
 
 
 # ------------------------------------------------------------------ P11 / P12
 def quote_comparison(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                      **grid_kw) -> DataFrame:
-    """Proposed vs recommended, five deltas.  Same row: no join needed."""
+    """Proposed vs recommended, five deltas (proposal carried with its request)."""
     gmr = F.col("gross_margin_rate")
     sc = _scenario(requests, gmr)
     p = scorer.probability(features_for(requests, gmr, sc))
-    best = best_feasible(margin_grid(requests, scorer, **grid_kw))
-    r = requests.select(*keys, gmr.alias("proposed_margin"),
-                        sc["unit_price"].alias("proposed_unit_price"),
-                        p.alias("proposed_win_probability"),
-                        sc["gross_profit_amount"].alias("proposed_gross_profit"),
-                        (p * sc["gross_profit_amount"]).alias("proposed_expected_gross_profit"),
-                        best.alias("_b"))
+    proposed = requests.select(
+        "*", gmr.alias("proposed_margin"), sc["unit_price"].alias("proposed_unit_price"),
+        p.alias("proposed_win_probability"), sc["gross_profit_amount"].alias("proposed_gross_profit"),
+        (p * sc["gross_profit_amount"]).alias("proposed_expected_gross_profit"))
     pairs = [("margin", "gross_margin_rate"), ("unit_price", "unit_price"),
              ("win_probability", "win_probability"), ("gross_profit", "gross_profit_if_won"),
              ("expected_gross_profit", "expected_gross_profit")]
+    r = best_points(proposed, scorer, keys, [f"proposed_{n}" for n, _ in pairs], **grid_kw)
     cols = [F.col(c) for c in keys]
     for name, field in pairs:
         cols.append(F.col(f"proposed_{name}"))
@@ -508,29 +598,38 @@ def quote_review(requests: DataFrame, clean: DataFrame, scorer: WinScorer,
     """Everything the recommender shows for a request, one row per request.
 
     Proposed vs recommended (P7, P9, P11), price position (P14), review flags
-    (P15, titles in order) and the historical benchmark (P13).  All but the
-    benchmark are row-local; the benchmark is one lookup join.
+    (P15, titles in order) and the historical benchmark (P13).  Only a few
+    scalars of the proposal are carried through the grid argmax; flags,
+    position and band are derived from them afterwards, and the benchmark is
+    one lookup join.
     """
     gmr = F.col("gross_margin_rate")
     sc = _scenario(requests, gmr)
     p = scorer.probability(features_for(requests, gmr, sc))
-    best = best_feasible(margin_grid(requests, scorer, **grid_kw))
-    flags = risk_flag_array(gmr, p, F.col("minimum_margin"), F.col("minimum_win_probability"),
-                            sc["competitor_count_available"], sc["price_gap_min_competitor_pct"])
-    row = requests.select(
-        *keys, "product", gmr_band_ord(gmr).alias("band_ord"),
-        gmr.alias("proposed_margin"), sc["unit_price"].alias("proposed_unit_price"),
-        p.alias("proposed_win_probability"),
-        (p * sc["gross_profit_amount"]).alias("proposed_expected_gross_profit"),
-        best["gross_margin_rate"].alias("recommended_margin"),
-        best["unit_price"].alias("recommended_unit_price"),
-        best["win_probability"].alias("recommended_win_probability"),
-        best["expected_gross_profit"].alias("recommended_expected_gross_profit"),
-        price_position_by_ratio(sc["unit_price"], sc["min_competitor_price"]).alias("price_position"),
+    carried = {
+        "proposed_margin": gmr, "proposed_unit_price": sc["unit_price"],
+        "proposed_win_probability": p,
+        "proposed_expected_gross_profit": p * sc["gross_profit_amount"],
+        "_min_comp": sc["min_competitor_price"], "_n_comp": sc["competitor_count_available"],
+        "_gap_min": sc["price_gap_min_competitor_pct"],
+        "_mm": F.col("minimum_margin"), "_mp": F.col("minimum_win_probability"),
+    }
+    req = requests.select("*", *[v.alias(k) for k, v in carried.items()])
+    best = best_points(req, scorer, keys, ["product", *carried], **grid_kw)
+    flags = risk_flag_array(F.col("proposed_margin"), F.col("proposed_win_probability"), F.col("_mm"),
+                            F.col("_mp"), F.col("_n_comp"), F.col("_gap_min"))
+    row = best.select(
+        *keys, "product", gmr_band_ord("proposed_margin").alias("band_ord"),
+        "proposed_margin", "proposed_unit_price", "proposed_win_probability", "proposed_expected_gross_profit",
+        F.col("_b.gross_margin_rate").alias("recommended_margin"),
+        F.col("_b.unit_price").alias("recommended_unit_price"),
+        F.col("_b.win_probability").alias("recommended_win_probability"),
+        F.col("_b.expected_gross_profit").alias("recommended_expected_gross_profit"),
+        price_position_by_ratio("proposed_unit_price", "_min_comp").alias("price_position"),
         F.size(flags).alias("flag_count"),
-        F.concat_ws("; ", F.transform(flags, lambda f: f["title"])).alias("flag_titles"),
-    )
-    out = lookup_join(row, benchmark_table(clean), ["product", "band_ord"])
+        F.concat_ws("; ", F.transform(flags, lambda f: f["title"])).alias("flag_titles"))
+    out = lookup_join(row, benchmark_table(clean), ["product", "band_ord"],
+                      count_source=requests.select("product", gmr_band_ord(gmr).alias("band_ord")))
     return out.select(
         *keys, "product", F.coalesce(band_label("band_ord"), F.lit("nan")).alias("band"),
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("historical_n"),
