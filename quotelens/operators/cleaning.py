@@ -93,4 +93,4 @@ def select_features(df: DataFrame, features: list[str]) -> DataFrame:
 def product_list(df: DataFrame) -> DataFrame:
     """C14: distinct products as text (a missing product reads 'nan')."""
     return (df.select(F.coalesce(F.col("product").cast("string"), F.lit("nan")).alias("product"))
-            .distinct())
+            .distinct().orderBy("product"))

@@ -65,7 +65,8 @@ def win_rate_by_band(clean: DataFrame) -> DataFrame:
     """A2: quote-level win rate per margin band, over quote headers."""
     agg = quote_header(clean).groupBy("band_ord").agg(
         F.count("quote_id").alias("quotations"), F.avg("is_win").alias("win_rate"))
-    return _complete_bands(agg, [], "quotations").select("band_ord", "gmr_band", "quotations", "win_rate")
+    return (_complete_bands(agg, [], "quotations").select("band_ord", "gmr_band", "quotations", "win_rate")
+            .orderBy("band_ord"))
 
 
 def _sweet_spot(headers: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,7 +131,8 @@ def product_win_rate(clean: DataFrame, min_quotes: int = PRODUCT_MIN_QUOTES) ->
     headers = quote_product_header(clean.where(F.col("product").isNotNull()))
     return (headers.groupBy("product")
             .agg(F.count("quote_id").alias("observations"), F.avg("is_win").alias("win_rate"))
-            .where(F.col("observations") >= min_quotes))
+            .where(F.col("observations") >= min_quotes)
+            .orderBy("win_rate", "product"))
 
 
 # ------------------------------------------------------------------ A4-A6
@@ -181,7 +183,7 @@ def price_position_summary(clean: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("product_lines"), F.avg("is_win").alias("historical_win_rate"))
     dim = F.broadcast(position_dimension(clean.sparkSession))
     return dim.join(agg, "price_position", "left").select(
-        "position_ord", "price_position", "product_lines", "historical_win_rate")
+        "position_ord", "price_position", "product_lines", "historical_win_rate").orderBy("position_ord")
 
 
 def competitor_availability(clean: DataFrame) -> DataFrame:
