@@ -1,4 +1,4 @@
-"""Fixed values that must equal the reference dashboard's for the same results.
+"""Fixed values that must equal the reference's for the same results.
 
 Everything in this module is a fixed value (labels, thresholds, feature lists,
 message texts), stated plainly and in its natural order.
