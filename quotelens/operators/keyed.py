@@ -261,6 +261,10 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str],
     hash join.
     """
     keys = list(keys)
+    if big.isStreaming:
+        # stream-static join: no key counting (that would be a stateful aggregation);
+        # a micro-batch bounds the rows any key can bring
+        return big.join(small, keys, "left")
     src = big if count_source is None else count_source
     stats = key_counts(src, keys, "_n").join(small, keys, "left")
     return attach_key_stats(big, stats, keys, "_n", **kw).drop("_n")

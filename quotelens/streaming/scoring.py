@@ -40,9 +40,9 @@ def recommendations(requests: DataFrame, scorer: WinScorer = DEFAULT_SCORECARD,
 
 def start_recommendations(spark: SparkSession, source_dir: str, sink_dir: str,
                           scorer: WinScorer = DEFAULT_SCORECARD, name: str = "recommendations",
-                          available_now: bool = True) -> StreamingQuery:
+                          available_now: bool = True, clean: DataFrame | None = None) -> StreamingQuery:
     """Continuously price request files landing in ``source_dir`` into parquet at ``sink_dir``."""
-    out = recommendations(request_stream(spark, source_dir), scorer)
+    out = recommendations(request_stream(spark, source_dir), scorer, clean)
     writer = (out.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir)
               .option("checkpointLocation", scratch_path(spark, f"stream-{name}")))
@@ -50,6 +50,16 @@ def start_recommendations(spark: SparkSession, source_dir: str, sink_dir: str,
     return writer.start()
 
 
+def start_reviews(spark: SparkSession, source_dir: str, sink_dir: str, clean: DataFrame,
+                  scorer: WinScorer = DEFAULT_SCORECARD, name: str = "reviews") -> StreamingQuery:
+    """The one-row-per-request review (recommendation, position, flags, benchmark) for a stream."""
+    out = P.quote_review(request_stream(spark, source_dir), clean, scorer)
+    return (out.writeStream.format("parquet").outputMode("append")
+            .option("path", sink_dir)
+            .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+            .trigger(availableNow=True).start())
+
+
 def start_flags(spark: SparkSession, source_dir: str, sink_dir: str,
                 scorer: WinScorer = DEFAULT_SCORECARD, name: str = "flags") -> StreamingQuery:
     out = P.risk_flags(request_stream(spark, source_dir), scorer)

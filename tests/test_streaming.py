@@ -23,3 +23,18 @@ def test_stream_matches_batch(spark, tmp_path):
     f = start_flags(spark, src, fsink, name=f"flags-{uuid.uuid4().hex}")
     f.awaitTermination(120)
     assert spark.read.parquet(fsink).count() == P.risk_flags(req, DEFAULT_SCORECARD).count()
+
+
+def test_stream_review_with_benchmark_matches_batch(spark, tmp_path):
+    from quotelens.plans.catalog import clean_of
+    from quotelens.streaming.scoring import start_reviews
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    req = requests_of(spark, SF_SMALL)
+    clean = clean_of(spark, SF_SMALL)
+    req.repartition(3).write.parquet(src)
+    q = start_reviews(spark, src, sink, clean, name=f"rev-{uuid.uuid4().hex}")
+    q.awaitTermination(180)
+    got = spark.read.parquet(sink)
+    want = P.quote_review(req, clean, DEFAULT_SCORECARD)
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
