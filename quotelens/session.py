@@ -64,6 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a scratch one only if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder would not survive the loss of this machine
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                               "distributed file system) before running quotelens on a cluster")
         configured = tempfile.mkdtemp(prefix="quotelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc = spark.sparkContext
