@@ -250,3 +250,11 @@ def test_conform_requests_nan_and_missing(spark):
                                "cost_per_unit double, gross_margin_rate double")
     r = P.conform_requests(df).first()
     assert r.kw is None and r.qty == 2 and r.minimum_margin is None and r.competitor_a is None
+
+
+def test_distributed_median_small_groups(spark):
+    rows = [("one", 5.0), ("two", 1.0), ("two", 4.0), ("rep", 2.0)] + [("rep", 7.0)] * 50 + [("rep", 3.0)] * 10
+    df = spark.createDataFrame(rows, "k string, v double")
+    a = {r.k: r.m for r in exact_medians(df, ["k"], {"m": "v"}).collect()}
+    b = {r.k: r.m for r in exact_medians(df, ["k"], {"m": "v"}, buckets=4, max_in_task=None).collect()}
+    assert a == b == {"one": 5.0, "two": 2.5, "rep": 7.0}
