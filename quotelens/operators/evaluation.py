@@ -56,9 +56,12 @@ def curve_metrics(df: DataFrame, score: str = "score", label: str = "label",
     P, N = F.sum("pos"), F.sum("neg")
     tp_at = F.col("pos_above") + F.col("pos")
     fp_at = F.col("neg_above") + F.col("neg")
+    # undefined (NULL) when the holdout holds a single class
     return cum.agg(
-        (F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") * 0.5)) / (P * N)).alias("roc_auc"),
-        (F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp_at / (tp_at + fp_at))) / P).alias("average_precision"))
+        F.try_divide(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") * 0.5)),
+                     (P * N).cast("double")).alias("roc_auc"),
+        F.try_divide(F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp_at / (tp_at + fp_at))),
+                     P.cast("double")).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

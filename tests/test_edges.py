@@ -258,3 +258,9 @@ def test_distributed_median_small_groups(spark):
     a = {r.k: r.m for r in exact_medians(df, ["k"], {"m": "v"}).collect()}
     b = {r.k: r.m for r in exact_medians(df, ["k"], {"m": "v"}, buckets=4, max_in_task=None).collect()}
     assert a == b == {"one": 5.0, "two": 2.5, "rep": 7.0}
+
+
+def test_curve_metrics_single_class_is_null(spark):
+    df = spark.createDataFrame([(0, 0.3), (0, 0.7)], "label int, score double")
+    m = E.curve_metrics(df).first()
+    assert m.roc_auc is None and m.average_precision is None
