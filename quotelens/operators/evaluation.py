@@ -34,8 +34,12 @@ def cumulative_from_top(counts: DataFrame, buckets: int | None = None) -> DataFr
     probs = [i / b for i in range(1, b)]
     row = counts.agg(F.percentile_approx("score", probs, 10000).alias("q")).first()
     bounds = sorted(set(row["q"] or [])) if row is not None else []
-    arr = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else F.array().cast("array<double>")
-    with_b = counts.withColumn("bucket", F.size(F.filter(arr, lambda x: x < F.col("score"))))
+    # bucket = number of bounds below the score, as a plain CASE chain (no lambda
+    # over an outer column: such lambdas break filter inference in self-joins)
+    bucket = F.when(F.lit(False), F.lit(0))
+    for i, x in enumerate(bounds):
+        bucket = bucket.when(F.col("score") <= F.lit(float(x)), F.lit(i))
+    with_b = counts.withColumn("bucket", bucket.otherwise(F.lit(len(bounds))))
     totals = with_b.groupBy("bucket").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
     before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -147,8 +147,13 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
     stats = stats.select(*g, "_n", "_bounds", pos.alias("_pos"),
                          F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
 
+    # bucket = number of bounds below the value (bounds are non-decreasing), as a
+    # CASE chain over element_at: no lambda over an outer column
+    bk = F.when(F.lit(False), F.lit(0))
+    for i in range(1, buckets):
+        bk = bk.when(F.col("_v") <= F.element_at("_bounds", i), F.lit(i - 1))
     with_b = (present.join(stats.select(*g, "_bounds"), g)
-              .withColumn("_bk", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))))
+              .withColumn("_bk", bk.otherwise(F.lit(buckets - 1)))
               .drop("_bounds"))
     totals = with_b.groupBy(*g, "_bk").agg(F.sum("_f").alias("_t"))
     earlier = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
