@@ -6,9 +6,10 @@ Rules followed here:
   aggregation (partial, map-side combine) and attached back by a join;
 * keys whose row count exceeds ``hot_rows`` are salted: their rows are spread
   over ``salts`` shuffle partitions and the (tiny) statistic row is replicated
-  once per salt.  The hot-key table is capped at ``max_hot_keys`` rows before it
-  is broadcast, so the broadcast has a proven size bound; keys beyond the cap
-  simply take the ordinary shuffle path (still correct);
+  once per salt.  The hot-key table is capped at ``max_hot_keys`` rows and
+  collected once (a proven size bound) before it is broadcast; keys beyond
+  the cap take the ordinary path (still correct), and with no hot key at all
+  the join is a plain equi-join;
 * "first row per key" uses ``row_number() = 1``, which Spark plans as a partial
   ``WindowGroupLimit`` before the shuffle, so a hot key sends at most one row per
   map partition.
@@ -62,13 +63,21 @@ def attach_key_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count
                      how: str = "left") -> DataFrame:
     """Join one-row-per-key ``stats`` back onto ``df``, salting hot keys.
 
-    ``stats`` must hold ``count_col`` = number of rows of ``df`` per key.  The salt
-    is a deterministic hash of ``salt_cols`` (default: all columns of ``df``), so a
-    retried task reproduces the same routing.
+    ``stats`` must hold ``count_col`` = number of rows of ``df`` per key.  The
+    hot-key set (capped at ``max_hot_keys`` rows) is computed first; with no
+    hot key this is a plain equi-join on ``keys``, which can reuse an existing
+    partitioning of ``df``.  Otherwise hot keys are spread over ``salts``: the
+    salt is a deterministic hash of ``salt_cols`` (default: all columns of
+    ``df``), so a retried task reproduces the same routing, and each hot key's
+    statistic row is replicated once per salt.
     """
     keys = list(keys)
     hot_rows, max_hot_keys, salts = settings(df.sparkSession, hot_rows, max_hot_keys, salts)
-    hot = F.broadcast(hot_keys(stats, keys, count_col, hot_rows, max_hot_keys))
+    found = hot_keys(stats, keys, count_col, hot_rows, max_hot_keys)
+    rows = found.collect()                      # bounded by max_hot_keys
+    if not rows:
+        return df.join(stats, keys, how)
+    hot = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
     salt_src = [F.col(c) for c in (salt_cols or df.columns)]
     salted = (
         df.join(hot, keys, "left")
