@@ -112,7 +112,8 @@ MEDIAN_IN_TASK_VALUES = 1_000_000   # distinct values a single task may hold for
 
 def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
                   buckets: int = MEDIAN_BUCKETS,
-                  max_in_task: int | None = MEDIAN_IN_TASK_VALUES) -> DataFrame:
+                  max_in_task: int | None = MEDIAN_IN_TASK_VALUES,
+                  moments: bool = False) -> DataFrame:
     """Exact interpolated medians per key (T7), NULLs skipped; one row per key.
 
     ``values`` maps output alias -> input column.  When every group has at most
@@ -135,9 +136,18 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
         for alias, src in values.items()])).alias("_s")).select(*keys, "_s._m", "_s._v")
     hist = stacked.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_f"))
 
+    # optional moments from the same histogram: non-null count, NULL count, sum, sum of squares
+    mom = {"n": F.sum(F.when(F.col("_v").isNotNull(), F.col("_f"))),
+           "nnull": F.sum(F.when(F.col("_v").isNull(), F.col("_f"))),
+           "s1": F.sum(F.col("_v") * F.col("_f")),
+           "s2": F.sum(F.col("_v") * F.col("_v") * F.col("_f"))} if moments else {}
+    mom_cols = [e.alias(f"_{k}") for k, e in mom.items()]
+
     def pivot(med: DataFrame) -> DataFrame:
-        return med.groupBy(*keys).agg(*[
-            F.max(F.when(F.col("_m") == alias, F.col("_med"))).alias(alias) for alias in values])
+        outs = [F.max(F.when(F.col("_m") == alias, F.col("_med"))).alias(alias) for alias in values]
+        for alias in values:
+            outs += [F.max(F.when(F.col("_m") == alias, F.col(f"_{k}"))).alias(f"{alias}__{k}") for k in mom]
+        return med.groupBy(*keys).agg(*outs)
 
     if max_in_task is not None:
         # size check: the widest histogram of one group (a small aggregate)
@@ -145,7 +155,7 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
         if widest <= max_in_task:
             # bounded: one task may hold a group's value -> count map
             return pivot(hist.groupBy(*g).agg(
-                F.percentile(F.col("_v"), F.lit(0.5), F.col("_f")).alias("_med")))
+                F.percentile(F.col("_v"), F.lit(0.5), F.col("_f")).alias("_med"), *mom_cols))
     present = hist.where(F.col("_v").isNotNull())
 
     probs = [i / buckets for i in range(1, buckets)]
@@ -184,7 +194,7 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
             (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
         .alias("_med")))
     # every key seen (even with only NULLs) gets a row; groups without values stay NULL
-    every = hist.select(*g).distinct()
+    every = hist.groupBy(*g).agg(*mom_cols) if moments else hist.select(*g).distinct()
     return pivot(every.join(med, g, "left"))
 
 

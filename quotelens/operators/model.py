@@ -119,19 +119,28 @@ class Preprocessing:
 
 
 def learn_preprocessing(df: DataFrame, features: list[str] = NUMERIC_FEATURES) -> Preprocessing:
-    """Learn imputation and scaling on the fit set (M4-M6); a few scalars reach the driver."""
-    med_row = numeric_medians(df, features).first()
-    medians = {f: (None if med_row is None else med_row[f]) for f in features}
-    kept = [f for f in features if medians[f] is not None]
-    st = scaling_stats(df, medians, kept).first()
-    means = {f: float(st[f"{f}__mean"]) for f in kept}
-    scales = {}
-    for f in kept:
-        s = st[f"{f}__std"]
-        scales[f] = 1.0 if (s is None or s < 10 * 2.220446049250313e-16 * max(1.0, abs(means[f]))) else float(s)
+    """Learn imputation and scaling on the fit set (M4-M6); a few scalars reach the driver.
+
+    Medians and the moments of the median-imputed values come from one stacked
+    value histogram (one scan): with m the median, N rows of which z are NULL,
+    mean = (S1 + z m) / N and population variance = (S2 + z m^2) / N - mean^2.
+    """
+    row = exact_medians(df, [], {f: f for f in features}, moments=True).first()
+    medians, means, scales = {}, {}, {}
+    for f in features:
+        m = None if row is None else row[f]
+        if m is None:          # all-NULL feature: dropped, as scikit-learn does
+            continue
+        n = (row[f"{f}__n"] or 0) + (row[f"{f}__nnull"] or 0)
+        z = row[f"{f}__nnull"] or 0
+        mean = (row[f"{f}__s1"] + z * m) / n
+        var = max((row[f"{f}__s2"] + z * m * m) / n - mean * mean, 0.0)
+        std = var ** 0.5
+        medians[f], means[f] = float(m), float(mean)
+        scales[f] = 1.0 if std < 10 * 2.220446049250313e-16 * max(1.0, abs(mean)) else float(std)
     mode = product_mode(df).first()
-    return Preprocessing({f: float(medians[f]) for f in kept}, means, scales,
-                         None if mode is None else mode["product"], kept)
+    return Preprocessing(medians, means, scales, None if mode is None else mode["product"],
+                         [f for f in features if f in medians])
 
 
 # ------------------------------------------------------------------ M7-M9, M15
@@ -211,11 +220,18 @@ def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
     """
     prep = learn_preprocessing(df, features)
     weighted = quote_weights(df)
-    cw = class_weights(weighted if weighted_class_counts else df, label,
-                       "quote_weight" if weighted_class_counts else None)
-    weighted = (weighted.join(F.broadcast(cw.select(label, "class_weight")), label, "left")
-                .withColumn("_w", F.col("quote_weight") * F.col("class_weight")))
-    total_w = weighted.agg(F.sum("_w")).first()[0]
+    # per class: raw count and summed quote weight (<= 2 rows) give the balanced
+    # class weights and the total sample weight in one aggregation
+    per_class = {r[label]: r for r in weighted.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quote_weight").alias("s")).collect()}
+    amount = {y: (r["s"] if weighted_class_counts else r["n"]) for y, r in per_class.items()}
+    total_amount = sum(amount.values())
+    cw = {y: total_amount / (len(amount) * a) for y, a in amount.items()}
+    total_w = sum(cw[y] * per_class[y]["s"] for y in per_class)
+    w_expr = F.lit(None).cast("double")
+    for y, v in cw.items():
+        w_expr = F.when(F.col(label) == F.lit(y), F.lit(v)).otherwise(w_expr)
+    weighted = weighted.withColumn("_w", F.col("quote_weight") * w_expr)
     stages = [
         SQLTransformer(statement=prep.sql()),
         StringIndexer(inputCol="product_filled", outputCol="product_idx", handleInvalid="keep",
