@@ -224,3 +224,22 @@ def test_fitted_model_has_signal(spark):
     import __spark_entry__ as E
     m = E.queries()["model_metrics"](spark, SF_SMALL).first()
     assert m.roc_auc > 0.5 and 0 <= m.accuracy <= 1
+
+
+def test_fitted_recommendation_is_curve_argmax_and_forms_agree(spark, reqs):
+    model = fitted(spark, SF_SMALL, "final")
+    rec = P.recommend_margin(reqs, model)
+    curve = P.margin_curve(reqs, model).where("meets_minimum_margin")
+    best = curve.groupBy("quote_id", "line_seq").agg(F.max("expected_gross_profit").alias("m"))
+    j = rec.join(best, ["quote_id", "line_seq"])
+    assert j.count() == reqs.count()
+    assert j.where(F.abs(F.col("m") - F.col("recommended_expected_gross_profit")) > 1e-9).count() == 0
+    # the row-local (streaming) form gives the same best point
+    row_local = reqs.select("quote_id", "line_seq",
+                            P.best_feasible(P.margin_grid(reqs, model)).alias("_b")).select(
+        "quote_id", "line_seq", F.col("_b.grid_index").alias("gi"), F.col("_b.expected_gross_profit").alias("e"))
+    exploded = P.best_points(reqs, model).select(
+        "quote_id", "line_seq", F.col("_b.grid_index").alias("gi"), F.col("_b.expected_gross_profit").alias("e"))
+    diff = row_local.join(exploded, ["quote_id", "line_seq"]).where(
+        (row_local.gi != exploded.gi) | (F.abs(row_local.e - exploded.e) > 1e-9))
+    assert diff.count() == 0
