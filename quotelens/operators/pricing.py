@@ -415,12 +415,33 @@ def best_points(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUES
     carry = [c for c in (carry or []) if c not in keys]
     if requests.isStreaming:
         return requests.select(*keys, *carry, best_feasible(margin_grid(requests, scorer, **grid_kw)).alias("_b"))
-    pts = grid_points(requests, scorer, keys, carry, **grid_kw)
+    pts = grid_points(bounded_grid_input(requests, keys), scorer, keys, carry, **grid_kw)
     return pts.groupBy(*keys).agg(
         F.max(F.when(F.col("meets_minimum_margin"), _point_struct())).alias("_b"),
         *[F.first(c).alias(c) for c in carry])
 
 
+GRID_REQUESTS_PER_TASK = 200_000   # ~71 x 116 B of sorted points each: ~1.6 GB per task
+
+
+def bounded_grid_input(requests: DataFrame, keys: list[str] = REQUEST_KEYS) -> DataFrame:
+    """Size check for the exploded grid's per-request argmax.
+
+    The map-side aggregation sorts a task's points (71 per request), so its
+    memory grows with the requests per task.  If the input averages more than
+    ``quotelens.gridRequestsPerTask`` requests per partition, hash-partition it
+    by request id into enough partitions first (one request-sized shuffle, and
+    the aggregation then needs no further exchange); otherwise keep it as is.
+    """
+    spark = requests.sparkSession
+    bound = int(spark.conf.get("quotelens.gridRequestsPerTask", None) or GRID_REQUESTS_PER_TASK)
+    n = requests.count()
+    parts = requests.rdd.getNumPartitions()
+    if n <= bound * max(parts, 1):
+        return requests
+    return requests.repartition(int(math.ceil(n / bound)), *keys)
+
+
 def recommend_margin(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                      **grid_kw) -> DataFrame:
     """The recommended margin per request."""
@@ -447,7 +468,8 @@ def top_margin_scenarios(requests: DataFrame, scorer: WinScorer, k: int = TOP_SC
         return r.select(*keys, (F.col("_pos") + 1).alias("rank"),
                         *[F.col(f"_g.{f}").alias(f) for f in GRID_FIELDS])
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("expected_gross_profit"), F.asc("grid_index"))
-    ranked = grid_points(requests, scorer, keys, **grid_kw).withColumn("rank", F.row_number().over(w))
+    ranked = grid_points(bounded_grid_input(requests, keys), scorer, keys, **grid_kw).withColumn(
+        "rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).select(*keys, "rank", *GRID_FIELDS)
 
 

@@ -59,3 +59,20 @@ def test_queries_identical_when_every_key_is_hot(spark):
     catalog.clear_cache()
     for k in SKEW_QUERIES:
         assert out["default"][k] == out["hot"][k], k
+
+
+def test_bounded_grid_input_repartitions_large_tasks(spark):
+    from quotelens.operators import pricing as P
+    from quotelens.plans.catalog import requests_of
+    from quotelens.plans.scorecard import DEFAULT_SCORECARD
+    req = requests_of(spark, SF_SMALL)
+    plain = _rows(P.recommend_margin(req, DEFAULT_SCORECARD))
+    spark.conf.set("quotelens.gridRequestsPerTask", "100")
+    try:
+        bounded = P.bounded_grid_input(req)
+        assert bounded.rdd.getNumPartitions() >= req.count() // 100
+        assert _rows(P.recommend_margin(req, DEFAULT_SCORECARD)) == plain
+        top = P.top_margin_scenarios(req, DEFAULT_SCORECARD).count()
+    finally:
+        spark.conf.unset("quotelens.gridRequestsPerTask")
+    assert top == 10 * req.count()
