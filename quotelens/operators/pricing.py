@@ -1,10 +1,14 @@
 """Scenario pricing over a table of requests.
 
 The reference prices one hand-typed scenario at a time; here every function
-takes a DataFrame of requests (any number of rows) and stays row-local where
-the semantics allow, so the margin grid of 71 points costs no shuffle:
-the grid is an array built with ``transform(sequence(...))`` inside the row,
-argmax and top-k are array operations.
+takes a DataFrame of requests (any number of rows).  Scenario math, flags and
+positions are row-local column expressions.  The 71-point margin grid is
+exploded into rows and evaluated in whole-stage codegen (``grid_points``);
+the best point per request is a map-side-combined aggregation and the top-k a
+``row_number`` limit, both without an exchange when requests are clustered by
+their id, with the points sorted per task bounded by ``bounded_grid_input``.
+For streaming inputs the grid stays inside the row (``margin_grid``:
+``transform`` over the grid), which needs no state.
 
 Request columns: quote_id, line_seq (the request id), product, kw, qty,
 cost_per_unit, gross_margin_rate, energy_grant_amount, competitor_a/b/c,
