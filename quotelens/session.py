@@ -41,7 +41,7 @@ def configure_for_scale(spark: SparkSession) -> None:
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "quotelens") -> SparkSession:
+                  app_name: str = "quotelens", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, no extra ports)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -52,7 +52,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
