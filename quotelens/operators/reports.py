@@ -69,11 +69,15 @@ def win_rate_by_band(clean: DataFrame) -> DataFrame:
             .orderBy("band_ord"))
 
 
-def _sweet_spot(headers: DataFrame, keys: list[str]) -> DataFrame:
-    agg = headers.groupBy(*keys, "band_ord").agg(
+def _sweet_spot_agg(headers: DataFrame, keys: list[str]) -> DataFrame:
+    """Per (keys, band) aggregate, including the NULL band (used for selection totals)."""
+    return headers.groupBy(*keys, "band_ord").agg(
         F.count("quote_id").alias("quotations"),
         F.avg("is_win").alias("historical_win_rate"),
         F.avg("estimated_gross_profit").alias("average_gross_profit"))
+
+
+def _sweet_spot(agg: DataFrame, keys: list[str]) -> DataFrame:
     out = _complete_bands(agg, keys, "quotations")
     return out.withColumn("expected_gp_proxy", F.col("historical_win_rate") * F.col("average_gross_profit"))
 
@@ -82,16 +86,24 @@ SWEET_COLS = ["selection", "band_ord", "gmr_band", "quotations", "historical_win
               "average_gross_profit", "expected_gp_proxy"]
 
 
-def sweet_spot_all(clean: DataFrame) -> DataFrame:
+def _all_agg(clean: DataFrame) -> DataFrame:
+    return _sweet_spot_agg(quote_header(clean), [])
+
+
+def _product_agg(clean: DataFrame) -> DataFrame:
+    return _sweet_spot_agg(quote_product_header(clean.where(F.col("product").isNotNull())), ["product"])
+
+
+def sweet_spot_all(clean: DataFrame, agg: DataFrame | None = None) -> DataFrame:
     """Sweet-spot table for all products (first line per quote)."""
-    return _sweet_spot(quote_header(clean), []).withColumn(
-        "selection", F.lit("All products")).select(*SWEET_COLS)
+    agg = _all_agg(clean) if agg is None else agg
+    return _sweet_spot(agg, []).withColumn("selection", F.lit("All products")).select(*SWEET_COLS)
 
 
-def sweet_spot_by_product(clean: DataFrame) -> DataFrame:
+def sweet_spot_by_product(clean: DataFrame, agg: DataFrame | None = None) -> DataFrame:
     """Sweet-spot table per product (first line per quote *within* the product)."""
-    headers = quote_product_header(clean.where(F.col("product").isNotNull()))
-    return (_sweet_spot(headers, ["product"])
+    agg = _product_agg(clean) if agg is None else agg
+    return (_sweet_spot(agg, ["product"])
             .withColumn("selection", F.col("product").cast("string")).select(*SWEET_COLS))
 
 
@@ -104,25 +116,26 @@ def best_bands(clean: DataFrame) -> DataFrame:
     """Best win-rate band and best proxy band per selection (ties -> lowest band).
 
     Selections with no non-null band row yield no row (the reference crashes).
+    The quote count of a selection is the sum over all its bands, NULL band
+    included, taken from the same aggregates as the tables.
     """
-    table = sweet_spot(clean).where(
+    all_agg, prod_agg = _all_agg(clean), _product_agg(clean)
+    table = sweet_spot_all(clean, all_agg).unionByName(sweet_spot_by_product(clean, prod_agg)).where(
         F.col("historical_win_rate").isNotNull() & F.col("expected_gp_proxy").isNotNull())
     best = table.groupBy("selection").agg(
         F.max(F.struct("historical_win_rate", (-F.col("band_ord")).alias("nb"), "gmr_band")).alias("_w"),
         F.max(F.struct("expected_gp_proxy", (-F.col("band_ord")).alias("nb"), "gmr_band")).alias("_p"))
-    all_q = quote_header(clean).agg(F.count("quote_id").alias("quotations")) \
-        .withColumn("selection", F.lit("All products"))
-    per_p = (quote_product_header(clean.where(F.col("product").isNotNull()))
-             .groupBy(F.col("product").cast("string").alias("selection"))
-             .agg(F.count("quote_id").alias("quotations")))
-    counts = all_q.unionByName(per_p)
+    counts = (all_agg.agg(F.sum("quotations").alias("quotations"))
+              .withColumn("selection", F.lit("All products"))
+              .unionByName(prod_agg.groupBy(F.col("product").cast("string").alias("selection"))
+                           .agg(F.sum("quotations").alias("quotations"))))
     return best.join(counts, "selection", "left").select(
         "selection",
         F.col("_w.gmr_band").alias("best_win_rate_band"),
         F.col("_w.historical_win_rate").alias("best_win_rate"),
         F.col("_p.gmr_band").alias("best_proxy_band"),
         F.col("_p.expected_gp_proxy").alias("best_proxy"),
-        "quotations")
+        F.col("quotations").cast("bigint").alias("quotations"))
 
 
 # ------------------------------------------------------------------ A3
