@@ -150,6 +150,12 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
         return med.groupBy(*keys).agg(*outs)
 
     if max_in_task is not None:
+        # The histogram (distinct values per group, far smaller than the data) is
+        # written once to the shared checkpoint folder, so the size check and the
+        # median read it instead of scanning the data twice.
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        hist = hist.checkpoint(eager=True)
         # size check: the widest histogram of one group (a small aggregate)
         widest = hist.groupBy(*g).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
         if widest <= max_in_task:
