@@ -264,3 +264,29 @@ def test_curve_metrics_single_class_is_null(spark):
     df = spark.createDataFrame([(0, 0.3), (0, 0.7)], "label int, score double")
     m = E.curve_metrics(df).first()
     assert m.roc_auc is None and m.average_precision is None
+
+
+def test_parquet_reader_nan_to_null_and_line_order(spark, tmp_path):
+    from quotelens.sources.readers import read_quotes
+    path = str(tmp_path / "q.parquet")
+    spark.createDataFrame([(1, "H1", float("nan"), 2, 100.0), (2, "H2", 3.5, 1, float("nan"))],
+                          "quote_id long, product string, kw double, qty int, unit_price double") \
+        .coalesce(1).write.parquet(path)
+    rows = read_quotes(spark, path).orderBy("quote_id").collect()
+    assert rows[0].kw is None and rows[1].unit_price is None and rows[1].kw == 3.5
+    assert rows[0].line_seq < rows[1].line_seq          # file order stands in for a missing line_seq
+
+
+def test_configure_for_scale(spark):
+    from quotelens.session import CLUSTER_SQL_CONF, configure_for_scale
+    before = {k: spark.conf.get(k, None) for k in CLUSTER_SQL_CONF}
+    try:
+        configure_for_scale(spark)
+        assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "256m"
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
