@@ -162,6 +162,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["loss_signal_summary"] = lambda s, f: A.loss_signal_summary(clean_of(s, f))
     Q["sweet_spot_all"] = lambda s, f: A.sweet_spot_all(clean_of(s, f))
     Q["sweet_spot_by_product"] = lambda s, f: A.sweet_spot_by_product(clean_of(s, f))
+    Q["sweet_spot"] = lambda s, f: A.sweet_spot(clean_of(s, f))
     Q["best_bands"] = lambda s, f: A.best_bands(clean_of(s, f))
     Q["price_position_lines"] = lambda s, f: A.price_position_lines(clean_of(s, f)).select(
         *LINE_KEYS, "product", "price_gap_min_competitor_pct", "is_win", "price_position")

@@ -478,6 +478,7 @@ SELECT review_signal, count(*) AS failed_lines FROM loss GROUP BY review_signal"
     sweet_all = SWEET.replace("AS bands(", "AS b(")
     Q["sweet_spot_all"] = with_ctes(sweet_all, f"SELECT {SWEET_SEL} FROM ss_all")
     Q["sweet_spot_by_product"] = with_ctes(sweet_all, f"SELECT {SWEET_SEL} FROM ss_prod")
+    Q["sweet_spot"] = with_ctes(sweet_all, f"SELECT {SWEET_SEL} FROM ss_all UNION ALL SELECT {SWEET_SEL} FROM ss_prod")
     Q["best_bands"] = with_ctes(sweet_all + """,
 ss AS (SELECT * FROM ss_all UNION ALL SELECT * FROM ss_prod),
 f AS (SELECT * FROM ss WHERE historical_win_rate IS NOT NULL AND expected_gp_proxy IS NOT NULL),
