@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,16 +40,12 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (id(spark), sf_dir)
     if key not in _CACHE:
         raw = quotes_from_tpch(spark, sf_dir)
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        clean = materialize(C.clean_quotes(raw), f"clean-{tag}")
+        clean = materialize(C.clean_quotes(raw), "clean")
         _CACHE[key] = {"raw": raw, "clean": clean, "requests": requests_from_clean(clean)}
     return _CACHE[key]
 
 
 def clear_cache() -> None:
-    for v in _CACHE.values():
-        if v["clean"].storageLevel.useMemory or v["clean"].storageLevel.useDisk:
-            v["clean"].unpersist()
     _CACHE.clear()
 
 

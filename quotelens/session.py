@@ -7,8 +7,8 @@ checkpoint folder is read from ``spark.checkpoint.dir``; only when it is unset
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,50 +63,37 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            # a machine-local folder would not survive the loss of this machine
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
-                               "distributed file system) before running quotelens on a cluster")
-        configured = tempfile.mkdtemp(prefix="quotelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    """The shared checkpoint folder of this application, set up if nobody did.
+
+    A folder set on the context wins, then ``spark.checkpoint.dir``.  Only a
+    local master (tests) falls back to a fresh scratch folder of its own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if not sc.master.startswith("local"):
+                # a machine-local folder would not survive the loss of this machine
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                                   "distributed file system) before running quotelens on a cluster")
+            configured = tempfile.mkdtemp(prefix="quotelens-ckpt-")
         sc.setCheckpointDir(configured)
-    return configured
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    """A path for an intermediate table, apart for every application and call."""
+    app = spark.sparkContext.applicationId
+    return f"{ensure_checkpoint_dir(spark)}/tables/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, mode: str | None = None) -> DataFrame:
-    """Make a reused intermediate table survive executor loss.
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a reused intermediate as parquet in the shared folder and read it back.
 
-    mode "table": write parquet under the shared checkpoint folder and read it
-    back (lineage cut, column pruning kept).  mode "persist": memory-and-disk
-    cache (recomputed from lineage if an executor is lost).  Default: "persist"
-    on a local master, "table" on a cluster.
+    The lineage is cut, column pruning still works on every read, and the
+    table survives the loss of any executor.
     """
-    from pyspark import StorageLevel
-
     spark = df.sparkSession
-    if mode is None:
-        mode = spark.conf.get("quotelens.materialize", None) or (
-            "persist" if spark.sparkContext.master.startswith("local") else "table")
-    if mode == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if mode == "table":
-        path = scratch_path(spark, f"tables/{name}")
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    raise ValueError(f"unknown materialize mode: {mode}")
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -215,7 +215,7 @@ def test_weighted_class_counts_option(clean):
 
 def test_materialize_as_table_in_shared_folder(spark, clean):
     from quotelens.session import ensure_checkpoint_dir, materialize
-    t = materialize(clean.select("quote_id", "line_seq", "gmr_band"), "test-clean-proj", mode="table")
+    t = materialize(clean.select("quote_id", "line_seq", "gmr_band"), "test-clean-proj")
     assert t.count() == clean.count()
     assert ensure_checkpoint_dir(spark) in t.inputFiles()[0]
 
