@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotelens.llm import exact_dedup, toxicity
+from quotelens.llm import decontamination, exact_dedup, minhash, mixing, toxicity
 from quotelens.llm.common import staged, table
 
 
@@ -22,13 +22,30 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.surviving(docs)
 
 
-STAGES = [("toxicity", reject_toxic), ("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3 (operator 4): the smallest id of each near-duplicate group stays."""
+    return minhash.one_of_each_group(docs)
 
-#: The classifier's decisions and the near-duplicate components can't be stated in SQL.
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4 (operator 10): documents that overlap a benchmark item go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5 (operator 1): the mix of what is left, one row per draw with its shard, epoch and words."""
+    return mixing.mix(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
+          ("decontamination", drop_benchmark_leaks), ("mixing", mix_sources)]
+
+#: The classifier's decisions can't be stated in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")

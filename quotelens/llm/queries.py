@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, line_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity
+from . import decontamination, exact_dedup, gru_lm, line_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,8 +96,8 @@ FROM m GROUP BY doc_id
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_token_counts, op3_exact_dedup, op4_near_dedup, op5_quality,
-        op6_line_dedup, op8_toxicity, op9_suffix_dedup,
-        op10_decontamination)}
+        op6_line_dedup, op7_lm_scoring, op8_toxicity,
+        op9_suffix_dedup, op10_decontamination)}
 
 
 def llm_oracles() -> dict[str, str]:
