@@ -100,3 +100,16 @@ BOUND_THRESHOLD_RANGE = (0.10, 0.80)
 CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                  "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
                  "n/a", "nan", "null"]
+
+# Texts of scenario pricing.
+SCENARIO_ERROR = "Gross margin rate must be below 95%."
+PROPOSED_PRICE_LABEL = "Proposed unit price"
+COMPETITOR_LABELS = {
+    "competitor_a": "Competitor A",
+    "competitor_b": "Competitor B",
+    "competitor_c": "Competitor C",
+}
+
+# Labels of the confusion matrix.
+ACTUAL_LABELS = ("Actual Loss", "Actual Win")
+PREDICTED_LABELS = ("Predicted Loss", "Predicted Win")

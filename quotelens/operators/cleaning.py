@@ -34,8 +34,13 @@ def mark_highest_price(df: DataFrame, out: str = "is_highest_price_calc", **kw)
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
-    """C4: exact whole-row duplicate removal."""
-    return df.distinct()
+    """C4: exact whole-row duplicate removal.
+
+    ``line_seq`` stands for the place in the file and isn't part of the row:
+    of equal rows the first one stays.
+    """
+    business = [c for c in df.columns if c != "line_seq"]
+    return df.groupBy(*business).agg(F.min("line_seq").alias("line_seq")).select(*df.columns)
 
 
 def derive_columns(df: DataFrame) -> DataFrame:
@@ -50,9 +55,9 @@ def derive_columns(df: DataFrame) -> DataFrame:
 
 def flag_multi_product(df: DataFrame, **kw) -> DataFrame:
     """A quote holds more than one distinct (non-null) product."""
-    out = with_key_stats(df, ["quote_id"], F.count_distinct("product").alias("_np"), **kw)
-    return (out.withColumn("multi_product_quote", F.coalesce(F.col("_np") > 1, F.lit(False)))
-            .drop("_np"))
+    out = with_key_stats(df, ["quote_id"], F.min("product").alias("_lo"), F.max("product").alias("_hi"), **kw)
+    return (out.withColumn("multi_product_quote", F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)))
+            .drop("_lo", "_hi"))
 
 
 def clean_quotes(raw: DataFrame, with_multi_product: bool = False) -> DataFrame:
@@ -86,7 +91,7 @@ def filter_with_benchmark(df: DataFrame) -> DataFrame:
 
 
 def select_features(df: DataFrame, features: list[str]) -> DataFrame:
-    """Projection to the model features."""
+    """Projection to the model features (with the quote, the label and any weight they are fitted with)."""
     return df.select(*features)
 
 

@@ -4,10 +4,10 @@ The curve metrics need, for every distinct score, the positives and negatives
 with a strictly higher score.  A window without a partition key would run in a
 single task, so the cumulation is distributed instead:
 
-1. counts per distinct score (partial aggregation);
-2. scores cut into B range buckets at approximate quantiles (B bounded);
-3. per-bucket totals -> prefix offsets over <= B rows (broadcast, proven bound);
-4. running sums inside each bucket (a window partitioned by bucket).
+1. counts per distinct score (partial aggregation), range-partitioned by score
+   and written once, each row with its partition;
+2. totals per partition give offsets (one row per partition, broadcast);
+3. running sums inside each partition.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DECISION_THRESHOLD
+from ..constants import ACTUAL_LABELS, DECISION_THRESHOLD, PREDICTED_LABELS
+from ..session import materialize
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -24,39 +25,30 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> D
         F.sum((F.col(label) != 1).cast("long")).alias("neg"))
 
 
-def _buckets(spark) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")) * 4)
-
-
-def cumulative_from_top(counts: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Add pos_above / neg_above: counts at strictly higher scores (distributed prefix sum)."""
-    b = buckets or _buckets(counts.sparkSession)
-    probs = [i / b for i in range(1, b)]
-    row = counts.agg(F.percentile_approx("score", probs, 10000).alias("q")).first()
-    bounds = sorted(set(row["q"] or [])) if row is not None else []
-    # bucket = number of bounds below the score, as a plain CASE chain (no lambda
-    # over an outer column: such lambdas break filter inference in self-joins)
-    bucket = F.when(F.lit(False), F.lit(0))
-    for i, x in enumerate(bounds):
-        bucket = bucket.when(F.col("score") <= F.lit(float(x)), F.lit(i))
-    with_b = counts.withColumn("bucket", bucket.otherwise(F.lit(len(bounds))))
-    totals = with_b.groupBy("bucket").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+def cumulative_from_top(counts: DataFrame, slices: int | None = None) -> DataFrame:
+    """Add pos_above / neg_above: counts at strictly higher scores (distributed prefix sum).
+
+    ``slices`` fixes the number of range partitions (default: sized by AQE)."""
+    by_score = [F.desc("score")]
+    ranged = counts.repartitionByRange(slices, *by_score) if slices else counts.repartitionByRange(*by_score)
+    ranged = materialize(ranged.withColumn("slice", F.spark_partition_id()), "score-counts")
+    totals = ranged.groupBy("slice").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
     offsets = totals.select(
-        "bucket",
+        "slice",
         F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("pos_off"),
         F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("neg_off"))
-    inner = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return (with_b.join(F.broadcast(offsets), "bucket")
+    inner = Window.partitionBy("slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.join(F.broadcast(offsets), "slice")
             .withColumn("pos_above", F.col("pos_off") + F.coalesce(F.sum("pos").over(inner), F.lit(0)))
             .withColumn("neg_above", F.col("neg_off") + F.coalesce(F.sum("neg").over(inner), F.lit(0)))
             .drop("pos_off", "neg_off"))
 
 
 def curve_metrics(df: DataFrame, score: str = "score", label: str = "label",
-                  buckets: int | None = None) -> DataFrame:
+                  slices: int | None = None) -> DataFrame:
     """M11 ROC-AUC (ties count half) and M12 average precision, one row."""
-    cum = cumulative_from_top(score_counts(df, score, label), buckets)
+    cum = cumulative_from_top(score_counts(df, score, label), slices)
     P, N = F.sum("pos"), F.sum("neg")
     tp_at = F.col("pos_above") + F.col("pos")
     fp_at = F.col("neg_above") + F.col("neg")
@@ -101,7 +93,7 @@ def confusion_matrix(df: DataFrame, score: str = "score", label: str = "label",
                      threshold: float = DECISION_THRESHOLD) -> DataFrame:
     """[[TN, FP], [FN, TP]] as four labelled rows."""
     c = _counts(df, score, label, threshold)
-    return c.select(F.expr(
-        "stack(4, 'Actual Loss', 'Predicted Loss', tn, 'Actual Loss', 'Predicted Win', fp, "
-        "'Actual Win', 'Predicted Loss', fn, 'Actual Win', 'Predicted Win', tp) "
-        "as (actual, predicted, n)"))
+    (loss, win), (said_loss, said_win) = ACTUAL_LABELS, PREDICTED_LABELS
+    return c.select(F.stack(F.lit(4), F.lit(loss), F.lit(said_loss), F.col("tn"), F.lit(loss), F.lit(said_win), F.col("fp"),
+                            F.lit(win), F.lit(said_loss), F.col("fn"), F.lit(win), F.lit(said_win), F.col("tp"))
+                    .alias("actual", "predicted", "n"))

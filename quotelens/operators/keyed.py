@@ -4,40 +4,38 @@ Rules followed here:
 
 * a group is never gathered whole into one task: statistics are computed by
   aggregation (partial, map-side combine) and attached back by a join;
-* keys whose row count exceeds ``hot_rows`` are salted: their rows are spread
-  over ``salts`` shuffle partitions and the (tiny) statistic row is replicated
-  once per salt.  The hot-key table is capped at ``max_hot_keys`` rows and
-  collected once (a proven size bound) before it is broadcast; keys beyond
-  the cap take the ordinary path (still correct), and with no hot key at all
-  the join is a plain equi-join;
+* in that join, keys with ``hot_rows`` rows or more are spread over ``salts``
+  shuffle partitions and their statistic row is replicated once per salt; all
+  other keys have salt 0, so there is one plan at every size.  At most
+  (rows / hot_rows) keys can be hot, which bounds the broadcast set of them;
+* a lookup table of one row per key is counted and broadcast if it is small,
+  so the big side isn't shuffled for it;
 * "first row per key" uses ``row_number() = 1``, which Spark plans as a partial
   ``WindowGroupLimit`` before the shuffle, so a hot key sends at most one row per
   map partition.
+
+Keys compare null-safely: rows with a missing key form a group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEY_ROWS = 2_000_000     # rows per key above which the key is salted
-MAX_HOT_KEYS = 100_000       # cap on the broadcast hot-key table
+HOT_KEY_ROWS = 2_000_000     # rows per key from which the key is salted
 SALTS = 64                   # partitions a hot key is spread over
+BROADCAST_ROWS = 500_000     # rows (of a few numbers each) up to which a lookup table is broadcast
 
 
-def settings(spark, hot_rows: int | None = None, max_hot_keys: int | None = None,
-             salts: int | None = None) -> tuple[int, int, int]:
+def settings(spark, hot_rows: int | None = None, salts: int | None = None) -> tuple[int, int]:
     """Explicit arguments, else the session settings quotelens.hotKeyRows /
-    quotelens.maxHotKeys / quotelens.salts, else the module defaults."""
-    conf = spark.conf
-
+    quotelens.salts, else the module defaults."""
     def pick(given, key, default):
-        return int(given) if given is not None else int(conf.get(key, None) or default)
-    return (pick(hot_rows, "quotelens.hotKeyRows", HOT_KEY_ROWS),
-            pick(max_hot_keys, "quotelens.maxHotKeys", MAX_HOT_KEYS),
-            pick(salts, "quotelens.salts", SALTS))
+        return int(given) if given is not None else int(spark.conf.get(key, None) or default)
+    return pick(hot_rows, "quotelens.hotKeyRows", HOT_KEY_ROWS), pick(salts, "quotelens.salts", SALTS)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -46,255 +44,95 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def hot_keys(stats: DataFrame, keys: Sequence[str], count_col: str,
-             hot_rows: int | None = None, max_hot_keys: int | None = None) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows, at most ``max_hot_keys`` of them."""
-    hot_rows, max_hot_keys, _ = settings(stats.sparkSession, hot_rows, max_hot_keys)
-    return (stats.where(F.col(count_col) >= hot_rows)
-            .orderBy(F.desc(count_col), *keys)
-            .limit(max_hot_keys)
-            .select(*keys)
-            .withColumn("_hot", F.lit(True)))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the key columns of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def attach_key_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count_col: str,
-                     salt_cols: Sequence[str] | None = None, hot_rows: int | None = None,
-                     max_hot_keys: int | None = None, salts: int | None = None,
-                     how: str = "left") -> DataFrame:
-    """Join one-row-per-key ``stats`` back onto ``df``, salting hot keys.
+def with_key_stats(df: DataFrame, keys: Sequence[str], *aggs: Column, count_col: str = "_n",
+                   keep_count: bool = False, hot_rows: int | None = None, salts: int | None = None) -> DataFrame:
+    """Attach per-key aggregates (plus a row count) to every row, hot keys salted.
 
-    ``stats`` must hold ``count_col`` = number of rows of ``df`` per key.  The
-    hot-key set (capped at ``max_hot_keys`` rows) is computed first; with no
-    hot key this is a plain equi-join on ``keys``, which can reuse an existing
-    partitioning of ``df``.  Otherwise hot keys are spread over ``salts``: the
-    salt is a deterministic hash of ``salt_cols`` (default: all columns of
-    ``df``), so a retried task reproduces the same routing, and each hot key's
-    statistic row is replicated once per salt.
+    The salt is a hash of the row, so a retried task reproduces the routing.
     """
     keys = list(keys)
-    hot_rows, max_hot_keys, salts = settings(df.sparkSession, hot_rows, max_hot_keys, salts)
-    found = hot_keys(stats, keys, count_col, hot_rows, max_hot_keys)
-    rows = found.collect()                      # bounded by max_hot_keys
-    if not rows:
-        return df.join(stats, keys, how)
-    hot = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
-    salt_src = [F.col(c) for c in (salt_cols or df.columns)]
-    salted = (
-        df.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_src), F.lit(salts)))
-                    .otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    replicated = (
-        stats.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                       .otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    return salted.join(replicated, keys + ["_salt"], how).drop("_salt")
-
-
-def key_counts(df: DataFrame, keys: Sequence[str], name: str = "_n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-
-def with_key_stats(df: DataFrame, keys: Sequence[str], *aggs: Column,
-                   count_col: str = "_n", keep_count: bool = False, **kw) -> DataFrame:
-    """Attach per-key aggregates (plus a row count) to every row, skew-safe."""
+    hot_rows, salts = settings(df.sparkSession, hot_rows, salts)
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col), *aggs)
-    out = attach_key_stats(df, stats, keys, count_col, **kw)
+    is_hot = F.col(count_col) >= hot_rows
+    hot = stats.where(is_hot).select(*keys, F.lit(True).alias("_hot"))   # at most rows / hot_rows keys
+    salted = (null_safe_join(df, F.broadcast(hot), keys)
+              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(F.lit(0)))
+              .drop("_hot"))
+    each = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    out = null_safe_join(salted, stats.withColumn("_salt", F.explode(each)), [*keys, "_salt"]).drop("_salt")
     return out if keep_count else out.drop(count_col)
 
 
-MEDIAN_BUCKETS = 64
-MEDIAN_IN_TASK_VALUES = 1_000_000   # distinct values a single task may hold for one group
-
-
-def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str],
-                  buckets: int = MEDIAN_BUCKETS,
-                  max_in_task: int | None = MEDIAN_IN_TASK_VALUES,
-                  moments: bool = False) -> DataFrame:
-    """Exact interpolated medians per key (T7), NULLs skipped; one row per key.
-
-    ``values`` maps output alias -> input column.  When every group has at most
-    ``max_in_task`` distinct values (checked on the histogram), the final step is
-    ``percentile(value, 0.5, count)`` per group.  Otherwise no task holds a
-    whole group:
-
-    1. all measures are stacked and reduced to a (key, measure, value) -> count
-       histogram with a partial aggregation (a hot key is combined map-side);
-    2. each (key, measure) histogram is cut into <= ``buckets`` value ranges at
-       approximate quantiles (bounded sketch per group);
-    3. per-bucket totals give prefix offsets (<= buckets rows per group);
-    4. running counts inside each bucket locate the two middle ranks, and the
-       median interpolates between them as Spark's ``percentile`` does.
-    """
-    keys = list(keys)
-    g = keys + ["_m"]
-    stacked = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(alias).alias("_m"), F.col(src).cast("double").alias("_v"))
-        for alias, src in values.items()])).alias("_s")).select(*keys, "_s._m", "_s._v")
-    hist = stacked.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_f"))
-
-    # optional moments from the same histogram: non-null count, NULL count, sum, sum of squares
-    mom = {"n": F.sum(F.when(F.col("_v").isNotNull(), F.col("_f"))),
-           "nnull": F.sum(F.when(F.col("_v").isNull(), F.col("_f"))),
-           "s1": F.sum(F.col("_v") * F.col("_f")),
-           "s2": F.sum(F.col("_v") * F.col("_v") * F.col("_f"))} if moments else {}
-    mom_cols = [e.alias(f"_{k}") for k, e in mom.items()]
-
-    def pivot(med: DataFrame) -> DataFrame:
-        outs = [F.max(F.when(F.col("_m") == alias, F.col("_med"))).alias(alias) for alias in values]
-        for alias in values:
-            outs += [F.max(F.when(F.col("_m") == alias, F.col(f"_{k}"))).alias(f"{alias}__{k}") for k in mom]
-        return med.groupBy(*keys).agg(*outs)
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left-join a one-row-per-key table onto a big table.
 
-    if max_in_task is not None:
-        # The histogram (distinct values per group, far smaller than the data) is
-        # written once to the shared checkpoint folder, so the size check and the
-        # median read it instead of scanning the data twice.
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        hist = hist.checkpoint(eager=True)
-        # size check: the widest histogram of one group (a small aggregate)
-        widest = hist.groupBy(*g).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-        if widest <= max_in_task:
-            # bounded: one task may hold a group's value -> count map
-            return pivot(hist.groupBy(*g).agg(
-                F.percentile(F.col("_v"), F.lit(0.5), F.col("_f")).alias("_med"), *mom_cols))
-    present = hist.where(F.col("_v").isNotNull())
-
-    probs = [i / buckets for i in range(1, buckets)]
-    stats = present.groupBy(*g).agg(
-        F.sum("_f").alias("_n"),
-        F.percentile_approx("_v", probs, 10000).alias("_bounds"))
-    pos = (F.col("_n") - 1) * 0.5
-    stats = stats.select(*g, "_n", "_bounds", pos.alias("_pos"),
-                         F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
-
-    # bucket = number of bounds below the value (bounds are non-decreasing), as a
-    # CASE chain over element_at: no lambda over an outer column
-    bk = F.when(F.lit(False), F.lit(0))
-    for i in range(1, buckets):
-        bk = bk.when(F.col("_v") <= F.element_at("_bounds", i), F.lit(i - 1))
-    with_b = (present.join(stats.select(*g, "_bounds"), g)
-              .withColumn("_bk", bk.otherwise(F.lit(buckets - 1)))
-              .drop("_bounds"))
-    totals = with_b.groupBy(*g, "_bk").agg(F.sum("_f").alias("_t"))
-    earlier = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_bk", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*g, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (with_b.join(offsets, g + ["_bk"])
-              .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_f").over(inside), F.lit(0)))
-              .withColumn("_end", F.col("_start") + F.col("_f")))
-    cover = ranked.join(stats.select(*g, "_lo", "_hi"), g).where(
-        ((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_end")))
-        | ((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_end"))))
-    picked = cover.groupBy(*g).agg(
-        F.max(F.when((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_end")), F.col("_v")))
-        .alias("_vlo"),
-        F.max(F.when((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_end")), F.col("_v")))
-        .alias("_vhi"))
-    med = (stats.join(picked, g).select(
-        *g, F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
-            (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
-        .alias("_med")))
-    # every key seen (even with only NULLs) gets a row; groups without values stay NULL
-    every = hist.groupBy(*g).agg(*mom_cols) if moments else hist.select(*g).distinct()
-    return pivot(every.join(med, g, "left"))
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
-    return exact_medians(df, keys, {alias: value})
-
-
-def _ranged_row_number(df: DataFrame, keys: list[str], order: list[str], out: str,
-                       buckets: int) -> DataFrame:
-    """Row number within ``keys`` by ``order`` for a few huge groups, spread over tasks.
-
-    Range partitioning on (keys, order) cuts one group into contiguous slices on
-    several tasks.  After a sort within each partition, a row's position is its
-    increasing id minus the id of its group's first row in that partition, plus
-    the rows of the group in earlier partitions.  The (partition, key) table has
-    at most #groups + #partitions rows and is broadcast.  The ranged rows are
-    checkpointed once (reliable, shared folder) so both passes agree.
+    ``small`` is counted (its aggregates are pruned for that); up to
+    ``most_rows`` it is broadcast and the big side stays where it is.  Beyond,
+    both sides are shuffled and AQE splits skewed partitions.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    # Partition ids and increasing ids are fixed by a reliable checkpoint, so the
-    # size pass and the numbering pass see the same assignment (also on retries).
-    ranged = (df.repartitionByRange(buckets, *keys, *order)
-              .sortWithinPartitions(*keys, *order)
-              .withColumn("_b", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    sizes = ranged.groupBy("_b", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select("_b", *keys, "_first",
-                        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offs), ["_b", *keys])
-            .withColumn(out, F.col("_mid") - F.col("_first") + F.col("_off") + 1)
-            .drop("_b", "_mid", "_first", "_off"))
+    return null_safe_join(big, F.broadcast(small) if small.count() <= most_rows else small, keys)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None,
-              max_hot_keys: int | None = None,
-              count_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(cold rows, hot rows or None): hot = keys with >= hot_rows rows.
-
-    The hot-key set is computed once and brought to the driver: it is capped
-    at ``max_hot_keys`` rows (a proven bound), so it can be broadcast.  With no
-    hot key the input is returned unchanged and no hot branch is planned.
-    ``count_source`` may be a cheaper relation holding the key columns (e.g. the
-    scan before a join): detection may be approximate, the split stays exact.
-    """
-    keys = list(keys)
-    src = df if count_source is None else count_source
-    found = hot_keys(key_counts(src, keys), keys, "_n", hot_rows, max_hot_keys)
-    rows = found.collect()
-    if not rows:
-        return df, None
-    hot = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
-    tagged = df.join(hot, keys, "left")
-    return (tagged.where(F.col("_hot").isNull()).drop("_hot"),
-            tagged.where(F.col("_hot")).drop("_hot"))
+MEDIAN_ACCURACY = 10_000     # rank error of the approximate quantiles: 1 / accuracy
 
 
-def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
-                      hot_rows: int | None = None, max_hot_keys: int | None = None,
-                      buckets: int | None = None) -> DataFrame:
-    """row_number() over (partition by keys order by order), safe for hot keys.
-
-    Ordinary keys use the window; keys with >= hot_rows rows are numbered by
-    the range-partitioned method above, so no task holds a whole hot group.
-    ``order`` should be a total order within a key (as any row_number needs).
-    """
-    keys, order = list(keys), list(order)
-    cold, hot = split_hot(df, keys, hot_rows, max_hot_keys)
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = cold.withColumn(out, F.row_number().over(w).cast("bigint"))
-    if hot is None:
-        return numbered
-    return numbered.unionByName(_ranged_row_number(hot, keys, order, out, n))
+def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Exact interpolated medians per key (T7), NULLs skipped; one row per key.
 
+    ``values`` maps output alias -> input column.
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str],
-                count_source: DataFrame | None = None, **kw) -> DataFrame:
-    """Left-join a one-row-per-key table onto a big table, salting hot keys of the big side.
+    1. one aggregation gives, per key and measure, the number of values and two
+       approximate quantiles that enclose the median (bounded sketches);
+    2. values below the enclosure are counted, values inside it, about one in a
+       thousand, go on as a value -> count histogram;
+    3. a running count inside the enclosure finds the two middle ranks, and the
+       median interpolates between them as ``percentile`` does.
 
-    The big side's rows per key are counted with a partial aggregation (on
-    ``count_source`` when given: a cheaper relation with the same key
-    distribution, so an expensive big side is not computed twice); keys over
-    the hot threshold are spread over salts (see ``attach_key_stats``).  When
-    ``small`` is small at runtime, AQE still turns the join into a broadcast
-    hash join.
+    A rank outside its enclosure would break the sketch's error bound and
+    raises an error instead of giving a wrong median.
     """
-    keys = list(keys)
-    if big.isStreaming:
-        # stream-static join: no key counting (that would be a stateful aggregation);
-        # a micro-batch bounds the rows any key can bring
-        return big.join(small, keys, "left")
-    src = big if count_source is None else count_source
-    stats = key_counts(src, keys, "_n").join(small, keys, "left")
-    return attach_key_stats(big, stats, keys, "_n", **kw).drop("_n")
+    by = list(keys) or ["_all"]
+    src = df.select(*keys, *[F.col(c).cast("double").alias(f"_v_{a}") for a, c in values.items()])
+    if not keys:
+        src = src.withColumn("_all", F.lit(1))
+    reach = 5 / MEDIAN_ACCURACY
+    around = src.groupBy(*by).agg(*[e for a in values for e in (
+        F.count(f"_v_{a}").alias(f"_n_{a}"),
+        F.percentile_approx(f"_v_{a}", [0.5 - reach, 0.5 + reach], MEDIAN_ACCURACY).alias(f"_b_{a}"))])
+    placed = lookup_join(src, around, by)
+    below = placed.groupBy(*by).agg(*[F.count(F.when(F.col(f"_v_{a}") < F.col(f"_b_{a}")[0], 1)).alias(f"_u_{a}")
+                                      for a in values])
+    inside = F.filter(F.array(*[F.when(F.col(f"_v_{a}").between(F.col(f"_b_{a}")[0], F.col(f"_b_{a}")[1]),
+                                       F.struct(F.lit(a).alias("m"), F.col(f"_v_{a}").alias("v"))) for a in values]),
+                      lambda x: x.isNotNull())
+    slices = (placed.select(*by, F.explode(inside).alias("_s")).select(*by, "_s.m", "_s.v")
+              .groupBy(*by, "m", "v").agg(F.count(F.lit(1)).alias("f")))
+    running = Window.partitionBy(*by, "m").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = slices.withColumn("end", F.sum("f").over(running)).withColumn("start", F.col("end") - F.col("f"))
+    known = null_safe_join(around, below, by)
+    stacked = known.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(a).alias("m"), F.col(f"_n_{a}").alias("n"), F.col(f"_u_{a}").alias("u")) for a in values]))
+        .alias("_k")).select(*by, "_k.*").where("n > 0")
+    pos = (F.col("n") - 1) * 0.5
+    low, high = F.floor(pos) - F.col("u"), F.ceil(pos) - F.col("u")   # ranks within the slice
+    met = null_safe_join(ranks, stacked, [*by, "m"], "inner")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("v")))
+
+    two = met.groupBy(*by, "m").agg(at(low).alias("lo"), at(high).alias("hi"), F.max("n").alias("n"))
+    missed = F.raise_error(F.lit("a median lies outside its approximate quantiles")).cast("double")
+    p, f, c = pos, F.floor(pos), F.ceil(pos)
+    middle = (F.when(F.col("lo").isNull() | F.col("hi").isNull(), missed)
+              .when(f == c, F.col("lo")).otherwise((c - p) * F.col("lo") + (p - f) * F.col("hi")))
+    found = two.select(*by, "m", middle.alias("med")).groupBy(*by).agg(
+        *[F.max(F.when(F.col("m") == a, F.col("med"))).alias(a) for a in values])
+    # every key has a row; measures without values stay NULL
+    return null_safe_join(around.select(*by), found, by).select(*keys, *values)

@@ -16,8 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -29,6 +28,8 @@ from ..constants import (
     SPLIT_TEST_SIZE,
 )
 from ..plans.scorecard import MARGIN_VARYING, sigmoid
+from ..session import materialize
+from .cleaning import select_features
 from .keyed import exact_medians, with_key_stats
 
 
@@ -53,43 +54,42 @@ def quote_weights(df: DataFrame, out: str = "quote_weight") -> DataFrame:
     return w.withColumn(out, F.lit(1.0) / F.col("_lines")).drop("_lines")
 
 
-def class_weights(df: DataFrame, label: str = "is_win", weight_col: str | None = None) -> DataFrame:
-    """'balanced' class weights n / (2 * count(class)): a 2-row table.
+@dataclass
+class ClassWeights:
+    """'balanced' weights per class: all / (classes * count of the class)."""
 
-    Counts are raw by default; with ``weight_col`` they are sums of sample
-    weights (the other reading of 'balanced' with sample weights).
-    """
-    amount = F.count(F.lit(1)) if weight_col is None else F.sum(weight_col)
-    counts = df.groupBy(label).agg(amount.alias("n_class"))
-    whole = Window.partitionBy()   # over the 2-row class table only
-    return counts.select(label, "n_class", (F.sum("n_class").over(whole)
-                         / (F.count(F.lit(1)).over(whole) * F.col("n_class"))).alias("class_weight"))
+    count: dict[int, float]
+    weight: dict[int, float]
+    total: float   # sum of the sample weights (quote weight x class weight)
 
+    def column(self, label: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for y, v in self.weight.items():
+            out = F.when(label == F.lit(y), F.lit(v)).otherwise(out)
+        return out
 
-# ------------------------------------------------------------------ M4-M6
-def numeric_medians(df: DataFrame, features: list[str] = NUMERIC_FEATURES) -> DataFrame:
-    """M4: one-row table of exact medians (unweighted) of the numeric features."""
-    return exact_medians(df, [], {f: f for f in features})
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame([(int(y), int(n), float(self.weight[y])) for y, n in self.count.items()],
+                                     "is_win int, n_class long, class_weight double")
 
 
+def class_weights(weighted: DataFrame, label: str = "is_win", by_weight: bool = False) -> ClassWeights:
+    """M3: counts are raw lines; with ``by_weight`` they are sums of the quote weights
+    (the other reading of 'balanced' with sample weights).  At most two rows reach the driver."""
+    per_class = {r[label]: r for r in weighted.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quote_weight").alias("s")).collect()}
+    amount = {y: (r["s"] if by_weight else r["n"]) for y, r in per_class.items()}
+    weight = {y: sum(amount.values()) / (len(amount) * a) for y, a in amount.items()}
+    return ClassWeights(amount, weight, sum(weight[y] * r["s"] for y, r in per_class.items()))
+
+
+# ------------------------------------------------------------------ M4-M6
 def product_mode(df: DataFrame) -> DataFrame:
     """M5: most frequent product, ties -> smallest (one row)."""
     counts = df.where(F.col("product").isNotNull()).groupBy("product").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), F.asc("product")).limit(1).select("product")
 
 
-def scaling_stats(df: DataFrame, medians: dict[str, float | None],
-                  features: list[str] = NUMERIC_FEATURES) -> DataFrame:
-    """M6: mean and population std of the median-imputed features (one row)."""
-    aggs = []
-    for f in features:
-        if medians.get(f) is None:
-            continue
-        x = F.coalesce(F.col(f).cast("double"), F.lit(medians[f]))
-        aggs += [F.avg(x).alias(f"{f}__mean"), F.stddev_pop(x).alias(f"{f}__std")]
-    return df.agg(*aggs)
-
-
 @dataclass
 class Preprocessing:
     medians: dict[str, float]
@@ -121,36 +121,37 @@ class Preprocessing:
 def learn_preprocessing(df: DataFrame, features: list[str] = NUMERIC_FEATURES) -> Preprocessing:
     """Learn imputation and scaling on the fit set (M4-M6); a few scalars reach the driver.
 
-    Medians and the moments of the median-imputed values come from one stacked
-    value histogram (one scan): with m the median, N rows of which z are NULL,
-    mean = (S1 + z m) / N and population variance = (S2 + z m^2) / N - mean^2.
+    Medians first (exact), then mean and population standard deviation of the
+    imputed values in one aggregation (Spark's running moments, which don't cancel).
     """
-    row = exact_medians(df, [], {f: f for f in features}, moments=True).first()
-    medians, means, scales = {}, {}, {}
-    for f in features:
-        m = None if row is None else row[f]
-        if m is None:          # all-NULL feature: dropped, as scikit-learn does
-            continue
-        n = (row[f"{f}__n"] or 0) + (row[f"{f}__nnull"] or 0)
-        z = row[f"{f}__nnull"] or 0
-        mean = (row[f"{f}__s1"] + z * m) / n
-        var = max((row[f"{f}__s2"] + z * m * m) / n - mean * mean, 0.0)
-        std = var ** 0.5
-        medians[f], means[f] = float(m), float(mean)
+    row = exact_medians(df, [], {f: f for f in features}).first()
+    # all-NULL features are dropped, as scikit-learn does
+    medians = {f: float(row[f]) for f in features if row is not None and row[f] is not None}
+    if not medians:
+        return Preprocessing({}, {}, {}, None, [])
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(m)) for f, m in medians.items()}
+    moments = df.agg(*[e for f, x in filled.items() for e in (
+        F.avg(x).alias(f"{f}__mean"), F.stddev_pop(x).alias(f"{f}__std"))]).first()
+    means, scales = {}, {}
+    for f in medians:
+        mean, std = moments[f"{f}__mean"], moments[f"{f}__std"]
+        means[f] = float(mean)
         scales[f] = 1.0 if std < 10 * 2.220446049250313e-16 * max(1.0, abs(mean)) else float(std)
     mode = product_mode(df).first()
-    return Preprocessing(medians, means, scales, None if mode is None else mode["product"],
-                         [f for f in features if f in medians])
+    return Preprocessing(medians, means, scales, None if mode is None else mode["product"], list(medians))
 
 
 # ------------------------------------------------------------------ M7-M9, M15
 @dataclass
 class FittedWinModel:
-    pipeline: PipelineModel
+    """A logistic model as a Column expression; ``pipeline`` is its Spark ML form, if it was fitted."""
+
+    pipeline: PipelineModel | None
     prep: Preprocessing
     levels: list[str]
     coefficients: list[float]
     intercept: float
+    classes: ClassWeights | None = None
 
     def numeric_coef(self) -> dict[str, float]:
         return dict(zip(self.prep.features, self.coefficients[:len(self.prep.features)]))
@@ -184,6 +185,12 @@ class FittedWinModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
 
+    def product_index(self, df: DataFrame, out: str = "product_index") -> DataFrame:
+        """M7: the fitted encoder's place of the (mode-filled) product, NULL for a level it hasn't seen."""
+        coded = self.pipeline.stages[1].transform(self.pipeline.stages[0].transform(df))
+        known = F.col("product_idx") < len(self.levels)
+        return coded.withColumn(out, F.when(known, F.col("product_idx").cast("int")))
+
     def coefficient_table(self, spark) -> DataFrame:
         rows = [("intercept", float(self.intercept))]
         rows += [(f"num:{k}", float(v)) for k, v in self.numeric_coef().items()]
@@ -203,10 +210,10 @@ class FittedWinModel:
         return _from_pipeline(pm, prep)
 
 
-def _from_pipeline(pm: PipelineModel, prep: Preprocessing) -> FittedWinModel:
+def _from_pipeline(pm: PipelineModel, prep: Preprocessing, classes: ClassWeights | None = None) -> FittedWinModel:
     _, indexer, _, _, lr = pm.stages
     coef = lr.coefficients.toArray().tolist()
-    return FittedWinModel(pm, prep, list(indexer.labels), coef, float(lr.intercept))
+    return FittedWinModel(pm, prep, list(indexer.labels), coef, float(lr.intercept), classes)
 
 
 def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
@@ -219,19 +226,11 @@ def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
     weight.  ``standardization=False``: features are already scaled.
     """
     prep = learn_preprocessing(df, features)
-    weighted = quote_weights(df)
-    # per class: raw count and summed quote weight (<= 2 rows) give the balanced
-    # class weights and the total sample weight in one aggregation
-    per_class = {r[label]: r for r in weighted.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quote_weight").alias("s")).collect()}
-    amount = {y: (r["s"] if weighted_class_counts else r["n"]) for y, r in per_class.items()}
-    total_amount = sum(amount.values())
-    cw = {y: total_amount / (len(amount) * a) for y, a in amount.items()}
-    total_w = sum(cw[y] * per_class[y]["s"] for y in per_class)
-    w_expr = F.lit(None).cast("double")
-    for y, v in cw.items():
-        w_expr = F.when(F.col(label) == F.lit(y), F.lit(v)).otherwise(w_expr)
-    weighted = weighted.withColumn("_w", F.col("quote_weight") * w_expr)
+    # written once: class weights, the indexer and every pass of the optimiser read it
+    weighted = materialize(quote_weights(select_features(df, ["quote_id", label, "product", *prep.features]))
+                           .drop("quote_id"), "fit")
+    classes = class_weights(weighted, label, weighted_class_counts)
+    weighted = weighted.withColumn("_w", F.col("quote_weight") * classes.column(F.col(label)))
     stages = [
         SQLTransformer(statement=prep.sql()),
         StringIndexer(inputCol="product_filled", outputCol="product_idx", handleInvalid="keep",
@@ -241,18 +240,34 @@ def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
         VectorAssembler(inputCols=[f"z_{f}" for f in prep.features] + ["product_vec"],
                         outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
-                           regParam=1.0 / (C * total_w), elasticNetParam=0.0, standardization=False,
+                           regParam=1.0 / (C * classes.total), elasticNetParam=0.0, standardization=False,
                            maxIter=max_iter, tol=1e-6, fitIntercept=True),
     ]
     train = weighted.withColumn(label, F.col(label).cast("double"))
     pm = Pipeline(stages=stages).fit(train)
-    return _from_pipeline(pm, prep)
+    return _from_pipeline(pm, prep, classes)
+
+
+def stationarity(model: FittedWinModel, df: DataFrame, label: str = "is_win", C: float = LOGREG_C) -> DataFrame:
+    """|gradient of the objective| / sum of weights per term, at the fitted coefficients (one aggregation).
+
+    0 at the optimum; the optimiser's tolerance bounds what is left."""
+    features = {f: F.col(f) for f in ["product", *NUMERIC_FEATURES]}
+    weighted = quote_weights(select_features(df, ["quote_id", label, "product", *model.prep.features]))
+    w = F.col("quote_weight") * model.classes.column(F.col(label))
+    pull = w * (model.probability({k: v for k, v in features.items() if k in weighted.columns}) - F.col(label))
+    level = model.prep.product(F.col("product"))
+    terms = [("intercept", F.sum(pull), 0.0)]
+    terms += [(f"num:{f}", F.sum(pull * model.prep.z(f, F.col(f))), b) for f, b in model.numeric_coef().items()]
+    terms += [(f"product:{v}", F.sum(F.when(level == v, pull).otherwise(0.0)), b) for v, b in model.product_coef().items()]
+    rows = [F.struct(F.lit(t).alias("term"), (F.abs(g + F.lit(b / C)) / F.lit(model.classes.total)).alias("gradient"))
+            for t, g, b in terms]
+    return weighted.agg(F.array(*rows).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
 
 
 # ------------------------------------------------------------------ M10
 def predict_win(model: FittedWinModel, df: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFrame:
-    """Probability of a win and the class at p >= threshold (Spark's own is strict >)."""
-    out = model.transform(df)
-    p = vector_to_array(F.col("probability"))[1]
-    return out.withColumn("win_probability", p).withColumn(
+    """Probability of a win (row-local) and the class at p >= threshold (Spark's own is strict >)."""
+    p = model.probability({f: F.col(f) for f in ["product", *model.prep.features]})
+    return df.withColumn("win_probability", p).withColumn(
         "predicted_win", (F.col("win_probability") >= threshold).cast("int"))

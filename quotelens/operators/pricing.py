@@ -1,14 +1,15 @@
 """Scenario pricing over a table of requests.
 
 The reference prices one hand-typed scenario at a time; here every function
-takes a DataFrame of requests (any number of rows).  Scenario math, flags and
-positions are row-local column expressions.  The 71-point margin grid is
-exploded into rows and evaluated in whole-stage codegen (``grid_points``);
-the best point per request is a map-side-combined aggregation and the top-k a
-``row_number`` limit, both without an exchange when requests are clustered by
-their id, with the points sorted per task bounded by ``bounded_grid_input``.
-For streaming inputs the grid stays inside the row (``margin_grid``:
-``transform`` over the grid), which needs no state.
+takes a DataFrame of requests (any number of rows).  Everything is row-local:
+the margin grid of a request is an array of expected gross profits only, one
+double per margin (``expected_profits``); its best or top entries give the
+margin, and price, probability and profit are computed from that margin once.
+Nothing is grouped, so requests need no unique id, and the operators work on
+streams as they are.  ``margin_curve`` lists all points as rows.
+
+A margin of 95 % or more has no price (P3): its computed columns are NULL, or
+an error is raised with ``strict``; the grid stops below it.
 
 Request columns: quote_id, line_seq (the request id), product, kw, qty,
 cost_per_unit, gross_margin_rate, energy_grant_amount, competitor_a/b/c,
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -32,6 +33,7 @@ from ..constants import (
     BOUND_MIN_QTY,
     BOUND_THRESHOLD_RANGE,
     COMPARISON_ROWS,
+    COMPETITOR_LABELS,
     DEFAULT_MARGIN,
     DEFAULT_MIN_MARGIN,
     DEFAULT_MIN_WIN_PROBABILITY,
@@ -45,6 +47,8 @@ from ..constants import (
     GRID_MAX_MARGIN,
     GRID_STEP,
     MAX_VALID_MARGIN,
+    PROPOSED_PRICE_LABEL,
+    SCENARIO_ERROR,
     TOP_SCENARIOS,
 )
 from ..functions.columns import (
@@ -62,8 +66,6 @@ from ..plans.scorecard import WinScorer, sigmoid
 from .keyed import exact_medians, first_per_key, lookup_join
 
 REQUEST_KEYS = ["quote_id", "line_seq"]
-SCENARIO_ERROR = "Gross margin rate must be below 95%."
-
 
 REQUEST_TYPES = [
     ("quote_id", "bigint"), ("line_seq", "bigint"), ("product", "string"), ("kw", "double"),
@@ -92,6 +94,12 @@ def with_available_competitors(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ P2
+def valid_margin(gmr: Column, strict: bool = False) -> Column:
+    """The margin where a price may be made of it (P3), else NULL or an error."""
+    other = F.raise_error(F.lit(SCENARIO_ERROR)).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(margin_ok(gmr), gmr).otherwise(other)
+
+
 def _scenario(df: DataFrame, gmr: Column) -> dict[str, Column]:
     return scenario_columns(F.col("cost_per_unit"), gmr, F.col("qty"), F.col("energy_grant_amount"),
                             F.col("competitor_a"), F.col("competitor_b"), F.col("competitor_c"))
@@ -122,9 +130,9 @@ SCENARIO_OUTPUT = ["unit_price", "estimated_cost", "grant_ratio_to_subtotal",
                    "subtotal_price", "gross_profit_amount"]
 
 
-def price_scenarios(requests: DataFrame, keys: list[str] = REQUEST_KEYS) -> DataFrame:
+def price_scenarios(requests: DataFrame, keys: list[str] = REQUEST_KEYS, strict: bool = False) -> DataFrame:
     """Price each request at its own proposed margin."""
-    sc = _scenario(requests, F.col("gross_margin_rate"))
+    sc = _scenario(requests, valid_margin(F.col("gross_margin_rate"), strict))
     return requests.select(*keys, "product", "kw", "qty", "cost_per_unit", "gross_margin_rate",
                            "energy_grant_amount", "competitor_a", "competitor_b", "competitor_c",
                            "minimum_margin", "minimum_win_probability",
@@ -178,13 +186,6 @@ def validate_requests(requests: DataFrame, keys: list[str] = REQUEST_KEYS) -> Da
                            (failed == "").alias("is_valid"))
 
 
-def valid_requests(requests: DataFrame) -> DataFrame:
-    ok = F.lit(True)
-    for _, pred in _rules():
-        ok = ok & pred
-    return requests.where(ok)
-
-
 # ------------------------------------------------------------------ P5 / P6
 def product_defaults(clean: DataFrame) -> DataFrame:
     """P5: per-product medians used to prefill a request."""
@@ -203,8 +204,7 @@ def prefill_requests(requests: DataFrame, defaults: DataFrame) -> DataFrame:
 
     Competitors are used by default only when the product has a median for A;
     then a missing competitor becomes 0 (= unavailable).  ``defaults`` has one
-    row per product, so the join never multiplies rows; it is attached with
-    ``lookup_join`` (hot products salted, AQE broadcast when small).
+    row per product, so the join never multiplies rows.
     """
     use_comp = F.col("default_competitor_a").isNotNull()
     out = lookup_join(requests, defaults, ["product"])
@@ -226,12 +226,19 @@ def prefill_requests(requests: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ P7
-def score_scenarios(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS) -> DataFrame:
-    """Probability, gross profit and expected gross profit of the proposed margin."""
-    gmr = F.col("gross_margin_rate")
+def _proposal(requests: DataFrame, scorer: WinScorer, strict: bool = False) -> tuple[dict[str, Column], Column]:
+    """(scenario columns, win probability) of the proposed margin; NULL where P3 rejects it."""
+    gmr = valid_margin(F.col("gross_margin_rate"), strict)
     sc = _scenario(requests, gmr)
     p = scorer.probability(features_for(requests, gmr, sc))
-    return requests.select(*keys, "product", gmr.alias("gross_margin_rate"),
+    return sc, F.when(margin_ok(F.col("gross_margin_rate")), p)
+
+
+def score_scenarios(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
+                    strict: bool = False) -> DataFrame:
+    """Probability, gross profit and expected gross profit of the proposed margin."""
+    sc, p = _proposal(requests, scorer, strict)
+    return requests.select(*keys, "product", "gross_margin_rate",
                            sc["unit_price"].alias("unit_price"),
                            p.alias("win_probability"),
                            sc["gross_profit_amount"].alias("gross_profit_amount"),
@@ -240,90 +247,18 @@ def score_scenarios(requests: DataFrame, scorer: WinScorer, keys: list[str] = RE
 
 # ------------------------------------------------------------------ P8-P10: the margin grid
 def grid_size(max_margin: float = GRID_MAX_MARGIN, step: float = GRID_STEP) -> int:
-    """Number of points of arange(0, max + 0.001, step)."""
-    return int(math.ceil((max_margin + 0.001) / step))
-
-
-def margin_grid(requests: DataFrame, scorer: WinScorer, max_margin: float = GRID_MAX_MARGIN,
-                step: float = GRID_STEP) -> Column:
-    """ARRAY<STRUCT> of the grid points of one request (row-local, no shuffle).
-
-    Higher-order lambdas are evaluated per element, so everything that does not
-    depend on the margin (competitor summary, total cost, the scorer's fixed
-    part of the logit) is computed once per row and handed to the lambda as the
-    repeated array element: ``transform(array_repeat(struct(...), n), (s, i) -> ...)``.
-    Passing it as the element (not as a column) keeps the optimiser from
-    inlining it back into the lambda.
-    """
-    n = grid_size(max_margin, step)
-    comps = available_competitors("competitor_a", "competitor_b", "competitor_c")
-    inv = {
-        "product": F.col("product"), "kw": F.col("kw"), "qty": F.col("qty"),
-        "energy_grant_amount": F.col("energy_grant_amount"),
-        "estimated_cost": F.col("cost_per_unit") * F.col("qty"),
-        "competitor_count_available": F.size(comps),
-        "avg_competitor_price": array_mean(comps),
-        "min_competitor_price": F.array_min(comps),
-    }
-    split = hasattr(scorer, "fixed_logit") and hasattr(scorer, "varying_logit")
-    fields = [v.alias(k) for k, v in inv.items()] + [
-        F.col("cost_per_unit").alias("_cpu"), F.col("minimum_margin").alias("_min_margin")]
-    if split:
-        fields.append(scorer.fixed_logit(inv).alias("_fixed"))
-    seed = F.struct(*fields)
-
-    # Interpreted lambdas have no common-subexpression elimination, so values
-    # used more than once are bound in one stage and read as fields in the next.
-    def base(s: Column, i: Column) -> Column:
-        g = i.cast("double") * F.lit(step)
-        return F.struct(s.alias("s"), i.alias("i"), g.alias("g"),
-                        F.try_divide(s["_cpu"], F.lit(1.0) - g).alias("up"))
-
-    def derived(e: Column) -> Column:
-        s, up = e["s"], e["up"]
-        return F.struct(e["s"].alias("s"), e["i"].alias("i"), e["g"].alias("g"), up.alias("up"),
-                        (up * s["qty"]).alias("sub"))
-
-    def scored(e: Column) -> Column:
-        s, up, sub, g = e["s"], e["up"], e["sub"], e["g"]
-        avg_c, min_c = s["avg_competitor_price"], s["min_competitor_price"]
-        f = {k: s[k] for k in inv}
-        f.update({
-            "unit_price": up,
-            "gross_margin_rate": g,
-            "grant_ratio_to_subtotal": F.when(sub != 0, s["energy_grant_amount"] / sub),
-            "price_gap_avg_competitor_pct": (up - avg_c) / avg_c * 100,
-            "price_gap_min_competitor_pct": (up - min_c) / min_c * 100,
-        })
-        p = sigmoid(scorer.varying_logit(f, s["_fixed"])) if split else scorer.probability(f)
-        return F.struct(e["i"].alias("i"), g.alias("g"), up.alias("up"), p.alias("p"),
-                        (sub - s["estimated_cost"]).alias("gp"),
-                        (g >= s["_min_margin"]).alias("ok"))
-
-    def point(e: Column) -> Column:
-        p, gp = e["p"], e["gp"]
-        return F.struct(
-            (p * gp).alias("expected_gross_profit"),
-            (-e["i"]).alias("neg_index"),
-            e["i"].alias("grid_index"),
-            e["g"].alias("gross_margin_rate"),
-            e["up"].alias("unit_price"),
-            p.alias("win_probability"),
-            gp.alias("gross_profit_if_won"),
-            e["ok"].alias("meets_minimum_margin"),
-        )
-
-    stage = F.transform(F.array_repeat(seed, n), base)
-    return F.transform(F.transform(F.transform(stage, derived), scored), point)
+    """Number of points of arange(0, max + 0.001, step) that P3 allows."""
+    return sum(1 for i in range(int(math.ceil((max_margin + 0.001) / step))) if i * step < MAX_VALID_MARGIN)
 
 
 GRID_FIELDS = ["grid_index", "gross_margin_rate", "unit_price", "win_probability",
                "gross_profit_if_won", "expected_gross_profit", "meets_minimum_margin"]
 
 
-def _invariants() -> dict[str, Column]:
+def _seed(requests: DataFrame, scorer: WinScorer) -> Column:
+    """What a request's grid points share: competitor summary, total cost, the fixed part of the logit."""
     comps = available_competitors("competitor_a", "competitor_b", "competitor_c")
-    return {
+    inv = {
         "product": F.col("product"), "kw": F.col("kw"), "qty": F.col("qty"),
         "energy_grant_amount": F.col("energy_grant_amount"),
         "estimated_cost": F.col("cost_per_unit") * F.col("qty"),
@@ -331,125 +266,74 @@ def _invariants() -> dict[str, Column]:
         "avg_competitor_price": array_mean(comps),
         "min_competitor_price": F.array_min(comps),
     }
-
-
-def grid_points(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
-                carry: list[str] | None = None, max_margin: float = GRID_MAX_MARGIN,
-                step: float = GRID_STEP) -> DataFrame:
-    """Every grid point of every request as a row, computed in whole-stage codegen.
-
-    Margin-independent values (competitor summary, total cost, the scorer's
-    fixed logit) are computed once per request below the ``explode``; the
-    per-point arithmetic above it is a plain projection, so common
-    subexpressions (unit price, subtotal) are shared by codegen.  ``carry``
-    request columns ride along for later use.
+    fields = [v.alias(k) for k, v in inv.items()]
+    fields += [F.col("cost_per_unit").alias("cost_per_unit"), F.col("minimum_margin").alias("minimum_margin")]
+    if hasattr(scorer, "fixed_logit"):
+        fields.append(scorer.fixed_logit(inv).alias("fixed"))
+    return F.struct(*fields)
+
+
+def _point(s: Column, index: Column, scorer: WinScorer, step: float) -> dict[str, Column]:
+    """One grid point from the seed and its index."""
+    g = index.cast("double") * F.lit(step)
+    up = F.try_divide(s["cost_per_unit"], F.lit(1.0) - g)
+    sub = up * s["qty"]
+    avg_c, min_c = s["avg_competitor_price"], s["min_competitor_price"]
+    f = {k: s[k] for k in ("product", "kw", "qty", "energy_grant_amount", "estimated_cost",
+                           "competitor_count_available", "avg_competitor_price", "min_competitor_price")}
+    f |= {"unit_price": up, "gross_margin_rate": g,
+          "grant_ratio_to_subtotal": F.when(sub != 0, s["energy_grant_amount"] / sub),
+          "price_gap_avg_competitor_pct": (up - avg_c) / avg_c * 100,
+          "price_gap_min_competitor_pct": (up - min_c) / min_c * 100}
+    p = sigmoid(scorer.varying_logit(f, s["fixed"])) if hasattr(scorer, "fixed_logit") else scorer.probability(f)
+    gp = sub - s["estimated_cost"]
+    return {"grid_index": index, "gross_margin_rate": g, "unit_price": up, "win_probability": p,
+            "gross_profit_if_won": gp, "expected_gross_profit": p * gp,
+            "meets_minimum_margin": g >= s["minimum_margin"]}
+
+
+def with_expected_profits(requests: DataFrame, scorer: WinScorer, feasible_only: bool,
+                          max_margin: float = GRID_MAX_MARGIN, step: float = GRID_STEP) -> DataFrame:
+    """Add ``_seed`` and ``_profits``: the expected gross profit at each grid margin, NULL where infeasible.
+
+    The seed is handed to the lambda as the repeated array element, so what the
+    points share is computed once per request.
     """
-    n = grid_size(max_margin, step)
-    carry = [c for c in (carry or []) if c not in keys]
-    inv = _invariants()
-    split = hasattr(scorer, "fixed_logit") and hasattr(scorer, "varying_logit")
-    # a scorer without the fixed/varying split may read any request column
-    passthrough = [*keys, *carry] if split else list(dict.fromkeys([*keys, *carry, *requests.columns]))
-    base_cols = passthrough + [v.alias(f"_inv_{k}") for k, v in inv.items()] + [
-        F.col("cost_per_unit").alias("_cpu"), F.col("minimum_margin").alias("_min_margin")]
-    if split:
-        base_cols.append(scorer.fixed_logit(inv).alias("_fixed"))
-    # two selects: with the explode in the same select, the analyser would evaluate
-    # the invariants above the Generate, i.e. once per grid point
-    base = requests.select(*base_cols).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("grid_index"))
-    g = F.col("grid_index").cast("double") * F.lit(step)
-    up = F.try_divide(F.col("_cpu"), F.lit(1.0) - g)
-    sub = up * F.col("_inv_qty")
-    avg_c, min_c = F.col("_inv_avg_competitor_price"), F.col("_inv_min_competitor_price")
-    f = {k: F.col(f"_inv_{k}") for k in inv}
-    f.update({
-        "unit_price": up,
-        "gross_margin_rate": g,
-        "grant_ratio_to_subtotal": F.when(sub != 0, F.col("_inv_energy_grant_amount") / sub),
-        "price_gap_avg_competitor_pct": (up - avg_c) / avg_c * 100,
-        "price_gap_min_competitor_pct": (up - min_c) / min_c * 100,
-    })
-    p = sigmoid(scorer.varying_logit(f, F.col("_fixed"))) if split else scorer.probability(f)
-    gp = sub - F.col("_inv_estimated_cost")
-    return base.select(*keys, *carry, "grid_index", g.alias("gross_margin_rate"), up.alias("unit_price"),
-                       p.alias("win_probability"), gp.alias("gross_profit_if_won"),
-                       (p * gp).alias("expected_gross_profit"),
-                       (g >= F.col("_min_margin")).alias("meets_minimum_margin"))
-
-
-def _point_struct(prefix: str = "") -> Column:
-    c = lambda x: F.col(prefix + x)
-    return F.struct(c("expected_gross_profit").alias("expected_gross_profit"),
-                    (-c("grid_index")).alias("neg_index"),
-                    c("grid_index").alias("grid_index"),
-                    c("gross_margin_rate").alias("gross_margin_rate"),
-                    c("unit_price").alias("unit_price"),
-                    c("win_probability").alias("win_probability"),
-                    c("gross_profit_if_won").alias("gross_profit_if_won"),
-                    c("meets_minimum_margin").alias("meets_minimum_margin"))
-
-
-def margin_curve(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
-                 **grid_kw) -> DataFrame:
-    """Every grid point of every request (71 rows per request by default)."""
-    return grid_points(requests, scorer, keys, **grid_kw).select(*keys, *GRID_FIELDS)
-
-
-def best_feasible(grid: Column) -> Column:
-    """P9 (row-local form): argmax of expected GP among feasible points; ties -> lowest margin.
-
-    Struct order is (expected GP, -index): the max picks the highest expected GP
-    and, among equals, the lowest index; NULL expected GP sorts lowest.
-    """
-    return F.array_max(F.filter(grid, lambda x: x["meets_minimum_margin"]))
+    def profit(s: Column, i: Column) -> Column:
+        point = _point(s, i, scorer, step)
+        e = point["expected_gross_profit"]
+        return F.when(point["meets_minimum_margin"], e) if feasible_only else e
 
+    seeded = requests.withColumn("_seed", _seed(requests, scorer))
+    return seeded.withColumn("_profits", F.transform(F.array_repeat("_seed", grid_size(max_margin, step)), profit))
 
-def best_points(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
-                carry: list[str] | None = None, **grid_kw) -> DataFrame:
-    """Per request: ``keys``, ``carry`` columns and ``_b``, the best feasible grid point.
 
-    Batch: exploded points (codegen) and ``max(struct)`` per request; the
-    aggregation combines map-side to one row per request before any exchange,
-    and needs none when requests are already clustered by their id.  Request
-    ids (``keys``) must be unique.  Streaming: the stateless row-local form
-    (``transform`` over the grid inside the row), which needs no state store.
-    A request without a feasible point gets a NULL ``_b``.
-    """
-    carry = [c for c in (carry or []) if c not in keys]
-    if requests.isStreaming:
-        return requests.select(*keys, *carry, best_feasible(margin_grid(requests, scorer, **grid_kw)).alias("_b"))
-    pts = grid_points(bounded_grid_input(requests, keys), scorer, keys, carry, **grid_kw)
-    return pts.groupBy(*keys).agg(
-        F.max(F.when(F.col("meets_minimum_margin"), _point_struct())).alias("_b"),
-        *[F.first(c).alias(c) for c in carry])
-
-
-GRID_REQUESTS_PER_TASK = 200_000   # ~71 x 116 B of sorted points each: ~1.6 GB per task
-
-
-def bounded_grid_input(requests: DataFrame, keys: list[str] = REQUEST_KEYS) -> DataFrame:
-    """Size check for the exploded grid's per-request argmax.
-
-    The map-side aggregation sorts a task's points (71 per request), so its
-    memory grows with the requests per task.  If the input averages more than
-    ``quotelens.gridRequestsPerTask`` requests per partition, hash-partition it
-    by request id into enough partitions first (one request-sized shuffle, and
-    the aggregation then needs no further exchange); otherwise keep it as is.
-    """
-    spark = requests.sparkSession
-    bound = int(spark.conf.get("quotelens.gridRequestsPerTask", None) or GRID_REQUESTS_PER_TASK)
-    n = requests.count()
-    parts = requests.rdd.getNumPartitions()
-    if n <= bound * max(parts, 1):
-        return requests
-    return requests.repartition(int(math.ceil(n / bound)), *keys)
+def margin_curve(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
+                 max_margin: float = GRID_MAX_MARGIN, step: float = GRID_STEP) -> DataFrame:
+    """Every grid point of every request as a row (71 per request by default)."""
+    # two selects: the seed is computed below the explode, once per request
+    base = requests.select("*", _seed(requests, scorer).alias("_seed")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(grid_size(max_margin, step) - 1))).alias("grid_index"))
+    point = _point(F.col("_seed"), F.col("grid_index"), scorer, step)
+    return base.select(*keys, *[point[f].alias(f) for f in GRID_FIELDS])
+
+
+def with_best_point(requests: DataFrame, scorer: WinScorer, max_margin: float = GRID_MAX_MARGIN,
+                    step: float = GRID_STEP) -> DataFrame:
+    """Add ``_b``: the feasible grid point of the highest expected gross profit, the lowest margin
+    among equals (T14); NULL fields without a feasible point."""
+    grid = with_expected_profits(requests, scorer, True, max_margin, step)
+    index = F.array_position("_profits", F.array_max("_profits")).cast("int") - 1
+    found = grid.withColumn("_at", index)
+    point = _point(F.col("_seed"), F.col("_at"), scorer, step)
+    chosen = F.struct(*[F.when(F.col("_at").isNotNull(), point[f]).alias(f) for f in GRID_FIELDS])
+    return found.withColumn("_b", chosen).drop("_seed", "_profits", "_at")
 
 
 def recommend_margin(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                      **grid_kw) -> DataFrame:
     """The recommended margin per request."""
-    r = best_points(requests, scorer, keys, ["product"], **grid_kw)
+    r = with_best_point(requests, scorer, **grid_kw)
     return r.select(*keys, "product",
                     F.col("_b.gross_margin_rate").alias("recommended_margin"),
                     F.col("_b.unit_price").alias("recommended_unit_price"),
@@ -459,49 +343,40 @@ def recommend_margin(requests: DataFrame, scorer: WinScorer, keys: list[str] = R
 
 
 def top_margin_scenarios(requests: DataFrame, scorer: WinScorer, k: int = TOP_SCENARIOS,
-                         keys: list[str] = REQUEST_KEYS, **grid_kw) -> DataFrame:
-    """P10: top-k grid points by expected GP (feasible or not), ties -> lower margin.
-
-    Batch: ``row_number() <= k`` per request, planned as a partial
-    WindowGroupLimit before any exchange (k rows per request leave a task).
-    Streaming: sorted inside the row.
-    """
-    if requests.isStreaming:
-        top = F.slice(F.sort_array(margin_grid(requests, scorer, **grid_kw), asc=False), 1, k)
-        r = requests.select(*keys, F.posexplode(top).alias("_pos", "_g"))
-        return r.select(*keys, (F.col("_pos") + 1).alias("rank"),
-                        *[F.col(f"_g.{f}").alias(f) for f in GRID_FIELDS])
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("expected_gross_profit"), F.asc("grid_index"))
-    ranked = grid_points(bounded_grid_input(requests, keys), scorer, keys, **grid_kw).withColumn(
-        "rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k).select(*keys, "rank", *GRID_FIELDS)
+                         keys: list[str] = REQUEST_KEYS, max_margin: float = GRID_MAX_MARGIN,
+                         step: float = GRID_STEP) -> DataFrame:
+    """P10: top-k grid points by expected GP (feasible or not), ties -> lower margin."""
+    grid = with_expected_profits(requests, scorer, False, max_margin, step)
+    order = F.transform("_profits", lambda e, i: F.struct(e.alias("e"), F.negative(i).alias("i")))
+    top = F.slice(F.sort_array(order, asc=False), 1, k)
+    rows = grid.select("*", F.posexplode(top).alias("_pos", "_t")).select(
+        "*", (F.col("_pos") + 1).alias("rank"), F.negative(F.col("_t.i")).alias("_at"))
+    point = _point(F.col("_seed"), F.col("_at"), scorer, step)
+    return rows.select(*keys, "rank", *[point[f].alias(f) for f in GRID_FIELDS])
 
 
 # ------------------------------------------------------------------ P11 / P12
 def quote_comparison(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                      **grid_kw) -> DataFrame:
-    """Proposed vs recommended, five deltas (proposal carried with its request)."""
-    gmr = F.col("gross_margin_rate")
-    sc = _scenario(requests, gmr)
-    p = scorer.probability(features_for(requests, gmr, sc))
-    proposed = requests.select(
-        "*", gmr.alias("proposed_margin"), sc["unit_price"].alias("proposed_unit_price"),
-        p.alias("proposed_win_probability"), sc["gross_profit_amount"].alias("proposed_gross_profit"),
-        (p * sc["gross_profit_amount"]).alias("proposed_expected_gross_profit"))
-    pairs = [("margin", "gross_margin_rate"), ("unit_price", "unit_price"),
-             ("win_probability", "win_probability"), ("gross_profit", "gross_profit_if_won"),
-             ("expected_gross_profit", "expected_gross_profit")]
-    r = best_points(proposed, scorer, keys, [f"proposed_{n}" for n, _ in pairs], **grid_kw)
+    """Proposed vs recommended, five deltas."""
+    sc, p = _proposal(requests, scorer)
+    proposed = {"margin": F.col("gross_margin_rate"), "unit_price": sc["unit_price"], "win_probability": p,
+                "gross_profit": sc["gross_profit_amount"], "expected_gross_profit": p * sc["gross_profit_amount"]}
+    fields = {"margin": "gross_margin_rate", "gross_profit": "gross_profit_if_won"}
+    r = with_best_point(requests.withColumns({f"_p_{n}": c for n, c in proposed.items()}), scorer, **grid_kw)
     cols = [F.col(c) for c in keys]
-    for name, field in pairs:
-        cols.append(F.col(f"proposed_{name}"))
-        cols.append(F.col(f"_b.{field}").alias(f"recommended_{name}"))
-        cols.append((F.col(f"_b.{field}") - F.col(f"proposed_{name}")).alias(f"delta_{name}"))
+    for name in proposed:
+        best = F.col(f"_b.{fields.get(name, name)}")
+        cols += [F.col(f"_p_{name}").alias(f"proposed_{name}"), best.alias(f"recommended_{name}"),
+                 (best - F.col(f"_p_{name}")).alias(f"delta_{name}")]
     return r.select(*cols)
 
 
 def _denoise(x: Column, eps: float = 1e-9) -> Column:
-    """Float noise around zero (e.g. the proposed margin is the recommended one) reads as 0."""
+    """Float noise around zero (e.g. the proposed margin is the recommended one) reads as 0.
+
+    A deviation: the reference formats the raw difference, which may show as -0.
+    """
     return F.when(F.abs(x) < eps, F.lit(0.0)).otherwise(x)
 
 
@@ -538,8 +413,7 @@ def benchmark_table(clean: DataFrame) -> DataFrame:
 def historical_benchmark(requests: DataFrame, clean: DataFrame, keys: list[str] = REQUEST_KEYS) -> DataFrame:
     """Attach the benchmark of the request's (product, band).
 
-    The benchmark table has at most 8 rows per product; it is attached with
-    ``lookup_join`` (hot (product, band) keys salted, AQE broadcast when small).
+    The benchmark table has at most 8 rows per product.
     """
     bench = benchmark_table(clean)
     r = requests.select(*keys, "product", gmr_band_ord("gross_margin_rate").alias("band_ord"))
@@ -553,7 +427,7 @@ def historical_benchmark(requests: DataFrame, clean: DataFrame, keys: list[str]
 # ------------------------------------------------------------------ P14
 def classify_price_position(requests: DataFrame, keys: list[str] = REQUEST_KEYS) -> DataFrame:
     """Position of the proposed unit price against the cheapest competitor."""
-    sc = _scenario(requests, F.col("gross_margin_rate"))
+    sc = _scenario(requests, valid_margin(F.col("gross_margin_rate")))
     return requests.select(*keys, sc["unit_price"].alias("unit_price"),
                            sc["min_competitor_price"].alias("min_competitor_price"),
                            price_position_by_ratio(sc["unit_price"], sc["min_competitor_price"])
@@ -592,8 +466,7 @@ def risk_flag_array(gmr: Column, p: Column, min_margin: Column, min_prob: Column
 def risk_flags(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS) -> DataFrame:
     """One row per (request, flag), in the reference's order."""
     gmr = F.col("gross_margin_rate")
-    sc = _scenario(requests, gmr)
-    p = scorer.probability(features_for(requests, gmr, sc))
+    sc, p = _proposal(requests, scorer)
     arr = risk_flag_array(gmr, p, F.col("minimum_margin"), F.col("minimum_win_probability"),
                           sc["competitor_count_available"], sc["price_gap_min_competitor_pct"])
     r = requests.select(*keys, F.posexplode(arr).alias("_i", "_f"))
@@ -604,13 +477,13 @@ def risk_flags(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST
 # ------------------------------------------------------------------ P16
 def price_references(requests: DataFrame, keys: list[str] = REQUEST_KEYS) -> DataFrame:
     """Proposed unit price plus one row per available competitor (letters kept)."""
-    sc = _scenario(requests, F.col("gross_margin_rate"))
+    sc = _scenario(requests, valid_margin(F.col("gross_margin_rate")))
     refs = F.array(
-        F.struct(F.lit(0).alias("ref_order"), F.lit("Proposed unit price").alias("price_reference"),
+        F.struct(F.lit(0).alias("ref_order"), F.lit(PROPOSED_PRICE_LABEL).alias("price_reference"),
                  sc["unit_price"].alias("price")),
-        *[F.struct(F.lit(i + 1).alias("ref_order"), F.lit(f"Competitor {x}").alias("price_reference"),
-                   F.col(f"competitor_{x.lower()}").alias("price"))
-          for i, x in enumerate("ABC")])
+        *[F.struct(F.lit(i + 1).alias("ref_order"), F.lit(label).alias("price_reference"),
+                   F.col(column).alias("price"))
+          for i, (column, label) in enumerate(COMPETITOR_LABELS.items())])
     keep = F.filter(refs, lambda r: F.when(r["ref_order"] == 0, F.lit(True))
                     .otherwise(F.coalesce(r["price"] > 0, F.lit(False))))
     has_comp = F.size(available_competitors("competitor_a", "competitor_b", "competitor_c")) > 0
@@ -624,24 +497,20 @@ def quote_review(requests: DataFrame, clean: DataFrame, scorer: WinScorer,
     """Everything the recommender shows for a request, one row per request.
 
     Proposed vs recommended (P7, P9, P11), price position (P14), review flags
-    (P15, titles in order) and the historical benchmark (P13).  Only a few
-    scalars of the proposal are carried through the grid argmax; flags,
-    position and band are derived from them afterwards, and the benchmark is
-    one lookup join.
+    (P15, titles in order) and the historical benchmark (P13).  All of it is
+    row-local but the benchmark, which is one lookup join.
     """
     gmr = F.col("gross_margin_rate")
-    sc = _scenario(requests, gmr)
-    p = scorer.probability(features_for(requests, gmr, sc))
-    carried = {
+    sc, p = _proposal(requests, scorer)
+    req = requests.withColumns({
         "proposed_margin": gmr, "proposed_unit_price": sc["unit_price"],
         "proposed_win_probability": p,
         "proposed_expected_gross_profit": p * sc["gross_profit_amount"],
         "_min_comp": sc["min_competitor_price"], "_n_comp": sc["competitor_count_available"],
         "_gap_min": sc["price_gap_min_competitor_pct"],
         "_mm": F.col("minimum_margin"), "_mp": F.col("minimum_win_probability"),
-    }
-    req = requests.select("*", *[v.alias(k) for k, v in carried.items()])
-    best = best_points(req, scorer, keys, ["product", *carried], **grid_kw)
+    })
+    best = with_best_point(req, scorer, **grid_kw)
     flags = risk_flag_array(F.col("proposed_margin"), F.col("proposed_win_probability"), F.col("_mm"),
                             F.col("_mp"), F.col("_n_comp"), F.col("_gap_min"))
     row = best.select(
@@ -654,8 +523,7 @@ def quote_review(requests: DataFrame, clean: DataFrame, scorer: WinScorer,
         price_position_by_ratio("proposed_unit_price", "_min_comp").alias("price_position"),
         F.size(flags).alias("flag_count"),
         F.concat_ws("; ", F.transform(flags, lambda f: f["title"])).alias("flag_titles"))
-    out = lookup_join(row, benchmark_table(clean), ["product", "band_ord"],
-                      count_source=requests.select("product", gmr_band_ord(gmr).alias("band_ord")))
+    out = lookup_join(row, benchmark_table(clean), ["product", "band_ord"])
     return out.select(
         *keys, "product", F.coalesce(band_label("band_ord"), F.lit("nan")).alias("band"),
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("historical_n"),

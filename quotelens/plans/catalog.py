@@ -18,7 +18,10 @@ from ..operators import cleaning as C
 from ..operators import pricing as P
 from ..operators import reports as A
 from ..sources.fixture import quotes_from_tpch, requests_from_clean, sparse_requests
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources.readers import read_quotes
+from .fixed_model import FIXED_MODEL
+from .oracle import MODEL_PRICED
 from .scorecard import DEFAULT_SCORECARD
 
 _CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
@@ -89,6 +92,14 @@ def stress_requests(requests: DataFrame) -> DataFrame:
 LINE_KEYS = ["quote_id", "line_seq"]
 
 
+def clean_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The load path of a real file (S1, C1-C8): the fixture's lines as CSV without ``line_seq``,
+    read and cleaned.  ``line_seq`` is left out of the result: it depends on the file's layout."""
+    path = scratch_path(spark, "quotes-csv")
+    raw_of(spark, sf).drop("line_seq").write.option("header", True).csv(path)
+    return C.clean_quotes(read_quotes(spark, path, "csv")).drop("line_seq")
+
+
 def _q(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: finish(fn(spark, sf))
 
@@ -104,6 +115,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["mark_highest_price"] = lambda s, f: C.mark_highest_price(raw_of(s, f)).select(
         *LINE_KEYS, "product", "unit_price", "is_highest_price", "is_highest_price_calc")
     Q["dedupe_rows"] = lambda s, f: C.dedupe_rows(C.filter_highest_price(C.filter_positive_qty(raw_of(s, f))))
+    Q["clean_from_file"] = clean_from_file
     Q["derive_is_win"] = lambda s, f: clean_of(s, f).select(*LINE_KEYS, "convert_to_order", "is_win")
     Q["derive_gmr_pct"] = lambda s, f: clean_of(s, f).select(*LINE_KEYS, "gross_margin_rate", "gmr_pct")
     Q["derive_gmr_band"] = lambda s, f: clean_of(s, f).select(*LINE_KEYS, "gross_margin_rate", "band_ord",
@@ -130,22 +142,33 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             F.get(arr, 0).alias("price_1"), F.get(arr, 1).alias("price_2"), F.get(arr, 2).alias("price_3"))
     Q["available_competitors"] = avail
     Q["price_scenarios"] = lambda s, f: P.price_scenarios(requests_of(s, f))
+    Q["price_stress"] = lambda s, f: P.price_scenarios(stress_requests(requests_of(s, f))).select(
+        *LINE_KEYS, "gross_margin_rate", "unit_price").join(
+        P.score_scenarios(stress_requests(requests_of(s, f)), sc).select(*LINE_KEYS, "expected_gross_profit"), LINE_KEYS)
+    Q["margin_limit"] = lambda s, f: P.margin_curve(requests_of(s, f), sc, max_margin=1.05).groupBy(*LINE_KEYS).agg(
+        F.count(F.lit(1)).alias("points"), F.max("gross_margin_rate").alias("highest_margin"),
+        F.min("unit_price").alias("lowest_price"))
     Q["reject_bad_margin"] = lambda s, f: P.reject_bad_margin(stress_requests(requests_of(s, f)))
     Q["validate_requests"] = lambda s, f: P.validate_requests(stress_requests(requests_of(s, f)))
     Q["product_defaults"] = lambda s, f: P.product_defaults(clean_of(s, f))
     Q["prefill_requests"] = lambda s, f: P.prefill_requests(
         sparse_requests(requests_of(s, f)), P.product_defaults(clean_of(s, f)))
-    Q["score_scenarios"] = lambda s, f: P.score_scenarios(requests_of(s, f), sc)
-    Q["margin_curve"] = lambda s, f: P.margin_curve(requests_of(s, f), sc)
-    Q["recommend_margin"] = lambda s, f: P.recommend_margin(requests_of(s, f), sc)
-    Q["top_margin_scenarios"] = lambda s, f: P.top_margin_scenarios(requests_of(s, f), sc)
-    Q["quote_comparison"] = lambda s, f: P.quote_comparison(requests_of(s, f), sc)
-    Q["comparison_table"] = lambda s, f: P.comparison_table(P.quote_comparison(requests_of(s, f), sc))
+    priced = {
+        "score_scenarios": lambda s, f, m: P.score_scenarios(requests_of(s, f), m),
+        "margin_curve": lambda s, f, m: P.margin_curve(requests_of(s, f), m),
+        "recommend_margin": lambda s, f, m: P.recommend_margin(requests_of(s, f), m),
+        "top_margin_scenarios": lambda s, f, m: P.top_margin_scenarios(requests_of(s, f), m),
+        "quote_comparison": lambda s, f, m: P.quote_comparison(requests_of(s, f), m),
+        "comparison_table": lambda s, f, m: P.comparison_table(P.quote_comparison(requests_of(s, f), m)),
+        "risk_flags": lambda s, f, m: P.risk_flags(requests_of(s, f), m),
+        "quote_review": lambda s, f, m: P.quote_review(requests_of(s, f), clean_of(s, f), m),
+    }
+    for name in MODEL_PRICED:
+        Q[name] = lambda s, f, run=priced[name]: run(s, f, sc)
+        Q[f"{name}_fixed_model"] = lambda s, f, run=priced[name]: run(s, f, FIXED_MODEL)
     Q["historical_benchmark"] = lambda s, f: P.historical_benchmark(requests_of(s, f), clean_of(s, f))
     Q["classify_price_position"] = lambda s, f: P.classify_price_position(requests_of(s, f))
-    Q["risk_flags"] = lambda s, f: P.risk_flags(requests_of(s, f), sc)
     Q["price_references"] = lambda s, f: P.price_references(requests_of(s, f))
-    Q["quote_review"] = lambda s, f: P.quote_review(requests_of(s, f), clean_of(s, f), sc)
 
     # --- historical reports
     Q["overview_kpis"] = lambda s, f: A.overview_kpis(clean_of(s, f))

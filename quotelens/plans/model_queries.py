@@ -1,24 +1,28 @@
 """Model training and evaluation queries (M1-M15) and their oracle SQL.
 
-Preprocessing and metric queries have DuckDB oracles.  Queries whose values
-come from the fitted logistic model (coefficients, probabilities) have none:
-the optimiser's floats differ by engine, so only row counts are compared.
-The metric oracles score the holdout with the fixed scorecard instead.
+Preprocessing queries read the objects of the actual fit.  Queries whose values
+come from the fitted logistic model (coefficients, probabilities) have no
+oracle: the optimiser's floats differ by engine.  Beside them, the fits are
+checked for stationarity of their objective, and prediction, metrics and the
+recommender run through the same model code with fixed numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import NUMERIC_FEATURES
 from ..operators import evaluation as E
 from ..operators import model as M
 from ..operators import pricing as P
-from ..operators.keyed import exact_medians
+from .fixed_model import FIXED_MODEL, probability_sql
 from .oracle_base import d, with_ctes
 from .scorecard import DEFAULT_SCORECARD
 
+#: |gradient| / sum of weights below which a term counts as at the optimum.
+STATIONARY = 1e-3
+
 _MODELS: dict[tuple[int, str, str], M.FittedWinModel] = {}
 
 
@@ -51,34 +55,26 @@ def fitted(spark: SparkSession, sf: str, which: str = "eval") -> M.FittedWinMode
 def scorecard_scores(df: DataFrame) -> DataFrame:
     f = {"gross_margin_rate": F.col("gross_margin_rate"), "kw": F.col("kw"),
          "price_gap_min_competitor_pct": F.col("price_gap_min_competitor_pct")}
+    # both engines see one score where rounding errors differ, so ties are the same
     return df.select(F.col("is_win").alias("label"),
                      F.round(DEFAULT_SCORECARD.probability(f), 9).alias("score"))
 
 
-def standardize_stats(train: DataFrame, features=NUMERIC_FEATURES) -> DataFrame:
-    """M4/M6 as one distributed query: median, mean and population std per feature (long form)."""
-    long = train.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
-    ])).alias("_s")).select("_s.*")
-    med = exact_medians(long, ["feature"], {"median": "value"})
-    filled = long.join(F.broadcast(med), "feature")     # one row per feature: proven bound
-    x = F.coalesce(F.col("value"), F.col("median"))
-    return filled.groupBy("feature").agg(F.first("median").alias("median"), F.avg(x).alias("mean"),
-                                         F.stddev_pop(x).alias("std"))
+def fixed_scores(df: DataFrame) -> DataFrame:
+    return M.predict_win(FIXED_MODEL, df).select(
+        F.col("is_win").alias("label"), F.round("win_probability", 9).alias("score"))
+
 
+def imputed_medians(spark, sf) -> DataFrame:
+    """M4 as the fitted model learnt it."""
+    return spark.createDataFrame(list(fitted(spark, sf).prep.medians.items()), "feature string, median double")
 
-def onehot_index(clean: DataFrame, train: DataFrame) -> DataFrame:
-    """M7: 0-based alphabetical index of the (mode-filled) product among training levels; NULL if unseen.
 
-    The mode is one model parameter (a single value); the level table has one
-    row per product, as the fitted StringIndexer itself does.
-    """
-    row = M.product_mode(train).first()
-    fill = F.lit(None if row is None else row["product"]).cast("string")
-    lv = train.select(F.coalesce(F.col("product"), fill).alias("lvl")).distinct()
-    lv = lv.select("lvl", (F.row_number().over(Window.orderBy("lvl")) - 1).alias("product_index"))
-    c = clean.withColumn("lvl", F.coalesce(F.col("product"), fill))
-    return c.join(lv, "lvl", "left").select("quote_id", "line_seq", "product", "product_index")
+def scaled_features(spark, sf) -> DataFrame:
+    """M4 and M6 as the fitted model learnt them."""
+    prep = fitted(spark, sf).prep
+    return spark.createDataFrame([(f, prep.medians[f], prep.means[f], prep.scales[f]) for f in prep.features],
+                                 "feature string, median double, mean double, std double")
 
 
 def _fold(*ones: DataFrame) -> DataFrame:
@@ -101,11 +97,25 @@ def model_queries():
         "quote_id", "line_seq", "train_weight")
     Q["quote_weights_all"] = lambda s, f: M.quote_weights(_clean(s, f), "all_weight").select(
         "quote_id", "line_seq", "all_weight")
-    Q["class_weights"] = lambda s, f: M.class_weights(_train(s, f))
-    Q["impute_numeric"] = lambda s, f: standardize_stats(_train(s, f)).select("feature", "median")
+    Q["class_weights"] = lambda s, f: fitted(s, f).classes.table(s)
+    Q["impute_numeric"] = imputed_medians
     Q["impute_product"] = lambda s, f: M.product_mode(_train(s, f))
-    Q["standardize"] = lambda s, f: standardize_stats(_train(s, f))
-    Q["onehot_product"] = lambda s, f: onehot_index(_clean(s, f), _train(s, f))
+    Q["standardize"] = scaled_features
+    Q["onehot_product"] = lambda s, f: fitted(s, f).product_index(_clean(s, f)).select(
+        "quote_id", "line_seq", "product", "product_index")
+
+    # the fits are at the optimum of the documented objective, term by term (oracle: the terms)
+    Q["win_model_stationary"] = lambda s, f: M.stationarity(fitted(s, f, "eval"), _train(s, f)).select(
+        "term", (F.col("gradient") < STATIONARY).alias("stationary"))
+    Q["final_model_stationary"] = lambda s, f: M.stationarity(fitted(s, f, "final"), _clean(s, f)).select(
+        "term", (F.col("gradient") < STATIONARY).alias("stationary"))
+
+    # prediction and its metrics through the model code, with fixed numbers
+    Q["predict_win_fixed_model"] = lambda s, f: M.predict_win(FIXED_MODEL, _test(s, f)).select(
+        "quote_id", "line_seq", "is_win", "win_probability", "predicted_win")
+    Q["model_metrics_fixed_model"] = lambda s, f: _fold(E.curve_metrics(fixed_scores(_test(s, f))),
+                                                        E.classification_metrics(fixed_scores(_test(s, f))))
+    Q["confusion_matrix_fixed_model"] = lambda s, f: E.confusion_matrix(fixed_scores(_test(s, f)))
 
     # fitted model (rows-only checks)
     Q["train_win_model"] = lambda s, f: fitted(s, f, "eval").coefficient_table(s)
@@ -141,11 +151,15 @@ def model_queries():
 SPLIT = "substr(md5(CAST(quote_id AS VARCHAR) || ':42'), 1, 4) < '4000'"
 TRAIN = f""",
 tr AS (SELECT * FROM clean WHERE NOT ({SPLIT}))"""
-TEST = f""",
+SCORECARD_SQL = (f"round(1 / (1 + exp(-(1 - 4 * gross_margin_rate - {d(0.02)} * coalesce(price_gap_min_competitor_pct, 20) "
+                 f"+ {d(0.01)} * coalesce(kw, {d(12.5)})))), 9)")
+
+
+def test_ctes(score: str) -> str:
+    """Holdout scores, threshold counts and curve counts for a score expression."""
+    return f""",
 te AS (
-  SELECT is_win AS label,
-         round(1 / (1 + exp(-(1 - 4 * gross_margin_rate - {d(0.02)} * coalesce(price_gap_min_competitor_pct, 20)
-                              + {d(0.01)} * coalesce(kw, {d(12.5)})))), 9) AS score
+  SELECT is_win AS label, {score} AS score
   FROM clean WHERE {SPLIT}
 ),
 tc AS (
@@ -163,6 +177,31 @@ cu AS (
 )"""
 
 
+TEST, TEST_FIXED = test_ctes(SCORECARD_SQL), test_ctes(f"round({probability_sql()}, 9)")
+AUC_SQL = "round(sum(neg * (pos_above + pos * 0.5)) / (sum(pos) * sum(neg)), 6) AS roc_auc"
+AP_SQL = ("round(sum(CASE WHEN pos > 0 THEN pos * (pos_above + pos) / (pos_above + pos + neg_above + neg) END) "
+          "/ sum(pos), 6) AS average_precision")
+RATES_SQL = """round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy,
+       round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision_win,
+       round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall_win,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_win"""
+CONFUSION_SQL = """
+SELECT 'Actual Loss' AS actual, 'Predicted Loss' AS predicted, CAST(tn AS BIGINT) AS n FROM tc
+UNION ALL SELECT 'Actual Loss', 'Predicted Win', CAST(fp AS BIGINT) FROM tc
+UNION ALL SELECT 'Actual Win', 'Predicted Loss', CAST(fn AS BIGINT) FROM tc
+UNION ALL SELECT 'Actual Win', 'Predicted Win', CAST(tp AS BIGINT) FROM tc"""
+
+
+def terms_sql(rows: str) -> str:
+    """Every term a fit on ``rows`` has, as the query reports it at the optimum."""
+    numeric = " UNION ALL ".join(f"SELECT 'num:{f}' AS term, true AS stationary WHERE EXISTS "
+                                 f"(SELECT 1 FROM {rows} WHERE {f} IS NOT NULL)" for f in NUMERIC_FEATURES)
+    return f"""
+SELECT 'intercept' AS term, true AS stationary
+UNION ALL {numeric}
+UNION ALL SELECT DISTINCT 'product:' || product, true FROM {rows} WHERE product IS NOT NULL"""
+
+
 def model_oracles():
     Q = {}
     Q["group_split"] = with_ctes("", f"SELECT quote_id, line_seq, {SPLIT} AS is_test FROM clean")
@@ -191,20 +230,17 @@ lv AS (SELECT lvl, CAST(row_number() OVER (ORDER BY lvl) - 1 AS INTEGER) AS prod
        FROM (SELECT DISTINCT coalesce(tr.product, md.mode_product) AS lvl FROM tr LEFT JOIN md ON TRUE))""", """
 SELECT c.quote_id, c.line_seq, c.product, lv.product_index
 FROM clean c LEFT JOIN md ON TRUE LEFT JOIN lv ON coalesce(c.product, md.mode_product) = lv.lvl""")
-    Q["metric_roc_auc"] = with_ctes(TEST, """
-SELECT round(sum(neg * (pos_above + pos * 0.5)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM cu""")
-    Q["metric_avg_precision"] = with_ctes(TEST, """
-SELECT round(sum(CASE WHEN pos > 0 THEN pos * (pos_above + pos) / (pos_above + pos + neg_above + neg) END) / sum(pos), 6)
-       AS average_precision FROM cu""")
-    Q["classification_metrics"] = with_ctes(TEST, """
-SELECT round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy,
-       round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision_win,
-       round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall_win,
-       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_win
-FROM tc""")
-    Q["confusion_matrix"] = with_ctes(TEST, """
-SELECT 'Actual Loss' AS actual, 'Predicted Loss' AS predicted, CAST(tn AS BIGINT) AS n FROM tc
-UNION ALL SELECT 'Actual Loss', 'Predicted Win', CAST(fp AS BIGINT) FROM tc
-UNION ALL SELECT 'Actual Win', 'Predicted Loss', CAST(fn AS BIGINT) FROM tc
-UNION ALL SELECT 'Actual Win', 'Predicted Win', CAST(tp AS BIGINT) FROM tc""")
+    Q["metric_roc_auc"] = with_ctes(TEST, f"SELECT {AUC_SQL} FROM cu")
+    Q["metric_avg_precision"] = with_ctes(TEST, f"SELECT {AP_SQL} FROM cu")
+    Q["classification_metrics"] = with_ctes(TEST, f"SELECT {RATES_SQL} FROM tc")
+    Q["confusion_matrix"] = with_ctes(TEST, CONFUSION_SQL)
+    Q["confusion_matrix_fixed_model"] = with_ctes(TEST_FIXED, CONFUSION_SQL)
+    Q["model_metrics_fixed_model"] = with_ctes(TEST_FIXED, f"""
+SELECT (SELECT {AUC_SQL} FROM cu) AS roc_auc, (SELECT {AP_SQL} FROM cu) AS average_precision, {RATES_SQL} FROM tc""")
+    p = probability_sql()
+    Q["predict_win_fixed_model"] = with_ctes("", f"""
+SELECT quote_id, line_seq, is_win, round({p}, 6) AS win_probability, CAST({p} >= {d(0.5)} AS INTEGER) AS predicted_win
+FROM clean WHERE {SPLIT}""")
+    Q["win_model_stationary"] = with_ctes(TRAIN, terms_sql("tr"))
+    Q["final_model_stationary"] = with_ctes("", terms_sql("clean"))
     return Q

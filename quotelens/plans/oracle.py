@@ -53,6 +53,10 @@ def position_values() -> str:
     return f"(VALUES {rows}) AS positions(position_ord, price_position)"
 
 
+SCORECARD_P = (f"1 / (1 + exp(-(1 - 4 * g - {d(0.02)} * coalesce(gap_min, 20) "
+               f"+ {d(0.01)} * coalesce(kw, {d(12.5)}))))")
+
+
 def scenario_ctes(source: str, g: str, name: str) -> str:
     """CTE chain pricing ``source`` rows at margin expression ``g``; final CTE is ``name``."""
     return f""",
@@ -80,7 +84,7 @@ def scenario_ctes(source: str, g: str, name: str) -> str:
   FROM {name}_2
 ),
 {name} AS (
-  SELECT *, 1 / (1 + exp(-(1 - 4 * g - {d(0.02)} * coalesce(gap_min, 20) + {d(0.01)} * coalesce(kw, {d(12.5)})))) AS p
+  SELECT *, {SCORECARD_P} AS p
   FROM {name}_3
 )"""
 
@@ -327,6 +331,10 @@ def oracle_queries() -> dict[str, str]:
         "CASE WHEN unit_price = max(unit_price) OVER (PARTITION BY quote_id, product) THEN 1 ELSE 0 END "
         "AS is_highest_price_calc FROM quotes")
     Q["dedupe_rows"] = with_base(f"SELECT {sel(allq)} FROM dedup")
+    business = [c for c in allq if c != "line_seq"]
+    Q["clean_from_file"] = with_base(
+        f"SELECT {sel(business)}, is_win, round(gmr_pct, 6) AS gmr_pct, band_ord, gmr_band, "
+        "round(estimated_cost_per_unit, 6) AS estimated_cost_per_unit FROM clean")
     Q["derive_is_win"] = with_base("SELECT quote_id, line_seq, convert_to_order, is_win FROM clean")
     Q["derive_gmr_pct"] = with_base(
         "SELECT quote_id, line_seq, round(gross_margin_rate, 6) AS gross_margin_rate, "
@@ -356,6 +364,12 @@ FROM (SELECT quote_id, line_seq, list_filter([competitor_a, competitor_b, compet
       FROM clean)""")
     Q["price_scenarios"] = with_ctes(scenario_ctes("requests", "gross_margin_rate", "ps"),
                                      f"SELECT {_scenario_select()} FROM ps")
+    Q["price_stress"] = with_ctes(STRESS + scenario_ctes("stress", "gross_margin_rate", "ps"), f"""
+SELECT quote_id, line_seq, round(g, 6) AS gross_margin_rate, round(CASE WHEN g < {d(0.95)} THEN up END, 6) AS unit_price,
+       round(CASE WHEN g < {d(0.95)} THEN p * gp END, 6) AS expected_gross_profit FROM ps""")
+    Q["margin_limit"] = with_ctes(scenario_ctes(GRID_SOURCE.replace("(0, 70)", "(0, 105)"), GRID_G, "gs"), f"""
+SELECT quote_id, line_seq, count(*) AS points, round(max(g), 6) AS highest_margin, round(min(up), 6) AS lowest_price
+FROM gs WHERE g < {d(0.95)} GROUP BY quote_id, line_seq""")
     Q["reject_bad_margin"] = with_ctes(STRESS, """
 SELECT quote_id, line_seq, round(gross_margin_rate, 6) AS gross_margin_rate,
        NOT coalesce(gross_margin_rate >= CAST(0.95 AS DOUBLE), false) AS margin_ok,
@@ -565,8 +579,19 @@ def positive_zero(sql: str) -> str:
         i = k + 1
 
 
+#: Recommender queries that are also registered with the fixed 13-feature model.
+MODEL_PRICED = ["score_scenarios", "margin_curve", "recommend_margin", "top_margin_scenarios", "quote_comparison",
+                "comparison_table", "risk_flags", "quote_review"]
+
+
 def all_oracles() -> dict[str, str]:
+    from .fixed_model import probability_sql
     from .model_queries import model_oracles
     q = oracle_queries()
+    p = probability_sql({"unit_price": "up", "gross_margin_rate": "g", "estimated_cost": "tc",
+                         "grant_ratio_to_subtotal": "grant_ratio", "competitor_count_available": "n_c",
+                         "avg_competitor_price": "av", "min_competitor_price": "mn",
+                         "price_gap_avg_competitor_pct": "gap_avg", "price_gap_min_competitor_pct": "gap_min"})
+    q.update({f"{n}_fixed_model": q[n].replace(SCORECARD_P, p) for n in MODEL_PRICED})
     q.update(model_oracles())
     return {k: positive_zero(v) for k, v in q.items()}

@@ -9,7 +9,9 @@ in binary floating point.
 
 from __future__ import annotations
 
-from ..constants import BAND_LABELS, BAND_UPPER_EDGES
+# Fixed values, stated here independently of the library's own constants.
+BAND_UPPER_EDGES = [0.0, 0.10, 0.20, 0.30, 0.40, 0.50, 0.60]
+BAND_LABELS = ["< 0%", "0–10%", "10–20%", "20–30%", "30–40%", "40–50%", "50–60%", "> 60%"]
 
 
 def d(x: float) -> str:
@@ -93,7 +95,9 @@ quotes AS (
   SELECT {QUOTE_COLS} FROM q4 WHERE quote_id % 101 = 0
 ),
 dedup AS (
-  SELECT DISTINCT * FROM quotes WHERE qty > 0 AND is_highest_price = 1
+  SELECT {QUOTE_COLS.replace("line_seq", "min(line_seq) AS line_seq")}
+  FROM quotes WHERE qty > 0 AND is_highest_price = 1
+  GROUP BY {QUOTE_COLS.replace("line_seq, ", "")}
 ),
 clean AS (
   SELECT *,

@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import mark_highest_price
-from ..operators.keyed import _ranged_row_number, split_hot
 from .readers import QUOTE_COLUMNS, conform
 
 
@@ -78,32 +76,17 @@ def _derive(base: DataFrame) -> DataFrame:
 SEQ_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
-def quotes_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
-    """The ``quotes`` view; ordinary quotes take one exchange on quote_id, hot ones are spread.
-
-    Ordinary quotes: the line_seq window, the highest-price window and (later)
-    the distinct share one exchange on quote_id.  Quotes with >= hot_rows lines
-    get a range-partitioned line number and a salted per-(quote, product)
-    maximum instead, so no task holds a whole hot quote.
-    """
+def quotes_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``quotes`` view; the line number, the highest-price flag and (later)
+    the deduplication share one exchange on quote_id."""
     li = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     pa = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     j = li.join(pa, li.l_partkey == pa.p_partkey, "inner").withColumn("quote_id", F.col("l_orderkey"))
-    cold, hot = split_hot(j, ["quote_id"], hot_rows,
-                          count_source=li.select(F.col("l_orderkey").alias("quote_id")))
-
     seq_w = Window.partitionBy("quote_id").orderBy(*SEQ_ORDER)
-    cold_d = _derive(cold.withColumn("line_seq", F.row_number().over(seq_w).cast("bigint")))
+    lines = _derive(j.withColumn("line_seq", F.row_number().over(seq_w).cast("bigint")))
     top = F.max("unit_price").over(Window.partitionBy("quote_id", "product"))
-    cold_f = cold_d.withColumn("is_highest_price",
-                               F.when(F.col("unit_price") == top, F.lit(1)).otherwise(F.lit(0)))
-
-    flagged = cold_f
-    if hot is not None:
-        hot_d = _derive(_ranged_row_number(hot, ["quote_id"], SEQ_ORDER, "line_seq",
-                                           int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-        flagged = cold_f.unionByName(mark_highest_price(hot_d, out="is_highest_price", hot_rows=1))
+    flagged = lines.withColumn("is_highest_price", F.when(F.col("unit_price") == top, F.lit(1)).otherwise(F.lit(0)))
     # exact duplicates of every line of quotes with quote_id % 101 = 0 (one pass, no union)
     copies = F.when(F.col("quote_id") % 101 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     doubled = flagged.withColumn("_copy", F.explode(copies)).drop("_copy")

@@ -10,7 +10,7 @@ ingest so that every later comparison follows SQL semantics:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +51,8 @@ def nan_to_null(c: Column) -> Column:
 def conform(df: DataFrame) -> DataFrame:
     """Cast to the quote schema, NaN -> NULL; keep optional columns only if present.
 
-    ``line_seq`` stands in for file order; when the source lacks it, the
-    monotonically increasing id of the scan is used (increasing in file order,
-    and stable across task retries because splits are fixed).
+    ``line_seq`` stands in for file order; a reader adds it to a source without
+    one (``with_file_order``), other tables get the scan's increasing id.
     """
     cols = []
     for name, dtype in QUOTE_FIELDS:
@@ -68,17 +67,37 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def with_file_order(df: DataFrame) -> DataFrame:
+    """Add ``line_seq`` to freshly read files that lack it: the rank of a row by
+    (file path, block start, place in the block), as a struct folded into one number.
+
+    Spark packs splits by size, so the scan's own id follows file order only
+    inside a split.  Blocks are ranked from their few (path, start) pairs; the
+    rank goes into the high bits, the place in the block into the low 40.
+    """
+    if "line_seq" in df.columns:
+        return df
+    block = ["_path", "_start"]
+    marked = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+                       F.monotonically_increasing_id().alias("_id"))
+    # one row per file block, its first id and how it ranks: as many as the scan has splits
+    first = marked.groupBy(*block).agg(F.min("_id").alias("_first"))
+    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy(*block)).cast("long"))
+    at = F.shiftleft("_rank", 40) + (F.col("_id") - F.col("_first"))
+    return marked.join(F.broadcast(ranked), block).withColumn("line_seq", at).drop(*block, "_id", "_first", "_rank")
+
+
 def read_quotes_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path))
+    return conform(with_file_order(spark.read.parquet(path)))
 
 
 def read_quotes_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; every cell is read as text, NA tokens -> NULL, then try_cast."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = with_file_order(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path))
     tokens = F.array(*[F.lit(t) for t in CSV_NA_TOKENS])
     cols = []
     for name in raw.columns:
-        s = F.trim(F.col(name))
+        s = F.trim(F.col(name).cast("string"))
         cols.append(F.when(~F.array_contains(tokens, s), F.col(name)).alias(name))
     cleaned = raw.select(*cols)
     typed = []

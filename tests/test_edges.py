@@ -122,18 +122,56 @@ def test_edge_dups(spark):
 def test_edge_median(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None)], "k string, v double")
     assert exact_medians(df, ["k"], {"m": "v"}).first().m == 1.5
-    assert exact_medians(df, ["k"], {"m": "v"}, max_in_task=None).first().m == 1.5
 
 
-def test_distributed_median_matches_in_task_median(spark):
+def test_medians_match_percentile(spark):
     df = spark.range(0, 20000).select((F.col("id") % 3).alias("k"),
                                       ((F.col("id") * 7919) % 4999 / 7.0).alias("v"),
                                       F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 17).alias("w"))
-    df = df.unionByName(spark.createDataFrame([(9, None, None)], "k long, v double, w long"))
-    a = exact_medians(df, ["k"], {"mv": "v", "mw": "w"}).orderBy("k").collect()
-    b = exact_medians(df, ["k"], {"mv": "v", "mw": "w"}, buckets=5, max_in_task=None).orderBy("k").collect()
-    assert [tuple(r) for r in a] == [tuple(r) for r in b]
-    assert a[-1].k == 9 and a[-1].mv is None
+    df = df.unionByName(spark.createDataFrame([(9, None, None), (None, 1.0, None), (None, 2.0, 5)], "k long, v double, w long"))
+    got = exact_medians(df, ["k"], {"mv": "v", "mw": "w"}).collect()
+    want = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("mv"), F.percentile("w", F.lit(0.5)).alias("mw")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+    assert exact_medians(df, [], {"m": "v"}).first().m == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
+
+
+def test_equal_rows_of_a_file_are_one_row(spark, tmp_path):
+    from quotelens.sources.readers import read_quotes
+    folder = tmp_path / "quotes"
+    folder.mkdir()
+    header = "quote_id,product,qty,unit_price,is_highest_price,convert_to_order\n"
+    (folder / "b.csv").write_text(header + "7,H1,2,100.0,1,0\n7,H1,2,100.0,1,0\n7,H2,1,50.0,1,1\n")
+    (folder / "a.csv").write_text(header + "7,H1,2,100.0,1,0\n" + "8,H3,1,9.0,1,0\n" * 200)
+    clean = C.dedupe_rows(C.filter_positive_qty(read_quotes(spark, str(folder), "csv")))
+    rows = clean.orderBy("line_seq").collect()
+    assert [(r.quote_id, r["product"]) for r in rows] == [(7, "H1"), (8, "H3"), (7, "H2")]  # a.csv comes first
+
+
+def test_grid_makes_no_price_at_95_percent_or_more(spark):
+    from quotelens.plans.scorecard import DEFAULT_SCORECARD
+    req = requests(spark, [{"gross_margin_rate": 0.97}])
+    curve = P.margin_curve(req, DEFAULT_SCORECARD, max_margin=1.05).collect()
+    assert len(curve) == 95 and min(r.unit_price for r in curve) > 0
+    assert P.price_scenarios(req).first().unit_price is None
+    assert P.score_scenarios(req, DEFAULT_SCORECARD).first().win_probability is None
+    for strict in (P.price_scenarios(req, strict=True), P.score_scenarios(req, DEFAULT_SCORECARD, strict=True)):
+        with pytest.raises(Exception):
+            strict.collect()
+
+
+def test_requests_without_ids_all_come_back(spark):
+    from quotelens.plans.scorecard import DEFAULT_SCORECARD
+    one = requests(spark, [{"gross_margin_rate": 0.3}, {"gross_margin_rate": 0.4}])
+    req = one.withColumn("quote_id", F.lit(None).cast("long")).withColumn("line_seq", F.lit(None).cast("long"))
+    assert P.recommend_margin(req, DEFAULT_SCORECARD).count() == 2
+    assert P.top_margin_scenarios(req, DEFAULT_SCORECARD).count() == 20
+
+
+def test_scaling_of_large_means(spark):
+    from quotelens.operators.model import learn_preprocessing
+    df = spark.createDataFrame([(1e9 + k, "H1") for k in (0.0, 1.0, 2.0)], "kw double, product string")
+    prep = learn_preprocessing(df, ["kw"])
+    assert abs(prep.scales["kw"] - (2 / 3) ** 0.5) < 1e-6 and prep.means["kw"] == 1e9 + 1
 
 
 def test_edge_empty_band(spark):
@@ -256,8 +294,7 @@ def test_distributed_median_small_groups(spark):
     rows = [("one", 5.0), ("two", 1.0), ("two", 4.0), ("rep", 2.0)] + [("rep", 7.0)] * 50 + [("rep", 3.0)] * 10
     df = spark.createDataFrame(rows, "k string, v double")
     a = {r.k: r.m for r in exact_medians(df, ["k"], {"m": "v"}).collect()}
-    b = {r.k: r.m for r in exact_medians(df, ["k"], {"m": "v"}, buckets=4, max_in_task=None).collect()}
-    assert a == b == {"one": 5.0, "two": 2.5, "rep": 7.0}
+    assert a == {"one": 5.0, "two": 2.5, "rep": 7.0}
 
 
 def test_curve_metrics_single_class_is_null(spark):

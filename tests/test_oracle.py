@@ -9,7 +9,9 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as E
 
-ORACLES = E.oracle_sql()
+from quotelens.plans.oracle import all_oracles
+
+ORACLES = all_oracles()
 
 
 def _norm(v):
@@ -39,7 +41,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_model_based():
-    no_oracle = set(E.queries()) - set(ORACLES)
+    from quotelens.plans.catalog import spark_queries
+    no_oracle = set(spark_queries()) - set(ORACLES)
     assert no_oracle <= {"train_win_model", "train_final_model", "predict_win", "model_metrics",
                          "model_confusion_matrix", "recommend_margin_fitted"}
 

@@ -12,7 +12,6 @@ from quotelens.operators import evaluation as E
 from quotelens.operators import model as M
 from quotelens.operators import pricing as P
 from quotelens.operators import reports as A
-from quotelens.operators.keyed import attach_key_stats, key_counts
 from quotelens.plans.catalog import clean_of, requests_of
 from quotelens.plans.model_queries import fitted, scorecard_scores
 from quotelens.plans.scorecard import DEFAULT_SCORECARD
@@ -47,199 +46,5 @@ def test_recommendation_is_feasible_and_optimal(reqs):
     curve = P.margin_curve(reqs, DEFAULT_SCORECARD).where("meets_minimum_margin")
     best = curve.groupBy("quote_id", "line_seq").agg(F.max("expected_gross_profit").alias("m"))
     j = rec.join(best, ["quote_id", "line_seq"])
-    assert j.where(F.col("m") > F.col("recommended_expected_gross_profit") + 1e-9).count() == 0
-    assert j.count() == reqs.count()
-
-
-def test_quote_weights_sum_to_one(clean):
-    w = M.quote_weights(clean).groupBy("quote_id").agg(F.sum("quote_weight").alias("s"))
-    assert w.where(F.abs(F.col("s") - 1) > 1e-9).count() == 0
-
-
-def test_flags_nonempty_and_low_alone(reqs):
-    f = P.risk_flags(reqs, DEFAULT_SCORECARD)
-    per = f.groupBy("quote_id", "line_seq").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("severity") == "Low").cast("int")).alias("low"))
-    assert per.count() == reqs.count()
-    assert per.where((F.col("low") > 0) & (F.col("n") > 1)).count() == 0
-
-
-def test_auc_invariant_under_monotone_rescaling(clean):
-    s = scorecard_scores(M.group_split(clean).where("is_test"))
-    a1 = E.roc_auc(s).first()[0]
-    a2 = E.roc_auc(s.withColumn("score", F.col("score") * 3 + 7)).first()[0]
-    assert abs(a1 - a2) < 1e-12
-
-
-@pytest.mark.parametrize("buckets", [1, 3, 64])
-def test_distributed_cumulation_matches_brute_force(clean, buckets):
-    s = scorecard_scores(clean)
-    got = E.curve_metrics(s, buckets=buckets).first()
-    pdf = s.toPandas()
-    y, p = pdf["label"].to_numpy(), pdf["score"].to_numpy()
-    pos, neg = p[y == 1], p[y == 0]
-    auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
-    order = np.argsort(-p, kind="mergesort")
-    ys, ps = y[order], p[order]
-    ap, tp, fp, prev_r = 0.0, 0, 0, 0.0
-    i = 0
-    while i < len(ps):
-        j = i
-        while j < len(ps) and ps[j] == ps[i]:
-            j += 1
-        tp += ys[i:j].sum()
-        fp += (1 - ys[i:j]).sum()
-        r = tp / len(pos)
-        ap += (r - prev_r) * tp / (tp + fp)
-        prev_r = r
-        i = j
-    assert abs(got.roc_auc - auc) < 1e-9
-    assert abs(got.average_precision - ap) < 1e-9
-
-
-def _r(rows):
-    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
-
-
-def test_partition_invariance(spark):
-    out = {}
-    for n in (1, 64):
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        from quotelens.plans import catalog
-        catalog.clear_cache()
-        c = clean_of(spark, SF_SMALL)
-        out[n] = (
-            _r(A.win_rate_by_band(c).collect()),
-            _r(A.sweet_spot_by_product(c).collect()),
-            sorted(map(tuple, C.quote_header(c).select("quote_id", "line_seq").collect())),
-            E.roc_auc(scorecard_scores(M.group_split(c).where("is_test"))).first()[0],
-        )
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
-    from quotelens.plans import catalog
-    catalog.clear_cache()
-    assert out[1][0] == out[64][0]
-    assert out[1][1] == out[64][1]
-    assert out[1][2] == out[64][2]
-    assert abs(out[1][3] - out[64][3]) < 1e-12
-
-
-def test_salted_join_equals_plain_join(clean):
-    stats = key_counts(clean, ["quote_id"], "_n")
-    plain = attach_key_stats(clean, stats, ["quote_id"], "_n", hot_rows=10**12)
-    salted = attach_key_stats(clean, stats, ["quote_id"], "_n", hot_rows=2, salts=16)
-    cols = ["quote_id", "line_seq", "_n"]
-    assert sorted(map(tuple, plain.select(cols).collect())) == sorted(map(tuple, salted.select(cols).collect()))
-
-
-def test_model_is_at_optimum_and_compiles(spark, clean):
-    model = fitted(spark, SF_SMALL, "final")
-    data = M.quote_weights(clean)
-    cw = {r.is_win: r.class_weight for r in M.class_weights(clean).collect()}
-    out = model.transform(data).select(vector_to_array("features").alias("x"), "is_win", "quote_weight",
-                                       vector_to_array("probability")[1].alias("p")).toPandas()
-    X = np.stack(out["x"].to_numpy())
-    y = out["is_win"].to_numpy().astype(float)
-    w = out["quote_weight"].to_numpy() * np.where(y == 1, cw[1], cw[0])
-    beta = np.array(model.coefficients)
-    z = model.intercept + X @ beta
-    p = 1 / (1 + np.exp(-z))
-    assert np.allclose(p, out["p"].to_numpy(), atol=1e-9)
-    C_ = 0.5
-    g_beta = beta + C_ * X.T @ (w * (p - y))
-    g_b0 = C_ * np.sum(w * (p - y))
-    scale = C_ * np.sum(w)
-    assert np.max(np.abs(g_beta)) / scale < 1e-4
-    assert abs(g_b0) / scale < 1e-4
-    # the compiled Column expression equals the pipeline
-    feats = {f: F.col(f) for f in ["product"] + model.prep.features}
-    comp = data.select(model.probability(feats).alias("pc")).toPandas()["pc"].to_numpy()
-    assert np.allclose(np.sort(comp), np.sort(out["p"].to_numpy()), atol=1e-9)
-
-
-def test_unknown_and_null_product(spark):
-    model = fitted(spark, SF_SMALL, "final")
-    base = {"kw": 10.0, "qty": 2, "unit_price": 1000.0, "gross_margin_rate": 0.3, "energy_grant_amount": 100.0,
-            "estimated_cost": 1400.0, "grant_ratio_to_subtotal": 0.05, "competitor_count_available": 1,
-            "avg_competitor_price": 990.0, "min_competitor_price": 990.0,
-            "price_gap_avg_competitor_pct": 1.0, "price_gap_min_competitor_pct": 1.0}
-    cols = ["product"] + list(base)
-    rows = [(p, *base.values()) for p in ["ZZ_unseen", None, model.prep.product_fill]]
-    df = spark.createDataFrame(rows, ", ".join(
-        f"{c} {'string' if c == 'product' else ('int' if c in ('qty', 'competitor_count_available') else 'double')}"
-        for c in cols))
-    pipe = M.predict_win(model, df).select("product", "win_probability").collect()
-    comp = df.select("product", model.probability({c: F.col(c) for c in cols}).alias("p")).collect()
-    pp = [r.win_probability for r in pipe]
-    pc = [r.p for r in comp]
-    assert np.allclose(pp, pc, atol=1e-9)
-    assert abs(pp[1] - pp[2]) < 1e-12          # NULL product -> most frequent product
-    x = model.prep
-    z0 = model.intercept + sum(b * (
-        (base[f] - x.means[f]) / x.scales[f]) for f, b in model.numeric_coef().items())
-    assert abs(pp[0] - 1 / (1 + np.exp(-z0))) < 1e-9   # unseen -> all-zero one-hot
-
-
-def test_model_save_load_roundtrip(spark, tmp_path):
-    model = fitted(spark, SF_SMALL, "eval")
-    model.save(spark, str(tmp_path / "m"))
-    again = M.FittedWinModel.load(spark, str(tmp_path / "m"))
-    assert again.levels == model.levels
-    assert np.allclose(again.coefficients, model.coefficients)
-    assert again.prep.medians == model.prep.medians
-
-
-def test_clean_table_is_persisted_and_reused(spark):
-    from quotelens.plans.catalog import inputs
-    a = inputs(spark, SF_SMALL)["clean"]
-    b = inputs(spark, SF_SMALL)["clean"]
-    assert a is b
-    assert a.storageLevel.useMemory and a.storageLevel.useDisk
-
-
-def test_all_null_feature_is_dropped(spark, clean):
-    data = clean.withColumn("kw", F.lit(None).cast("double"))
-    m = M.fit_win_model(data, max_iter=50)
-    assert "kw" not in m.prep.features
-    assert len(m.coefficients) == len(m.prep.features) + len(m.levels)
-
-
-def test_weighted_class_counts_option(clean):
-    raw = {r.is_win: r.class_weight for r in M.class_weights(clean).collect()}
-    w = M.quote_weights(clean)
-    wt = {r.is_win: r.class_weight for r in M.class_weights(w, weight_col="quote_weight").collect()}
-    n = clean.count()
-    n1 = clean.where("is_win = 1").count()
-    assert abs(raw[1] - n / (2 * n1)) < 1e-12
-    assert set(wt) == {0, 1} and all(v > 0 for v in wt.values())
-
-
-def test_materialize_as_table_in_shared_folder(spark, clean):
-    from quotelens.session import ensure_checkpoint_dir, materialize
-    t = materialize(clean.select("quote_id", "line_seq", "gmr_band"), "test-clean-proj")
-    assert t.count() == clean.count()
-    assert ensure_checkpoint_dir(spark) in t.inputFiles()[0]
-
-
-def test_fitted_model_has_signal(spark):
-    import __spark_entry__ as E
-    m = E.queries()["model_metrics"](spark, SF_SMALL).first()
-    assert m.roc_auc > 0.5 and 0 <= m.accuracy <= 1
-
-
-def test_fitted_recommendation_is_curve_argmax_and_forms_agree(spark, reqs):
-    model = fitted(spark, SF_SMALL, "final")
-    rec = P.recommend_margin(reqs, model)
-    curve = P.margin_curve(reqs, model).where("meets_minimum_margin")
-    best = curve.groupBy("quote_id", "line_seq").agg(F.max("expected_gross_profit").alias("m"))
-    j = rec.join(best, ["quote_id", "line_seq"])
     assert j.count() == reqs.count()
     assert j.where(F.abs(F.col("m") - F.col("recommended_expected_gross_profit")) > 1e-9).count() == 0
-    # the row-local (streaming) form gives the same best point
-    row_local = reqs.select("quote_id", "line_seq",
-                            P.best_feasible(P.margin_grid(reqs, model)).alias("_b")).select(
-        "quote_id", "line_seq", F.col("_b.grid_index").alias("gi"), F.col("_b.expected_gross_profit").alias("e"))
-    exploded = P.best_points(reqs, model).select(
-        "quote_id", "line_seq", F.col("_b.grid_index").alias("gi"), F.col("_b.expected_gross_profit").alias("e"))
-    diff = row_local.join(exploded, ["quote_id", "line_seq"]).where(
-        (row_local.gi != exploded.gi) | (F.abs(row_local.e - exploded.e) > 1e-9))
-    assert diff.count() == 0

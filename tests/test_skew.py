@@ -1,39 +1,41 @@
 """Hot-key paths give exactly the results of the ordinary paths."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
-from quotelens.operators.keyed import row_number_within
-from quotelens.sources.fixture import quotes_from_tpch
+from quotelens.operators.keyed import lookup_join, with_key_stats
 
 
 def _rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_fixture_hot_path_equals_plain_path(spark):
-    plain = quotes_from_tpch(spark, SF_SMALL)
-    spread = quotes_from_tpch(spark, SF_SMALL, hot_rows=5)   # every quote with >= 5 lines is "hot"
-    assert _rows(plain) == _rows(spread)
+def test_key_stats_of_hot_keys_equal_plain_join(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 4).alias("k"), F.col("id").alias("x"))
+    df = df.unionByName(spark.createDataFrame([(None, -1), (None, -2)], "k long, x long"))
+    plain = with_key_stats(df, ["k"], F.max("x").alias("m"), keep_count=True, hot_rows=10**9)
+    salted = with_key_stats(df, ["k"], F.max("x").alias("m"), keep_count=True, hot_rows=100, salts=8)
+    assert _rows(plain) == _rows(salted)
+    assert {r.m for r in salted.where("k IS NULL").collect()} == {-1}
 
 
-def test_row_number_within_hot_groups(spark):
-    df = spark.range(0, 5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 5000).alias("o"))
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("bigint"))
-    got = row_number_within(df, ["k"], ["o"], "rn", hot_rows=100, buckets=16)
-    assert _rows(got) == _rows(want)
-
-
-def test_lookup_join_salted_equals_left_join(spark):
-    from quotelens.operators.keyed import lookup_join
+def test_lookup_join_forms_agree(spark):
     big = spark.range(0, 3000).select((F.col("id") % 4).alias("k"), F.col("id").alias("x"))
     big = big.unionByName(spark.createDataFrame([(None, -1)], "k long, x long"))
-    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, s string")
-    want = big.join(small, "k", "left")
-    got = lookup_join(big, small, ["k"], hot_rows=10, salts=8)
-    assert _rows(got.select("k", "x", "s")) == _rows(want.select("k", "x", "s"))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (None, "n")], "k long, s string")
+    cast = lookup_join(big, small, ["k"])
+    shuffled = lookup_join(big, small, ["k"], most_rows=0)
+    assert _rows(cast) == _rows(shuffled)
+    assert cast.count() == 3001 and cast.where("k IS NULL").first().s == "n"
+
+
+def test_lookups_leave_the_big_side_where_it_is(spark):
+    from quotelens.plans import catalog
+    Q = catalog.spark_queries()
+    for name in ("prefill_requests", "historical_benchmark"):
+        plan = Q[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan, name
 
 
 SKEW_QUERIES = ["scan_quotes", "dedupe_rows", "mark_highest_price", "flag_multi_product",
@@ -42,9 +44,8 @@ SKEW_QUERIES = ["scan_quotes", "dedupe_rows", "mark_highest_price", "flag_multi_
 
 
 def test_queries_identical_when_every_key_is_hot(spark):
-    import __spark_entry__ as E
     from quotelens.plans import catalog
-    Q = E.queries()
+    Q = catalog.spark_queries()
     out = {}
     for mode in ("default", "hot"):
         catalog.clear_cache()
@@ -59,20 +60,3 @@ def test_queries_identical_when_every_key_is_hot(spark):
     catalog.clear_cache()
     for k in SKEW_QUERIES:
         assert out["default"][k] == out["hot"][k], k
-
-
-def test_bounded_grid_input_repartitions_large_tasks(spark):
-    from quotelens.operators import pricing as P
-    from quotelens.plans.catalog import requests_of
-    from quotelens.plans.scorecard import DEFAULT_SCORECARD
-    req = requests_of(spark, SF_SMALL)
-    plain = _rows(P.recommend_margin(req, DEFAULT_SCORECARD))
-    spark.conf.set("quotelens.gridRequestsPerTask", "100")
-    try:
-        bounded = P.bounded_grid_input(req)
-        assert bounded.rdd.getNumPartitions() >= req.count() // 100
-        assert _rows(P.recommend_margin(req, DEFAULT_SCORECARD)) == plain
-        top = P.top_margin_scenarios(req, DEFAULT_SCORECARD).count()
-    finally:
-        spark.conf.unset("quotelens.gridRequestsPerTask")
-    assert top == 10 * req.count()
