@@ -11,8 +11,8 @@ stops as soon as no later rank can lower any place.
 2. Signatures are banded: BANDS bands of ROWS places.  A pair with a Jaccard
    similarity of 0.75 shares no band with probability (1-0.75^4)^28 < 3e-5.
 3. Verification on whole sets, in rounds.  In a round every member of a bucket
-   is compared with the leader of its bucket (LEADERS of them after the first
-   round); then components are formed, and the next leaders follow in buckets
+   is compared with the leader of its bucket (MORE_LEADERS times as many in
+   each further round); then components are formed, and the next leaders follow in buckets
    that still hold more than one component.  Pairs whose sizes alone rule a link out, or that are already
    connected, aren't compared.  When no bucket is left, every candidate pair
    has been verified or is connected by verified links.
@@ -36,8 +36,8 @@ from .components import components
 SHINGLE = 5
 BANDS, ROWS = 28, 4
 LIKENESS = 75  # percent
-#: Leaders of a bucket in a round after the first.
-LEADERS = 8
+#: A bucket has one leader in the first round and this many times more in each further one.
+MORE_LEADERS = 64
 REMEMBERED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -181,17 +181,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if compared is not None:
                 pairs = pairs.join(compared, ["a", "b"], "left_anti")
             pairs = staged(pairs, "pairs")
-            held = _verified(pairs, sets, likeness)
-            links = staged(held if links is None else links.unionByName(held), "links")
+            held = staged(_verified(pairs, sets, likeness), "links")
+            if label is None or not held.isEmpty():
+                links = held if links is None else links.unionByName(held)
+                label = staged(components(links), "components")
             compared = pairs if compared is None else compared.unionByName(pairs)
-            label = staged(components(links), "components")
             named = (rest.drop("c").join(label.withColumnRenamed("node", "rep"), "rep", "left")
                      .withColumn("c", F.coalesce("component", "rep")).drop("component"))
             # a bucket goes on while its members belong to more than one component
             several = (named.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                        .where("lo <> hi").select("band", "key"))
             live = staged(named.join(several, ["band", "key"], "left_semi"), "buckets")
-            leaders = LEADERS
+            leaders *= MORE_LEADERS
     reps = classes.select("set_hash", "n", F.col("rep").alias("component_id"))
     if label is not None:
         reps = (reps.join(label.withColumnRenamed("node", "component_id"), "component_id", "left")
