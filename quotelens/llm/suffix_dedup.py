@@ -38,8 +38,10 @@ from .common import map_batches, staged
 WINDOW, ANCHOR, REACH = 400, 200, 100
 SPREAD = WINDOW - ANCHOR + 1
 PIECE = 1 << 20
-#: Rows of 8 to 40 bytes up to which a side is broadcast, after it is counted.
-BROADCAST_ROWS = 400_000
+#: Entries of 8 to 40 bytes up to which a side is broadcast, after they are counted.
+BROADCAST_ROWS = 2_000_000
+#: More than the windows of one run.
+PART_WINDOWS = 512
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -153,36 +155,56 @@ def _runs(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """Rows of (id, text, th, parts (lo, hi, d, copies)) to one row per suffix: id, th, pos, d, w, copies."""
+    """Rows of (id, text, th, parts (lo, hi, d, copies, part)) to one row per suffix: its two hashes
+    (digits one to two with full depth, full depth), its class's members and its place (part, offset)."""
 
     def spread(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("id", "th", "pos", "d", "w", "copies")}
-        for i, th, raw, parts in zip(cols["id"], cols["th"], _encoded(cols["text"]), cols["parts"]):
+        out: dict[str, list] = {c: [] for c in ("k", "v", "copies", "place")}
+        for th, raw, parts in zip(cols["th"], _encoded(cols["text"]), cols["parts"]):
             if _text_hash(raw) != th:
                 continue
             for p in parts:
                 n = p["hi"] - p["lo"] + 1
                 h = hashes_128(np.frombuffer(raw[p["lo"]:p["hi"] + WINDOW], np.uint8))
-                out["w"].append(at_400(h, np.arange(n)).view(np.int64))
-                out["pos"].append(np.arange(p["lo"], p["hi"] + 1))
-                for c, v in (("id", i), ("th", th), ("d", p["d"]), ("copies", p["copies"])):
-                    out[c] += [v] * n
-        return out | {c: np.concatenate(out[c] or [np.zeros(0, np.int64)]) for c in ("w", "pos")}
+                w = at_400(h, np.arange(n))
+                out["k"].append(joined(w, np.array([p["d"]], np.int64).view(np.uint64)).view(np.int64))
+                out["v"].append((w >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                out["copies"].append(np.full(n, p["copies"]))
+                out["place"].append(p["part"] * PART_WINDOWS + np.arange(n))
+        return {c: np.concatenate(v or [np.zeros(0, np.int64)]) for c, v in out.items()}
 
-    return map_batches(docs, spread, "id long, th long, pos int, d long, w long, copies long")
+    return map_batches(docs, spread, "k long, v int, copies long, place long")
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a written table whose counted rows allow it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table whose counted entries allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, th, spans): of (id, text) rows, the windows that start elsewhere too, as (start, windows)."""
+def _merged(spans: DataFrame) -> DataFrame:
+    """(id, th, spans of (start, windows)) to (id, th, cuts): maximal byte ranges (from, to), in order."""
+
+    def merge(cols: dict[str, list]) -> dict[str, list]:
+        cuts = []
+        for found in cols["spans"]:
+            ranges: list[list[int]] = []
+            for start, end in sorted((x["start"], x["start"] + x["n"] - 1 + WINDOW) for x in found):
+                if ranges and start <= ranges[-1][1]:
+                    ranges[-1][1] = max(ranges[-1][1], end)
+                else:
+                    ranges.append([start, end])
+            cuts.append([{"from": a, "to": b} for a, b in ranges])
+        return {"id": cols["id"], "th": cols["th"], "cuts": cuts}
+
+    return map_batches(spans, merge, "id long, th long, cuts array<struct<from:int,to:int>>")
+
+
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """(id, th, cuts): of (id, text) rows, the byte ranges covered by windows that start elsewhere too."""
     runs = staged(_runs(docs), "runs")
     # digit one
     anchors = staged(runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "anchors")
-    runs = staged(runs.join(_small(anchors), "a", "left_semi"), "runs")
+    runs = staged(runs.join(_small(anchors, anchors.count()), "a", "left_semi"), "runs")
     # equal runs
     run_key = ["a", "off", "n", "s"]
     classes = staged(runs.groupBy(*run_key, "dl", "dr").agg(F.count(F.lit(1)).alias("copies"),
@@ -196,39 +218,42 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                    F.struct(F.greatest(lo, turn + 1).alias("lo"), last.alias("hi"), F.col("dr").alias("d")))
     halves = staged(classes.select("one.id", "one.th", "copies", F.explode(half).alias("p"))
                     .where("p.lo <= p.hi").select("id", "th", "copies", "p.lo", "p.hi", "p.d"), "halves")
-    open_ = (halves.groupBy("d").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("k"), F.min("copies").alias("least"))
-             .where("c > 1 AND k > 1 AND least = 1").select("d"))
-    open_ = staged(open_, "open-digits")
-    parts = staged(halves.join(_small(open_), "d", "left_semi").groupBy(F.col("id").alias("_id"), "th")
-                   .agg(F.collect_list(F.struct("lo", "hi", "d", "copies")).alias("parts")), "parts")
+    open_ = staged(halves.groupBy("d").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("k"), F.min("copies").alias("least"))
+                   .where("c > 1 AND k > 1 AND least = 1").select("d"), "open-digits")
+    parts = staged(halves.join(_small(open_, open_.count()), "d", "left_semi")
+                   .withColumn("part", F.monotonically_increasing_id()), "parts")
     # full depth
-    deep = staged(_windows(docs.join(_small(parts), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")), "suffixes")
-    groups = deep.groupBy("d", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("d", "w")
-    alone = deep.where("copies = 1").join(groups, ["d", "w"], "left_semi").select("id", "th", F.col("pos").alias("start"), F.lit(1).alias("n"))
-    return (whole.unionByName(alone).groupBy("id", "th")
-            .agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    by_doc = parts.groupBy(F.col("id").alias("_id"), "th").agg(F.collect_list(F.struct("lo", "hi", "d", "copies", "part")).alias("parts"))
+    n_parts = parts.count()
+    deep = staged(_windows(docs.join(_small(by_doc, n_parts), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")), "suffixes")
+    groups = deep.groupBy("k", "v").agg(F.sum("copies").alias("c")).where("c > 1").select("k", "v")
+    alone = (deep.where("copies = 1").join(groups, ["k", "v"], "left_semi")
+             .select(F.expr(f"place div {PART_WINDOWS}").alias("part"), (F.col("place") % PART_WINDOWS).cast("int").alias("at"))
+             .join(_small(parts.select("part", "id", "th", "lo"), n_parts), "part")
+             .select("id", "th", (F.col("lo") + F.col("at")).alias("start"), F.lit(1).alias("n")))
+    return _merged(whole.unionByName(alone).groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans."""
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    spans = staged(repeated_spans(narrow).groupBy(F.col("id").alias("_id")).agg(
-        F.collect_list(F.struct("th", "spans")).alias("found")), "spans")
+    ranges = staged(repeated_ranges(narrow), "ranges")
+    entries = ranges.agg(F.sum(F.size("cuts") + 1)).first()[0] or 0
+    found = ranges.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("th", "cuts")).alias("found"))
 
     def cut(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in ("kept", "n_bytes", "n_removed", "n_spans")}
         for raw, found in zip(_encoded(cols["text"]), cols["found"]):
-            mine = [s for f in found or [] if f["th"] == _text_hash(raw) for s in f["spans"]]
-            edge = np.zeros(len(raw) + 1, np.int64)
-            for s in mine:
-                edge[s["start"]] += 1
-                edge[s["start"] + s["n"] - 1 + WINDOW] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            out["kept"].append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            mine = [c for f in found or [] if f["th"] == _text_hash(raw) for c in f["cuts"]]
+            stay, at = [], 0
+            for c in mine:
+                stay.append(raw[at:c["from"]])
+                at = c["to"]
+            out["kept"].append(b"".join(stay) + raw[at:])
             out["n_bytes"].append(len(raw))
-            out["n_removed"].append(int(gone.sum()))
-            out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
+            out["n_removed"].append(sum(c["to"] - c["from"] for c in mine))
+            out["n_spans"].append(len(mine))
         return {"id": cols["id"]} | out
 
-    both = narrow.join(spans, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    both = narrow.join(_small(found, entries), F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
     return map_batches(both, cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
