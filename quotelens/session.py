@@ -91,9 +91,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a reused intermediate as parquet in the shared folder and read it back.
 
     The lineage is cut, column pruning still works on every read, and the
-    table survives the loss of any executor.
+    table survives the loss of any executor.  zstd keeps it small.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
