@@ -55,15 +55,21 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Arrow batches through ``fn`` (column lists in, column lists out), one task per partition."""
+def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str,
+                rows: int | None = None, as_lists: bool = True) -> DataFrame:
+    """Arrow batches through ``fn`` (column lists in, column lists out), one task per partition.
+
+    ``rows`` passes on at most so many rows at a time; without ``as_lists`` the
+    columns come as Arrow arrays.
+    """
     ship(df.sparkSession)
     names, arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows or max(1, whole.num_rows)):
+                b = whole.slice(at, rows or whole.num_rows)
+                out = fn({n: b.column(i).to_pylist() if as_lists else b.column(i) for i, n in enumerate(b.schema.names)})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[n], type=t) for n, t in zip(names, arrow)], names=names)
 

@@ -29,6 +29,7 @@ repeated; rows with one id and different texts are kept apart by a text hash.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ SPREAD = WINDOW - ANCHOR + 1
 PIECE = 1 << 20
 #: Entries of 8 to 40 bytes up to which a side is broadcast, after they are counted.
 BROADCAST_ROWS = 2_000_000
+#: Documents that a task turns into rows at a time.
+BATCH = 500
 #: More than the windows of one run.
 PART_WINDOWS = 512
 
@@ -147,11 +150,12 @@ def _runs(docs: DataFrame) -> DataFrame:
         raw = _encoded(cols["text"])
         r = runs_of(raw)
         ids, th = cols["id"], [_text_hash(x) for x in raw]
-        out = {"id": [ids[k] for k in r["text"]], "th": [th[k] for k in r["text"]]}
+        out = {"id": pa.array(ids, pa.int64()).take(r["text"]), "th": np.array(th, np.int64)[r["text"]]}
         out |= {c: r[c].astype(np.int32) for c in ("start", "n", "off")}
         return out | {c: r[c].view(np.int64) for c in ("a", "s", "dl", "dr")}
 
-    return map_batches(docs, run, "id long, th long, start int, n int, off int, a long, s long, dl long, dr long")
+    return map_batches(docs, run, "id long, th long, start int, n int, off int, a long, s long, dl long, dr long",
+                       rows=BATCH)
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -173,7 +177,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 out["place"].append(p["part"] * PART_WINDOWS + np.arange(n))
         return {c: np.concatenate(v or [np.zeros(0, np.int64)]) for c, v in out.items()}
 
-    return map_batches(docs, spread, "k long, v int, copies long, place long")
+    return map_batches(docs, spread, "k long, v int, copies long, place long", rows=BATCH)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -184,19 +188,25 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def _merged(spans: DataFrame) -> DataFrame:
     """(id, th, spans of (start, windows)) to (id, th, cuts): maximal byte ranges (from, to), in order."""
 
-    def merge(cols: dict[str, list]) -> dict[str, list]:
-        cuts = []
-        for found in cols["spans"]:
-            ranges: list[list[int]] = []
-            for start, end in sorted((x["start"], x["start"] + x["n"] - 1 + WINDOW) for x in found):
-                if ranges and start <= ranges[-1][1]:
-                    ranges[-1][1] = max(ranges[-1][1], end)
-                else:
-                    ranges.append([start, end])
-            cuts.append([{"from": a, "to": b} for a, b in ranges])
+    def merge(cols: dict[str, pa.Array]) -> dict[str, list]:
+        lists = cols["spans"]
+        doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        start = lists.flatten().field("start").to_numpy().astype(np.int64)
+        end = start + lists.flatten().field("n").to_numpy() - 1 + WINDOW
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        # how far the ranges before reach, within a document: documents lie far apart
+        shift = doc * (int(end.max(initial=0)) + 2)
+        reach = np.maximum.accumulate(end + shift)
+        opens = np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]]) if len(doc) else np.zeros(0, bool)
+        first = np.nonzero(opens)[0]
+        stop = np.append(first[1:] - 1, len(doc) - 1) if len(first) else first
+        cuts: list[list[dict]] = [[] for _ in range(len(lists))]
+        for d, a, b in zip(doc[first], start[first], (reach - shift)[stop]):
+            cuts[d].append({"from": int(a), "to": int(b)})
         return {"id": cols["id"], "th": cols["th"], "cuts": cuts}
 
-    return map_batches(spans, merge, "id long, th long, cuts array<struct<from:int,to:int>>")
+    return map_batches(spans, merge, "id long, th long, cuts array<struct<from:int,to:int>>", rows=BATCH, as_lists=False)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -256,4 +266,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"id": cols["id"]} | out
 
     both = narrow.join(_small(found, entries), F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return map_batches(both, cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
+    return map_batches(both, cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long", rows=BATCH).withColumnRenamed("id", id_col)
