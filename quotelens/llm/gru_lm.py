@@ -19,8 +19,9 @@ truncated window to the next through a whole document and reset at its start.
    model is fitted on ``start_docs`` documents (by a hash of the ids) on the
    driver; then every partition trains on all of its training documents from
    that start, and the parameters are averaged by tokens, tree-wise.
-3. Each block gets the counts of its own rarer words back by a join, so the
-   vocabulary is never held in one place, and is scored as a whole.
+3. Each block gets the counts of its own rarer words back by a join (where
+   other blocks hold them too), so the vocabulary is never held in one place,
+   and is scored as a whole.
 
 Defined cases: NULL or empty text is the end alone; repeated rows are scored
 row by row and learnt from as often; without training tokens the model's
@@ -353,10 +354,10 @@ def train(blocks: DataFrame, vocabulary: Vocabulary, start: Gru, rate: float) ->
         words, flat = shared.value
         model, tokens = Gru(words.inputs, words.classes).load(flat), 0
         for b in batches:
-            size = np.cumsum([len(t or "") for t in b.column(3).to_pylist()]) // (2 * BLOCK_BYTES)
+            mine = [t for t, held in zip(b.column(3).to_pylist(), b.column(2).to_pylist()) if not held]
+            size = np.cumsum([len(t or "") for t in mine]) // (2 * BLOCK_BYTES)
             for part in range(int(size[-1]) + 1 if len(size) else 0):
-                some = [(t, held) for t, held, k in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), size) if k == part]
-                texts = [t for t, held in some if not held]
+                texts = [t for t, k in zip(mine, size) if k == part]
                 if not texts:
                     continue
                 block = Block(texts)
@@ -430,7 +431,9 @@ def _scored(blocks: DataFrame, words: DataFrame, counts: DataFrame, vocabulary:
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, model.flat()))
     known = spark.createDataFrame([(int(h),) for h in vocabulary.top], "h long")
-    rarer = words.select("block", "h").join(F.broadcast(known), "h", "left_anti").join(counts.select("h", "c"), "h")
+    # a block knows its own counts: it is sent those of words that other blocks hold too
+    rarer = (words.select("block", "h", "n").join(F.broadcast(known), "h", "left_anti")
+             .join(counts.select("h", "c"), "h").where("c <> n").select("block", "h", "c"))
     floor = tokens + SMOOTH * (distinct + 1)
 
     def score(docs: pd.DataFrame, rare: pd.DataFrame) -> pd.DataFrame:
@@ -441,10 +444,11 @@ def _scored(blocks: DataFrame, words: DataFrame, counts: DataFrame, vocabulary:
         h, c = rare["h"].to_numpy(np.int64), rare["c"].to_numpy(np.float64)
         order = np.argsort(h)
         h, c = h[order], c[order]
-        count = np.zeros(len(block.hash))
+        own = [d for d, held in zip(block.docs, docs["held_out"]) if not held]
+        count = np.bincount(np.concatenate(own or [np.zeros(0, np.int64)]), minlength=len(block.hash)).astype(float)
         if len(h):
             spot = np.minimum(np.searchsorted(h, block.hash), len(h) - 1)
-            count = np.where(h[spot] == block.hash, c[spot], 0.0)
+            count = np.where(h[spot] == block.hash, c[spot], count)
         top = at >= 0
         count[top] = vocab.top_count[at[top]]
         count[0] = vocab.ends
