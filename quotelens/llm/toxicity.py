@@ -230,7 +230,9 @@ def _grams(part: bytes) -> set[bytes]:
 def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 5, negatives: int = 12_000,
         seed: int = 7) -> Fitted:
     rng = np.random.default_rng(seed)
-    bags = [list(dict.fromkeys(p for f in fragments(t) for p in pieces(f))) for t in texts]
+    one: dict[bytes, bytes] = {}  # documents share the fragments they have in common
+    bags = [list(dict.fromkeys(one.setdefault(p, p) for f in fragments(t) for p in pieces(f))) for t in texts]
+    del one
     y = labels >= 0.5
     empty = Fitted(np.zeros(ALPHABET ** 3, np.float32), -1.0, 1.0, -40.0)
     if y.all() or not y.any() or not any(bags):
