@@ -18,7 +18,9 @@ scored in time linear in its length.  A document's score is the logistic
 calibration of its largest fragment value.
 
 Fitted on at most ``max_rows`` labelled rows of each class, by a hash of the
-ids; scoring covers every whole text.
+ids; the calibration weighs each class by its labelled rows over those taken,
+so scores follow the real share of toxic rows whether or not a class was cut.
+Scoring covers every whole text.
 
 Defined cases: NULL counts as empty; a text without letters gets the least
 score; repeated rows are scored row by row; without labels of both kinds every
@@ -228,7 +230,8 @@ def _grams(part: bytes) -> set[bytes]:
 
 
 def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 5, negatives: int = 12_000,
-        seed: int = 7) -> Fitted:
+        seed: int = 7, stands_for: tuple[float, float] = (1.0, 1.0)) -> Fitted:
+    """``stands_for``: labelled rows for which each clean and each toxic text stands."""
     rng = np.random.default_rng(seed)
     one: dict[bytes, bytes] = {}  # documents share the fragments they have in common
     bags = [list(dict.fromkeys(one.setdefault(p, p) for f in fragments(t) for p in pieces(f))) for t in texts]
@@ -280,12 +283,15 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
     top = current.largest([t for t, c in zip(texts, calibration) if c])
     yc = y[calibration].astype(float)
     target = np.where(yc > 0, (yc.sum() + 1) / (yc.sum() + 2), 1 / ((1 - yc).sum() + 2))
+    mass = np.where(yc > 0, stands_for[1], stands_for[0])
+    mass = mass / mass.mean()
     centre, scale = top.mean(), top.std() + 1e-9
     x = np.stack([(top - centre) / scale, np.ones(len(top))], axis=1)
     b = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
-        b += np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * b)
+        b += np.linalg.solve((x * (mass * p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2),
+                             x.T @ (mass * (target - p)) - 1e-3 * b)
     return Fitted(current.triple_weight, current.bias, float(b[0] / scale), float(b[1] - b[0] * centre / scale))
 
 
@@ -295,12 +301,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     mark = (labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
             .groupBy(F.col(id_col).alias("id")).agg(F.avg("toxic").alias("label"))
             .where(~hash_modulo("id", 4, 2)))
+    all_rows = mark.agg(F.count_if(F.col("label") < 0.5), F.count_if(F.col("label") >= 0.5)).first()
     order = [F.xxhash64("id"), F.col("id")]
     mark = (mark.where("label >= 0.5").orderBy(*order).limit(max_rows)
             .unionByName(mark.where("label < 0.5").orderBy(*order).limit(max_rows)))
     text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
     known = text.join(F.broadcast(mark), "id").toPandas().drop_duplicates("id").sort_values("id")  # 2 * max_rows ids
-    return fit(known["text"].tolist(), known["label"].to_numpy(float))
+    return fit(known["text"].tolist(), known["label"].to_numpy(float),
+               stands_for=tuple(max(1.0, n / max_rows) for n in all_rows))
 
 
 def score_toxicity(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text",

@@ -420,6 +420,24 @@ def test_toxicity_learns_gapped_insults(spark, hard, nothing):
     assert {r.predicted for r in toxicity.classify_toxicity(hard, labels.where("toxic = 0")).collect()} == {0}
 
 
+def test_toxicity_scores_follow_the_real_share_when_classes_are_cut(spark):
+    rng = random.Random(5)
+    piece = ["the", "ing", "ere", "an", "th", "ond", "est", "ha"]
+    rows, marks = [], []
+    for k in range(2400):  # a fifth holds the insult, half of them are labelled toxic
+        words = ["".join(rng.choice(piece) for _ in range(rng.randint(1, 4))) for _ in range(20)]
+        said = rng.random() < 0.2
+        if said:
+            words[rng.randrange(20)] = "grumbled"
+        rows.append((k, " ".join(words), "s"))
+        marks.append((k, int(said and rng.random() < 0.5)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    texts = [t for _, t, _ in rows]
+    whole, cut = (toxicity.fit_toxicity(docs, labels, max_rows=n).score(texts) for n in (4000, 150))
+    share = sum(m for _, m in marks) / len(marks)
+    assert abs(whole.mean() - share) < 0.03 and abs(cut.mean() - whole.mean()) < 0.04
+
+
 # ------------------------------------------------------------------ 9 suffix dedup
 def repeats_brute(rows, size=400):
     raw = [(i, (t or "").encode()) for i, t in rows]
