@@ -1,12 +1,14 @@
 """Operator 8: toxicity by a subsequence string-kernel support vector machine.
 
 A labelled sentence is a bag of fragments (its words; runs of single letters
-are read as one word; a word longer than ``PIECE`` characters is read in
-overlapping pieces).  Fragments are compared by the gap-weighted subsequence
-kernel of order 3: two fragments agree in every triple of letters they share
-in order, each occurrence weighing DECAY ** (length it spans), so inserted
-characters and gaps lower the kernel but don't break it.  Punctuation takes up
-room in a span but is never part of a triple.
+are read as one word, whatever white space parts them; a word longer than
+``PIECE`` characters is read in overlapping pieces).  Fragments are compared by
+the gap-weighted subsequence kernel of order 3: two pieces agree in every triple
+of letters they share in order, however far apart the letters are, each
+occurrence weighing DECAY ** (length it spans), so inserted characters and gaps
+lower the kernel but don't break it.  Punctuation takes up room in a span but is
+never part of a triple.  A word parted by white space into runs of two or more
+letters is read as those runs.
 
 Nystrom landmarks give the kernel a finite feature map, z = K^-1/2 k(., landmarks),
 on which a linear SVM (squared hinge loss) is fitted.  Only documents are
@@ -31,6 +33,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import re
 
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_modulo, map_batches, ship
 
-SPAN, DECAY, PIECE, GRAM = 6, 0.6, 24, 4
+DECAY, PIECE, GRAM = 0.6, 24, 4
 ALPHABET = 32
 LANDMARKS = 400
 #: Likelihood ratio from which a run of letters speaks for a label before any fit.
@@ -63,7 +67,7 @@ for _b in range(128, 192):  # second and later bytes of UTF-8
 _CODE[36], _CODE[64] = _CODE[ord("s")], _CODE[ord("a")]
 
 
-_SPELT = re.compile(rb"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPELT = re.compile(rb"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
 def fragments(text: str | None) -> list[bytes]:
@@ -81,18 +85,20 @@ def pieces(fragment: bytes) -> list[bytes]:
     return [fragment[i:i + PIECE] for i in range(0, len(fragment) - PIECE // 2, PIECE // 2)]
 
 
+@lru_cache(maxsize=PIECE + 1)
+def _places(width: int) -> np.ndarray:
+    """(first, second, third) places of all triples in a piece of ``width`` characters."""
+    return np.array(list(combinations(range(width), 3)), np.int64).reshape(-1, 3).T
+
+
 def triples(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(codes, weights) of each part's triples of letters, padded with weight 0."""
     width = max(map(len, parts), default=1)
     raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width)
-    c = np.pad(_CODE[raw], ((0, 0), (0, SPAN)))
-    codes, weights = [], []
-    for j in range(1, SPAN - 1):
-        for k in range(j + 1, SPAN):
-            a, b, d = c[:, :width], c[:, j:width + j], c[:, k:width + k]
-            codes.append((a * ALPHABET + b) * ALPHABET + d)
-            weights.append(np.where((a > 0) & (b > 0) & (d > 0), DECAY ** (k - 2), 0.0))
-    return np.concatenate(codes, axis=1), np.concatenate(weights, axis=1)
+    c = _CODE[raw]
+    i, j, k = _places(width)
+    a, b, d = c[:, i], c[:, j], c[:, k]
+    return (a * ALPHABET + b) * ALPHABET + d, np.where((a > 0) & (b > 0) & (d > 0), DECAY ** (k - i - 2.0), 0.0)
 
 
 def norms(weights: np.ndarray) -> np.ndarray:
@@ -156,18 +162,20 @@ class Fitted:
 
     def _values(self, parts: list[bytes]) -> np.ndarray:
         width = max(map(len, parts))
-        c = np.zeros((len(parts), width + SPAN), np.int32)
-        c[:, :width] = _CODE[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in parts]), np.uint8)].reshape(-1, width)
-        high, middle, is_letter = c[:, :width] * ALPHABET ** 2, c * ALPHABET, (c > 0).astype(np.float32)
+        c = _CODE[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in parts]), np.uint8)].astype(np.int32).reshape(-1, width)
+        high, middle, is_letter = c * ALPHABET ** 2, c * ALPHABET, (c > 0).astype(np.float32)
         total, size = np.zeros(len(parts), np.float32), np.zeros(len(parts), np.float32)
-        for j in range(1, SPAN - 1):
-            first_two = high + middle[:, j:width + j]
-            both = is_letter[:, :width] * is_letter[:, j:width + j]
-            for k in range(j + 1, SPAN):
-                every = both * is_letter[:, k:width + k]
-                decay = np.float32(DECAY ** (k - 2))
-                total += decay * np.einsum("ij,ij->i", self.triple_weight[first_two + c[:, k:width + k]], every)
-                size += decay ** 2 * every.sum(axis=1)
+        for k in range(2, width):  # from the first to the third letter
+            n, value, number = width - k, np.zeros((len(parts), width - k), np.float32), np.zeros((len(parts), width - k), np.float32)
+            outer = high[:, :n] + c[:, k:]
+            for j in range(1, k):
+                inner = is_letter[:, j:n + j]
+                value += self.triple_weight[outer + middle[:, j:n + j]] * inner
+                number += inner
+            ends = is_letter[:, :n] * is_letter[:, k:]
+            decay = np.float32(DECAY ** (k - 2))
+            total += decay * np.einsum("ij,ij->i", value, ends)
+            size += decay ** 2 * np.einsum("ij,ij->i", number, ends)
         return total / np.sqrt(np.where(size > 0, size, 1)) + self.bias
 
     def largest(self, texts: list[str | None]) -> np.ndarray:

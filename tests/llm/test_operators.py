@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on difficult rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -420,6 +421,40 @@ def test_toxicity_learns_gapped_insults(spark, hard, nothing):
     assert {r.predicted for r in toxicity.classify_toxicity(hard, labels.where("toxic = 0")).collect()} == {0}
 
 
+def test_triples_reach_over_the_whole_piece():
+    rng = np.random.default_rng(4)
+    weight = rng.normal(size=toxicity.ALPHABET ** 3).astype(np.float32)
+    model = toxicity.Fitted(weight, 0.5, 1.0, 0.0)
+    parts = [b"idiot", b"i..d..i..o..t", b"l--o--s--e--r", b"v......e......x", b"abcdefghijklmnopqrstuvwx", b"ab", b"...", b"x"]
+    for part, value in zip(parts, model.values(parts)):
+        code, total, size = [int(toxicity._CODE[x]) for x in part], 0.0, 0.0
+        for i, j, k in itertools.combinations(range(len(part)), 3):
+            if code[i] and code[j] and code[k]:
+                w = toxicity.DECAY ** (k - i - 2)
+                total += w * weight[(code[i] * toxicity.ALPHABET + code[j]) * toxicity.ALPHABET + code[k]]
+                size += w * w
+        assert abs(value - (total / np.sqrt(size) if size else 0) - 0.5) < 1e-4
+    marks = toxicity.Landmarks.of([b"idiot", b"loser", b"hello"])
+    k = marks.kernel([b"i..d..i..o..t", b"l---o---s---e---r"])
+    assert k[0, 0] > 0.7 > 0.3 > k[0, 2] and k[1, 1] > 0.7 > 0.3 > k[1, 0]
+
+
+def test_toxicity_finds_wide_gaps_and_any_white_space():
+    rng = random.Random(2)
+    piece = ["the", "ing", "ere", "an", "th", "ond", "est", "ha"]
+    texts, marks = [], []
+    for _ in range(900):
+        words = ["".join(rng.choice(piece) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+        marks.append(rng.random() < 0.25)
+        if marks[-1]:
+            words[rng.randrange(60)] = rng.choice(["grumbled", "snivelok", "vexhorn", "loser"])
+        texts.append(" ".join(words))
+    model = toxicity.fit(texts, np.array(marks, float))
+    said = ["the g..r..u..m..b..l..e..d ing", "l--o--s--e--r", "l---o---s---e---r", "v--e--x--h--o--r--n here",
+            "than v  e  x  h  o  r  n", "than v\ne\nx\n\th\no\nr\nn the"]
+    assert (model.score(said) > 0.3).all() and (model.score(["the th--an", "t  h  e  r  e"]) < 0.3).all()
+
+
 def test_toxicity_scores_follow_the_real_share_when_classes_are_cut(spark):
     rng = random.Random(5)
     piece = ["the", "ing", "ere", "an", "th", "ond", "est", "ha"]
