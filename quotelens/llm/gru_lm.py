@@ -15,7 +15,8 @@ truncated window to the next through a whole document and reset at its start.
 
 1. Documents are written once in blocks of about BLOCK_BYTES.  Each block
    reports its words (64-bit hashes) with their training counts.
-2. Summed over all training documents these are the corpus counts.  A start
+2. Summed over all training documents these are the corpus counts, and the
+   frequent words' contexts, summed likewise, give the classes.  A start
    model is fitted on ``start_docs`` documents (by a hash of the ids) on the
    driver; then every partition trains on all of its training documents from
    that start, and the parameters are averaged by tokens, tree-wise.
@@ -31,6 +32,7 @@ classes are equally likely and base counts are 0.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -266,27 +268,71 @@ def streams(docs: list[np.ndarray], inputs: np.ndarray, classes: np.ndarray):
     return x, keep, y, real, place
 
 
-def cluster_words(block: Block, top: np.ndarray, clusters: int, seed: int = 3, width: int = 48) -> np.ndarray:
-    """K-means of the frequent words' contexts (two words on either side, randomly projected)."""
-    rng = np.random.default_rng(seed)
-    order = np.sort(top)
+def context_sums(block: Block, order: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Per frequent word (``order``: their sorted hashes): summed codes of two words to the left, then to the right."""
     at = np.minimum(np.searchsorted(order, block.hash), max(0, len(order) - 1))
     known = np.where(order[at] == block.hash, at, len(order))
-    code = rng.standard_normal((len(order) + 1, width)).astype(np.float32)
-    context = np.zeros((len(order) + 1, 2 * width), np.float32)
-    for d in block.docs:
-        k = known[d]
-        for gap in (1, 2):
-            if len(k) > gap:
-                np.add.at(context[:, :width], k[gap:], code[k[:-gap]])
-                np.add.at(context[:, width:], k[:-gap], code[k[gap:]])
-    x = context[:-1]
+    k = np.concatenate([known[d] for d in block.docs])
+    doc = np.repeat(np.arange(len(block.docs)), [len(d) for d in block.docs])
+    pairs = [(k[gap:][same], k[:-gap][same]) for gap in (1, 2) for same in [doc[gap:] == doc[:-gap]]]
+    word, before = (np.concatenate(x) for x in zip(*pairs))
+    n = len(order) + 1
+    pair, count = np.unique(word * n + before, return_counts=True)
+    out = np.zeros((n, 2 * code.shape[1]), np.int64)
+    for target, other, half in ((pair // n, pair % n, 0), (pair % n, pair // n, 1)):
+        by = np.argsort(target, kind="stable")
+        by = by[target[by] < len(order)]
+        for some in np.array_split(by, len(by) // 100_000 + 1):
+            if len(some):
+                first = np.flatnonzero(np.diff(target[some], prepend=-1))
+                out[target[some][first], half * code.shape[1]:(half + 1) * code.shape[1]] += np.add.reduceat(
+                    code[other[some]] * count[some, None].astype(np.int32), first)
+    return out[:-1]
+
+
+def word_contexts(blocks: DataFrame, top: np.ndarray, seed: int = 3, width: int = 48, group: int = 128) -> np.ndarray:
+    """The frequent words' contexts over all training documents, in the order of their sorted hashes.
+
+    Codes are signs, so the sums are whole numbers and don't depend on how rows lie in partitions.
+    """
+    order = np.sort(top)
+    code = np.random.default_rng(seed).choice(np.array([-1, 1], np.int32), (len(order) + 1, width))
+    shared = blocks.sparkSession.sparkContext.broadcast((order, code))  # under 2 MB
+
+    def partial(batches):
+        order, code = shared.value
+        total = np.zeros((len(order), 2 * width), np.int64)
+        for b in batches:
+            mine = [t for t, held in zip(b.column(3).to_pylist(), b.column(2).to_pylist()) if not held]
+            size = np.cumsum([len(t or "") for t in mine]) // BLOCK_BYTES
+            for part in np.unique(size):
+                total += context_sums(Block([t for t, k in zip(mine, size) if k == part]), order, code)
+        if total.any():
+            rows = [zlib.compress(total[i:i + group].tobytes(), 1) for i in range(0, len(order), group)]
+            yield [pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())]
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(r), np.int64) for r in rows["sums"])
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [zlib.compress(total.tobytes(), 1)]})
+
+    names, schema = ["part", "sums"], "part int, sums binary"
+    sums = blocks.mapInArrow(_arrow_rows(partial, names), schema).groupBy("part").applyInPandas(add, schema)
+    context = np.zeros((len(order), 2 * width), np.int64)
+    for r in sums.collect():  # one row per ``group`` words
+        rows = np.frombuffer(zlib.decompress(r["sums"]), np.int64).reshape(-1, 2 * width)
+        context[r["part"] * group:r["part"] * group + len(rows)] = rows
+    return context
+
+
+def cluster_words(context: np.ndarray, top: np.ndarray, clusters: int, seed: int = 3) -> np.ndarray:
+    """K-means of the frequent words' contexts (rows in the order of their sorted hashes)."""
+    x = context.astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    centre = x[rng.permutation(len(x))[:clusters]]
+    centre = x[np.random.default_rng(seed).permutation(len(x))[:clusters]]
     label = np.zeros(len(x), np.int64)
     for _ in range(12):
         label = (x @ centre.T).argmax(axis=1)
-        total = np.stack([np.bincount(label, x[:, j], len(centre)) for j in range(2 * width)], axis=1)
+        total = np.stack([np.bincount(label, x[:, j], len(centre)) for j in range(x.shape[1])], axis=1)
         centre = (total / (np.linalg.norm(total, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
     back = np.empty(len(top), np.int64)
     back[np.argsort(top)] = np.unique(label, return_inverse=True)[1]
@@ -413,13 +459,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = (blocks.where("NOT held_out").select("id", "text").orderBy(F.xxhash64("id"), "id").limit(start_docs)
               .select("text").toPandas()["text"].tolist())
     block = Block(sample)
-    label = cluster_words(block, top_hash, clusters) if len(top) else np.zeros(0, np.int64)
+    label = cluster_words(word_contexts(blocks, top_hash), top_hash, clusters) if len(top) else np.zeros(0, np.int64)
     vocabulary = Vocabulary(top_hash, np.array([r["c"] for r in top], np.float64), label, shape_count, shape_words, ends)
     model = Gru(vocabulary.inputs, vocabulary.classes)
     if sample:
         inputs, classes, _ = vocabulary.place(block)
         x, keep, y, real, _ = streams(block.docs, inputs, classes)
-        model.p["bias"] = np.log(np.bincount(y[real > 0], minlength=vocabulary.classes) + 1).astype(np.float32)
+        seen = np.concatenate([np.bincount(label, [r["c"] for r in top], vocabulary.clusters), shape_count, [ends]])
+        model.p["bias"] = np.log(seen + 1).astype(np.float32)
         for epoch in range(start_epochs):
             model.train(x, keep, y, real, 0.01 * 0.6 ** epoch)
         model = train(blocks, vocabulary, model, 0.002)

@@ -386,6 +386,31 @@ def test_state_is_carried_through_a_document(monkeypatch):
     assert np.allclose(whole, model.log_classes(x, keep, y), atol=1e-5)
 
 
+def test_lm_classes_come_from_all_training_documents(spark, small):
+    docs = small.limit(120)
+    blocks = gru_lm.blocked(docs, "doc_id", "text", 0)
+    texts = [r.text for r in blocks.where("NOT held_out").collect()]
+    count = Counter(w for t in texts for w in gru_lm.words_of(t))
+    top = np.array([gru_lm.word_hash(w) for w, _ in count.most_common(300)], np.int64)
+    got = gru_lm.word_contexts(blocks, top, width=8, group=7)
+    order = {h: i for i, h in enumerate(np.sort(top).tolist())}
+    code = np.random.default_rng(3).choice(np.array([-1, 1], np.int32), (301, 8))
+    want = np.zeros((301, 16), np.int64)
+    for t in texts:
+        k = [order.get(gru_lm.word_hash(w), 300) for w in gru_lm.words_of(t)] + [300]
+        for i in range(len(k)):
+            for j in (i - 1, i - 2):
+                if j >= 0:
+                    want[k[i], :8] += code[k[j]]
+                    want[k[j], 8:] += code[k[i]]
+    assert (got == want[:300]).all()
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(gru_lm, "cluster_words", lambda context, *a, f=gru_lm.cluster_words: seen.append(context) or f(context, *a))
+        gru_lm.score_documents(docs, start_docs=3, start_epochs=1)
+    assert (np.abs(seen[0]).sum(axis=1) > 0).mean() > 0.99
+
+
 # ------------------------------------------------------------------ 8 toxicity
 def test_folded_triples_equal_the_landmark_kernel():
     parts, marks = [b"loser", b"lo.ser", b"hatch", b"worthless"], toxicity.Landmarks.of([b"loser", b"idiot", b"hello"])
