@@ -211,7 +211,7 @@ def test_clustering_equals_exact_integer_rounds(spark, partitions):
 def test_clustering_with_few_equal_or_no_vectors(spark):
     same = [(i, [0.25] * 64) for i in range(40)]
     assert as_rows(clustering.cluster_vectors(vectors_frame(spark, same))) == clustered(same)  # ties, empty clusters
-    few = hard_vectors(60, 0)[:5]
+    few = hard_vectors(70, 0)[:5]
     assert as_rows(clustering.cluster_vectors(vectors_frame(spark, few))) == clustered(few)
     none = clustering.cluster_vectors(vectors_frame(spark, few).where("false"))
     assert none.count() == 0 and "centroid" in none.columns
