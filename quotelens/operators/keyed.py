@@ -8,8 +8,10 @@ Rules followed here:
   shuffle partitions and their statistic row is replicated once per salt; all
   other keys have salt 0, so there is one plan at every size.  At most
   (rows / hot_rows) keys can be hot, which bounds the broadcast set of them;
-* a lookup table of one row per key is counted and broadcast if it is small,
-  so the big side isn't shuffled for it;
+* a lookup table of one row per key is written, counted and broadcast if it is
+  small, so the big side isn't shuffled for it;
+* ranks within a key come from a distributed prefix sum, never from a window
+  over the whole key;
 * "first row per key" uses ``row_number() = 1``, which Spark plans as a partial
   ``WindowGroupLimit`` before the shuffle, so a hot key sends at most one row per
   map partition.
@@ -25,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_KEY_ROWS = 2_000_000     # rows per key from which the key is salted
 SALTS = 64                   # partitions a hot key is spread over
 BROADCAST_ROWS = 500_000     # rows (of a few numbers each) up to which a lookup table is broadcast
@@ -70,14 +74,34 @@ def with_key_stats(df: DataFrame, keys: Sequence[str], *aggs: Column, count_col:
     return out if keep_count else out.drop(count_col)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], most_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], most_rows: int = BROADCAST_ROWS,
+                written: bool = False) -> DataFrame:
     """Left-join a one-row-per-key table onto a big table.
 
-    ``small`` is counted (its aggregates are pruned for that); up to
+    ``small`` is written once (unless it is ``written``) and counted; up to
     ``most_rows`` it is broadcast and the big side stays where it is.  Beyond,
     both sides are shuffled and AQE splits skewed partitions.
     """
-    return null_safe_join(big, F.broadcast(small) if small.count() <= most_rows else small, keys)
+    table = small if written else materialize(small, "lookup")
+    return null_safe_join(big, F.broadcast(table) if table.count() <= most_rows else table, keys)
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], amount: str,
+                   name: str = "ranked") -> DataFrame:
+    """Add ``before``: the sum of ``amount`` over the rows of the same key that come earlier in ``order``.
+
+    A distributed prefix sum: rows are range-partitioned by key and order and
+    written once with their slice; the totals of the slices, one row per key and
+    slice, give each slice's start.  No task holds more than a slice of a key.
+    """
+    ranged = materialize(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), name)
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy(*keys, "_slice").agg(F.sum(amount).alias("_t"))
+              .withColumn("_start", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t"))
+    inner = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("_inside", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
+    out = lookup_join(inside, starts, [*keys, "_slice"])
+    return out.withColumn("before", F.col("_start") + F.col("_inside")).drop("_start", "_inside", "_slice")
 
 
 MEDIAN_ACCURACY = 10_000     # rank error of the approximate quantiles: 1 / accuracy
@@ -86,14 +110,14 @@ MEDIAN_ACCURACY = 10_000     # rank error of the approximate quantiles: 1 / accu
 def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Exact interpolated medians per key (T7), NULLs skipped; one row per key.
 
-    ``values`` maps output alias -> input column.
+    ``values`` maps output alias -> input column.  Two passes over ``df``:
 
     1. one aggregation gives, per key and measure, the number of values and two
        approximate quantiles that enclose the median (bounded sketches);
-    2. values below the enclosure are counted, values inside it, about one in a
-       thousand, go on as a value -> count histogram;
-    3. a running count inside the enclosure finds the two middle ranks, and the
-       median interpolates between them as ``percentile`` does.
+    2. values inside the enclosure, about one in a thousand, are counted per
+       value, and all values below it as one entry; a distributed prefix sum of
+       the counts finds the two middle ranks, and the median interpolates
+       between them as ``percentile`` does.
 
     A rank outside its enclosure would break the sketch's error bound and
     raises an error instead of giving a wrong median.
@@ -103,31 +127,27 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str]) ->
     if not keys:
         src = src.withColumn("_all", F.lit(1))
     reach = 5 / MEDIAN_ACCURACY
-    around = src.groupBy(*by).agg(*[e for a in values for e in (
+    around = materialize(src.groupBy(*by).agg(*[e for a in values for e in (
         F.count(f"_v_{a}").alias(f"_n_{a}"),
-        F.percentile_approx(f"_v_{a}", [0.5 - reach, 0.5 + reach], MEDIAN_ACCURACY).alias(f"_b_{a}"))])
-    placed = lookup_join(src, around, by)
-    below = placed.groupBy(*by).agg(*[F.count(F.when(F.col(f"_v_{a}") < F.col(f"_b_{a}")[0], 1)).alias(f"_u_{a}")
-                                      for a in values])
-    inside = F.filter(F.array(*[F.when(F.col(f"_v_{a}").between(F.col(f"_b_{a}")[0], F.col(f"_b_{a}")[1]),
-                                       F.struct(F.lit(a).alias("m"), F.col(f"_v_{a}").alias("v"))) for a in values]),
-                      lambda x: x.isNotNull())
-    slices = (placed.select(*by, F.explode(inside).alias("_s")).select(*by, "_s.m", "_s.v")
+        F.percentile_approx(f"_v_{a}", [0.5 - reach, 0.5 + reach], MEDIAN_ACCURACY).alias(f"_b_{a}"))]), "enclosures")
+    placed = lookup_join(src, around, by, written=True)
+    # a value's entry: itself inside the enclosure, NULL (first in the order) for all below
+    entries = F.array_compact(F.array(*[
+        F.when(F.col(f"_v_{a}") <= F.col(f"_b_{a}")[1],
+               F.struct(F.lit(a).alias("m"), F.when(F.col(f"_v_{a}") >= F.col(f"_b_{a}")[0], F.col(f"_v_{a}")).alias("v")))
+        for a in values]))
+    counts = (placed.select(*by, F.explode(entries).alias("_s")).select(*by, "_s.m", "_s.v")
               .groupBy(*by, "m", "v").agg(F.count(F.lit(1)).alias("f")))
-    running = Window.partitionBy(*by, "m").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = slices.withColumn("end", F.sum("f").over(running)).withColumn("start", F.col("end") - F.col("f"))
-    known = null_safe_join(around, below, by)
-    stacked = known.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(a).alias("m"), F.col(f"_n_{a}").alias("n"), F.col(f"_u_{a}").alias("u")) for a in values]))
-        .alias("_k")).select(*by, "_k.*").where("n > 0")
+    ranked = running_totals(counts, [*by, "m"], [F.asc_nulls_first("v")], "f", "medians")
+    sizes = around.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(a).alias("m"), F.col(f"_n_{a}").alias("n")) for a in values])).alias("_k")).select(*by, "_k.*").where("n > 0")
+    met = null_safe_join(ranked, sizes, [*by, "m"], "inner")
     pos = (F.col("n") - 1) * 0.5
-    low, high = F.floor(pos) - F.col("u"), F.ceil(pos) - F.col("u")   # ranks within the slice
-    met = null_safe_join(ranks, stacked, [*by, "m"], "inner")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("v")))
+        return F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("f")), F.col("v")))
 
-    two = met.groupBy(*by, "m").agg(at(low).alias("lo"), at(high).alias("hi"), F.max("n").alias("n"))
+    two = met.groupBy(*by, "m").agg(at(F.floor(pos)).alias("lo"), at(F.ceil(pos)).alias("hi"), F.max("n").alias("n"))
     missed = F.raise_error(F.lit("a median lies outside its approximate quantiles")).cast("double")
     p, f, c = pos, F.floor(pos), F.ceil(pos)
     middle = (F.when(F.col("lo").isNull() | F.col("hi").isNull(), missed)

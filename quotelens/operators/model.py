@@ -1,22 +1,24 @@
 """Win-probability model: grouped split, weights, preprocessing, logistic fit.
 
-Preprocessing statistics are learned with DataFrame aggregations (exact
-medians, population standard deviations) and frozen into a ``SQLTransformer``
-stage, so the fitted ``PipelineModel`` (SQL -> StringIndexer -> OneHotEncoder
--> VectorAssembler -> LogisticRegression) is saved and reloaded as one unit.
-The same fitted model also compiles to a plain Column expression (see
-``FittedWinModel.probability``) for row-local scoring of the margin grid.
+Preprocessing statistics are exact medians and population moments, learned
+with aggregations.  The logistic model is fitted by Newton's method with the
+product block of the Hessian eliminated, one aggregation per step.  The fitted
+model is a few numbers and a table of product coefficients: rows to be scored
+get their product's coefficient by a lookup join, the rest is a Column
+expression, which also prices the margin grid row by row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -30,21 +32,44 @@ from ..constants import (
 from ..plans.scorecard import MARGIN_VARYING, sigmoid
 from ..session import materialize
 from .cleaning import select_features
-from .keyed import exact_medians, with_key_stats
+from .keyed import exact_medians, lookup_join, null_safe_join, running_totals, with_key_stats
+
+SPLIT_FEW = 1000   # hashes the split's selection ends with on the driver
 
 
 # ------------------------------------------------------------------ M1
-def test_flag(quote_id: Column, test_size: float = SPLIT_TEST_SIZE, seed: int = SPLIT_SEED) -> Column:
-    """Group-aware split: a quote is in the test set iff the first 16 bits of
-    md5('<quote_id>:<seed>') fall below test_size * 2^16.  Row-local, seeded,
-    no quote on both sides."""
-    cut = format(int(round(test_size * 65536)), "04x")
-    h = F.substring(F.md5(F.concat(quote_id.cast("string"), F.lit(f":{seed}"))), 1, 4)
-    return h < F.lit(cut)
+def _split_hash(quote_id: Column, seed: int) -> Column:
+    return F.md5(F.concat(quote_id.cast("string"), F.lit(f":{seed}")))
+
+
+def split_cut(df: DataFrame, test_size: float = SPLIT_TEST_SIZE, seed: int = SPLIT_SEED) -> str:
+    """The hash up to which quotes are test quotes: exactly ceil(test_size * quotes) of them.
+
+    Exact distributed selection of the kth smallest hash of '<quote_id>:<seed>':
+    counts per hash prefix of four more digits narrow the range (at most 65,536
+    counts per round) until a few hashes are left.  Empty without quotes.
+    """
+    hashes = materialize(df.where(F.col("quote_id").isNotNull()).select(_split_hash(F.col("quote_id"), seed).alias("h"))
+                         .distinct(), "split-hashes")
+    rank = math.ceil(test_size * hashes.count())   # how many of those still in range are wanted
+    prefix, running = "", Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    while rank:
+        inside = hashes.where(F.col("h").startswith(prefix))
+        few = [r["h"] for r in inside.orderBy("h").limit(SPLIT_FEW + 1).collect()]
+        if len(few) <= SPLIT_FEW:
+            return few[rank - 1]
+        cut = (inside.groupBy(F.substring("h", 1, len(prefix) + 4).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("upto", F.sum("n").over(running)).where(F.col("upto") >= rank).orderBy("p").first())
+        prefix, rank = cut["p"], rank - (cut["upto"] - cut["n"])
+    return ""
 
 
 def group_split(df: DataFrame, test_size: float = SPLIT_TEST_SIZE, seed: int = SPLIT_SEED) -> DataFrame:
-    return df.withColumn("is_test", test_flag(F.col("quote_id"), test_size, seed))
+    """M1: add ``is_test``; exactly ceil(test_size * quotes) quotes are test quotes, no quote is on both sides.
+
+    The cut is found once; the flag itself is row-local.  Lines without a quote id are training lines."""
+    h = _split_hash(F.col("quote_id"), seed)
+    return df.withColumn("is_test", F.coalesce(h <= F.lit(split_cut(df, test_size, seed)), F.lit(False)))
 
 
 # ------------------------------------------------------------------ M2 / M3
@@ -68,6 +93,13 @@ class ClassWeights:
             out = F.when(label == F.lit(y), F.lit(v)).otherwise(out)
         return out
 
+    def to_lists(self) -> list:
+        return [list(self.count.items()), list(self.weight.items()), self.total]
+
+    @staticmethod
+    def from_lists(x: list) -> ClassWeights:
+        return ClassWeights(dict(map(tuple, x[0])), dict(map(tuple, x[1])), x[2])
+
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame([(int(y), int(n), float(self.weight[y])) for y, n in self.count.items()],
                                      "is_win int, n_class long, class_weight double")
@@ -104,19 +136,6 @@ class Preprocessing:
     def product(self, x: Column) -> Column:
         return F.coalesce(x, F.lit(self.product_fill))
 
-    def sql(self) -> str:
-        """The same transformation as a SQLTransformer statement."""
-        parts = []
-        for f in self.features:
-            parts.append(f"(coalesce(CAST({f} AS DOUBLE), {self.medians[f]!r}D) - {self.means[f]!r}D) "
-                         f"/ {self.scales[f]!r}D AS z_{f}")
-        fill = "NULL" if self.product_fill is None else "'" + self.product_fill.replace("'", "''") + "'"
-        parts.append(f"coalesce(product, {fill}) AS product_filled")
-        return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
-
-    def to_json(self) -> str:
-        return json.dumps(self.__dict__)
-
 
 def learn_preprocessing(df: DataFrame, features: list[str] = NUMERIC_FEATURES) -> Preprocessing:
     """Learn imputation and scaling on the fit set (M4-M6); a few scalars reach the driver.
@@ -141,133 +160,280 @@ def learn_preprocessing(df: DataFrame, features: list[str] = NUMERIC_FEATURES) -
     return Preprocessing(medians, means, scales, None if mode is None else mode["product"], list(medians))
 
 
-# ------------------------------------------------------------------ M7-M9, M15
+# ------------------------------------------------------------------ M7-M10, M15
+PRODUCT_TERM = "_product_term"
+_FILLED = "_product_filled"
+
+
 @dataclass
 class FittedWinModel:
-    """A logistic model as a Column expression; ``pipeline`` is its Spark ML form, if it was fitted."""
+    """A logistic model: numeric coefficients as numbers, product coefficients as a table.
+
+    ``levels`` has one row per product (product, product_index, coefficient) and
+    is joined onto the rows to be scored, so a plan has the same size whatever
+    the number of products; a dict stands for a table with a few rows.
+    """
 
-    pipeline: PipelineModel | None
     prep: Preprocessing
-    levels: list[str]
-    coefficients: list[float]
+    numeric: dict[str, float]
     intercept: float
+    levels: DataFrame | dict[str, float]
     classes: ClassWeights | None = None
 
-    def numeric_coef(self) -> dict[str, float]:
-        return dict(zip(self.prep.features, self.coefficients[:len(self.prep.features)]))
-
-    def product_coef(self) -> dict[str, float]:
-        return dict(zip(self.levels, self.coefficients[len(self.prep.features):]))
+    def level_table(self, spark) -> DataFrame:
+        if isinstance(self.levels, dict):
+            rows = [(k, i, float(v)) for i, (k, v) in enumerate(sorted(self.levels.items()))]
+            return spark.createDataFrame(rows, LEVELS)
+        return self.levels
+
+    def with_levels(self, df: DataFrame, **columns: str) -> DataFrame:
+        """Attach columns of the level table (new name -> its column); NULL for a product it hasn't."""
+        table = self.level_table(df.sparkSession).select(F.col("product").alias(_FILLED),
+                                                         *[F.col(c).alias(n) for n, c in columns.items()])
+        filled = df.withColumn(_FILLED, self.prep.product(F.col("product")))
+        return lookup_join(filled, table, [_FILLED], written=True).drop(_FILLED)
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """The table with its product terms, ready for ``probability`` and the margin grid."""
+        return self.with_levels(df.drop(PRODUCT_TERM), **{PRODUCT_TERM: "coefficient"})
+
+    def _terms(self, names: list[str], f: dict[str, Column], z: Column) -> Column:
+        for name in names:
+            z = z + F.lit(self.numeric[name]) * self.prep.z(name, f[name])
+        return z
 
     def fixed_logit(self, f: dict[str, Column]) -> Column:
-        """Intercept + product term + terms of margin-independent features."""
-        z = F.lit(self.intercept)
-        pc = self.product_coef()
-        if pc:
-            m = F.create_map(*[x for k, v in sorted(pc.items()) for x in (F.lit(k), F.lit(v))])
-            z = z + F.coalesce(F.try_element_at(m, self.prep.product(f["product"])), F.lit(0.0))
-        for name, b in self.numeric_coef().items():
-            if name not in MARGIN_VARYING:
-                z = z + F.lit(b) * self.prep.z(name, f[name])
-        return z
+        """Intercept + product term + terms of margin-independent features (rows ``prepare`` has seen)."""
+        z = F.lit(self.intercept) + F.coalesce(F.col(PRODUCT_TERM), F.lit(0.0))
+        return self._terms([n for n in self.numeric if n not in MARGIN_VARYING], f, z)
 
     def varying_logit(self, f: dict[str, Column], fixed: Column) -> Column:
-        z = fixed
-        for name, b in self.numeric_coef().items():
-            if name in MARGIN_VARYING:
-                z = z + F.lit(b) * self.prep.z(name, f[name])
-        return z
+        return self._terms([n for n in self.numeric if n in MARGIN_VARYING], f, fixed)
+
+    def grid_terms(self, f: dict[str, Column], fixed: Column) -> dict[str, Column]:
+        """a, b, c, d of the logit a + b * margin + c * price + d / price; missing inputs take their medians."""
+        zero = F.lit(0.0)
+        slope = {n: self.numeric[n] / self.prep.scales[n] for n in self.numeric if n in MARGIN_VARYING}
+        a, b, c, d = fixed, zero, zero, zero
+        for n, k in slope.items():
+            filled, mean = F.lit(k * (self.prep.medians[n] - self.prep.means[n])), F.lit(-k * self.prep.means[n])
+            if n == "gross_margin_rate":
+                a, b = a + mean, F.lit(k)
+            elif n == "unit_price":
+                a, c = a + mean, c + F.lit(k)
+            elif n == "grant_ratio_to_subtotal":   # grant / (price * qty), the median where the subtotal is 0
+                share = F.when(f["cost_per_unit"] != 0, F.try_divide(f["energy_grant_amount"], f["qty"]))
+                a, d = a + F.when(share.isNotNull(), mean).otherwise(filled), F.coalesce(F.lit(k) * share, zero)
+            else:
+                price = f["avg_competitor_price" if n == "price_gap_avg_competitor_pct" else "min_competitor_price"]
+                a = a + F.when(price.isNotNull(), F.lit(-100.0 * k) + mean).otherwise(filled)
+                c = c + F.coalesce(F.lit(100.0 * k) / price, zero)
+        return {"a": a, "b": b, "c": c, "d": d}
 
     def probability(self, f: dict[str, Column]) -> Column:
-        """The fitted model compiled to a Column expression (unknown product -> 0)."""
+        """The model as a Column expression over rows ``prepare`` has seen (unknown product -> 0)."""
         return sigmoid(self.varying_logit(f, self.fixed_logit(f)))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.pipeline.transform(df)
-
     def product_index(self, df: DataFrame, out: str = "product_index") -> DataFrame:
-        """M7: the fitted encoder's place of the (mode-filled) product, NULL for a level it hasn't seen."""
-        coded = self.pipeline.stages[1].transform(self.pipeline.stages[0].transform(df))
-        known = F.col("product_idx") < len(self.levels)
-        return coded.withColumn(out, F.when(known, F.col("product_idx").cast("int")))
+        """M7: the place of the (mode-filled) product among the levels, NULL for a level the fit hasn't seen."""
+        return self.with_levels(df, **{out: "product_index"})
 
     def coefficient_table(self, spark) -> DataFrame:
-        rows = [("intercept", float(self.intercept))]
-        rows += [(f"num:{k}", float(v)) for k, v in self.numeric_coef().items()]
-        rows += [(f"product:{k}", float(v)) for k, v in self.product_coef().items()]
-        return spark.createDataFrame(rows, "term string, coefficient double")
-
-    def save(self, spark, path: str) -> None:
-        """S3: the pipeline plus the frozen preprocessing stats, written through Spark."""
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        (spark.createDataFrame([(self.prep.to_json(),)], "prep string")
-         .coalesce(1).write.mode("overwrite").json(f"{path}/prep"))
+        rows = [("intercept", float(self.intercept))] + [(f"num:{k}", float(v)) for k, v in self.numeric.items()]
+        return spark.createDataFrame(rows, "term string, coefficient double").unionByName(
+            self.level_table(spark).select(F.concat(F.lit("product:"), "product").alias("term"), "coefficient"))
+
+    # -------------------------------------------------------------- S3
+    def numbers(self) -> str:
+        """Everything but the level table, as one line of JSON."""
+        return json.dumps({"prep": self.prep.__dict__, "numeric": self.numeric, "intercept": self.intercept,
+                           "classes": None if self.classes is None else self.classes.to_lists()})
+
+    def save(self, spark, path: str) -> int:
+        """Write the model as the next version under ``path`` and return its number.
+
+        The row of the version in the manifest comes last and holds checksums
+        of the numbers and the level table: a version without one doesn't exist.
+        """
+        levels = self.level_table(spark)
+        version = 1 + max([r["version"] for r in _manifest(spark, path)], default=0)
+        folder = f"{path}/versions/{version}-{uuid.uuid4().hex}"
+        levels.write.parquet(f"{folder}/levels")
+        spark.createDataFrame([(self.numbers(),)], "numbers string").coalesce(1).write.parquet(f"{folder}/numbers")
+        row = (version, folder.removeprefix(f"{path}/"), _checksum(self.numbers(), levels))
+        spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+        return version
 
     @staticmethod
-    def load(spark, path: str) -> FittedWinModel:
-        pm = PipelineModel.load(f"{path}/pipeline")
-        prep = Preprocessing(**json.loads(spark.read.json(f"{path}/prep").first()["prep"]))
-        return _from_pipeline(pm, prep)
+    def load(spark, path: str, version: int | None = None) -> FittedWinModel:
+        """A version (default: the latest); raises ValueError if it is missing or not what was written."""
+        known = {r["version"]: r for r in _manifest(spark, path)}
+        row = known.get(max(known, default=None) if version is None else version)
+        if row is None:
+            raise ValueError(f"no model version {version or ''} under {path}")
+        folder = f"{path}/{row['folder']}"
+        numbers = spark.read.schema("numbers string").parquet(f"{folder}/numbers").first()["numbers"]
+        levels = spark.read.schema(LEVELS).parquet(f"{folder}/levels")
+        if _checksum(numbers, levels) != row["checksum"]:
+            raise ValueError(f"model version {row['version']} under {path} is damaged")
+        d = json.loads(numbers)
+        return FittedWinModel(Preprocessing(**d["prep"]), d["numeric"], d["intercept"], levels,
+                              None if d["classes"] is None else ClassWeights.from_lists(d["classes"]))
+
+
+LEVELS = "product string, product_index int, coefficient double"
+MANIFEST = "version int, folder string, checksum string"
+
+
+def _manifest(spark, path: str) -> list:
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()   # one row per version
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def _checksum(numbers: str, levels: DataFrame) -> str:
+    """Of the numbers and, whatever the order of its rows, the level table."""
+    rows = levels.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*levels.columns).cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{numbers}|{rows['n']}|{rows['s']}".encode()).hexdigest()
+
+
+def _levels(fit: DataFrame) -> DataFrame:
+    """(product, product_index, coefficient 0) of the products fitted on, numbered in their order."""
+    products = fit.where(F.col("product").isNotNull()).groupBy("product").agg(F.lit(1).alias("one"))
+    ranked = running_totals(products.withColumn("all", F.lit(1)), ["all"], ["product"], "one", "levels")
+    return materialize(ranked.select("product", F.col("before").cast("int").alias("product_index"),
+                                     F.lit(0.0).alias("coefficient"), F.lit(0.0).alias("step")), "levels")
+
+
+class _Newton:
+    """Newton's method for C * sum(w * loss) + 0.5 * |beta|^2 (no penalty on the intercept).
+
+    The Hessian is a small dense block (intercept and numeric terms), a
+    *diagonal* block (one row has one product) and their coupling.  One
+    aggregation per product gives all sums; eliminating the product block
+    (Schur complement) leaves a system of 13 unknowns for the driver, and each
+    product's step follows from that solution within the level table.
+    """
 
+    def __init__(self, fit: DataFrame, names: list[str], label: str, C: float, total: float):
+        self.fit, self.names, self.label, self.ridge, self.total = fit, names, label, 1.0 / C, total
+        self.size = len(names) + 1
+        self.pairs = [(i, j) for i in range(self.size) for j in range(i, self.size)]
+
+    def sums(self, u: np.ndarray, levels: DataFrame) -> DataFrame:
+        """Per product: loss, gradient, weight and their products with the dense terms; one pass."""
+        x = [F.lit(1.0)] + [F.col(f"z_{n}") for n in self.names]
+        rows = lookup_join(self.fit, levels.select("product", F.col("coefficient").alias(PRODUCT_TERM)), ["product"], written=True)
+        eta = sum((F.lit(float(b)) * v for b, v in zip(u, x)), F.coalesce(F.col(PRODUCT_TERM), F.lit(0.0)))
+        rows = rows.withColumn("_eta", eta)
+        # log(1 + exp(eta)) - y * eta without overflow
+        loss = F.greatest("_eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta"))) - F.col(self.label) * F.col("_eta")
+        p = sigmoid(F.col("_eta"))
+        rows = rows.select("*", (F.col("_w") * loss).alias("_loss"), (F.col("_w") * (p - F.col(self.label))).alias("_r"),
+                           (F.col("_w") * p * (1 - p)).alias("_s"))
+        one = [F.sum("_loss").alias("loss")]
+        one += [F.sum(F.col("_r") * v).alias(f"r{i}") for i, v in enumerate(x)]
+        one += [F.sum(F.col("_s") * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in self.pairs]
+        return materialize(null_safe_join(rows.groupBy("product").agg(*one),
+                                          levels.select("product", "coefficient"), ["product"]), "newton-sums")
+
+    def totals(self, per_level: DataFrame):
+        """(loss, dense gradient, dense Hessian, Schur terms, largest product gradient): one row."""
+        level = F.col("coefficient").isNotNull()
+        grad = F.col("r0") + self.ridge * F.col("coefficient")
+        diag = F.col("s0_0") + self.ridge
+        b = [F.when(level, F.col(f"s0_{i}")) for i in range(self.size)]
+        row = per_level.agg(
+            F.sum("loss").alias("loss"), F.sum(0.5 * self.ridge * F.col("coefficient") * F.col("coefficient")).alias("pen"),
+            F.max(F.abs(grad)).alias("steepest"),
+            *[F.sum(f"r{i}").alias(f"g{i}") for i in range(self.size)],
+            *[F.sum(f"s{i}_{j}").alias(f"a{i}_{j}") for i, j in self.pairs],
+            *[F.coalesce(F.sum(b[i] * b[j] / diag), F.lit(0.0)).alias(f"c{i}_{j}") for i, j in self.pairs],
+            *[F.coalesce(F.sum(b[i] * grad / diag), F.lit(0.0)).alias(f"e{i}") for i in range(self.size)]).first()
+        square = lambda k: self._square([row[f"{k}{i}_{j}"] for i, j in self.pairs])
+        vector = lambda k: np.array([row[f"{k}{i}"] for i in range(self.size)])
+        return row["loss"] + (row["pen"] or 0.0), vector("g"), square("a"), square("c"), vector("e"), row["steepest"] or 0.0
+
+    def _square(self, upper: list[float]) -> np.ndarray:
+        out = np.zeros((self.size, self.size))
+        for (i, j), v in zip(self.pairs, upper):
+            out[i, j] = out[j, i] = v
+        return out
 
-def _from_pipeline(pm: PipelineModel, prep: Preprocessing, classes: ClassWeights | None = None) -> FittedWinModel:
-    _, indexer, _, _, lr = pm.stages
-    coef = lr.coefficients.toArray().tolist()
-    return FittedWinModel(pm, prep, list(indexer.labels), coef, float(lr.intercept), classes)
+    def solve(self, levels: DataFrame, max_iter: int, tol: float) -> tuple[np.ndarray, DataFrame]:
+        ridge = np.diag([0.0] + [self.ridge] * (self.size - 1))
+        u, du, share, best = np.zeros(self.size), np.zeros(self.size), 1.0, None
+        for _ in range(max_iter):
+            per_level = self.sums(u, levels)
+            loss, g, a, c, e, steepest = self.totals(per_level)
+            loss += 0.5 * float(u @ ridge @ u)
+            if best is not None and loss > best * (1 + 1e-12) and share > 1e-6:   # too far: go half of the way back
+                share /= 2
+                u = u - share * du
+                levels = materialize(levels.withColumn("coefficient", F.col("coefficient") - F.lit(share) * F.col("step")), "levels")
+                continue
+            grad = g + ridge @ u
+            if max(float(np.abs(grad).max()), steepest) <= tol * self.total:
+                break
+            best, share = loss, 1.0
+            du = np.linalg.solve(a + ridge - c, e - grad)
+            step = -(F.col("r0") + self.ridge * F.col("coefficient")
+                     + sum((F.col(f"s0_{i}") * F.lit(float(v)) for i, v in enumerate(du)), F.lit(0.0))) / (F.col("s0_0") + self.ridge)
+            moves = per_level.where(F.col("coefficient").isNotNull()).select("product", step.alias("step"))
+            levels = materialize(levels.select("product", "product_index", "coefficient").join(moves, "product")
+                                 .withColumn("coefficient", F.col("coefficient") + F.col("step")), "levels")
+            u = u + du
+        return u, levels
 
 
 def fit_win_model(df: DataFrame, label: str = "is_win", C: float = LOGREG_C,
                   max_iter: int = LOGREG_MAX_ITER, features: list[str] = NUMERIC_FEATURES,
-                  weighted_class_counts: bool = False) -> FittedWinModel:
-    """L2 logistic regression matching C * sum(w * loss) + 0.5 * |beta|^2.
+                  weighted_class_counts: bool = False, tol: float = 1e-10) -> FittedWinModel:
+    """L2 logistic regression, C * sum(w * loss) + 0.5 * |beta|^2, solved by Newton's method.
 
-    Spark minimises sum(w * loss) / sum(w) + regParam / 2 * |beta|^2, hence
-    regParam = 1 / (C * sum(w)).  Sample weight = quote weight x balanced class
-    weight.  ``standardization=False``: features are already scaled.
+    Sample weight = quote weight x balanced class weight.  ``tol`` bounds the
+    gradient's largest term over the sum of weights.  A pass over the data per
+    step, six or so of them, and nothing but sums per product leaves it.
     """
     prep = learn_preprocessing(df, features)
-    # written once: class weights, the indexer and every pass of the optimiser read it
-    weighted = materialize(quote_weights(select_features(df, ["quote_id", label, "product", *prep.features]))
-                           .drop("quote_id"), "fit")
-    classes = class_weights(weighted, label, weighted_class_counts)
-    weighted = weighted.withColumn("_w", F.col("quote_weight") * classes.column(F.col(label)))
-    stages = [
-        SQLTransformer(statement=prep.sql()),
-        StringIndexer(inputCol="product_filled", outputCol="product_idx", handleInvalid="keep",
-                      stringOrderType="alphabetAsc"),
-        # the indexer puts unknown/NULL at index numLabels; dropLast removes exactly that slot
-        OneHotEncoder(inputCols=["product_idx"], outputCols=["product_vec"], dropLast=True),
-        VectorAssembler(inputCols=[f"z_{f}" for f in prep.features] + ["product_vec"],
-                        outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
-                           regParam=1.0 / (C * classes.total), elasticNetParam=0.0, standardization=False,
-                           maxIter=max_iter, tol=1e-6, fitIntercept=True),
-    ]
-    train = weighted.withColumn(label, F.col(label).cast("double"))
-    pm = Pipeline(stages=stages).fit(train)
-    return _from_pipeline(pm, prep, classes)
+    # written once, scaled, with the columns of the fit only: every pass reads it
+    weighted = quote_weights(select_features(df, ["quote_id", label, "product", *prep.features]))
+    fit = materialize(weighted.select(F.col(label).cast("double").alias(label), prep.product(F.col("product")).alias("product"),
+                                      "quote_weight", *[prep.z(f, F.col(f)).alias(f"z_{f}") for f in prep.features]), "fit")
+    classes = class_weights(fit.withColumn(label, F.col(label).cast("int")), label, weighted_class_counts)
+    fit = fit.withColumn("_w", F.col("quote_weight") * classes.column(F.col(label).cast("int")))
+    u, levels = _Newton(fit, prep.features, label, C, classes.total).solve(_levels(fit), max_iter, tol)
+    return FittedWinModel(prep, dict(zip(prep.features, u[1:].tolist())), float(u[0]),
+                          levels.select("product", "product_index", "coefficient"), classes)
 
 
 def stationarity(model: FittedWinModel, df: DataFrame, label: str = "is_win", C: float = LOGREG_C) -> DataFrame:
-    """|gradient of the objective| / sum of weights per term, at the fitted coefficients (one aggregation).
+    """|gradient of the objective| / sum of weights per term, at the fitted coefficients.
 
-    0 at the optimum; the optimiser's tolerance bounds what is left."""
-    features = {f: F.col(f) for f in ["product", *NUMERIC_FEATURES]}
-    weighted = quote_weights(select_features(df, ["quote_id", label, "product", *model.prep.features]))
+    0 at the optimum; one aggregation per product, so the plan doesn't grow with their number."""
+    names = list(model.numeric)
+    weighted = model.prepare(quote_weights(select_features(df, ["quote_id", label, "product", *names])))
     w = F.col("quote_weight") * model.classes.column(F.col(label))
-    pull = w * (model.probability({k: v for k, v in features.items() if k in weighted.columns}) - F.col(label))
-    level = model.prep.product(F.col("product"))
-    terms = [("intercept", F.sum(pull), 0.0)]
-    terms += [(f"num:{f}", F.sum(pull * model.prep.z(f, F.col(f))), b) for f, b in model.numeric_coef().items()]
-    terms += [(f"product:{v}", F.sum(F.when(level == v, pull).otherwise(0.0)), b) for v, b in model.product_coef().items()]
-    rows = [F.struct(F.lit(t).alias("term"), (F.abs(g + F.lit(b / C)) / F.lit(model.classes.total)).alias("gradient"))
-            for t, g, b in terms]
-    return weighted.agg(F.array(*rows).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
+    pull = w * (model.probability({f: F.col(f) for f in ["product", *names]}) - F.col(label))
+    rows = weighted.withColumn("_pull", pull).withColumn(_FILLED, model.prep.product(F.col("product")))
+    sums = rows.groupBy(_FILLED).agg(F.sum("_pull").alias("g"), *[
+        F.sum(F.col("_pull") * model.prep.z(f, F.col(f))).alias(f"g_{f}") for f in names])
+    dense = sums.agg(F.sum("g").alias("g"), *[F.sum(f"g_{f}").alias(f"g_{f}") for f in names])
+    part = lambda term, g, b: F.struct(F.lit(term).alias("term"), (F.abs(g + F.lit(b / C)) / F.lit(model.classes.total)).alias("gradient"))
+    terms = [part("intercept", F.col("g"), 0.0)] + [part(f"num:{f}", F.col(f"g_{f}"), b) for f, b in model.numeric.items()]
+    levels = model.level_table(df.sparkSession).withColumnRenamed("product", _FILLED)
+    products = levels.join(sums.select(_FILLED, "g"), _FILLED, "left").select(
+        F.concat(F.lit("product:"), _FILLED).alias("term"),
+        (F.abs(F.coalesce(F.col("g"), F.lit(0.0)) + F.col("coefficient") / C) / F.lit(model.classes.total)).alias("gradient"))
+    return dense.select(F.explode(F.array(*terms)).alias("_r")).select("_r.*").unionByName(products)
 
 
 # ------------------------------------------------------------------ M10
 def predict_win(model: FittedWinModel, df: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFrame:
-    """Probability of a win (row-local) and the class at p >= threshold (Spark's own is strict >)."""
+    """Probability of a win (row-local after the lookup of the product terms) and the class at p >= threshold."""
     p = model.probability({f: F.col(f) for f in ["product", *model.prep.features]})
-    return df.withColumn("win_probability", p).withColumn(
-        "predicted_win", (F.col("win_probability") >= threshold).cast("int"))
+    return model.prepare(df).withColumn("win_probability", p).withColumn(
+        "predicted_win", (F.col("win_probability") >= threshold).cast("int")).drop(PRODUCT_TERM)

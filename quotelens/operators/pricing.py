@@ -62,7 +62,7 @@ from ..functions.columns import (
     price_position_by_ratio,
     scenario_columns,
 )
-from ..plans.scorecard import WinScorer, sigmoid
+from ..plans.scorecard import WinScorer, prepared, sigmoid
 from .keyed import exact_medians, first_per_key, lookup_join
 
 REQUEST_KEYS = ["quote_id", "line_seq"]
@@ -237,6 +237,7 @@ def _proposal(requests: DataFrame, scorer: WinScorer, strict: bool = False) -> t
 def score_scenarios(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                     strict: bool = False) -> DataFrame:
     """Probability, gross profit and expected gross profit of the proposed margin."""
+    requests = prepared(requests, scorer)
     sc, p = _proposal(requests, scorer, strict)
     return requests.select(*keys, "product", "gross_margin_rate",
                            sc["unit_price"].alias("unit_price"),
@@ -273,6 +274,13 @@ def _seed(requests: DataFrame, scorer: WinScorer) -> Column:
     return F.struct(*fields)
 
 
+def _grid_terms(scorer: WinScorer) -> Column:
+    """The scorer's logit over the grid as four numbers per request, from ``_seed``."""
+    s = F.col("_seed")
+    f = {k: s[k] for k in ("kw", "qty", "cost_per_unit", "energy_grant_amount", "avg_competitor_price", "min_competitor_price")}
+    return F.struct(*[c.alias(n) for n, c in scorer.grid_terms(f, s["fixed"]).items()])
+
+
 def _point(s: Column, index: Column, scorer: WinScorer, step: float) -> dict[str, Column]:
     """One grid point from the seed and its index."""
     g = index.cast("double") * F.lit(step)
@@ -296,23 +304,38 @@ def with_expected_profits(requests: DataFrame, scorer: WinScorer, feasible_only:
                           max_margin: float = GRID_MAX_MARGIN, step: float = GRID_STEP) -> DataFrame:
     """Add ``_seed`` and ``_profits``: the expected gross profit at each grid margin, NULL where infeasible.
 
-    The seed is handed to the lambda as the repeated array element, so what the
-    points share is computed once per request.
+    What the points share is computed once per request.  Prices are a first
+    array; the lambda over them holds the few operations that depend on the
+    margin if the scorer gives its ``grid_terms``, else the whole scenario.
     """
-    def profit(s: Column, i: Column) -> Column:
+    points = grid_size(max_margin, step)
+    seeded = prepared(requests, scorer).withColumn("_seed", _seed(requests, scorer))
+    if hasattr(scorer, "grid_terms"):
+        t, s = F.col("_terms"), F.col("_seed")
+        margin = lambda i: i.cast("double") * F.lit(step)
+        seeded = seeded.withColumn("_terms", _grid_terms(scorer)).withColumn("_prices", F.transform(
+            F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.try_divide(s["cost_per_unit"], F.lit(1.0) - margin(i))))
+
+        def profit(price: Column, i: Column) -> Column:
+            logit = t["a"] + t["b"] * margin(i) + t["c"] * price + F.coalesce(F.try_divide(t["d"], price), F.lit(0.0))
+            e = sigmoid(logit) * (price * s["qty"] - s["estimated_cost"])
+            return F.when(margin(i) >= s["minimum_margin"], e) if feasible_only else e
+
+        return seeded.withColumn("_profits", F.transform("_prices", profit)).drop("_terms", "_prices")
+
+    def whole(s: Column, i: Column) -> Column:
         point = _point(s, i, scorer, step)
         e = point["expected_gross_profit"]
         return F.when(point["meets_minimum_margin"], e) if feasible_only else e
 
-    seeded = requests.withColumn("_seed", _seed(requests, scorer))
-    return seeded.withColumn("_profits", F.transform(F.array_repeat("_seed", grid_size(max_margin, step)), profit))
+    return seeded.withColumn("_profits", F.transform(F.array_repeat("_seed", points), whole))
 
 
 def margin_curve(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                  max_margin: float = GRID_MAX_MARGIN, step: float = GRID_STEP) -> DataFrame:
     """Every grid point of every request as a row (71 per request by default)."""
     # two selects: the seed is computed below the explode, once per request
-    base = requests.select("*", _seed(requests, scorer).alias("_seed")).select(
+    base = prepared(requests, scorer).select("*", _seed(requests, scorer).alias("_seed")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(grid_size(max_margin, step) - 1))).alias("grid_index"))
     point = _point(F.col("_seed"), F.col("grid_index"), scorer, step)
     return base.select(*keys, *[point[f].alias(f) for f in GRID_FIELDS])
@@ -359,6 +382,7 @@ def top_margin_scenarios(requests: DataFrame, scorer: WinScorer, k: int = TOP_SC
 def quote_comparison(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS,
                      **grid_kw) -> DataFrame:
     """Proposed vs recommended, five deltas."""
+    requests = prepared(requests, scorer)
     sc, p = _proposal(requests, scorer)
     proposed = {"margin": F.col("gross_margin_rate"), "unit_price": sc["unit_price"], "win_probability": p,
                 "gross_profit": sc["gross_profit_amount"], "expected_gross_profit": p * sc["gross_profit_amount"]}
@@ -466,6 +490,7 @@ def risk_flag_array(gmr: Column, p: Column, min_margin: Column, min_prob: Column
 def risk_flags(requests: DataFrame, scorer: WinScorer, keys: list[str] = REQUEST_KEYS) -> DataFrame:
     """One row per (request, flag), in the reference's order."""
     gmr = F.col("gross_margin_rate")
+    requests = prepared(requests, scorer)
     sc, p = _proposal(requests, scorer)
     arr = risk_flag_array(gmr, p, F.col("minimum_margin"), F.col("minimum_win_probability"),
                           sc["competitor_count_available"], sc["price_gap_min_competitor_pct"])
@@ -501,6 +526,7 @@ def quote_review(requests: DataFrame, clean: DataFrame, scorer: WinScorer,
     row-local but the benchmark, which is one lookup join.
     """
     gmr = F.col("gross_margin_rate")
+    requests = prepared(requests, scorer)
     sc, p = _proposal(requests, scorer)
     req = requests.withColumns({
         "proposed_margin": gmr, "proposed_unit_price": sc["unit_price"],

@@ -29,10 +29,9 @@ PRODUCTS = {"H11": 0.10, "H12": -0.20, "H21": 0.15, "H23": -0.05, "H32": 0.25, "
 MOST_FREQUENT, INTERCEPT = "H11", 0.2
 
 FIXED_MODEL = FittedWinModel(
-    pipeline=None,
     prep=Preprocessing({f: n[0] for f, n in NUMBERS.items()}, {f: n[1] for f, n in NUMBERS.items()},
                        {f: n[2] for f, n in NUMBERS.items()}, MOST_FREQUENT, list(NUMBERS)),
-    levels=list(PRODUCTS), coefficients=[n[3] for n in NUMBERS.values()] + list(PRODUCTS.values()), intercept=INTERCEPT)
+    numeric={f: n[3] for f, n in NUMBERS.items()}, intercept=INTERCEPT, levels=PRODUCTS)
 
 
 def probability_sql(columns: dict[str, str] | None = None) -> str:

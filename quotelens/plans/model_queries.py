@@ -16,12 +16,13 @@ from ..constants import NUMERIC_FEATURES
 from ..operators import evaluation as E
 from ..operators import model as M
 from ..operators import pricing as P
+from ..session import scratch_path
 from .fixed_model import FIXED_MODEL, probability_sql
 from .oracle_base import d, with_ctes
 from .scorecard import DEFAULT_SCORECARD
 
 #: |gradient| / sum of weights below which a term counts as at the optimum.
-STATIONARY = 1e-3
+STATIONARY = 1e-6
 
 _MODELS: dict[tuple[int, str, str], M.FittedWinModel] = {}
 
@@ -110,6 +111,17 @@ def model_queries():
     Q["final_model_stationary"] = lambda s, f: M.stationarity(fitted(s, f, "final"), _clean(s, f)).select(
         "term", (F.col("gradient") < STATIONARY).alias("stationary"))
 
+    def stored(s, f):
+        path = scratch_path(s, "model-store")
+        version = fitted(s, f, "final").save(s, path)
+        return M.stationarity(M.FittedWinModel.load(s, path, version), _clean(s, f)).select(
+            "term", (F.col("gradient") < STATIONARY).alias("stationary"))
+    Q["stored_model_stationary"] = stored   # S3: written, read back and still at the optimum
+
+    Q["split_share"] = lambda s, f: _split(s, f).agg(
+        F.count_distinct("quote_id").alias("quotes"),
+        F.count_distinct(F.when(F.col("is_test"), F.col("quote_id"))).alias("test_quotes"))
+
     # prediction and its metrics through the model code, with fixed numbers
     Q["predict_win_fixed_model"] = lambda s, f: M.predict_win(FIXED_MODEL, _test(s, f)).select(
         "quote_id", "line_seq", "is_win", "win_probability", "predicted_win")
@@ -148,7 +160,10 @@ def model_queries():
     return Q
 
 
-SPLIT = "substr(md5(CAST(quote_id AS VARCHAR) || ':42'), 1, 4) < '4000'"
+#: Exactly a quarter of the quotes, rounded up: those with the smallest hashes.
+SPLIT = """coalesce(md5(CAST(quote_id AS VARCHAR) || ':42') <= (
+  SELECT max(h) FROM (SELECT DISTINCT md5(CAST(quote_id AS VARCHAR) || ':42') AS h FROM clean WHERE quote_id IS NOT NULL
+                      ORDER BY h LIMIT (SELECT CAST(ceil(0.25 * count(DISTINCT quote_id)) AS BIGINT) FROM clean))), false)"""
 TRAIN = f""",
 tr AS (SELECT * FROM clean WHERE NOT ({SPLIT}))"""
 SCORECARD_SQL = (f"round(1 / (1 + exp(-(1 - 4 * gross_margin_rate - {d(0.02)} * coalesce(price_gap_min_competitor_pct, 20) "
@@ -242,5 +257,7 @@ SELECT (SELECT {AUC_SQL} FROM cu) AS roc_auc, (SELECT {AP_SQL} FROM cu) AS avera
 SELECT quote_id, line_seq, is_win, round({p}, 6) AS win_probability, CAST({p} >= {d(0.5)} AS INTEGER) AS predicted_win
 FROM clean WHERE {SPLIT}""")
     Q["win_model_stationary"] = with_ctes(TRAIN, terms_sql("tr"))
-    Q["final_model_stationary"] = with_ctes("", terms_sql("clean"))
+    Q["final_model_stationary"] = Q["stored_model_stationary"] = with_ctes("", terms_sql("clean"))
+    Q["split_share"] = with_ctes("", """
+SELECT count(DISTINCT quote_id) AS quotes, CAST(ceil(0.25 * count(DISTINCT quote_id)) AS BIGINT) AS test_quotes FROM clean""")
     return Q

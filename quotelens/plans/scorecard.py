@@ -10,18 +10,28 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 class WinScorer(Protocol):
-    """probability(f) is required; a scorer may also split its logit into a
-    margin-independent ``fixed_logit(f)`` and ``varying_logit(f, fixed)`` so the
-    margin grid evaluates the fixed part once per request."""
+    """probability(f) is required.  A scorer may also
+
+    * ``prepare`` a table, attaching columns it looks up (a model's product
+      terms), before its expressions are used on it;
+    * split its logit into a margin-independent ``fixed_logit(f)`` and
+      ``varying_logit(f, fixed)``;
+    * give its logit over the margin grid as ``grid_terms(f, fixed)``: columns
+      a, b, c, d of a + b * margin + c * price + d / price, all of them
+      margin-independent, so that a grid point costs a few operations."""
 
     def probability(self, f: dict[str, Column]) -> Column: ...
 
 
+def prepared(df: DataFrame, scorer: WinScorer) -> DataFrame:
+    return scorer.prepare(df) if hasattr(scorer, "prepare") else df
+
+
 MARGIN_VARYING = {"unit_price", "gross_margin_rate", "grant_ratio_to_subtotal",
                   "price_gap_avg_competitor_pct", "price_gap_min_competitor_pct"}
 
@@ -52,6 +62,13 @@ class Scorecard:
                 - F.lit(-self.b_gap) * F.coalesce(f["price_gap_min_competitor_pct"], F.lit(self.gap_fill))
                 + fixed)
 
+    def grid_terms(self, f: dict[str, Column], fixed: Column) -> dict[str, Column]:
+        least = f["min_competitor_price"]
+        known = least.isNotNull()
+        gap = F.lit(self.b_gap)
+        return {"a": fixed + F.lit(self.b0) + F.when(known, gap * F.lit(-100.0)).otherwise(gap * F.lit(self.gap_fill)),
+                "b": F.lit(self.b_gmr), "c": F.when(known, gap * F.lit(100.0) / least).otherwise(F.lit(0.0)), "d": F.lit(0.0)}
+
     def logit(self, f: dict[str, Column]) -> Column:
         return self.varying_logit(f, self.fixed_logit(f))
 
