@@ -100,7 +100,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
               .withColumn("_start", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t"))
     inner = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("_inside", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
-    out = lookup_join(inside, starts, [*keys, "_slice"])
+    out = null_safe_join(inside, starts, [*keys, "_slice"])   # starts: a row per key and slice, broadcast by its size
     return out.withColumn("before", F.col("_start") + F.col("_inside")).drop("_start", "_inside", "_slice")
 
 

@@ -32,7 +32,7 @@ from ..constants import (
 from ..plans.scorecard import MARGIN_VARYING, sigmoid
 from ..session import materialize
 from .cleaning import select_features
-from .keyed import exact_medians, lookup_join, null_safe_join, running_totals, with_key_stats
+from .keyed import BROADCAST_ROWS, exact_medians, lookup_join, null_safe_join, running_totals, with_key_stats
 
 SPLIT_FEW = 1000   # hashes the split's selection ends with on the driver
 
@@ -323,39 +323,43 @@ class _Newton:
         self.size = len(names) + 1
         self.pairs = [(i, j) for i in range(self.size) for j in range(i, self.size)]
 
-    def sums(self, u: np.ndarray, levels: DataFrame) -> DataFrame:
-        """Per product: loss, gradient, weight and their products with the dense terms; one pass."""
-        x = [F.lit(1.0)] + [F.col(f"z_{n}") for n in self.names]
-        rows = lookup_join(self.fit, levels.select("product", F.col("coefficient").alias(PRODUCT_TERM)), ["product"], written=True)
-        eta = sum((F.lit(float(b)) * v for b, v in zip(u, x)), F.coalesce(F.col(PRODUCT_TERM), F.lit(0.0)))
-        rows = rows.withColumn("_eta", eta)
+    def sums(self, u: np.ndarray, levels: DataFrame, count: int) -> DataFrame:
+        """Per product: loss, gradient, weight and their products with the dense terms; one pass.
+
+        The dense parameters travel with the product's coefficient, so that every pass runs the same code."""
+        none = levels.sparkSession.createDataFrame([(None, None)], "product string, coefficient double")
+        terms = (levels.select("product", "coefficient").unionByName(none)
+                 .withColumn("_u", F.array(*[F.lit(float(x)) for x in u])))
+        rows = null_safe_join(self.fit, F.broadcast(terms) if count <= BROADCAST_ROWS else terms, ["product"])
+        x = ["1D", *[f"`z_{n}`" for n in self.names]]
+        y = f"`{self.label}`"
+        eta = " + ".join(["coalesce(coefficient, 0D)", *[f"_u[{i}] * {v}" for i, v in enumerate(x)]])
+        rows = rows.withColumn("_eta", F.expr(eta)).withColumn("_p", F.expr("1D / (1D + exp(-_eta))"))
         # log(1 + exp(eta)) - y * eta without overflow
-        loss = F.greatest("_eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta"))) - F.col(self.label) * F.col("_eta")
-        p = sigmoid(F.col("_eta"))
-        rows = rows.select("*", (F.col("_w") * loss).alias("_loss"), (F.col("_w") * (p - F.col(self.label))).alias("_r"),
-                           (F.col("_w") * p * (1 - p)).alias("_s"))
-        one = [F.sum("_loss").alias("loss")]
-        one += [F.sum(F.col("_r") * v).alias(f"r{i}") for i, v in enumerate(x)]
-        one += [F.sum(F.col("_s") * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in self.pairs]
-        return materialize(null_safe_join(rows.groupBy("product").agg(*one),
-                                          levels.select("product", "coefficient"), ["product"]), "newton-sums")
+        rows = rows.withColumns({"_loss": F.expr(f"_w * (greatest(_eta, 0D) + log1p(exp(-abs(_eta))) - {y} * _eta)"),
+                                 "_r": F.expr(f"_w * (_p - {y})"), "_s": F.expr("_w * _p * (1D - _p)")})
+        one = ["max(coefficient) AS coefficient", "sum(_loss) AS loss", *[f"sum(_r * {v}) AS r{i}" for i, v in enumerate(x)],
+               *[f"sum(_s * {x[i]} * {x[j]}) AS s{i}_{j}" for i, j in self.pairs]]
+        return materialize(rows.groupBy("product").agg(*map(F.expr, one)), "newton-sums")
 
     def totals(self, per_level: DataFrame):
-        """(loss, dense gradient, dense Hessian, Schur terms, largest product gradient): one row."""
-        level = F.col("coefficient").isNotNull()
-        grad = F.col("r0") + self.ridge * F.col("coefficient")
-        diag = F.col("s0_0") + self.ridge
-        b = [F.when(level, F.col(f"s0_{i}")) for i in range(self.size)]
-        row = per_level.agg(
-            F.sum("loss").alias("loss"), F.sum(0.5 * self.ridge * F.col("coefficient") * F.col("coefficient")).alias("pen"),
-            F.max(F.abs(grad)).alias("steepest"),
-            *[F.sum(f"r{i}").alias(f"g{i}") for i in range(self.size)],
-            *[F.sum(f"s{i}_{j}").alias(f"a{i}_{j}") for i, j in self.pairs],
-            *[F.coalesce(F.sum(b[i] * b[j] / diag), F.lit(0.0)).alias(f"c{i}_{j}") for i, j in self.pairs],
-            *[F.coalesce(F.sum(b[i] * grad / diag), F.lit(0.0)).alias(f"e{i}") for i in range(self.size)]).first()
-        square = lambda k: self._square([row[f"{k}{i}_{j}"] for i, j in self.pairs])
-        vector = lambda k: np.array([row[f"{k}{i}"] for i in range(self.size)])
-        return row["loss"] + (row["pen"] or 0.0), vector("g"), square("a"), square("c"), vector("e"), row["steepest"] or 0.0
+        """(loss, dense gradient, dense Hessian, Schur terms, its right side, largest product gradient).
+
+        Every product's values go as one array, added place by place: a few hundred sums reach the driver."""
+        grad, diag = f"(r0 + {self.ridge!r}D * coefficient)", f"(s0_0 + {self.ridge!r}D)"
+        have = lambda e: f"CASE WHEN coefficient IS NOT NULL THEN {e} ELSE 0D END"
+        parts = {"loss": [f"loss + coalesce(0.5D * {self.ridge!r}D * coefficient * coefficient, 0D)"], "steep": [have(grad)],
+                 "g": [f"r{i}" for i in range(self.size)], "a": [f"s{i}_{j}" for i, j in self.pairs],
+                 "c": [have(f"s0_{i} * s0_{j} / {diag}") for i, j in self.pairs],
+                 "e": [have(f"s0_{i} * {grad} / {diag}") for i in range(self.size)]}
+        values = [v for part in parts.values() for v in part]
+        found = (per_level.select(F.posexplode(F.expr(f"array({', '.join(values)})")).alias("at", "v"))
+                 .groupBy("at").agg(F.sum("v").alias("total"), F.max(F.abs("v")).alias("most")).collect())
+        total, most = np.zeros(len(values)), np.zeros(len(values))
+        for r in found:
+            total[r["at"]], most[r["at"]] = r["total"], r["most"]
+        cut = np.split(total, np.cumsum([len(x) for x in parts.values()])[:-1])
+        return cut[0][0], cut[2], self._square(cut[3]), self._square(cut[4]), cut[5], most[1]
 
     def _square(self, upper: list[float]) -> np.ndarray:
         out = np.zeros((self.size, self.size))
@@ -366,8 +370,9 @@ class _Newton:
     def solve(self, levels: DataFrame, max_iter: int, tol: float) -> tuple[np.ndarray, DataFrame]:
         ridge = np.diag([0.0] + [self.ridge] * (self.size - 1))
         u, du, share, best = np.zeros(self.size), np.zeros(self.size), 1.0, None
+        count = levels.count()
         for _ in range(max_iter):
-            per_level = self.sums(u, levels)
+            per_level = self.sums(u, levels, count)
             loss, g, a, c, e, steepest = self.totals(per_level)
             loss += 0.5 * float(u @ ridge @ u)
             if best is not None and loss > best * (1 + 1e-12) and share > 1e-6:   # too far: go half of the way back
