@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gmr_band, gmr_band_ord, is_win
+from ..session import is_grouped
 from .keyed import first_per_key, with_key_stats
 
 
@@ -55,6 +56,10 @@ def derive_columns(df: DataFrame) -> DataFrame:
 
 def flag_multi_product(df: DataFrame, **kw) -> DataFrame:
     """A quote holds more than one distinct (non-null) product."""
+    if is_grouped(df, "quote_id"):   # a quote's lines already lie together
+        w = Window.partitionBy("quote_id")
+        several = F.min("product").over(w) != F.max("product").over(w)
+        return df.withColumn("multi_product_quote", F.coalesce(several, F.lit(False)))
     out = with_key_stats(df, ["quote_id"], F.min("product").alias("_lo"), F.max("product").alias("_hi"), **kw)
     return (out.withColumn("multi_product_quote", F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)))
             .drop("_lo", "_hi"))

@@ -30,7 +30,7 @@ from ..constants import (
     SPLIT_TEST_SIZE,
 )
 from ..plans.scorecard import MARGIN_VARYING, sigmoid
-from ..session import materialize
+from ..session import is_grouped, materialize
 from .cleaning import select_features
 from .keyed import BROADCAST_ROWS, exact_medians, lookup_join, null_safe_join, running_totals, with_key_stats
 
@@ -75,6 +75,8 @@ def group_split(df: DataFrame, test_size: float = SPLIT_TEST_SIZE, seed: int = S
 # ------------------------------------------------------------------ M2 / M3
 def quote_weights(df: DataFrame, out: str = "quote_weight") -> DataFrame:
     """1 / (lines of the quote within ``df``): every quote weighs the same (skew-safe count)."""
+    if is_grouped(df, "quote_id"):   # a quote's lines already lie together
+        return df.withColumn(out, F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("quote_id")))
     w = with_key_stats(df, ["quote_id"], count_col="_lines", keep_count=True)
     return w.withColumn(out, F.lit(1.0) / F.col("_lines")).drop("_lines")
 

@@ -97,3 +97,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Metadata of a column whose equal values lie in one partition of the written table.
+GROUPED = "quotelens.grouped"
+
+
+def materialize_grouped(df: DataFrame, name: str, key: str, order: list[str], hot_in: DataFrame | None = None,
+                        hot_rows: int = 2_000_000) -> DataFrame:
+    """Write a table bucketed by ``key`` in the shared folder, so that everything per key needs no exchange.
+
+    A key's rows lie in one bucket, which only suits keys of bounded size: if
+    ``hot_in`` (default: the table; its source may be cheaper to count) holds a
+    key with ``hot_rows`` rows or more, the table is written as ``materialize``
+    does, and the operators take their ways for hot keys.  The column's
+    metadata tells which of the two it is (``is_grouped``).
+    """
+    spark = df.sparkSession
+    sizes = (df if hot_in is None else hot_in).groupBy(key).count()
+    if not sizes.where(sizes["count"] >= hot_rows).isEmpty():
+        return materialize(df, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"quotelens_{name}_{uuid.uuid4().hex}"
+    # no exchange is added where the rows are already dealt like this
+    (df.repartition(buckets, key).write.option("compression", "zstd").option("path", scratch_path(spark, name))
+     .bucketBy(buckets, key).sortBy(key, *order).saveAsTable(table))
+    return spark.table(table).withMetadata(key, {GROUPED: True})
+
+
+def is_grouped(df: DataFrame, key: str) -> bool:
+    return bool(df.schema[key].metadata.get(GROUPED))
