@@ -13,8 +13,9 @@ factors a token's probability into P(class | history) * P(token | class):
 Documents lie end to end in parallel streams; the state is carried from one
 truncated window to the next through a whole document and reset at its start.
 
-1. Documents are written once in blocks of about BLOCK_BYTES.  Each block
-   reports its words (64-bit hashes) with their training counts.
+1. Documents are encoded once in blocks of about BLOCK_BYTES of text: a block is
+   a row of word numbers and its word table (64-bit hashes, shapes, training
+   counts).  All further passes read numbers, no text.
 2. Summed over all training documents these are the corpus counts, and the
    frequent words' contexts, summed likewise, give the classes.  A start
    model is fitted on ``start_docs`` documents (by a hash of the ids) on the
@@ -33,22 +34,22 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_modulo, ship, staged
 
 FREQUENT, CLUSTERS, EMBEDDING, HIDDEN = 8192, 24, 16, 16
 STREAMS, STEPS = 512, 32
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 START_DOCS = 1000
 SMOOTH = 0.1
 SHAPES = 24
@@ -76,13 +77,32 @@ class Block:
     """The documents of a block as arrays of local word numbers; the end is number 0."""
 
     def __init__(self, texts: list[str | None]):
-        number: dict[bytes, int] = {b"\n": 0}
-        self.docs = []
+        self.number: dict[bytes, int] = {b"\n": 0}
+        self.docs: list[np.ndarray] = []
         for t in texts:
-            words = words_of(t)
-            self.docs.append(np.array([number.setdefault(w, len(number)) for w in words] + [0], np.int64))
-        self.words = list(number)
-        self.hash = np.array([word_hash(w) for w in self.words], np.int64)
+            self.add(t)
+        self.close()
+
+    def add(self, text: str | None) -> None:
+        number = self.number
+        self.docs.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)] + [0], np.int32))
+
+    def close(self) -> None:
+        self.hash = np.array([word_hash(w) for w in self.number], np.int64)
+        self.shape = np.array([shape(w) for w in self.number], np.int32)
+
+    @staticmethod
+    def of(row: dict) -> "Block":
+        """From a written row; ``held`` tells the held-out documents."""
+        out = Block.__new__(Block)
+        codes = np.frombuffer(row["codes"], np.int32)
+        out.docs = np.split(codes, np.cumsum(row["sizes"])[:-1]) if len(row["sizes"]) else []
+        out.hash, out.shape = np.asarray(row["h"], np.int64), np.asarray(row["shape"], np.int32)
+        out.ids, out.held = row["ids"], np.asarray(row["held"], bool)
+        return out
+
+    def training(self) -> list[np.ndarray]:
+        return [d for d, held in zip(self.docs, self.held) if not held]
 
 
 class Vocabulary:
@@ -111,9 +131,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.top, block.hash), max(0, len(self.top) - 1))
         known = self.top[at] == block.hash if len(self.top) else np.zeros(len(block.hash), bool)
         known[0] = False
-        shapes = np.array([0 if k else shape(w) for k, w in zip(known, block.words)], np.int64)
-        inputs = np.where(known, at, len(self.top) + shapes)
-        classes = np.where(known, self.cluster[at] if len(self.top) else 0, self.clusters + shapes)
+        inputs = np.where(known, at, len(self.top) + block.shape)
+        classes = np.where(known, self.cluster[at] if len(self.top) else 0, self.clusters + block.shape)
         inputs[0], classes[0] = self.inputs - 1, self.classes - 1
         return inputs, classes, np.where(known, at, -1)
 
@@ -146,18 +165,18 @@ class Gru:
         return self
 
     def _forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray):
-        """x, keep: steps x streams.  Returns all that backpropagation needs."""
+        """x, keep: steps x streams.  Returns all that backpropagation needs: embeddings, states before
+        each step (0 at a document's start) and after it, gates, candidates and their recurrent part."""
         t, n = x.shape
         k = HIDDEN
         e = self.p["emb"][x.ravel()]
         pre = (e @ self.p["w"] + self.p["b"]).reshape(t, n, 3 * k)
-        hs = np.empty((t + 1, n, k), np.float32)
+        hs, start = np.empty((t + 1, n, k), np.float32), np.empty((t, n, k), np.float32)
         zr, cand, hu = np.empty((t, n, 2 * k), np.float32), np.empty((t, n, k), np.float32), np.empty((t, n, k), np.float32)
         u = self.p["u"]
         hs[0] = h
         for i in range(t):
-            h = hs[i] * keep[i][:, None]
-            hs[i] = h
+            h = np.multiply(hs[i], keep[i][:, None], out=start[i])
             g = h @ u
             a = zr[i]
             np.add(pre[i, :, :2 * k], g[:, :2 * k], out=a)
@@ -171,24 +190,23 @@ class Gru:
             c += pre[i, :, 2 * k:]
             np.tanh(c, out=c)
             hs[i + 1] = c + a[:, :k] * (h - c)
-        return e, hs, zr, cand, hu
+        return e, start, hs, zr, cand, hu
 
-    def _log_classes(self, hs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(natural log probability of each target class, softmax) of flattened states."""
+    def _log_classes(self, hs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(natural log probability of each target class, exponentials of all classes, their sum) of flattened states."""
         s = hs.reshape(-1, HIDDEN) @ self.p["out"]
         s += self.p["bias"]
         s -= s.max(axis=1, keepdims=True)
         target = s[np.arange(len(s)), y]
         np.exp(s, out=s)
-        total = s.sum(axis=1)
-        s /= total[:, None]
-        return target - np.log(total), s
+        total = s @ np.ones(s.shape[1], np.float32)
+        return target - np.log(total), s, total
 
     def log_classes(self, x: np.ndarray, keep: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.empty(x.shape, np.float32)
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for at in range(0, len(x), STEPS):
-            hs = self._forward(x[at:at + STEPS], keep[at:at + STEPS], h)[1]
+            hs = self._forward(x[at:at + STEPS], keep[at:at + STEPS], h)[2]
             part = y[at:at + STEPS]
             out[at:at + STEPS] = self._log_classes(hs[1:], part.ravel())[0].reshape(part.shape)
             h = hs[-1]
@@ -203,10 +221,11 @@ class Gru:
 
     def _learn(self, x, keep, y, real, h, rate) -> np.ndarray:
         k, (t, n) = HIDDEN, x.shape
-        e, hs, zr, cand, hu = self._forward(x, keep, h)
-        _, soft = self._log_classes(hs[1:], y.ravel())
-        soft[np.arange(t * n), y.ravel()] -= 1
-        soft *= (real.ravel() / max(1.0, real.sum()))[:, None]
+        e, start, hs, zr, cand, hu = self._forward(x, keep, h)
+        _, soft, total = self._log_classes(hs[1:], y.ravel())
+        share = real.ravel() / np.float32(max(1.0, real.sum()))
+        soft *= (share / total)[:, None]
+        soft[np.arange(t * n), y.ravel()] -= share
         flat = hs[1:].reshape(-1, k)
         grad = {"out": flat.T @ soft, "bias": soft.sum(axis=0)}
         dh_out = (soft @ self.p["out"].T).reshape(t, n, k)
@@ -216,7 +235,7 @@ class Gru:
         ut = np.ascontiguousarray(self.p["u"].T)
         for i in range(t - 1, -1, -1):
             dh += dh_out[i]
-            z, r, c, before = zr[i, :, :k], zr[i, :, k:], cand[i], hs[i]
+            z, r, c, before = zr[i, :, :k], zr[i, :, k:], cand[i], start[i]
             dc = dh * (1 - z) * (1 - c * c)
             d = dpre[i]
             d[:, :k] = dh * (before - c) * z * (1 - z)
@@ -226,7 +245,7 @@ class Gru:
             dg[i, :, 2 * k:] = dc * r
             dh = (dh * z + dg[i] @ ut) * keep[i][:, None]
         flat_pre = dpre.reshape(-1, 3 * k)
-        grad["u"] = hs[:-1].reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        grad["u"] = start.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
         grad["w"] = e.T @ flat_pre
         grad["b"] = flat_pre.sum(axis=0)
         de = flat_pre @ self.p["w"].T
@@ -268,12 +287,12 @@ def streams(docs: list[np.ndarray], inputs: np.ndarray, classes: np.ndarray):
     return x, keep, y, real, place
 
 
-def context_sums(block: Block, order: np.ndarray, code: np.ndarray) -> np.ndarray:
+def context_sums(block: Block, docs: list[np.ndarray], order: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Per frequent word (``order``: their sorted hashes): summed codes of two words to the left, then to the right."""
     at = np.minimum(np.searchsorted(order, block.hash), max(0, len(order) - 1))
     known = np.where(order[at] == block.hash, at, len(order))
-    k = np.concatenate([known[d] for d in block.docs])
-    doc = np.repeat(np.arange(len(block.docs)), [len(d) for d in block.docs])
+    k = np.concatenate([known[d] for d in docs])
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
     pairs = [(k[gap:][same], k[:-gap][same]) for gap in (1, 2) for same in [doc[gap:] == doc[:-gap]]]
     word, before = (np.concatenate(x) for x in zip(*pairs))
     n = len(order) + 1
@@ -302,11 +321,9 @@ def word_contexts(blocks: DataFrame, top: np.ndarray, seed: int = 3, width: int
     def partial(batches):
         order, code = shared.value
         total = np.zeros((len(order), 2 * width), np.int64)
-        for b in batches:
-            mine = [t for t, held in zip(b.column(3).to_pylist(), b.column(2).to_pylist()) if not held]
-            size = np.cumsum([len(t or "") for t in mine]) // BLOCK_BYTES
-            for part in np.unique(size):
-                total += context_sums(Block([t for t, k in zip(mine, size) if k == part]), order, code)
+        for block in written_blocks(batches):
+            if mine := block.training():
+                total += context_sums(block, mine, order, code)
         if total.any():
             rows = [zlib.compress(total[i:i + group].tobytes(), 1) for i in range(0, len(order), group)]
             yield [pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())]
@@ -316,7 +333,9 @@ def word_contexts(blocks: DataFrame, top: np.ndarray, seed: int = 3, width: int
         return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [zlib.compress(total.tobytes(), 1)]})
 
     names, schema = ["part", "sums"], "part int, sums binary"
-    sums = blocks.mapInArrow(_arrow_rows(partial, names), schema).groupBy("part").applyInPandas(add, schema)
+    with few_rows(blocks.sparkSession):
+        parts = staged(blocks.mapInArrow(_arrow_rows(partial, names), schema), "lm-contexts")
+    sums = parts.groupBy("part").applyInPandas(add, schema)
     context = np.zeros((len(order), 2 * width), np.int64)
     for r in sums.collect():  # one row per ``group`` words
         rows = np.frombuffer(zlib.decompress(r["sums"]), np.int64).reshape(-1, 2 * width)
@@ -346,49 +365,68 @@ def _arrow_rows(run, schema_names):
     return rows
 
 
+BLOCK = ("block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, h array<long>, "
+         "shape array<int>, n array<int>")
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 4):
+    """Arrow batches of a few rows for what is run inside: a block is one row of several MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        for i in range(b.num_rows):
+            row = {n: b.column(k)[i] for k, n in enumerate(b.schema.names)}
+            yield Block.of({"ids": row["ids"].as_py(), "held": row["held"].as_py(), "sizes": row["sizes"].values.to_numpy(),
+                            "codes": row["codes"].as_buffer(), "h": row["h"].values.to_numpy(), "shape": row["shape"].values.to_numpy()})
+
+
 def blocked(docs: DataFrame, id_col: str, text_col: str, rest: int) -> DataFrame:
-    """(block, id, held_out, text): documents in reading order, cut where a block is full."""
+    """One row per block (BLOCK): documents in reading order, cut where a block is full, and its word table."""
     ship(docs.sparkSession)
 
+    def rows(block: Block, number: int, ids: list, held: list) -> list[pa.Array]:
+        block.close()
+        mine = [d for d, h in zip(block.docs, held) if not h]
+        n = np.bincount(np.concatenate(mine or [np.zeros(0, np.int32)]), minlength=len(block.hash))
+        one = lambda x, t: pa.array([x], pa.list_(t))
+        return [pa.array([number], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()),
+                one(np.array([len(d) for d in block.docs], np.int32), pa.int32()),
+                pa.array([np.concatenate(block.docs).tobytes()], pa.binary()),
+                one(block.hash, pa.int64()), one(block.shape, pa.int32()), one(n.astype(np.int32), pa.int32())]
+
     def cut(batches):
-        part, block, size = TaskContext.get().partitionId() << 32, 0, 0
+        number, size, block, ids, held = TaskContext.get().partitionId() << 32, 0, Block([]), [], []
         for b in batches:
-            length = np.array([len(t or "") for t in b.column(2).to_pylist()])
-            number = np.empty(len(length), np.int64)
-            for i, n in enumerate(length):
+            for i, h, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                n = len(text or "")
                 if size and size + n > BLOCK_BYTES:
-                    block, size = block + 1, 0
-                number[i] = part + block
-                size += int(n)
-            yield [pa.array(number), b.column(0), b.column(1), b.column(2)]
+                    yield rows(block, number, ids, held)
+                    number, size, block, ids, held = number + 1, 0, Block([]), [], []
+                block.add(text)
+                ids.append(i)
+                held.append(h)
+                size += n
+        if ids:
+            yield rows(block, number, ids, held)
 
-    narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("held_out", hash_modulo("id", 10, rest))
-    return staged(narrow.select("id", "held_out", "text").mapInArrow(_arrow_rows(cut, ["block", "id", "held_out", "text"]),
-                                                                     "block long, id long, held_out boolean, text string"), "lm-blocks")
+    narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return staged(narrow.select("id", hash_modulo("id", 10, rest).alias("held_out"), "text")
+                  .mapInArrow(_arrow_rows(cut, [f.split()[0] for f in BLOCK.split(", ")]), BLOCK), "lm-blocks")
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
     """(block, h, n, shape): each block's distinct words with their counts in its training documents."""
-
-    def count(batches):
-        for b in batches:
-            at = np.array(b.column(0))
-            held, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for k in np.unique(at):
-                mine = np.nonzero(at == k)[0]
-                n: Counter = Counter()
-                others: set[bytes] = set()
-                for i in mine:
-                    if held[i]:
-                        others.update(words_of(texts[i]))
-                    else:
-                        n.update(words_of(texts[i]))
-                words = list(n) + list(others.difference(n))
-                counts = list(n.values()) + [0] * (len(words) - len(n))
-                yield [pa.array(np.full(len(words), k)), pa.array([word_hash(w) for w in words], pa.int64()),
-                       pa.array(counts, pa.int64()), pa.array([shape(w) for w in words], pa.int32())]
-
-    return staged(blocks.mapInArrow(_arrow_rows(count, ["block", "h", "n", "shape"]), "block long, h long, n long, shape int"), "lm-words")
+    table = F.explode(F.slice(F.arrays_zip("h", "n", "shape"), 2, 1 << 30))  # number 0 is the end
+    return blocks.select("block", table.alias("w")).select("block", "w.h", F.col("w.n").cast("long").alias("n"), "w.shape")
 
 
 def train(blocks: DataFrame, vocabulary: Vocabulary, start: Gru, rate: float) -> Gru:
@@ -399,16 +437,10 @@ def train(blocks: DataFrame, vocabulary: Vocabulary, start: Gru, rate: float) ->
     def learn(batches):
         words, flat = shared.value
         model, tokens = Gru(words.inputs, words.classes).load(flat), 0
-        for b in batches:
-            mine = [t for t, held in zip(b.column(3).to_pylist(), b.column(2).to_pylist()) if not held]
-            size = np.cumsum([len(t or "") for t in mine]) // (2 * BLOCK_BYTES)
-            for part in range(int(size[-1]) + 1 if len(size) else 0):
-                texts = [t for t, k in zip(mine, size) if k == part]
-                if not texts:
-                    continue
-                block = Block(texts)
+        for block in written_blocks(batches):
+            if mine := block.training():
                 inputs, classes, _ = words.place(block)
-                x, keep, y, real, _ = streams(block.docs, inputs, classes)
+                x, keep, y, real, _ = streams(mine, inputs, classes)
                 model.train(x, keep, y, real, rate)
                 tokens += int(real.sum())
         if tokens:
@@ -424,7 +456,8 @@ def train(blocks: DataFrame, vocabulary: Vocabulary, start: Gru, rate: float) ->
             yield [pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())]
 
     names, schema = ["tokens", "model"], "tokens double, model binary"
-    models = staged(blocks.mapInArrow(_arrow_rows(learn, names), schema), "lm-models")
+    with few_rows(blocks.sparkSession):
+        models = staged(blocks.mapInArrow(_arrow_rows(learn, names), schema), "lm-models")
     n = models.count()
     while n > 32:  # about 32 models of a level become one
         models = staged(models.repartition(-(-n // 32)).mapInArrow(_arrow_rows(merge, names), schema), "lm-models")
@@ -444,7 +477,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = blocked(docs, id_col, text_col, rest)
     words = block_words(blocks)
     counts = staged(words.groupBy("h").agg(F.sum("n").alias("c"), F.first("shape").alias("shape")).where("c > 0"), "lm-counts")
-    ends = blocks.where("NOT held_out").count()
+    ends = blocks.select(F.explode("held").alias("held")).where("NOT held").count()
     total = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # SHAPES rows
     tokens = sum(r["c"] for r in total) + ends
     distinct = sum(r["v"] for r in total) + (ends > 0)
@@ -456,8 +489,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shape_count[r["shape"]] -= r["c"]
         shape_words[r["shape"]] -= 1
     top_hash = np.array([r["h"] for r in top], np.int64)
-    sample = (blocks.where("NOT held_out").select("id", "text").orderBy(F.xxhash64("id"), "id").limit(start_docs)
-              .select("text").toPandas()["text"].tolist())
+    narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(~hash_modulo("id", 10, rest))
+    sample = narrow.orderBy(F.xxhash64("id"), "id").limit(start_docs).select("text").toPandas()["text"].tolist()
     block = Block(sample)
     label = cluster_words(word_contexts(blocks, top_hash), top_hash, clusters) if len(top) else np.zeros(0, np.int64)
     vocabulary = Vocabulary(top_hash, np.array([r["c"] for r in top], np.float64), label, shape_count, shape_words, ends)
@@ -480,19 +513,21 @@ def _scored(blocks: DataFrame, words: DataFrame, counts: DataFrame, vocabulary:
     known = spark.createDataFrame([(int(h),) for h in vocabulary.top], "h long")
     # a block knows its own counts: it is sent those of words that other blocks hold too
     rarer = (words.select("block", "h", "n").join(F.broadcast(known), "h", "left_anti")
-             .join(counts.select("h", "c"), "h").where("c <> n").select("block", "h", "c"))
+             .join(counts.select("h", "c"), "h").where("c <> n").select(F.col("block").alias("of"), "h", "c"))
     floor = tokens + SMOOTH * (distinct + 1)
 
     def score(docs: pd.DataFrame, rare: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs):
+            return pd.DataFrame({c: [] for c in names})
         vocab, flat = shared.value
         gru = Gru(vocab.inputs, vocab.classes).load(flat)
-        block = Block(docs["text"].tolist())
+        row = docs.iloc[0]
+        block = Block.of(row)
         inputs, classes, at = vocab.place(block)
         h, c = rare["h"].to_numpy(np.int64), rare["c"].to_numpy(np.float64)
         order = np.argsort(h)
         h, c = h[order], c[order]
-        own = [d for d, held in zip(block.docs, docs["held_out"]) if not held]
-        count = np.bincount(np.concatenate(own or [np.zeros(0, np.int64)]), minlength=len(block.hash)).astype(float)
+        count = np.asarray(row["n"]).astype(float)
         if len(h):
             spot = np.minimum(np.searchsorted(h, block.hash), len(h) - 1)
             count = np.where(h[spot] == block.hash, c[spot], count)
@@ -509,10 +544,11 @@ def _scored(blocks: DataFrame, words: DataFrame, counts: DataFrame, vocabulary:
         log = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(gru.log_classes(x, keep, y).astype(np.float64), axis=0)])
         chain = [(log[t + len(d), s] - log[t, s]) / np.log(10) for d, (s, t) in zip(block.docs, place)]
         return pd.DataFrame({
-            "id": docs["id"], "held_out": docs["held_out"], "n_tokens": [len(d) for d in block.docs],
+            "id": pd.array(block.ids, "Int64"), "held_out": block.held, "n_tokens": [len(d) for d in block.docs],
             "n_known": [int((count[d] > 0).sum()) for d in block.docs], "train_tokens": tokens,
             "base_score": [float(base[d].sum()) for d in block.docs],
             "score": [float(g + inside[d].sum()) for g, d in zip(chain, block.docs)]})
 
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = ("id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return blocks.groupBy("block").cogroup(rarer.groupBy("block")).applyInPandas(score, schema)
+    return blocks.groupBy("block").cogroup(rarer.groupBy("of")).applyInPandas(score, schema)

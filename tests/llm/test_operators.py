@@ -386,10 +386,54 @@ def test_state_is_carried_through_a_document(monkeypatch):
     assert np.allclose(whole, model.log_classes(x, keep, y), atol=1e-5)
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 2000])
+def test_score_equals_the_recurrence_step_by_step(spark, hard, monkeypatch, block_bytes):
+    """Every document alone, word by word, in 64-bit numbers; in one block and in many."""
+    monkeypatch.setattr(gru_lm, "BLOCK_BYTES", block_bytes)
+    seen = {}
+    scored = gru_lm._scored
+
+    def noted(blocks, words, counts, vocabulary, model, tokens, distinct):
+        seen.update(v=vocabulary, p={k: x.astype(np.float64) for k, x in model.p.items()})
+        return scored(blocks, words, counts, vocabulary, model, tokens, distinct)
+
+    monkeypatch.setattr(gru_lm, "_scored", noted)
+    rows = [(r.doc_id, r.text) for r in hard.collect()]
+    got = {(r.doc_id, r.n_tokens): r.score for r in gru_lm.score_documents(hard, frequent=20, start_epochs=1).collect()}
+    train = Counter(w for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10 for w in gru_lm.words_of(t))
+    v, p, k = seen["v"], seen["p"], gru_lm.HIDDEN
+    place = {h: i for i, h in enumerate(v.top.tolist())}
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    for i, text in rows:
+        words = gru_lm.words_of(text)[:3000]
+        if len(words) < len(gru_lm.words_of(text)):
+            continue  # too long for this loop
+        h, x, total = np.zeros(k), v.inputs - 1, 0.0
+        for w in [*words, None]:
+            if w is None:
+                y, inside, nxt = v.classes - 1, 0.0, None
+            elif gru_lm.word_hash(w) in place:
+                at = place[gru_lm.word_hash(w)]
+                y, nxt = int(v.cluster[at]), at
+                inside = np.log10((v.top_count[at] + 0.1) / (v.top_count[v.cluster == y] + 0.1).sum())
+            else:
+                sh = gru_lm.shape(w)
+                y, nxt = v.clusters + sh, len(v.top) + sh
+                inside = np.log10((train[w] + 0.1) / v.shape_total[sh])
+            pre, g = p["emb"][x] @ p["w"] + p["b"], h @ p["u"]
+            z, r = sigmoid(pre[:k] + g[:k]), sigmoid(pre[k:2 * k] + g[k:2 * k])
+            c = np.tanh(pre[2 * k:] + r * g[2 * k:])
+            h = c + z * (h - c)
+            s = h @ p["out"] + p["bias"]
+            total += (s[y] - s.max() - np.log(np.exp(s - s.max()).sum())) / np.log(10) + inside
+            x = nxt
+        assert abs(got[i, len(words) + 1] - total) < 1e-3 * max(1.0, abs(total)), (i, len(words))
+
+
 def test_lm_classes_come_from_all_training_documents(spark, small):
     docs = small.limit(120)
     blocks = gru_lm.blocked(docs, "doc_id", "text", 0)
-    texts = [r.text for r in blocks.where("NOT held_out").collect()]
+    texts = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10 != 0]
     count = Counter(w for t in texts for w in gru_lm.words_of(t))
     top = np.array([gru_lm.word_hash(w) for w, _ in count.most_common(300)], np.int64)
     got = gru_lm.word_contexts(blocks, top, width=8, group=7)
