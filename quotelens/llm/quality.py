@@ -17,6 +17,7 @@ by their mean; without labels of both kinds every score is the share of 1s
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,9 +53,7 @@ def statistics(text: str | None) -> list[float]:
     distinct = set(words)
     pairs = len(set(zip(words, words[1:]))) if len(words) > 1 else 1
     tails = np.frombuffer(b"".join([x[-1:] for x in words]), np.uint8)
-    top = 0
-    if words:
-        top = max(map(words.count, list(distinct)[:8])) if len(distinct) <= 8 else 0
+    top = max(Counter(words).values(), default=0)
     return [float(np.log1p(n)), float(np.log1p(len(words))), float(np.log1p(len(lines))),
             sum(map(len, words)) / w, float(np.log1p(max(map(len, words), default=0))),
             h[65:91].sum() / n, h[48:58].sum() / n, h[_SPACE].sum() / n, h[_PUNCT].sum() / n, h[_SYMBOLS].sum() / n,
@@ -169,8 +168,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                      max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, held_out, score, predicted."""
     stats = staged(features(docs, id_col, text_col), "quality-stats")
-    known = labelled_sample(stats, labels, "quality", None, 5, 0, max_rows, id_col).select("id", "stats", "label").toPandas()
-    known = known.drop_duplicates("id").sort_values("id")
+    known = labelled_sample(stats, labels, "quality", None, 5, 0, max_rows, id_col)
+    # one row per id reaches the driver: of an id on several rows, the one with the least statistics
+    known = known.groupBy("id").agg(F.min("stats").alias("stats"), F.max("label").alias("label")).toPandas().sort_values("id")
     x = np.array(known["stats"].tolist(), np.float64).reshape(len(known), len(FEATURES))
     model = fit_trees(x, known["label"].to_numpy(float))
 
