@@ -33,6 +33,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_modulo(id_col: str, n: int, rest: int) -> Column:
     """Whether crc32(id as text) mod n is ``rest``; a NULL id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n == rest, F.lit(False))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, staged
+from .common import WHITE_SPACE, staged, unused
 
 LEAST_CHUNK, MOST_CHUNK = 256, 4096
 # A cut may follow these pairs: about one pair in sixty of ordinary prose.
@@ -86,16 +86,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def surviving(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, columns as they were."""
+    keep_id, keep_text, own_text, clashing, row = (unused(n, docs) for n in ("_keep_id", "_keep_text", "_text", "_clash", "_row"))
     marked = exact_duplicates(docs, id_col, text_col).where("kept")
-    keep = marked.select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_text")).distinct()
+    keep = marked.select(F.col(id_col).alias(keep_id), F.col("text_sha256").alias(keep_text)).distinct()
     text = F.sha2(normalised(F.col(text_col)), 256)
-    found = docs.withColumn("_text", text).join(
-        keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_text") == F.col("_keep_text")), "left_semi")
-    clash = docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_clash"))
-    once = found.join(clash, F.col(id_col).eqNullSafe(F.col("_clash")), "left_anti")
-    again = found.join(clash, F.col(id_col).eqNullSafe(F.col("_clash")), "left_semi")
+    found = docs.withColumn(own_text, text).join(
+        keep, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(own_text) == F.col(keep_text)), "left_semi")
+    clash = docs.groupBy(F.col(id_col).alias(clashing)).count().where("count > 1").select(clashing)
+    once = found.join(clash, F.col(id_col).eqNullSafe(F.col(clashing)), "left_anti")
+    again = found.join(clash, F.col(id_col).eqNullSafe(F.col(clashing)), "left_semi")
     if again.isEmpty():
-        return found.drop("_text")
-    longest = again.groupBy(id_col, "_text").agg(
-        F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.length(text_col), F.col(text_col))).alias("_row"))
-    return once.drop("_text").unionByName(longest.select("_row.*"))
+        return found.drop(own_text)
+    longest = again.groupBy(F.col(id_col).alias(keep_id), own_text).agg(
+        F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.length(text_col), F.col(text_col))).alias(row))
+    return once.drop(own_text).unionByName(longest.select(f"{row}.*"))

@@ -175,7 +175,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights: dict | None = None, seed: int = 11, block_words: int = BLOCK_WORDS,
         most_blocks: int = MOST_BLOCKS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row per draw, with shard, epoch and the words taken
-    (a text that is cut keeps its first words), shards apart and shuffled inside."""
+    (a text that is cut keeps its first words), shards apart and shuffled inside.
+
+    Columns of ``docs`` named mix_shard, mix_epoch or mix_words, as an earlier mix leaves them, are replaced."""
     sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"),
                         F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     plan = mix_plan(staged(sized.select("id", "source", "size"), "mix-sizes"), weights, seed, block_words, most_blocks, shard_blocks)
