@@ -6,8 +6,8 @@ in every rank of one random permutation of the signature's places, so places
 are correlated and vary less than independent minima; the walk over the ranks
 stops as soon as no later rank can lower any place.
 
-1. Documents with the same set (same size and set hash) are one class; one
-   representative of each goes on, so copies are never compared.
+1. Documents with the same set (same size and set hash) are one class, a node of
+   its own number, and only classes are compared, never copies.
 2. Signatures are banded: BANDS bands of ROWS places.  A pair with a Jaccard
    similarity of 0.75 shares no band with probability (1-0.75^4)^28 < 3e-5.
 3. Verification on whole sets, in rounds.  In a round every member of a bucket
@@ -20,7 +20,9 @@ stops as soon as no later rank can lower any place.
 
 Defined cases: NULL or empty texts have an empty set and are linked with
 nothing; fewer than five words give one shingle; repeated rows share a class;
-among rows with a NULL id, no links are reported (component NULL).
+an id on rows with different texts belongs to the class of each of them, every
+row with its own links; ids may be numbers or texts; among rows with a NULL id,
+no links are reported (component NULL).
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import map_batches, staged, unused
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 28, 4
 LIKENESS = 75  # percent
 #: A bucket has one leader in the first round and this many times more in each further one.
-MORE_LEADERS = 64
+MORE_LEADERS = 16
 REMEMBERED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -115,26 +117,25 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
         return out
 
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return map_batches(narrow, sign, "id long, n long, set_hash binary, keys array<long>")
+    kind = narrow.schema["id"].dataType.simpleString()
+    return map_batches(narrow, sign, f"id {kind}, n long, set_hash binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, size, set_hash, members): the whole sets of the wanted representatives."""
+    """(rep, size, members): the whole sets of the wanted classes (rep, set_hash, id of one of its rows).
+
+    Of an id's rows those count whose set is the class's."""
 
     def collect(cols: dict[str, list]) -> dict[str, list]:
         found = [shingle_set(t) for t in cols["text"]]
-        return {"rep": cols["id"], "size": [len(x) for x in found], "members": [x.view(np.int64) for x in found],
+        return {"id": cols["id"], "size": [len(x) for x in found], "members": [x.view(np.int64) for x in found],
                 "set_hash": [xxhash.xxh3_128_digest(x.tobytes()) for x in found]}
 
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    mine = narrow.join(wanted.withColumnRenamed("rep", "id"), "id")
-    return map_batches(mine, collect, "rep long, size long, set_hash binary, members array<long>")
-
-
-def _one_of_repeated(sets: DataFrame, signed: DataFrame) -> DataFrame:
-    """Leave one row per representative where ids repeat."""
-    repeated = signed.groupBy("id").count().where("count > 1")
-    return sets if repeated.isEmpty() else sets.dropDuplicates(["rep"])
+    kind = narrow.schema["id"].dataType.simpleString()
+    mine = narrow.join(wanted.select("id").distinct(), "id", "left_semi")
+    found = map_batches(mine, collect, f"id {kind}, size long, set_hash binary, members array<long>")
+    return found.join(wanted, ["id", "set_hash"]).select("rep", "size", "members")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, likeness: int) -> DataFrame:
@@ -163,18 +164,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     signed = staged(_signed(docs, id_col, text_col, bands, rows), "signatures")
-    # one representative (the smallest id) of every set
+    # a class is a set; its number is a node of the link graph, whatever ids its rows have
     classes = staged(signed.where("n > 0 AND id IS NOT NULL").groupBy("set_hash", "n")
-                     .agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
+                     .agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = staged(buckets.join(shared.select("band", "key"), ["band", "key"], "left_semi").withColumn("c", F.col("rep")), "buckets")
     label = None
     if not live.isEmpty():
-        # only documents that share a bucket with another are ever compared
-        found = _sets(docs, live.select("rep").distinct(), id_col, text_col).join(
-            classes.select("rep", "set_hash"), ["rep", "set_hash"], "left_semi")
-        sets = staged(_one_of_repeated(found.drop("set_hash"), signed), "sets")
+        # only classes that share a bucket with another are ever compared
+        wanted = classes.select("rep", "set_hash", "id").join(live.select("rep").distinct(), "rep", "left_semi")
+        sets = _sets(docs, wanted, id_col, text_col)
+        repeated = signed.groupBy("id").count().where("count > 1")
+        sets = staged(sets if repeated.isEmpty() else sets.dropDuplicates(["rep"]), "sets")  # equal rows of an id
         links, compared, leaders = None, None, 1
         while not live.isEmpty():
             pairs, rest = _candidates(live, leaders, likeness)
@@ -193,18 +196,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        .where("lo <> hi").select("band", "key"))
             live = staged(named.join(several, ["band", "key"], "left_semi"), "buckets")
             leaders *= MORE_LEADERS
-    reps = classes.select("set_hash", "n", F.col("rep").alias("component_id"))
+    reps = classes.select("set_hash", "n", "id", F.col("rep").alias("component"))
     if label is not None:
-        reps = (reps.join(label.withColumnRenamed("node", "component_id"), "component_id", "left")
-                .select("set_hash", "n", F.coalesce("component", "component_id").alias("component_id")))
-    out = signed.drop("keys").join(reps, ["set_hash", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      (F.col("id") == component).alias("kept"))
+        reps = (reps.withColumnRenamed("component", "node").join(label, "node", "left")
+                .select("set_hash", "n", "id", F.coalesce("component", "node").alias("component")))
+    least = reps.groupBy("component").agg(F.min("id").alias("component_id"))
+    reps = reps.join(least, "component").select("set_hash", "n", "component_id")
+    narrow = signed.drop("keys")
+    # empty sets are linked with nothing: they stay out of the join
+    out = (narrow.where("n > 0").join(reps, ["set_hash", "n"], "left").select("id", "n", "component_id")
+           .unionByName(narrow.where("n = 0").select("id", "n", F.col("id").alias("component_id"))))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+                      (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, columns as they were: the smallest id of each group."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    """The rows of ``docs`` that stay, columns as they were: the smallest id of each group.
+
+    Of an id on several rows, all stay if one of them stays."""
+    kept_id = unused("_kept", docs)
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(kept_id)).distinct()
     unlinked = F.col(id_col).isNull()
-    return docs.where(~unlinked).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(unlinked))
+    return docs.where(~unlinked).join(kept, F.col(id_col) == F.col(kept_id), "left_semi").unionByName(docs.where(unlinked))

@@ -630,3 +630,45 @@ def test_contamination(spark, hard, nothing, block_bytes):
     assert decontamination.contamination(hard, benchmark).count() == len(hard_rows())
     assert decontamination.contamination(nothing, benchmark).count() == 0
     assert decontamination.contamination(docs, benchmark.where("false")).where("contaminated").count() == 0
+
+
+# ------------------------------------------------------------------ names and ids
+def test_stages_with_columns_named_like_their_helpers(spark, hard):
+    names = ["_keep_id", "_keep_text", "_text", "_clash", "_row", "_kept", "count", "_KEPT2", "mix_shard"]
+    odd = hard.select("*", *[F.lit(n).alias(n) for n in names])
+    for stage in (exact_dedup.surviving, minhash.one_of_each_group):
+        plain, got = stage(hard), stage(odd)
+        assert got.columns == odd.columns
+        assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in plain.collect())
+        assert got.where("_row <> '_row' OR _kept <> '_kept'").count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_near_duplicates_of_an_id_with_different_texts(spark, partitions):
+    """Each row of an id keeps its own links."""
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    docs = frame(spark, [(1, a, "s"), (1, b, "s"), (2, a + " more", "s"), (3, b + " more", "s"), (4, "alone here", "s"), (4, "", "s")], partitions)
+    out = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert out == Counter([(1, 76, 1, True), (1, 76, 1, True), (2, 77, 1, False), (3, 77, 1, False), (4, 1, 4, True), (4, 0, 4, True)])
+
+
+def test_near_duplicates_with_text_ids(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    docs = spark.createDataFrame([("x", a), ("w", a + " more"), ("y", "other"), (None, a)], "doc_id string, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got["x"] == ("w", False) and got["w"] == ("w", True) and got["y"] == ("y", True)
+
+
+def test_commonest_word_counts_in_texts_of_many_words():
+    text = " ".join([f"w{i}" for i in range(10)] + ["again"] * 300)
+    at = quality.FEATURES.index("top_word")
+    assert abs(quality.statistics(text)[at] - 300 / 310) < 1e-9
+
+
+def test_quality_of_a_labelled_id_on_several_rows(spark, small):
+    """The fit takes one row of an id, always the same one."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    twice = small.unionByName(small.withColumn("text", F.concat("text", F.lit(" | | |"))))
+    runs = [sorted((r.doc_id, round(r.score, 9)) for r in quality.classify_quality(d, labels).collect())
+            for d in (twice.repartition(2), twice.repartition(7))]
+    assert runs[0] == runs[1] and len(runs[0]) == 2 * small.count()
