@@ -38,15 +38,16 @@ def test_run_is_registered_and_keeps_the_stages_results(spark):
     out = E.queries()["pipeline"](spark, SMALL)
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert out.count() > 0 and "pipeline" not in E.oracle_sql()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in E.queries() if re.match(r"op\d+_", q)}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in E.queries() if re.match(r"op\d+_", q)}
 
 
 def test_oracles_of_the_operators(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
-    for name in ("op3_exact_dedup", "op6_line_dedup"):
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    for name in ("op3_exact_dedup", "op6_line_dedup", "op11_lexical_search", "op12_topk_search", "op13_clustering"):
         got = E.queries()[name](spark, SMALL).toPandas()
         want = con.execute(E.oracle_sql()[name]).df()[list(got.columns)]
         assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, want.astype(str).values))
