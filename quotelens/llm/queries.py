@@ -17,7 +17,9 @@ from .common import table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_words(table(spark, sf_dir, "documents")).drop("draws")
+    out = mixing.mix_words(table(spark, sf_dir, "documents"))
+    # the splitting tree's decision: the shard of each draw of the document
+    return out.withColumn("shards", F.transform("draws", lambda d: d["shard"])).drop("draws")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
