@@ -156,3 +156,23 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, str]) ->
         *[F.max(F.when(F.col("m") == a, F.col("med"))).alias(a) for a in values])
     # every key has a row; measures without values stay NULL
     return null_safe_join(around.select(*by), found, by).select(*keys, *values)
+
+
+def weighted_medians(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
+    """Exact interpolated medians per key of values that count ``weight`` times each, NULLs skipped.
+
+    Weights per value are summed and a distributed prefix sum finds the two middle
+    ranks; one row per key, NULL without values.
+    """
+    keys = list(keys)
+    present = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.sum(weight).alias("f"))
+    ranked = running_totals(present, keys, ["v"], "f", "weighted")
+    sizes = df.groupBy(*keys).agg(F.sum(F.when(F.col(value).isNotNull(), F.col(weight))).alias("n"))
+    met = null_safe_join(ranked, sizes, keys)
+    pos = (F.col("n") - 1) * 0.5
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("f")), F.col("v")))
+
+    two = met.groupBy(*keys).agg(at(F.floor(pos)).alias("lo"), at(F.ceil(pos)).alias("hi"))
+    return null_safe_join(sizes.select(*keys), two, keys).select(*keys, ((F.col("lo") + F.col("hi")) * 0.5).alias(out))

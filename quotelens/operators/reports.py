@@ -7,7 +7,7 @@ tiny dimension table.  No report gathers a group into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -32,12 +32,16 @@ def _share(pred):
 # ------------------------------------------------------------------ A1
 def overview_kpis(clean: DataFrame) -> DataFrame:
     """A1: quotes, products, quote-level win rate, share of lines with competitor info."""
-    headers = quote_header(clean).agg(
+    return overview_row(quote_header(clean), clean.agg(
+        F.count_distinct("product").alias("product_categories"),
+        _share(F.col("competitor_count_available") > 0).alias("competitor_info_share")))
+
+
+def overview_row(first_lines: DataFrame, lines: DataFrame) -> DataFrame:
+    """A1's row from the first lines of the quotes and the one-row aggregate of all lines."""
+    headers = first_lines.agg(
         F.count("quote_id").alias("historical_quotations"),
         F.avg("is_win").alias("historical_win_rate"))
-    lines = clean.agg(
-        F.count_distinct("product").alias("product_categories"),
-        _share(F.col("competitor_count_available") > 0).alias("competitor_info_share"))
     # two one-row aggregates side by side, folded without a cross join
     nb, nd = F.lit(None).cast("bigint"), F.lit(None).cast("double")
     both = headers.select("historical_quotations", nb.alias("product_categories"),
@@ -155,6 +159,15 @@ def product_median_margin(clean: DataFrame) -> DataFrame:
                          {"median_margin": "gross_margin_rate"})
 
 
+def review_signal(far_above: Column, margin_floor: float) -> Column:
+    """A5's label: the first rule that holds, given the product's ``median_margin``."""
+    threshold = F.greatest(F.lit(margin_floor), F.col("median_margin"))
+    return (F.when(far_above, F.lit(SIG_ABOVE))
+            .when(F.col("gross_margin_rate") > threshold, F.lit(SIG_HIGH_MARGIN))
+            .when(F.col("competitor_count_available") == 0, F.lit(SIG_NO_INFO))
+            .otherwise(F.lit(SIG_OTHER)))
+
+
 def loss_signals(clean: DataFrame, margin_floor: float = LOSS_MARGIN_FLOOR,
                  gap_threshold: float = 5.0) -> DataFrame:
     """A5: first-matching review signal for each lost line.
@@ -166,11 +179,7 @@ def loss_signals(clean: DataFrame, margin_floor: float = LOSS_MARGIN_FLOOR,
     lost = clean.where(F.col("is_win") == 0)
     j = lookup_join(lost, med, ["product"])
     gap = F.col("price_gap_min_competitor_pct")
-    threshold = F.greatest(F.lit(margin_floor), F.col("median_margin"))
-    signal = (F.when(gap.isNotNull() & (gap > gap_threshold), F.lit(SIG_ABOVE))
-              .when(F.col("gross_margin_rate") > threshold, F.lit(SIG_HIGH_MARGIN))
-              .when(F.col("competitor_count_available") == 0, F.lit(SIG_NO_INFO))
-              .otherwise(F.lit(SIG_OTHER)))
+    signal = review_signal(gap.isNotNull() & (gap > gap_threshold), margin_floor)
     return j.select("quote_id", "line_seq", "product", "gross_margin_rate",
                     "price_gap_min_competitor_pct", "competitor_count_available",
                     signal.alias("review_signal"))
@@ -224,6 +233,11 @@ def data_quality_kpis(clean: DataFrame) -> DataFrame:
     per_quote = clean.groupBy("quote_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum((F.col("gross_margin_rate") < 0).cast("int")).alias("_neg"))
+    return quality_row(per_quote)
+
+
+def quality_row(per_quote: DataFrame) -> DataFrame:
+    """A14's row from the number of lines ``_n`` and of negative margins ``_neg`` per quote."""
     return per_quote.agg(
         F.sum("_n").cast("bigint").alias("clean_lines"),
         F.count("quote_id").alias("unique_quotes"),
@@ -237,7 +251,12 @@ def competitor_missingness(clean: DataFrame) -> DataFrame:
     wide = clean.agg(*[
         agg(F.col(f"competitor_{x}").isNull().cast("int")).alias(f"{name}_{x}")
         for x in ("a", "b", "c") for name, agg in (("n", F.sum), ("r", F.avg))])
+    return missingness_rows(wide)
+
+
+def missingness_rows(wide: DataFrame) -> DataFrame:
+    """A15's rows from counts ``n_a`` to ``n_c`` and rates ``r_a`` to ``r_c``."""
     return wide.select(F.expr(
         "stack(3, 'Competitor A', n_a, r_a, 'Competitor B', n_b, r_b, 'Competitor C', n_c, r_c) "
         "as (field, missing_records, missing_rate)")).select(
-        "field", F.col("missing_records").cast("bigint"), "missing_rate")
+        "field", F.coalesce(F.col("missing_records"), F.lit(0)).cast("bigint").alias("missing_records"), "missing_rate")

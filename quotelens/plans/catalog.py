@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 from ..functions.columns import fmt_currency, fmt_percent, fmt_signed_currency
 from ..operators import cleaning as C
 from ..operators import pricing as P
+from ..operators import refresh
 from ..operators import reports as A
 from ..sources.fixture import quotes_from_tpch, requests_from_clean, sparse_requests
 from ..operators.keyed import settings
 from ..session import materialize_grouped, scratch_path
-from ..sources.readers import read_quotes
+from ..sources.readers import read_quotes, read_quotes_checked
 from .fixed_model import FIXED_MODEL
 from .oracle import MODEL_PRICED
 from .scorecard import DEFAULT_SCORECARD
@@ -102,6 +103,35 @@ def clean_from_file(spark: SparkSession, sf: str) -> DataFrame:
     return C.clean_quotes(read_quotes(spark, path, "csv")).drop("line_seq")
 
 
+def dirty_file(spark: SparkSession, sf: str) -> str:
+    """The fixture's lines as CSV with faults in some cells: words, fractions, numbers too large, NA tokens."""
+    path = scratch_path(spark, "quotes-dirty")
+    k = F.col("quote_id")
+    faults = {
+        "qty": F.when(k % 29 == 0, F.lit("two")).when(k % 31 == 0, F.lit("2.5")).when(k % 37 == 0, F.lit("99999999999")),
+        "unit_price": F.when(k % 41 == 0, F.lit("12,50")).when(k % 43 == 0, F.lit("n/a")),
+        "competitor_a": F.when(k % 47 == 0, F.lit("ask")),
+    }
+    text = raw_of(spark, sf).select(*[
+        F.coalesce(faults[c], F.col(c).cast("string")).alias(c) if c in faults else F.col(c)
+        for c in ("quote_id", "line_seq", "product", "qty", "unit_price", "competitor_a")])
+    text.write.option("header", True).csv(path)
+    return path
+
+
+def report_state(spark: SparkSession, sf: str) -> refresh.ReportState:
+    """The reports' state after two batches: lines 1 and 2 of each quote, then the later ones together
+    with some of the first batch sent again."""
+    tables = inputs(spark, sf)
+    if "firsts" not in tables:
+        clean = tables["clean"]
+        known = clean.where(F.col("line_seq") <= 2)
+        later = clean.where((F.col("line_seq") > 2) | (F.col("quote_id") % 7 == 0))
+        state = refresh.refresh(refresh.write_state(refresh.summarise(known)), later, known)
+        tables.update(state._asdict())
+    return refresh.ReportState(tables["firsts"], tables["shapes"])
+
+
 def _q(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: finish(fn(spark, sf))
 
@@ -118,6 +148,9 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         *LINE_KEYS, "product", "unit_price", "is_highest_price", "is_highest_price_calc")
     Q["dedupe_rows"] = lambda s, f: C.dedupe_rows(C.filter_highest_price(C.filter_positive_qty(raw_of(s, f))))
     Q["clean_from_file"] = clean_from_file
+    Q["rejected_cells"] = lambda s, f: read_quotes_checked(s, dirty_file(s, f))[1].drop("file")
+    Q["checked_quotes"] = lambda s, f: read_quotes_checked(s, dirty_file(s, f))[0].withColumn(
+        "qty", F.col("qty").cast("double"))   # with NULLs: the same in every client
     Q["derive_is_win"] = lambda s, f: clean_of(s, f).select(*LINE_KEYS, "convert_to_order", "is_win")
     Q["derive_gmr_pct"] = lambda s, f: clean_of(s, f).select(*LINE_KEYS, "gross_margin_rate", "gmr_pct")
     Q["derive_gmr_band"] = lambda s, f: clean_of(s, f).select(*LINE_KEYS, "gross_margin_rate", "band_ord",
@@ -191,6 +224,10 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["data_quality_kpis"] = lambda s, f: A.data_quality_kpis(clean_of(s, f))
     Q["competitor_missingness"] = lambda s, f: A.competitor_missingness(clean_of(s, f))
 
+    # --- the same reports from partial states, after two batches
+    for name, report in refresh.REPORTS.items():
+        Q[f"refreshed_{name}"] = lambda s, f, run=report: run(report_state(s, f))
+
     # --- scalar formatting functions
     Q["fmt_currency"] = lambda s, f: clean_of(s, f).select(
         *LINE_KEYS, fmt_currency("estimated_gross_profit").alias("gross_profit_text"),

@@ -335,6 +335,36 @@ def oracle_queries() -> dict[str, str]:
     Q["clean_from_file"] = with_base(
         f"SELECT {sel(business)}, is_win, round(gmr_pct, 6) AS gmr_pct, band_ord, gmr_band, "
         "round(estimated_cost_per_unit, 6) AS estimated_cost_per_unit FROM clean")
+    number = "TRY_CAST(v AS DOUBLE)"
+    dirty = """,
+dirty AS (
+  SELECT quote_id, line_seq, product,
+         CASE WHEN quote_id % 29 = 0 THEN 'two' WHEN quote_id % 31 = 0 THEN '2.5'
+              WHEN quote_id % 37 = 0 THEN '99999999999' ELSE CAST(qty AS VARCHAR) END AS qty_text,
+         CASE WHEN quote_id % 41 = 0 THEN '12,50' WHEN quote_id % 43 = 0 THEN NULL
+              ELSE CAST(unit_price AS VARCHAR) END AS price_text,
+         CASE WHEN quote_id % 47 = 0 THEN 'ask' ELSE CAST(competitor_a AS VARCHAR) END AS a_text
+  FROM quotes
+)"""
+    Q["rejected_cells"] = with_ctes(dirty + """,
+cells AS (
+  SELECT quote_id, line_seq, 'qty' AS "column", qty_text AS v FROM dirty
+  UNION ALL SELECT quote_id, line_seq, 'unit_price', price_text FROM dirty
+  UNION ALL SELECT quote_id, line_seq, 'competitor_a', a_text FROM dirty
+)""", f"""
+SELECT CAST(quote_id AS VARCHAR) AS quote_id, line_seq, "column", v AS value,
+       CASE WHEN {number} IS NULL THEN 'not a number' WHEN {number} > 2147483647 THEN 'out of range'
+            ELSE 'not a whole number' END AS reason
+FROM cells
+WHERE v IS NOT NULL AND ({number} IS NULL OR "column" = 'qty' AND
+      ({number} > 2147483647 OR {number} <> floor({number})))""")
+    Q["checked_quotes"] = with_ctes(dirty, """
+SELECT quote_id, line_seq, product,
+       CASE WHEN TRY_CAST(qty_text AS DOUBLE) <= 2147483647
+            THEN floor(TRY_CAST(qty_text AS DOUBLE)) END AS qty,
+       round(TRY_CAST(price_text AS DOUBLE), 6) AS unit_price,
+       round(TRY_CAST(a_text AS DOUBLE), 6) AS competitor_a
+FROM dirty""")
     Q["derive_is_win"] = with_base("SELECT quote_id, line_seq, convert_to_order, is_win FROM clean")
     Q["derive_gmr_pct"] = with_base(
         "SELECT quote_id, line_seq, round(gross_margin_rate, 6) AS gross_margin_rate, "
@@ -586,6 +616,7 @@ MODEL_PRICED = ["score_scenarios", "margin_curve", "recommend_margin", "top_marg
 
 def all_oracles() -> dict[str, str]:
     from .fixed_model import probability_sql
+    from ..operators.refresh import REPORTS
     from .model_queries import model_oracles
     q = oracle_queries()
     p = probability_sql({"unit_price": "up", "gross_margin_rate": "g", "estimated_cost": "tc",
@@ -594,4 +625,6 @@ def all_oracles() -> dict[str, str]:
                          "price_gap_avg_competitor_pct": "gap_avg", "price_gap_min_competitor_pct": "gap_min"})
     q.update({f"{n}_fixed_model": q[n].replace(SCORECARD_P, p) for n in MODEL_PRICED})
     q.update(model_oracles())
+    # a refreshed report equals the report over all lines
+    q.update({f"refreshed_{n}": q[n] for n in REPORTS})
     return {k: positive_zero(v) for k, v in q.items()}
