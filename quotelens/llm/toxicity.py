@@ -25,13 +25,15 @@ so scores follow the real share of toxic rows whether or not a class was cut.
 Scoring covers every whole text.
 
 Defined cases: NULL counts as empty; a text without letters gets the least
-score; repeated rows are scored row by row; without labels of both kinds every
+score; repeated rows are scored row by row; of a labelled id's texts one is
+learnt from, always the same; without labels of both kinds every
 score is 0.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -305,18 +307,38 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  max_rows: int = MAX_ROWS) -> Fitted:
-    """Fit on at most ``max_rows`` labelled rows of each class (a bounded sample on the driver)."""
+    """Fit on at most ``max_rows`` labelled rows of each class, one row per id (of several texts
+    the one with the smallest hash).
+
+    The bounded sample is fitted in a task, so the driver holds neither its
+    texts nor the kernel matrices, and a lost executor only repeats the fit.
+    """
     mark = (labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
             .groupBy(F.col(id_col).alias("id")).agg(F.avg("toxic").alias("label"))
             .where(~hash_modulo("id", 4, 2)))
     all_rows = mark.agg(F.count_if(F.col("label") < 0.5), F.count_if(F.col("label") >= 0.5)).first()
+    stands_for = tuple(max(1.0, n / max_rows) for n in all_rows)
     order = [F.xxhash64("id"), F.col("id")]
     mark = (mark.where("label >= 0.5").orderBy(*order).limit(max_rows)
             .unionByName(mark.where("label < 0.5").orderBy(*order).limit(max_rows)))
     text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-    known = text.join(F.broadcast(mark), "id").toPandas().drop_duplicates("id").sort_values("id")  # 2 * max_rows ids
-    return fit(known["text"].tolist(), known["label"].to_numpy(float),
-               stands_for=tuple(max(1.0, n / max_rows) for n in all_rows))
+    known = text.join(F.broadcast(mark), "id").groupBy("id").agg(   # 2 * max_rows ids
+        F.min("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        if not frames:
+            return
+        rows = pd.concat(frames).sort_values("id")
+        m = fit(rows["text"].tolist(), rows["label"].to_numpy(float), stands_for=stands_for)
+        yield pd.DataFrame({"weights": [m.triple_weight.astype(np.float32).tobytes()], "bias": [m.bias],
+                            "slope": [m.slope], "shift": [m.shift]})
+
+    ship(docs.sparkSession)
+    row = known.repartition(1).mapInPandas(run, "weights binary, bias double, slope double, shift double").first()
+    if row is None:   # no labelled text
+        return fit([], np.zeros(0))
+    return Fitted(np.frombuffer(row.weights, np.float32), row.bias, row.slope, row.shift)
 
 
 def score_toxicity(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text",

@@ -488,6 +488,10 @@ def test_toxicity_learns_gapped_insults(spark, hard, nothing):
     assert toxicity.classify_toxicity(hard, labels).count() == len(hard_rows())
     assert toxicity.classify_toxicity(nothing, labels.where("false")).count() == 0
     assert {r.predicted for r in toxicity.classify_toxicity(hard, labels.where("toxic = 0")).collect()} == {0}
+    # an id on several rows and texts is one row of the fit, whatever the order of the rows
+    again = [(k, f"other {k} text", "s") for k, _, _ in rows[:40]]
+    one, two = (toxicity.fit_toxicity(frame(spark, r), labels) for r in (rows + again + rows, again + rows[::-1]))
+    assert (one.triple_weight == two.triple_weight).all() and (one.bias, one.slope) == (two.bias, two.slope)
 
 
 def test_triples_reach_over_the_whole_piece():
