@@ -13,9 +13,14 @@ stops as soon as no later rank can lower any place.
 3. Verification on whole sets, in rounds.  In a round every member of a bucket
    is compared with the leader of its bucket (MORE_LEADERS times as many in
    each further round); then components are formed, and the next leaders follow in buckets
-   that still hold more than one component.  Pairs whose sizes alone rule a link out, or that are already
-   connected, aren't compared.  When no bucket is left, every candidate pair
-   has been verified or is connected by verified links.
+   that still hold more than one component.  Pairs whose sizes or parity
+   sketches rule a link out, or that are already connected, aren't compared.
+   When no bucket is left, every other candidate pair has been verified or is
+   connected by verified links.
+   A parity sketch holds for each of PARITY places whether the set has an odd
+   number of elements there.  Every element that only one of two sets has flips
+   one place, so the places that differ are never more than those elements: a
+   bound, not an estimate, and no link is lost by it.
 4. Components by union-find and star contraction (components.py).
 
 Defined cases: NULL or empty texts have an empty set and are linked with
@@ -40,6 +45,8 @@ BANDS, ROWS = 28, 4
 LIKENESS = 75  # percent
 #: A bucket has one leader in the first round and this many times more in each further one.
 MORE_LEADERS = 16
+#: Places of a parity sketch, a multiple of 64.
+PARITY = 512
 REMEMBERED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -96,6 +103,12 @@ def super_minhash(elements: np.ndarray, places: int) -> np.ndarray:
     return sig
 
 
+def parity_sketch(elements: np.ndarray) -> np.ndarray:
+    """PARITY bits in 64-bit words: whether an odd number of elements falls into each place."""
+    odd = np.bincount((elements % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(elements: np.ndarray, bands: int, rows: int) -> np.ndarray:
     sig = super_minhash(elements, bands * rows).view(np.uint64).reshape(bands, rows)
     out = mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -105,20 +118,21 @@ def band_keys(elements: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(id, n, set_hash, keys): the keys hold one value per band, empty for an empty set."""
+    """(id, n, set_hash, keys, sketch): the keys hold one value per band, empty for an empty set (as its sketch)."""
 
     def sign(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": cols["id"], "n": [], "set_hash": [], "keys": []}
+        out: dict[str, list] = {"id": cols["id"], "n": [], "set_hash": [], "keys": [], "sketch": []}
         for t in cols["text"]:
             s = shingle_set(t)
             out["n"].append(len(s))
             out["set_hash"].append(xxhash.xxh3_128_digest(s.tobytes()))
             out["keys"].append(band_keys(s, bands, rows) if len(s) else [])
+            out["sketch"].append(parity_sketch(s) if len(s) else [])
         return out
 
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return map_batches(narrow, sign, f"id {kind}, n long, set_hash binary, keys array<long>")
+    return map_batches(narrow, sign, f"id {kind}, n long, set_hash binary, keys array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -149,12 +163,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, likeness: int) -> DataFrame:
 
 
 def _candidates(live: DataFrame, leaders: int, likeness: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of this round, buckets without this round's leaders) from rows (band, key, rep, n, c)."""
+    """(pairs of this round, buckets without this round's leaders) from rows (band, key, rep, n, sketch, c)."""
     order = Window.partitionBy("band", "key").orderBy("rep")
     lead = (live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
-            .select("band", "key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac")))
+            .select("band", "key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"),
+                    F.col("c").alias("ac")))
+    # at least so many elements are in one of the two sets only
+    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("asketch")[i])) for i in range(PARITY // 64)), F.lit(0))
     pairs = (live.join(lead, ["band", "key"]).where("a < rep AND c <> ac")
              .where(F.least("n", "an") * 100 >= F.greatest("n", "an") * likeness)
+             .where(apart * (100 + likeness) <= (F.col("n") + F.col("an")) * (100 - likeness))
              .select("a", F.col("rep").alias("b")).distinct())
     rest = live.join(lead.select("band", "key", F.col("a").alias("rep")), ["band", "key", "rep"], "left_anti")
     return pairs, rest
@@ -166,9 +184,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = staged(_signed(docs, id_col, text_col, bands, rows), "signatures")
     # a class is a set; its number is a node of the link graph, whatever ids its rows have
     classes = staged(signed.where("n > 0 AND id IS NOT NULL").groupBy("set_hash", "n")
-                     .agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+                     .agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
                      .withColumn("rep", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
+    buckets = classes.select("rep", "n", "sketch", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = staged(buckets.join(shared.select("band", "key"), ["band", "key"], "left_semi").withColumn("c", F.col("rep")), "buckets")
     label = None
@@ -202,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .select("set_hash", "n", "id", F.coalesce("component", "node").alias("component")))
     least = reps.groupBy("component").agg(F.min("id").alias("component_id"))
     reps = reps.join(least, "component").select("set_hash", "n", "component_id")
-    narrow = signed.drop("keys")
+    narrow = signed.drop("keys", "sketch")
     # empty sets are linked with nothing: they stay out of the join
     out = (narrow.where("n > 0").join(reps, ["set_hash", "n"], "left").select("id", "n", "component_id")
            .unionByName(narrow.where("n = 0").select("id", "n", F.col("id").alias("component_id"))))

@@ -230,6 +230,19 @@ def test_near_duplicates_of_hard_rows(hard):
     assert got[1].n_shingles == got[3].n_shingles == 0 and got[2].component_id == 2
 
 
+def test_parity_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 60, 300, 5000):
+        for shared in (0.0, 0.5, 0.9, 1.0):
+            both = rng.integers(0, 2**63, int(size * shared) + 1).astype(np.uint64)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, size).astype(np.uint64)])) for _ in "ab")
+            flipped = minhash.parity_sketch(a) ^ minhash.parity_sketch(b)
+            differ = int(np.bitwise_count(flipped.view(np.uint64)).sum())  # signed numbers would count their absolute value
+            apart = len(np.setxor1d(a, b))
+            assert differ <= apart and differ % 2 == apart % 2
+            assert not (minhash.parity_sketch(a) ^ minhash.parity_sketch(a)).any()
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     errors = []
