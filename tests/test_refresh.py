@@ -9,6 +9,7 @@ from quotelens.operators import cleaning as C
 from quotelens.operators import refresh as R
 from quotelens.operators import reports as A
 from quotelens.operators.keyed import exact_medians, weighted_medians
+from quotelens.session import materialize_grouped
 from quotelens.sources import readers
 from quotelens.sources.readers import read_quotes_checked, read_quotes_csv
 
@@ -111,3 +112,27 @@ def test_unlike_headers_are_an_error(spark, tmp_path):
     (tmp_path / "b.csv").write_text("product,quote_id,qty,unit_price,note\nH1,1,2,10.5,x\n")
     with pytest.raises(Exception, match="header"):
         read_quotes_checked(spark, str(tmp_path))[0].collect()
+
+
+def test_lines_of_a_grouped_table_are_matched_without_an_exchange(spark, lines):
+    table = materialize_grouped(lines, "grouped", "quote_id", ["line_seq"])
+    known, batch = table.where("line_seq < 120"), table.where("line_seq >= 60")
+    fresh = R.fresh_lines(batch, known)
+    assert rows(fresh) == rows(lines.where("line_seq >= 120"))
+    assert "Exchange hashpartitioning" not in fresh._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_refresh_writes_the_fresh_lines_once(spark, lines, monkeypatch):
+    written = []
+    monkeypatch.setattr(R, "materialize", lambda df, name, real=R.materialize: written.append(name) or real(df, name))
+    known = lines.where("line_seq < 120")
+    R.refresh(R.write_state(R.summarise(known)), lines.where("line_seq >= 60"), known)
+    assert written.count("fresh") == 1
+
+
+def test_equal_lines_of_a_batch_all_stay(lines):
+    known = lines.where("line_seq < 120")
+    batch = lines.where("line_seq >= 60")
+    twice = batch.unionByName(batch.withColumn("line_seq", F.col("line_seq") + 1000))
+    want = lines.where("line_seq >= 120")
+    assert rows(R.fresh_lines(twice, known)) == rows(want.unionByName(want.withColumn("line_seq", F.col("line_seq") + 1000)))
