@@ -327,3 +327,21 @@ def test_configure_for_scale(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_rounded_is_round(spark):
+    import math
+    import random
+    from quotelens.functions.columns import rounded
+    r = random.Random(3)
+    values = [None, 0.0, -0.0, -1e-9, 5e-7, -5e-7, 1.5e-6, 2.5e-6, 0.1234565, -0.1234565, 1.0000005, 123456.7890125, 554646333.4728065, 4503599626.999999,
+              4503599628.1234567, 1e15, 1e300, -1e300, 5e-324, math.nan, math.inf, -math.inf]
+    values += [r.choice([-1, 1]) * r.random() * 10 ** r.randint(-8, 11) for _ in range(20_000)]
+    values += [r.randint(-10**9, 10**9) / 2e6 for _ in range(20_000)]   # ties and their neighbours
+    values += [math.nextafter(r.randint(-10**8, 10**8) / 2e6, r.choice([-1, 1]) * 1e9) for _ in range(20_000)]
+    out = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", F.round("v", 6).cast("string").alias("a"), rounded("v", 6).cast("string").alias("b"),
+        F.round("v", 2).cast("string").alias("c"), rounded("v", 2).cast("string").alias("d"))
+    assert out.where("NOT (a <=> b AND c <=> d)").collect() == []
+    plan = spark.range(5).select((F.col("id") / 7).alias("v")).select(rounded("v", 6).alias("v"))
+    assert [x.v for x in plan.collect()] == [0.0, 0.142857, 0.285714, 0.428571, 0.571429]

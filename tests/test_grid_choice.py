@@ -69,3 +69,18 @@ def test_a_task_of_the_fit_writes_one_dense_row(spark, monkeypatch):
     assert set(of) == {None, *"abcde"} and of[None].coefficient is None and of["b"].coefficient == 0.1
     assert np.isclose(of["b"].r0, (0.5 * (p - y))[mine].sum()) and np.isclose(of["b"].s0_1, (0.5 * p * (1 - p) * z)[mine].sum())
     assert per_level.where(F.col("s0_0") <= 0).count() == 0
+
+
+def test_ten_best_points_with_infinite_and_equal_profits(spark):
+    """Scorers of extreme numbers: equal, NaN and infinite profits keep Spark's order, equal ones by their index."""
+    rows = [(a, b, c, 0.0, cost, float(qty), cost * qty, 0.2)
+            for a in (0.0, 800.0, -800.0) for b in (0.0, 5.0) for c in (0.0, -0.05) for cost in (0.0, 90.0, 1e308) for qty in (0, 3)]
+    names = ["a", "b", "c", "d", "cost", "qty", "total", "least"]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.id: r.top for r in df.select("id", P._choose(71, 0.01, 10)(*names).alias("top")).collect()}
+    margin = np.arange(71) * 0.01
+    for i, (a, b, c, _, cost, qty, total, _) in enumerate(rows):
+        with np.errstate(all="ignore"):
+            price = cost / (1.0 - margin)
+            e = 1.0 / (1.0 + np.exp(-(a + b * margin + c * price))) * (price * qty - total)
+        assert got[i] == sorted(range(71), key=lambda j: (not np.isnan(e[j]), 0.0 if np.isnan(e[j]) else -e[j], j))[:10]
