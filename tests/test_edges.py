@@ -345,3 +345,15 @@ def test_rounded_is_round(spark):
     assert out.where("NOT (a <=> b AND c <=> d)").collect() == []
     plan = spark.range(5).select((F.col("id") / 7).alias("v")).select(rounded("v", 6).alias("v"))
     assert [x.v for x in plan.collect()] == [0.0, 0.142857, 0.285714, 0.428571, 0.571429]
+
+
+def test_medians_over_all_sizes_of_values(spark):
+    """Signs, zeros, infinities, denormals, near-equal values, keys that are NULL or without values."""
+    inf = float("inf")
+    groups = {"signs": [-1e300, -2.5, -2.4999, -0.0, 0.0, 1e-320, 3.0], "inf": [-inf, -inf, 1.0, inf, inf, inf], "close": [1000 + i * 1e-9 for i in range(400)],
+              "far": [1e-300, 1e300], "none": [None, None], None: [5.0, None, 7.0, 8.0], "zeros": [0.0, -0.0, 0.0, 1.0], "low": [-8.0, -7.0, -7.0, -1e-9]}
+    df = spark.createDataFrame([(k, v, None if v is None else -v) for k, vs in groups.items() for v in vs], "k string, v double, w double").repartition(5)
+    for keys in (["k"], []):
+        got = {tuple(r)[:-2]: tuple(r)[-2:] for r in exact_medians(df, keys, {"a": "v", "b": "w"}).collect()}
+        want = df.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("a"), F.percentile("w", F.lit(0.5)).alias("b"))
+        assert got == {tuple(r)[:-2]: tuple(r)[-2:] for r in want.collect()}

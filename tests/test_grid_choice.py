@@ -84,3 +84,23 @@ def test_ten_best_points_with_infinite_and_equal_profits(spark):
             price = cost / (1.0 - margin)
             e = 1.0 / (1.0 + np.exp(-(a + b * margin + c * price))) * (price * qty - total)
         assert got[i] == sorted(range(71), key=lambda j: (not np.isnan(e[j]), 0.0 if np.isnan(e[j]) else -e[j], j))[:10]
+
+
+def test_coefficients_sent_and_joined_give_the_same_sums(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(None if i % 11 == 0 else f"p{i % 17}", float(i % 2), 1.0 + i % 3, float(rng.standard_normal()))
+                                  for i in range(500)], "product string, y double, _w double, z_f double").repartition(4)
+    levels = spark.createDataFrame([(f"p{i}", i, 0.05 * i) for i in range(15)], M.LEVELS)   # two have no coefficient
+    monkeypatch.setattr(M, "BLOCK_ROWS", 40)
+    newton = M._Newton(rows, ["f"], "y", 1.0, 1000.0)
+    assert newton.blocks.count() > 10   # a row holds many lines
+    u, both = np.array([0.3, 0.7]), []
+    for sent in (100, 3):
+        monkeypatch.setattr(M, "PRODUCTS_SENT", sent)
+        per_level, *numbers = newton.totals(newton.sums(u, levels, 15))
+        both.append((sorted(map(tuple, per_level.collect()), key=str), numbers))
+    (few, one), (many, two) = both
+    assert [r[0] for r in few] == [r[0] for r in many] and len(few) == 18
+    assert [r[1] for r in few] == [r[1] for r in many] and sum(r[1] is None for r in few) == 3
+    assert np.allclose([r[2:] for r in few], [r[2:] for r in many])
+    assert all(np.allclose(x, y) for x, y in zip(one, two))
