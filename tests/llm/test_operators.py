@@ -468,6 +468,44 @@ def test_lm_classes_come_from_all_training_documents(spark, small):
     assert (np.abs(seen[0]).sum(axis=1) > 0).mean() > 0.99
 
 
+def test_lm_blocks_are_read_one_at_a_time(spark, monkeypatch):
+    """A file's blocks of over 1 MB lie in row groups of their own; training still takes a file as a whole."""
+    monkeypatch.setattr(gru_lm, "BLOCK_BYTES", 2 << 20)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.randrange(10 ** 6):x}" for _ in range(100_000))) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    blocks = gru_lm.blocked(docs, "doc_id", "text", 0)
+    parquet = spark.sparkContext._jvm.org.apache.parquet.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    held = []
+    for f in blocks.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path, conf))
+        held += [g.getRowCount() for g in reader.getRowGroups()]
+        reader.close()
+    assert blocks.count() > 3 and held == [1] * blocks.count()
+    assert sorted(i for r in blocks.select("ids").collect() for i in r["ids"]) == list(range(16))
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[1], "1m")
+    try:
+        assert blocks.select("block").rdd.getNumPartitions() > 1
+        with gru_lm.few_rows(spark, whole_files=True):
+            assert blocks.select("*").rdd.getNumPartitions() == len(blocks.inputFiles())
+    finally:
+        spark.conf.set(keys[1], before[1])
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_lm_start_sample_goes_by_the_hash_of_the_ids(spark):
+    ids = [*range(300), *range(40), None, None]  # some twice
+    rows = spark.createDataFrame([(i, f"text of {i}") for i in ids], "id long, text string").repartition(7)
+    want = [r["text"] for r in rows.orderBy(F.xxhash64("id"), "id").collect()]
+    for n in (1, 90, 1000):
+        assert gru_lm.first_texts(rows, n) == want[:n]
+    assert gru_lm.first_texts(rows.where("false"), 5) == []
+
+
 # ------------------------------------------------------------------ 8 toxicity
 def test_folded_triples_equal_the_landmark_kernel():
     parts, marks = [b"loser", b"lo.ser", b"hatch", b"worthless"], toxicity.Landmarks.of([b"loser", b"idiot", b"hello"])
